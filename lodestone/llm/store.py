@@ -1,0 +1,36 @@
+"""Intermediate tables in the folder that the cluster shares.
+
+Multi-round operators cut their lineage by writing Parquet under
+``spark.checkpoint.dir``: a lost executor then costs one task, not the
+rounds before.  The files stay until the folder is cleared, because lazily
+evaluated results may still read them.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temp folder only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader over it."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
