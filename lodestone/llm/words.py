@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -66,6 +66,9 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    #: Sums of hashed bytes before each byte, and where each text's bytes begin.
+    total: np.ndarray
+    offsets: np.ndarray
 
     @property
     def text_of(self) -> np.ndarray:
@@ -84,7 +87,7 @@ def words_of(column: pa.Array, seed: int = 0) -> Words:
     n = len(data)
     if n == 0:
         none = np.empty(0, np.int64)
-        return Words(data, none, none, np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64))
+        return Words(data, none, none, np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64), np.zeros(1, np.uint64), offsets)
     inside = ~_SPACE[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -98,7 +101,23 @@ def words_of(column: pa.Array, seed: int = 0) -> Words:
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     h = (total[end] - total[begin]) * down[begin]
     h = mix(h + (end - begin).astype(np.uint64) * GOLD + np.uint64(seed))
-    return Words(data, begin, end, h, np.searchsorted(begin, offsets))
+    return Words(data, begin, end, h, np.searchsorted(begin, offsets), total, offsets)
+
+
+def whole_hash(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each text's word sequence, as two signed columns."""
+    place = (np.arange(len(words.hash)) - words.first[words.text_of]).astype(np.uint64)
+    out = []
+    for x in (mix(words.hash + place * GOLD), mix((words.hash ^ GOLD) * (np.uint64(2) * place + np.uint64(1)))):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
+        out.append(mix(total[words.first[1:]] - total[words.first[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
+def span_hash(words: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of byte spans, equal for equal bytes."""
+    down = _power_tables(len(words.data) + 1)[1]
+    return mix((words.total[end] - words.total[begin]) * down[begin] + (end - begin).astype(np.uint64) * GOLD)
 
 
 def run_hash(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
