@@ -286,10 +286,9 @@ def decoder(path: str) -> Decoder:
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids array<int>, decoded string)`` of every row.
+    """``(doc_id, n_tokens, ids array<int>, decoded string)`` of every row.
 
-    Null and empty texts have no ids and decode to an empty string; ids of
-    rows are not looked at, so nulls and repeated ids pass through.
+    Null and empty texts have no ids and decode to an empty string; nulls and repeated ids of rows pass through.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,12 +296,12 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in chunks(batch, "text"):
                 ids = own.batch(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([back.decode(x) for x in ids], pa.string())],
-                    names=["doc_id", "ids", "decoded"],
-                )
+                cut = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                flat = np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)
+                columns = [part.column("doc_id"), pa.array(np.diff(cut).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), pa.array([back.decode(x) for x in ids], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return _columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, dac, decontaminate, minhash, pii, rules, substring
+from . import bpe, counts, dac, decontaminate, minhash, pii, quality, rules, substring, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -22,6 +22,14 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate class and the document it is an exact copy of."""
     out = minhash.near_classes(table(spark, sf_dir, "documents"))
@@ -57,6 +65,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_quality": op3_quality,
     "op2_near_dedup": op2_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_pii": op5_pii,

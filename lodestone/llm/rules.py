@@ -31,7 +31,7 @@ CORE, STEPS, LEAST = 0.75, 4, 200
 MIDDLE, CUT = 4.3515, 30.856
 AXES = [f"x{k}" for k in range(5)]
 #: Least standard deviation of each axis, so that a constant one does not make the rest singular.
-FLOOR = [0.2, 0.3, 0.3, 0.3, 0.3]
+FLOOR = [0.2, 0.3, 0.3, 0.8, 0.3]
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
