@@ -12,13 +12,15 @@ A run of one word never pairs (equal symbols are in one half) and so passes
 as single symbols; naming whole runs would make the names inside a window
 depend on words outside it.
 
-1. Anchors: of the second-round symbols that a window determines, the one of
+1. Exact copies (by 128-bit names of their word sequences) of a smaller
+   document of 13 words or more lose all words, and add nothing to the search.
+2. Anchors: of the second-round symbols that a window determines, the one of
    least hash, leftmost on ties, anchors the window.  An anchor's key is the
    hash of the words that determine it (5 to 10 words), so windows with equal
    words have equal keys at equal places.
-2. Keys are counted over all documents; a key of one document only reveals
+3. Keys are counted over all word sequences; a key of one of them reveals
    nothing and leaves with all its windows.
-3. Windows on shared keys are verified on 96-bit names of their 13 words:
+4. Windows on shared keys are verified on 96-bit names of their 13 words:
    the least document id of each name, joined back.
 
 A window with a smaller document id elsewhere loses its words.  Keys that a
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialise
-from .words import GOLD, chunks, mix, run_hash, words_of
+from .words import GOLD, chunks, mix, whole_hash, words_of
 
 WINDOW = 13
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -119,7 +121,15 @@ def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text[new])), pa.array(key[new].view(np.int64))], names=["id", "key"])
+            whole = whole_hash(words)[0][text[new]]
+            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text[new])), pa.array(key[new].view(np.int64)), pa.array(whole)], names=["id", "key", "whole"])
+
+
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            words = words_of(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(words.first)), *map(pa.array, whole_hash(words))], names=["id", "n", "h1", "h2"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +162,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def cut_words(text: str | None, places: list[int]) -> tuple[int, str]:
-    """Number of words removed and the kept words joined by one space."""
+def cut_words(text: str | None, places: list[int] | None) -> tuple[int, str]:
+    """Number of words removed and the kept words joined by one space; no places: all words go."""
     words = split_words(text)
+    if places is None:
+        return len(words), ""
     gone = np.zeros(len(words) + 1, np.int64)
     for p in places:
         gone[p] += 1
@@ -168,23 +180,33 @@ def split_words(text: str | None) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()]
 
 
+def exact_copies(texts: DataFrame) -> DataFrame:
+    """Ids of ``texts(id, text)`` whose words are those of a smaller id, from 13 words on."""
+    whole = materialise(texts.mapInArrow(_wholes, "id long, n long, h1 long, h2 long").filter(F.col("n") >= WINDOW), "wholes")
+    least = whole.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
+    return whole.join(least, ["h1", "h2"]).filter("id > low").select("id").distinct()
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, places)``: starts, in words, of the windows that also start in a document of smaller id.
 
-    Documents without such a window, null or short texts, and rows with a
-    null id have no row.  Rows that repeat an id are one document's copies:
-    their windows never count against that id.  An empty table gives no rows.
+    ``places`` is null for an exact copy, all of whose words go.  Documents
+    without such a window, null or short texts, and rows with a null id have
+    no row.  Rows that repeat an id are one document's copies: their windows
+    never count against that id.  An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    keys = texts.mapInArrow(_anchor_keys, "id long, key long")
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
+    copies = materialise(exact_copies(texts), "copies")
+    keys = texts.mapInArrow(_anchor_keys, "id long, key long, whole long")
+    shared = keys.groupBy("key").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low <> high").select("key")
     shared = materialise(shared, "shared")
-    mine = keys.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    mine = materialise(mine, "keys")
+    mine = keys.select("id", "key").join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    mine = materialise(mine.join(copies, "id", "left_anti"), "keys")
     windows = materialise(texts.join(mine, "id").mapInArrow(_windows, "id long, place int, name long, tag int"), "windows")
     least = windows.groupBy("name", "tag").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
     late = windows.join(least, ["name", "tag"]).filter("id > low")
-    return late.groupBy("id").agg(F.collect_set("place").alias("places"))
+    places = late.groupBy("id").agg(F.collect_set("place").alias("places"))
+    return places.union(copies.select("id", F.lit(None).cast("array<int>")))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +224,7 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _applied(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFrame:
-    places = materialise(repeated_windows(docs, id_col, text_col), "places")
+    places = materialise(repeated_windows(docs, id_col, text_col), "places").withColumn("any", F.lit(True))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +232,11 @@ def _applied(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataF
             for part in chunks(batch, "text"):
                 n, gone, kept = [], [], []
                 for text, at in zip(part.column("text").to_pylist(), part.column("places").to_pylist()):
-                    removed, rest = cut_words(text, at or [])
+                    removed, rest = cut_words(text, at)
                     n.append(removed + (rest.count(" ") + 1 if rest else 0))
                     gone.append(removed)
                     kept.append(hashlib.sha256(rest.encode("utf-8", "surrogatepass")).hexdigest() if digest else rest)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    return texts.join(places, "id", "left").mapInArrow(apply, "id long, n_words long, n_removed long, kept string")
+    marked = texts.join(places, "id", "left").withColumn("places", F.when(F.col("any").isNull(), F.array().cast("array<int>")).otherwise(F.col("places")))
+    return marked.select("id", "text", "places").mapInArrow(apply, "id long, n_words long, n_removed long, kept string")
