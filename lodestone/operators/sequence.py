@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_DOC = Window.partitionBy("doc").orderBy("pos")
+def _doc():
+    return Window.partitionBy("doc").orderBy("pos")
 
 
 def token_lexicon(examples: DataFrame, least: int = 2) -> DataFrame:
@@ -19,7 +20,7 @@ def token_lexicon(examples: DataFrame, least: int = 2) -> DataFrame:
 
 def contexts(examples: DataFrame) -> DataFrame:
     """Examples with ``before`` and ``after``, the neighbouring tokens or ``<s>`` and ``</s>``."""
-    return examples.withColumns({"before": F.coalesce(F.lag("token").over(_DOC), F.lit("<s>")), "after": F.coalesce(F.lead("token").over(_DOC), F.lit("</s>"))})
+    return examples.withColumns({"before": F.coalesce(F.lag("token").over(_doc()), F.lit("<s>")), "after": F.coalesce(F.lead("token").over(_doc()), F.lit("</s>"))})
 
 
 def context_lexicon(examples: DataFrame, least: int = 2) -> DataFrame:
@@ -29,7 +30,7 @@ def context_lexicon(examples: DataFrame, least: int = 2) -> DataFrame:
 
 def features(examples: DataFrame) -> DataFrame:
     """``(doc, pos, label, feature)``: the token and its neighbours up to two places away, named by their place."""
-    at = lambda k: F.coalesce((F.lag("token", -k) if k < 0 else F.lead("token", k)).over(_DOC), F.lit("<s>" if k < 0 else "</s>"))
+    at = lambda k: F.coalesce((F.lag("token", -k) if k < 0 else F.lead("token", k)).over(_doc()), F.lit("<s>" if k < 0 else "</s>"))
     named = [F.concat(F.lit(f"{k}="), F.col("token") if k == 0 else at(k)) for k in (-2, -1, 0, 1, 2)]
     pair = F.concat(F.lit("-1,0="), at(-1), F.lit(" "), F.col("token"))
     return examples.withColumn("features", F.array(*named, pair)).select("doc", "pos", "label", F.explode("features").alias("feature"))
@@ -48,8 +49,8 @@ def predict(examples: DataFrame, lexicon: DataFrame, pairs: DataFrame | None = N
 
 def fill_gaps(predicted: DataFrame, most: int = 1) -> DataFrame:
     """Runs of up to ``most`` negatives between two positives of a document become positive."""
-    last = F.last(F.when(F.col("predicted") == 1, F.col("pos")), ignorenulls=True).over(_DOC.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first(F.when(F.col("predicted") == 1, F.col("pos")), ignorenulls=True).over(_DOC.rowsBetween(0, Window.unboundedFollowing))
+    last = F.last(F.when(F.col("predicted") == 1, F.col("pos")), ignorenulls=True).over(_doc().rowsBetween(Window.unboundedPreceding, 0))
+    following = F.first(F.when(F.col("predicted") == 1, F.col("pos")), ignorenulls=True).over(_doc().rowsBetween(0, Window.unboundedFollowing))
     inside = F.coalesce(following - last - 1 <= most, F.lit(False))
     return predicted.withColumn("filled", F.when((F.col("predicted") == 1) | inside, 1).otherwise(0))
 
