@@ -50,7 +50,7 @@ def placeholders(df: DataFrame, column: str, frequent: int = 10, dominance: int
     counts = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n")).filter("trim(v) <> ''")
     masked = counts.filter(F.col("n") < frequent).filter(F.contains(F.lower("v"), F.lit("x"))).select(F.col("v").alias("bad"))
     good = counts.filter(F.col("n") >= frequent).select(F.col("v").alias("good"), F.col("n").alias("good_n"))
-    fits = F.lower("good").rlike(F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.lower("bad"), r"([^a-z0-9 ])", r"\\$1"), "x", "."), F.lit("$")))
+    fits = F.regexp_like(F.lower("good"), F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.lower("bad"), r"([^a-z0-9 ])", r"\\$1"), "x", "."), F.lit("$")))
     found = masked.join(good, F.length("bad") == F.length("good")).filter(fits & (F.col("bad") != F.col("good")))
     place = Window.partitionBy("bad").orderBy(F.desc("good_n"), F.desc("good"))
     top = found.withColumns({"r": F.row_number().over(place), "next": F.lead("good_n").over(place)}).filter("r = 1").filter(F.col("next").isNull() | (F.col("good_n") >= dominance * F.col("next")))

@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import cleaning, matching, profiling, ranking, records
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (ranking, profiling, matching, cleaning, records):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL

@@ -129,8 +129,8 @@ def paper_sections(text: Column | str) -> Column:
     x = F.concat(F.lit("\n"), T.text(text), F.lit("\n"))
     marked = F.regexp_replace(x, rf"(?i)\n[ \t0-9.]*({heads})[ \t]*:?[ \t]*(?=\n)", "\u0001$1\u0002")
     parts = F.slice(F.split(marked, "\u0001"), F.lit(2), F.greatest(F.size(F.split(marked, "\u0001")), F.lit(1)))
-    found = F.transform(parts, lambda p: F.struct(F.lower(F.substring_index(p, "\u0002", 1)).alias("section"), F.trim(F.substring_index(p, "\u0002", -1)).alias("body")))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit("body").alias("section"), F.trim(x).alias("body"))))
+    found = F.transform(parts, lambda p: F.struct(F.lower(F.substring_index(p, "\u0002", 1)).alias("section"), F.btrim(F.substring_index(p, "\u0002", -1), F.lit(" \t\r\n")).alias("body")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit("body").alias("section"), F.btrim(x, F.lit(" \t\r\n")).alias("body"))))
 
 
 def jats_captions(xml: Column | str) -> Column:
