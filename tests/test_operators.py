@@ -148,7 +148,7 @@ def test_sinks(spark, tmp_path):
 
 
 def test_stream_without_repeats(spark, tmp_path):
-    batch = spark.createDataFrame([(1, 0), (1, 0), (2, 5)], "event_id long, s long").select("event_id", F.timestamp_seconds("s").alias("ts"))
+    batch = spark.createDataFrame([(1, 1_000_000), (1, 1_000_000), (2, 1_000_005)], "event_id long, s long").select("event_id", F.timestamp_seconds("s").alias("ts"))
     batch.write.parquet(f"{tmp_path}/in/events.parquet")
     stream = spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in/events.parquet")
     ingest.to_parquet(ingest.once(stream), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(60)
