@@ -20,10 +20,12 @@ named by its least document id.
    nearest by two bits of each register, and only if the sizes and these bits
    allow a similarity of 0.8 (they lose a pair of 0.8 with probability 1e-6).
    Members of one component need no further comparison.
-4. What then stays apart inside a bucket is compared: the nearest pair for
-   each member and foreign component first, then all that is still apart, so
-   that no link between candidates is lost.  These rows are pairs of
-   different classes that pass the size and register tests.
+4. What then stays apart inside a bucket is compared, so that no link between
+   candidates is lost: a bucket is cut into blocks of about ``BLOCK`` texts,
+   pairs of blocks are dealt over the tasks, and a task looks at the pairs of
+   different components whose first common bucket this is.  Only links leave
+   the task.  Blocks of the component that holds most of a bucket never meet
+   each other.
 5. Comparison is exact, on the bags themselves.
 
 At similarity 0.8 a pair misses all 25 bands of 5 with probability 5e-5.
@@ -46,6 +48,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 LEADERS = 1, 8, 64
 #: Registers whose low two bits may differ; 18.75 differ on average at similarity 0.8, with deviation 4.
 APART = 40
+#: Texts of a block in the last comparison.
+BLOCK = 256
 BITS = [f"bit{k}" for k in range(4)]
 
 
@@ -130,16 +134,19 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(bags, pa.binary())], names=["id", "bag"])
 
 
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= THRESHOLD * (len(a) + len(b) - both) - 1e-9
+
+
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column("bag_a"), batch.column("bag_b")
         keep = []
         for k in range(batch.num_rows):
-            a, b = np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64)
-            if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)):
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if both >= THRESHOLD * (len(a) + len(b) - both) - 1e-9:
+            if _similar(np.frombuffer(x[k].as_buffer(), np.uint64), np.frombuffer(y[k].as_buffer(), np.uint64)):
                 keep.append(k)
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
@@ -187,9 +194,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     live = materialise(entries.join(shared, "key"), "live")
     degree = materialise(live.groupBy("id").agg(F.sum("n").alias("degree")), "degree")
     traits = sketch.join(degree, "id").dropDuplicates(["id"]).select("id", "degree", F.greatest(F.lit(1), F.col("n_words") - SHINGLE + 1).alias("size"), *BITS)
+    bands = materialise(alone.join(degree.select("id"), "id", "left_semi").select("id", "bands"), "bands")
     live = materialise(live.select("key", "id").join(traits, "id"), "live")
     bags = materialise(texts.join(degree.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_bags, "id long, bag binary"), "bags")
-    label = _linked(live, bags)
+    label = _linked(live, bands, bags)
     out = named.join(label.select(F.col("id").alias("copy_of"), "label"), "copy_of", "left")
     return out.select("id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
 
@@ -217,7 +225,82 @@ def _nearest(met: DataFrame) -> DataFrame:
     return best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b"))
 
 
-def _linked(live: DataFrame, bags: DataFrame) -> DataFrame:
+def _apart(now: DataFrame, bands: DataFrame, bags: DataFrame) -> DataFrame:
+    """``(a, b)``: links between components of the entries ``now``, as their labels."""
+    most = now.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("x")).select("key", F.col("x.label").alias("most"))
+    marked = now.join(most, "key").withColumn("minor", F.col("label") != F.col("most"))
+    blocks = lambda c: F.ceil(F.count_if(c) / BLOCK).alias
+    cut = marked.groupBy("key").agg(blocks(F.col("minor"))("minors"), blocks(~F.col("minor"))("majors"))
+    own = F.when(F.col("minor"), F.pmod(F.xxhash64("id"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("id"), F.col("majors")))
+    every = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") - 1))
+    pairs = marked.join(cut, "key").withColumn("block", own).withColumn("other", F.explode(every))
+    sent = pairs.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "size", *BITS).join(bands, "id").join(bags, "id")
+    n = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_block_links, "a long, b long").distinct()
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links inside each run of rows of equal ``key, p, q``; the last run of a batch waits for the next."""
+    held: pa.Table | None = None
+
+    def linked(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+        names = np.column_stack([table[c].to_numpy() for c in ("key", "p", "q")])
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+        ends = cuts if last else cuts[:-1]
+        found = [x for a, b in zip(ends, ends[1:]) for x in _run_links(table.slice(a, b - a))]
+        out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+        return out, None if last else table.slice(ends[-1])
+
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch])
+            out, held = linked(pa.concat_tables([held, table]) if held is not None else table, False)
+            yield out
+    if held is not None:
+        yield linked(held, True)[0]
+
+
+def _run_links(rows: pa.Table) -> list[tuple[int, int]]:
+    """Links between the labels of one pair of blocks; labels that these links already join are not compared again."""
+    rows = rows.combine_chunks()
+    get = lambda c: rows[c].to_numpy()
+    label, size, block = get("label"), get("size"), get("block")
+    if label.min() == label.max():
+        return []
+    x = np.column_stack([get(c) for c in BITS]).view(np.uint64)
+    bands = np.asarray(rows["bands"].combine_chunks().flatten()).reshape(len(label), BANDS)
+    bag = rows["bag"]
+    key, same_block = get("key")[0], get("p")[0] == get("q")[0]
+    todo = []
+    for i in range(len(label) - 1):
+        ok = (label[i + 1 :] != label[i]) & (np.minimum(size[i + 1 :], size[i]) >= THRESHOLD * np.maximum(size[i + 1 :], size[i]))
+        if not same_block:
+            ok &= block[i + 1 :] != block[i]
+        at = np.flatnonzero(ok) + i + 1
+        diff = x[at] ^ x[i]
+        apart = np.bitwise_count((diff | (diff >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+        at, apart = at[apart <= APART], apart[apart <= APART]
+        common = bands[at] == bands[i]
+        here = bands[i][common.argmax(axis=1)] == key
+        todo += zip(apart[here].tolist(), [i] * int(here.sum()), at[here].tolist())
+    root = {int(v): int(v) for v in np.unique(label)}
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    out = []
+    atoms = {k: np.frombuffer(bag[k].as_buffer(), np.uint64) for k in {k for _, i, j in todo for k in (i, j)}}
+    for _, i, j in sorted(todo):
+        u, v = find(int(label[i])), find(int(label[j]))
+        if u != v and _similar(atoms[i], atoms[j]):
+            root[max(u, v)] = min(u, v)
+            out.append((int(label[i]), int(label[j])))
+    return out
+
+
+def _linked(live: DataFrame, bands: DataFrame, bags: DataFrame) -> DataFrame:
     """``(id, label)`` of every id of ``live`` that has a link."""
     spark = live.sparkSession
     label = spark.createDataFrame([], "id long, label long")
@@ -230,13 +313,17 @@ def _linked(live: DataFrame, bags: DataFrame) -> DataFrame:
         return materialise(named.join(split, "key", "left_semi"), "state")
 
     def compare(pairs: DataFrame) -> None:
-        nonlocal label, seen
+        nonlocal seen
         pairs = materialise(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             return
         seen = materialise(seen.union(pairs), "seen")
         found = _verified(pairs, bags)
-        found = found.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        join(found.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+
+    def join(found: DataFrame) -> None:
+        """Merge components along links between their labels."""
+        nonlocal label
         merged = components(materialise(found.filter("a <> b").distinct(), "links"))
         old = label.join(merged.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
         label = old.union(merged.join(label.select("id"), "id", "left_anti"))
@@ -248,10 +335,7 @@ def _linked(live: DataFrame, bags: DataFrame) -> DataFrame:
         lead = now.groupBy("key", turn.alias("turn")).agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "label", "size", *BITS)).alias("x"))
         lead = lead.select("key", (-F.col("x.minus")).alias("id"), "x.label", "x.size", *(f"x.{c}" for c in BITS))
         compare(_nearest(_met(now, materialise(lead, "lead"))))
-    now = state()
-    compare(_nearest(_met(now, now)))
-    now = state()
-    compare(_met(now, now).filter("a < b").select("a", "b"))
+    join(_apart(state(), bands, bags))
     return label
 
 
