@@ -45,7 +45,7 @@ from .words import GOLD, Words, chunks, grams, mix, run_hash, whole_hash, words_
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 #: Leaders of a bucket in each leader round.
-LEADERS = 1, 8, 64
+LEADERS = 1, 8
 #: Registers whose low two bits may differ; 18.75 differ on average at similarity 0.8, with deviation 4.
 APART = 40
 #: Texts of a block in the last comparison.
