@@ -41,9 +41,12 @@ def _shingle_hashes(df: DataFrame, keep: list[str], seed: str) -> DataFrame:
     return at.select(*keep, F.xxhash64(F.lit(seed), *(F.get("w", F.col("i") + k) for k in range(SHINGLE))).alias("h"))
 
 
-def shingles(text: Column) -> Column:
-    """Distinct shingles as text, words joined by one space."""
-    w = words(text)
+def shingles(w: Column) -> Column:
+    """Distinct shingles of an array of words as text, words joined by one space.
+
+    ``w`` must be a column, not ``words(...)`` itself: Spark would split the
+    text again for every shingle.
+    """
     each = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))
     return F.when(F.size(w) >= SHINGLE, F.array_distinct(each))
 
@@ -75,9 +78,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     hits = _shingle_hashes(docs, ["doc"], "leak").join(names, "h").groupBy("doc", "h").agg(F.first("of").alias("of"))
     each = hits.select("doc", F.explode("of").alias("x")).groupBy("doc", F.col("x.item").alias("item")).agg(F.count("*").alias("n"), F.max("x.need").alias("need"))
     candidates = each.filter("n >= need").select("doc", "item")
-    whole = items.groupBy("item").agg(F.max_by("text", F.length("text")).alias("item_text")).select("item", shingles(F.col("item_text")).alias("item_shingles"))
+    whole = items.groupBy("item").agg(words(F.max_by("text", F.length("text"))).alias("w")).select("item", shingles(F.col("w")).alias("item_shingles"))
     by_doc = candidates.join(whole, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "item_shingles")).alias("asked"))
-    held = docs.join(by_doc, "doc").select("doc", "asked", shingles(F.col("text")).alias("s"))
+    held = docs.join(by_doc, "doc").select("doc", "asked", words(F.col("text")).alias("w")).select("doc", "asked", shingles(F.col("w")).alias("s"))
     pair = held.select("doc", F.explode("asked").alias("q"), "s").select("doc", F.col("q.item").alias("item"), F.size("q.item_shingles").alias("n_shingles"), F.size(F.array_intersect("q.item_shingles", "s")).alias("n_shared"))
     found = pair.groupBy("doc", "item").agg(F.max("n_shingles").cast("long").alias("n_shingles"), F.max("n_shared").cast("long").alias("n_shared"))
     return found.filter(F.col("n_shared") >= F.col("n_shingles") * THRESHOLD - 1e-9).select(
