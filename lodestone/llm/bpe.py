@@ -17,10 +17,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +96,9 @@ class Splitter:
         return self.plain(text)
 
     def pieces(self, token: str) -> list[str]:
-        """The words of a token; a token with odd characters is one already."""
+        """The words of a token; a token with odd characters is one already, and so is one of letters."""
+        if token.isascii() and token.isalpha():
+            return [token]
         return [token] if _ODD.search(token) else _WORD.findall(token)
 
 
@@ -206,13 +210,18 @@ class LibraryMerger:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # a Spark task has one core: threads of the library's own would contend with other tasks
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
 
     def encode(self, words: list[str]) -> list[bytes]:
         many = self.library.encode_batch_fast if hasattr(self.library, "encode_batch_fast") else self.library.encode_batch
-        return [np.array(e.ids, "<u4").tobytes() for e in many(words, add_special_tokens=False)]
+        ids = [e.ids for e in many(words, add_special_tokens=False)]
+        blob = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        cut = [0, *accumulate(4 * len(x) for x in ids)]
+        return [blob[a:b] for a, b in pairwise(cut)]
 
 
 class Remembered:
@@ -237,7 +246,8 @@ class Remembered:
             ask = list(words)
         self.words.update(zip(ask, self.words_to_values(ask)))
         get = self.words.__getitem__
-        self.tokens.update((t, self.of_special(t) if isinstance(t, int) else self.join(map(get, ws))) for t, ws in zip(new, split))
+        value = lambda t, ws: get(ws[0]) if len(ws) == 1 else self.of_special(t) if isinstance(t, int) else self.join(map(get, ws))
+        self.tokens.update(zip(new, map(value, new, split)))
 
     def batch(self, texts: list[str | None]) -> list:
         """The joined value of each text of a bounded chunk; null is empty."""
