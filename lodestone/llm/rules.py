@@ -4,18 +4,23 @@ Every document has a vector of transformed statistics.  For each language
 and source a minimum-covariance-determinant estimate describes the bulk of
 its documents; a document far from it in Mahalanobis distance is rejected.
 
-The estimates come from concentration steps over all documents: start from
-medians and median absolute deviations, keep in each group the share
-``CORE`` of least distance, take their mean and covariance, and repeat.
-Steps are grouped sums and approximate percentiles, combined before they are
-shuffled, so a group may hold any share of the rows.  Groups of fewer than
-``LEAST`` usable documents use their language, and languages of fewer all
-documents; documents without language or source form groups of their own.
+The estimates come from concentration steps over all documents: from each of
+three starts around the medians, keep in each group the share ``CORE`` of
+least distance, take their mean and covariance, and repeat until the
+determinant stops falling; the least determinant of all starts is taken.
+The core is half, so that less than half of a group, however far and however
+close together, does not enter it.  Documents with the same statistics, such
+as copies, count once in the estimates.  Steps are grouped sums and
+approximate percentiles, combined before they are shuffled, so a group may
+hold any share of the rows.  Groups of fewer than ``LEAST`` different usable
+documents use their language, and languages of fewer all documents;
+documents without language or source form groups of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +31,13 @@ from .stats import COUNTS, text_stats
 from .store import materialise
 from .words import chunks
 
-CORE, STEPS, LEAST = 0.75, 4, 200
+CORE, LEAST = 0.5, 200
+#: Concentration goes on while the logarithm of the determinant falls by more than this.
+FALL = 0.01
 #: Chi-squared values of five degrees of freedom: the median and the share 0.99999.
 MIDDLE, CUT = 4.3515, 30.856
 AXES = [f"x{k}" for k in range(5)]
+SHAPE = [*(f"m{i}" for i in range(5)), *(f"v{i}{j}" for i in range(5) for j in range(i, 5))]
 #: Least standard deviation of each axis, so that a constant one does not make the rest singular.
 FLOOR = [0.2, 0.3, 0.3, 0.8, 0.3]
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -60,13 +68,13 @@ def _failed() -> Column:
 
 
 def _shape(sums: DataFrame) -> DataFrame:
-    """Mean and inverse covariance of each group from its sums, a few numbers a group."""
+    """Mean, inverse covariance and log determinant of each group and start from its sums, a few numbers a group."""
     d = len(AXES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = {k: np.asarray(batch.column(k).to_numpy(zero_copy_only=False), float) for k in batch.schema.names if k != "group"}
-            out = {k: [] for k in [*(f"m{i}" for i in range(d)), *(f"v{i}{j}" for i in range(d) for j in range(i, d))]}
+            x = {k: np.asarray(batch.column(k).to_numpy(zero_copy_only=False), float) for k in batch.schema.names if k not in ("group", "start")}
+            out = {k: [] for k in ["logdet", *SHAPE]}
             for r in range(batch.num_rows):
                 n = max(x["n"][r], 1.0)
                 mean = np.array([x[f"s{i}"][r] for i in range(d)]) / n
@@ -75,15 +83,16 @@ def _shape(sums: DataFrame) -> DataFrame:
                     for j in range(i, d):
                         cov[i, j] = cov[j, i] = x[f"p{i}{j}"][r] / n - mean[i] * mean[j]
                 values, vectors = np.linalg.eigh(cov / np.outer(FLOOR, FLOOR))
-                inverse = (vectors / np.maximum(values, 1.0)) @ vectors.T / np.outer(FLOOR, FLOOR)
+                values = np.maximum(values, 1.0)
+                inverse = (vectors / values) @ vectors.T / np.outer(FLOOR, FLOOR)
+                out["logdet"].append(np.log(values).sum())
                 for i in range(d):
                     out[f"m{i}"].append(mean[i])
                     for j in range(i, d):
                         out[f"v{i}{j}"].append(inverse[i, j] * (1 if i == j else 2))
-            yield pa.RecordBatch.from_arrays([batch.column("group"), *(pa.array(v, pa.float64()) for v in out.values())], names=["group", *out])
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("start"), *(pa.array(v, pa.float64()) for v in out.values())], names=["group", "start", *out])
 
-    fields = [*(f"m{i} double" for i in range(d)), *(f"v{i}{j} double" for i in range(d) for j in range(i, d))]
-    return sums.mapInArrow(run, "group string, " + ", ".join(fields))
+    return sums.mapInArrow(run, "group string, start int, logdet double, " + ", ".join(f"{c} double" for c in SHAPE))
 
 
 def _distance() -> Column:
@@ -94,27 +103,53 @@ def _distance() -> Column:
 
 def _sums(df: DataFrame) -> DataFrame:
     d = len(AXES)
-    return df.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(d)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(d) for j in range(i, d)))
+    return df.groupBy("group", "start").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(d)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(d) for j in range(i, d)))
 
 
-def _within(rows: DataFrame, share: float, name: str) -> DataFrame:
-    return rows.groupBy("group").agg(F.percentile_approx("distance", share, 1000).alias(name))
+def _within(rows: DataFrame, share: float, name: str, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.percentile_approx("distance", share, 1000).alias(name))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Shape of each ``group`` of ``rows(group, x0..)``, and ``scale``, its median distance over the expected one."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """First shape of each group and start: rows drawn in towards the median by their median absolute deviations.
+
+    Start 0 bends each axis by its hyperbolic tangent, start 1 puts every row
+    at one distance, and start 2 takes the half of least distance as it is.
+    """
     centre = rows.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"c{i}") for i, x in enumerate(AXES)))
     centred = rows.join(centre, "group")
     spread = centred.groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"c{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(AXES)))
-    scaled = centred.join(spread, "group")
-    first = sum((F.pow((F.col(x) - F.col(f"c{i}")) / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOOR[i])), 2) for i, x in enumerate(AXES)), F.lit(0.0))
-    measured = scaled.select("group", *AXES, first.alias("distance"))
-    for step in range(STEPS):
-        core = measured.join(_within(measured, CORE, "limit"), "group").filter("distance <= limit")
-        shape = materialise(_shape(_sums(core)), "shape")
-        measured = rows.join(shape, "group").select("group", *AXES, _distance().alias("distance"))
-    middle = _within(measured, 0.5, "middle")
-    return shape.join(middle, "group").withColumn("scale", F.greatest(F.col("middle") / MIDDLE, F.lit(0.05)))
+    unit = [F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOOR[i])) for i in range(len(AXES))]
+    z = [(F.col(x) - F.col(f"c{i}")) / unit[i] for i, x in enumerate(AXES)]
+    scaled = materialise(centred.join(spread, "group").withColumn("distance", sum((F.pow(c, 2) for c in z), F.lit(0.0))), "scaled")
+    length = F.greatest(F.sqrt("distance"), F.lit(1e-9)) / len(AXES) ** 0.5
+    drawn = [[F.tanh(c) for c in z], [c / length for c in z]]
+    parts = [scaled.select("group", F.lit(k).alias("start"), *((F.col(f"c{i}") + unit[i] * c).alias(x) for i, (x, c) in enumerate(zip(AXES, cs)))) for k, cs in enumerate(drawn)]
+    near = scaled.join(_within(scaled, CORE, "limit", "group"), "group").filter("distance <= limit")
+    parts.append(near.select("group", F.lit(len(drawn)).alias("start"), *AXES))
+    return _shape(_sums(parts[0].union(parts[1]).union(parts[2])))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Shape of each ``group`` of ``rows(group, x0..)``, and ``scale``, its median distance over the expected one.
+
+    The number of steps is bounded only by the determinant, which has a least value.
+    """
+    shape = materialise(_starts(rows), "start")
+    steps, last = [], shape.select("group", "start", F.lit(float("inf")).alias("before"))
+    while shape.limit(1).count():
+        measured = rows.join(shape, "group").select("group", "start", *AXES, _distance().alias("distance"))
+        core = measured.join(_within(measured, CORE, "limit", "group", "start"), ["group", "start"]).filter("distance <= limit")
+        new = materialise(_shape(_sums(core)), "shape")
+        steps.append(new)
+        shape = new.join(last, ["group", "start"]).filter(F.col("logdet") < F.col("before") - FALL).select(*new.columns)
+        last = new.select("group", "start", F.col("logdet").alias("before"))
+    if not steps:
+        return shape.drop("start", "logdet").withColumns({"middle": F.lit(0.0), "scale": F.lit(1.0)})
+    least = reduce(DataFrame.union, steps).groupBy("group").agg(F.min_by(F.struct(*SHAPE), F.struct("logdet", "start")).alias("s"))
+    best = materialise(least.select("group", "s.*"), "best")
+    middle = _within(rows.join(best, "group").select("group", _distance().alias("distance")), 0.5, "middle", "group")
+    return best.join(middle, "group").withColumn("scale", F.greatest(F.col("middle") / MIDDLE, F.lit(0.05)))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -130,15 +165,15 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     lang = F.concat(F.lit("1:"), F.coalesce(F.to_json(F.struct("g0")), F.lit("")))
     pair = F.concat(F.lit("2:"), F.coalesce(F.to_json(F.struct("g0", "g1")), F.lit("")))
     named = all_rows.withColumns({"lang_group": lang, "pair_group": pair})
-    usable = named.filter(~F.col("base_failed"))
+    usable = named.filter(~F.col("base_failed")).select("pair_group", "lang_group", *AXES).distinct()
     large_pairs = usable.groupBy("pair_group").count().filter(F.col("count") >= LEAST).select("pair_group", F.lit(True).alias("by_pair"))
-    large_langs = usable.groupBy("lang_group").count().filter(F.col("count") >= LEAST).select("lang_group", F.lit(True).alias("by_lang"))
+    by_language = usable.select("lang_group", *AXES).distinct()
+    large_langs = by_language.groupBy("lang_group").count().filter(F.col("count") >= LEAST).select("lang_group", F.lit(True).alias("by_lang"))
     grouped = named.join(large_pairs, "pair_group", "left").join(large_langs, "lang_group", "left")
     grouped = grouped.withColumn("group", F.when(F.col("by_pair"), F.col("pair_group")).when(F.col("by_lang"), F.col("lang_group")).otherwise(F.lit("0:")))
     grouped = materialise(grouped.select("doc_id", "group", "base_failed", *COUNTS, *AXES), "grouped")
-    usable = named.filter(~F.col("base_failed"))
     # a language's estimate is over all its documents, also those of large sources
-    levels = [usable.select(F.col("pair_group").alias("group"), *AXES), usable.select(F.col("lang_group").alias("group"), *AXES), usable.select(F.lit("0:").alias("group"), *AXES)]
+    levels = [usable.select(F.col("pair_group").alias("group"), *AXES), by_language.select(F.col("lang_group").alias("group"), *AXES), usable.select(F.lit("0:").alias("group"), *AXES).distinct()]
     needed = grouped.select("group").distinct()
     rows = levels[0].union(levels[1]).union(levels[2]).join(needed, "group", "left_semi")
     shape = estimates(materialise(rows, "rows"))

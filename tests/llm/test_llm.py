@@ -178,3 +178,32 @@ def test_empty_table(docs, name):
     none = docs.limit(0)
     out = {"near": lambda: minhash.near_classes(none), "pii": lambda: pii.detect(none), "bpe": lambda: bpe.encode_digests(none, registry.vocabulary())}[name]()
     assert out.count() == 0
+
+
+def test_rules_far_cluster(spark):
+    """A far cluster of up to near half of a group is rejected whole, and the rest is not."""
+    rng = np.random.default_rng(7)
+    n, unit, groups = 4000, np.array([1.0, 0.9, 0.8, 1.5, 1.2]), {}
+    for share, away in [(0.2, 10), (0.35, 10), (0.35, 100), (0.45, 10), (0.45, 100)]:
+        x = rng.normal(size=(n, 5)) * unit + 5
+        x[: int(n * share)] += away * unit
+        groups[f"{share} {away}"] = int(n * share), x
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, (_, x) in groups.items() for r in x], "group string, " + ", ".join(f"{c} double" for c in rules.AXES))
+    found = {s["group"]: s for s in rules.estimates(rows).collect()}
+    for g, (far, x) in groups.items():
+        s = found[g]
+        diff = x - np.array([s[f"m{i}"] for i in range(5)])
+        distance = sum(s[f"v{i}{j}"] * diff[:, i] * diff[:, j] for i in range(5) for j in range(i, 5)) / s["scale"]
+        assert (distance[:far] > rules.CUT).all(), g
+        assert (distance[far:] > rules.CUT).mean() < 0.001, g
+
+
+def test_rules_copies_are_not_the_core(docs):
+    """Copies of one document, more than all others of its group, do not change what is kept of the others."""
+    plain = docs.filter("doc_id >= 0").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    again = plain.withColumns({"doc_id": F.col("doc_id") + 10**6, "source": F.lit("b")})
+    one = again.filter(F.length("text") > 1000).orderBy("doc_id").limit(1)
+    copies = one.withColumn("doc_id", F.explode(F.sequence(F.lit(2 * 10**6), F.lit(2 * 10**6 + 999))))
+    rows = rules.verdicts(plain.unionByName(again).unionByName(copies)).filter("kept").collect()
+    kept = lambda low: {r["doc_id"] - low for r in rows if low <= r["doc_id"] < low + 10**6}
+    assert kept(0) and kept(0) == kept(10**6)
