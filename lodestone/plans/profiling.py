@@ -82,6 +82,12 @@ def identity_conflicts(spark, sf):
     return P.key_conflicts(read(spark, sf, "lineitem").filter("l_linenumber <= 3"), ["l_orderkey"], "l_suppkey")
 
 
+@suite.add("SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_values, min(l_suppkey) AS least, max(l_suppkey) AS greatest FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) > 1")
+def identity_conflicts_whole(spark, sf):
+    """``identity_conflicts`` over every line of an order."""
+    return P.key_conflicts(read(spark, sf, "lineitem"), ["l_orderkey"], "l_suppkey")
+
+
 @suite.add("SELECT user_id, count(DISTINCT value) AS n_values, count(DISTINCT event_type) AS n_sources FROM events WHERE value IS NOT NULL GROUP BY user_id HAVING count(DISTINCT value) > 1 AND count(DISTINCT event_type) > 1")
 def authority_conflicts(spark, sf):
     return P.authority_conflicts(read(spark, sf, "events"), ["user_id"], "value", "event_type")

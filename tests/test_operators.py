@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import normalise as N
 from lodestone.functions import text as T
 from lodestone.operators import cleaning, graph, linking, matching, profile, quality, retrieval, sequence
+from lodestone.plans import suite
 from lodestone.sources import chunks, readers, sinks
 from lodestone.streaming import ingest
 
@@ -153,3 +154,9 @@ def test_stream_without_repeats(spark, tmp_path):
     stream = spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in/events.parquet")
     ingest.to_parquet(ingest.once(stream), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(60)
     assert values(spark.read.parquet(f"{tmp_path}/out"), "event_id") == [(1,), (2,)]
+
+
+def test_identity_conflicts_see_every_line(spark, tmp_path):
+    lines = [(1, k, 7) for k in range(1, 4)] + [(1, 4, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert values(suite.QUERIES["identity_conflicts_whole"](spark, str(tmp_path)), "l_orderkey", "n_values", "least", "greatest") == [(1, 2, 7, 8)]
