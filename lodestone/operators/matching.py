@@ -105,6 +105,12 @@ def one_of_each(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
     return df.groupBy(key.alias("_key")).agg(F.min(id_col).alias("id"), F.min_by(text_col, F.col(id_col)).alias("text"), F.count("*").alias("n_same")).drop("_key")
 
 
+def representatives(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``(id, representative)`` of every row: the least id with the same set of words, as ``one_of_each`` keeps it."""
+    keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.array_join(F.array_sort(T.word_set(text_col)), " "), F.lit("")).alias("_key"))
+    return keyed.join(keyed.groupBy("_key").agg(F.min("id").alias("representative")), "_key").select("id", "representative")
+
+
 def sequence_ratio(left: Column, right: Column) -> Column:
     """Ratio of matching blocks of two strings, as Python's ``difflib`` has it, in Arrow batches."""
 

@@ -14,8 +14,12 @@ suite = Suite()
 QUERIES, ORACLE_SQL = suite.queries, suite.sql
 
 
+def _all_parts(spark, sf):
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+
+
 def _parts(spark, sf):
-    return X.one_of_each(read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text")))
+    return X.one_of_each(_all_parts(spark, sf))
 
 
 _PARTS = """p AS (SELECT min(id) AS id, min_by(ws, id) AS ws FROM (SELECT p_partkey AS id, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9][a-z0-9_+.-]*')) AS ws FROM part) GROUP BY list_sort(ws))"""
@@ -28,6 +32,12 @@ def token_jaccard_pairs(spark, sf):
     return X.token_pairs(p, p, 0.6).filter("left_id < right_id")
 
 
+@suite.add("SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY list_sort(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9][a-z0-9_+.-]*')))) AS representative FROM part")
+def token_jaccard_members(spark, sf):
+    """Every part with the representative that stands for it in ``token_jaccard_pairs``."""
+    return X.representatives(_all_parts(spark, sf))
+
+
 _GRAMS = "CASE WHEN length(regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')) < 3 THEN [regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')] ELSE list_distinct([substr(regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g'), i, 3) FOR i IN range(1, length(regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')) - 1)]) END"
 
 

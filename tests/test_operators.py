@@ -160,3 +160,8 @@ def test_identity_conflicts_see_every_line(spark, tmp_path):
     lines = [(1, k, 7) for k in range(1, 4)] + [(1, 4, 8)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert values(suite.QUERIES["identity_conflicts_whole"](spark, str(tmp_path)), "l_orderkey", "n_values", "least", "greatest") == [(1, 2, 7, 8)]
+
+
+def test_every_text_has_a_representative(spark):
+    df = spark.createDataFrame([(1, "red pen"), (2, "pen red"), (3, "Red red PEN"), (4, "ink"), (5, None)], "id long, text string")
+    assert values(matching.representatives(df), "id", "representative") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
