@@ -65,6 +65,28 @@ def best_match(left: DataFrame, right: DataFrame, block: str, fields: list[str],
     return one.select("left_id", (-F.col("x.minus")).alias("right_id"), F.round("x.score", DIGITS).alias("score"), verdict(F.col("x.score"), F.col("x.against") | F.col("x.minus").isNull()).alias("verdict"))
 
 
+def all_matches(left: DataFrame, right: DataFrame, block: str, fields: list[str], id_col: str = "id", guard: str | None = None) -> DataFrame:
+    """Every pair of a block that scores ``REVIEW`` or more, and ``best_match`` of the left rows without one.
+
+    Fields score 0, 0.5 or 1, so a mean of ``REVIEW`` needs a field that is
+    equal: pairs meet by equi-join on equal fields.  Contradicted pairs stay,
+    as ``REJECT``.
+    """
+    names = [*dict.fromkeys([id_col, block, *fields, *([guard] if guard else [])])]
+
+    def entries(df: DataFrame, side: str) -> DataFrame:
+        keys = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), compact(c).alias("value")) for c in fields)))
+        return df.select(*(F.col(c).alias(f"{side}_{c}") for c in names), F.col(block).alias("block"), keys.alias("k")).select("*", "k.field", "k.value").drop("k").filter("value <> ''")
+
+    met = entries(left, "l").join(entries(right, "r"), ["block", "field", "value"])
+    score = mean_known([field_agreement(F.col(f"l_{c}"), F.col(f"r_{c}")) for c in fields])
+    against = F.col(f"l_{guard}") != F.col(f"r_{guard}") if guard else F.lit(False)
+    pairs = met.select(F.col(f"l_{id_col}").alias("left_id"), F.col(f"r_{id_col}").alias("right_id"), score.alias("score"), F.coalesce(against, F.lit(False)).alias("against")).filter(F.col("score") >= REVIEW).distinct()
+    found = pairs.select("left_id", "right_id", F.round("score", DIGITS).alias("score"), verdict(F.col("score"), F.col("against")).alias("verdict"))
+    rest = left.join(found.select(F.col("left_id").alias(id_col)), id_col, "left_anti")
+    return found.unionByName(best_match(rest, right, block, fields, id_col, guard))
+
+
 def rule_features(a: Column, b: Column) -> dict[str, Column]:
     """Word Jaccard, three-character Jaccard and containment of two titles."""
     x, y = T.word_set(a), T.word_set(b)

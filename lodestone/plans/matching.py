@@ -49,14 +49,26 @@ def entity_rule_features(spark, sf):
     return pairs.select("c_custkey", "s_suppkey", *(F.round(v, 6).alias(k) for k, v in X.rule_features(F.col("c_name"), F.col("s_name")).items()))
 
 
+def _matched(spark, sf):
+    digit = lambda c: F.floor(c).cast("long") % 10
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("study"), F.col("c_name").alias("name"), digit(F.col("c_acctbal")).alias("digit"))
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("study"), F.col("s_name").alias("name"), digit(F.col("s_acctbal")).alias("digit"))
+    return c, s
+
+
 @suite.add("""WITH c AS (SELECT c_custkey, c_nationkey, regexp_replace(lower(c_name), '[^a-z0-9_]+', '', 'g') AS a, floor(c_acctbal)::BIGINT % 10 AS x FROM customer), s AS (SELECT s_suppkey, s_nationkey, regexp_replace(lower(s_name), '[^a-z0-9_]+', '', 'g') AS b, floor(s_acctbal)::BIGINT % 10 AS y FROM supplier),
 j AS (SELECT c_custkey, s_suppkey, (CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.5 ELSE 0 END + CASE WHEN s_suppkey IS NULL THEN NULL WHEN regexp_replace(x::VARCHAR, '-', '') = regexp_replace(y::VARCHAR, '-', '') THEN 1.0 WHEN contains(regexp_replace(x::VARCHAR, '-', ''), regexp_replace(y::VARCHAR, '-', '')) THEN 0.5 ELSE 0 END) / 2 AS score FROM c LEFT JOIN s ON c_nationkey = s_nationkey)
 SELECT c_custkey AS left_id, s_suppkey AS right_id, round(coalesce(score, 0)::DOUBLE, 6) AS score, CASE WHEN score >= 0.9 THEN 'AUTO' WHEN score >= 0.65 THEN 'REVIEW' ELSE 'REJECT' END AS verdict FROM j QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(score, 0) DESC, s_suppkey) = 1""")
 def entity_match_v2(spark, sf):
-    digit = lambda c: F.floor(c).cast("long") % 10
-    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("study"), F.col("c_name").alias("name"), digit(F.col("c_acctbal")).alias("digit"))
-    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("study"), F.col("s_name").alias("name"), digit(F.col("s_acctbal")).alias("digit"))
-    return X.best_match(c, s, "study", ["name", "digit"])
+    return X.best_match(*_matched(spark, sf), "study", ["name", "digit"])
+
+
+@suite.add("""WITH c AS (SELECT c_custkey, c_nationkey, regexp_replace(lower(c_name), '[^a-z0-9_]+', '', 'g') AS a, floor(c_acctbal)::BIGINT % 10 AS x FROM customer), s AS (SELECT s_suppkey, s_nationkey, regexp_replace(lower(s_name), '[^a-z0-9_]+', '', 'g') AS b, floor(s_acctbal)::BIGINT % 10 AS y FROM supplier),
+j AS (SELECT c_custkey, s_suppkey, (CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.5 ELSE 0 END + CASE WHEN s_suppkey IS NULL THEN NULL WHEN regexp_replace(x::VARCHAR, '-', '') = regexp_replace(y::VARCHAR, '-', '') THEN 1.0 WHEN contains(regexp_replace(x::VARCHAR, '-', ''), regexp_replace(y::VARCHAR, '-', '')) THEN 0.5 ELSE 0 END) / 2 AS score FROM c LEFT JOIN s ON c_nationkey = s_nationkey)
+SELECT c_custkey AS left_id, s_suppkey AS right_id, round(coalesce(score, 0)::DOUBLE, 6) AS score, CASE WHEN score >= 0.9 THEN 'AUTO' WHEN score >= 0.65 THEN 'REVIEW' ELSE 'REJECT' END AS verdict FROM j QUALIFY coalesce(score, 0) >= 0.65 OR row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(score, 0) DESC, s_suppkey) = 1""")
+def entity_match_v2_pairs(spark, sf):
+    """Every pair from the review threshold on, not the best of each customer alone."""
+    return X.all_matches(*_matched(spark, sf), "study", ["name", "digit"])
 
 
 @suite.add()

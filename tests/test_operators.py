@@ -165,3 +165,11 @@ def test_identity_conflicts_see_every_line(spark, tmp_path):
 def test_every_text_has_a_representative(spark):
     df = spark.createDataFrame([(1, "red pen"), (2, "pen red"), (3, "Red red PEN"), (4, "ink"), (5, None)], "id long, text string")
     assert values(matching.representatives(df), "id", "representative") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
+
+
+def test_every_match_from_review_on(spark):
+    schema = "id long, study string, name string, code string, patient string"
+    left = spark.createDataFrame([(1, "s", "Ann", "x1", "p"), (2, "s", "Bob", "y", "p"), (3, None, "Ann", "x1", "p")], schema)
+    right = spark.createDataFrame([(10, "s", "ann", "x1", "p"), (11, "s", "Ann.", "x12", "p"), (12, "s", "Ann", "x1", "q"), (13, "t", "Ann", "x1", "p")], schema)
+    got = values(matching.all_matches(left, right, "study", ["name", "code"], guard="patient"), "left_id", "right_id", "score", "verdict")
+    assert got == [(1, 10, 1.0, "AUTO"), (1, 11, 0.75, "REVIEW"), (1, 12, 1.0, "REJECT"), (2, 10, 0.0, "REJECT"), (3, None, 0.0, "REJECT")]
