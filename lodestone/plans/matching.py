@@ -128,6 +128,22 @@ def entity_keys(spark, sf):
     return L.entity_keys(L.components(_links(spark, sf)))
 
 
+def _prefix_links(spark, sf):
+    """Stars of documents whose texts begin with the same 40 letters and digits."""
+    begin = F.substring(X.compact("text"), 1, 40)
+    return L.star_links(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("documents").alias("study"), begin.alias("sample")), "sample")
+
+
+@suite.add()
+def document_components(spark, sf):
+    return L.components(_prefix_links(spark, sf))
+
+
+@suite.add()
+def document_entity_keys(spark, sf):
+    return L.entity_keys(L.components(_prefix_links(spark, sf)))
+
+
 @suite.add("""WITH o AS (SELECT o_custkey AS entity, 'status' AS field, o_orderstatus AS value, o_orderkey AS ord, CASE WHEN o_totalprice > 300000 THEN 'review' ELSE 'resolved' END AS status FROM orders UNION ALL SELECT o_custkey, 'segment', c_mktsegment, o_orderkey, 'resolved' FROM orders JOIN customer ON o_custkey = c_custkey),
 m AS (SELECT entity, field, count(DISTINCT value) AS n_values, min_by(value, ord) AS v, bool_or(status = 'review') AS r FROM o GROUP BY ALL)
 SELECT entity, field, n_values, CASE WHEN n_values > 1 THEN 'unresolved' WHEN r THEN 'review' ELSE 'resolved' END AS status, CASE WHEN n_values <= 1 THEN v END AS value FROM m""")

@@ -173,3 +173,24 @@ def test_every_match_from_review_on(spark):
     right = spark.createDataFrame([(10, "s", "ann", "x1", "p"), (11, "s", "Ann.", "x12", "p"), (12, "s", "Ann", "x1", "q"), (13, "t", "Ann", "x1", "p")], schema)
     got = values(matching.all_matches(left, right, "study", ["name", "code"], guard="patient"), "left_id", "right_id", "score", "verdict")
     assert got == [(1, 10, 1.0, "AUTO"), (1, 11, 0.75, "REVIEW"), (1, 12, 1.0, "REJECT"), (2, 10, 0.0, "REJECT"), (3, None, 0.0, "REJECT")]
+
+
+def test_document_components_are_union_find(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.substring(matching.compact("text"), 1, 40).alias("k")).collect()
+    root, first = {r["doc_id"]: r["doc_id"] for r in docs}, {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in docs:
+        if r["k"]:
+            a, b = sorted((find(r["doc_id"]), find(first.setdefault(r["k"], r["doc_id"]))))
+            root[b] = a
+    sizes = {}
+    for d in root:
+        sizes[find(d)] = sizes.get(find(d), 0) + 1
+    want = sorted(((d, find(d)) for d in root if sizes[find(d)] > 1), key=repr)
+    assert want and values(suite.QUERIES["document_components"](spark, sf), "id", "root") == want
