@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe, decontaminate, minhash, pii, store, toxicity
+from lodestone.llm import bpe, decontaminate, minhash, pii, toxicity
 from lodestone.llm.registry import table, vocabulary
+from lodestone.shared import written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,5 +47,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store.materialise(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
