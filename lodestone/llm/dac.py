@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import LibraryMerger, encoder
-from .store import materialise, new_path
+from lodestone.shared import new_path, written
 from .words import chunks
 
 MAGIC, WIDTH, BLOCK, END = b"LDAC0001", 8, 512, 1
@@ -149,7 +149,7 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None, id_col: s
             yield flush()
 
     ranged = texts.repartitionByRange(n, "id").sortWithinPartitions("id")
-    files = materialise(ranged.mapInArrow(write, "part long, file long, path string, documents long, tokens long"), "files")
+    files = written(ranged.mapInArrow(write, "part long, file long, path string, documents long, tokens long"), "files")
     # one sum for each partition of the write, a number set by configuration
     sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
     starts, total = [], 0

@@ -6,22 +6,25 @@ DataFrame functions are used.
 
 Documents are far longer than items, so their Jaccard similarity says
 nothing and a signature of the document would have to grow with it.  The
-search is therefore one-sided: an item's sketch is the ``k`` shingles of its
-least hashes, a uniform sample of its shingles, and the share of the sketch
-that a document holds is an unbiased estimate of containment.  Items are
-partitioned by size; a partition sets ``k`` and the number of sketch hits that
-make a candidate.  Items of up to 16 shingles are sketched whole.  Beyond,
-a half of the sketch must be hit, which an item with containment 0.8 misses
-with probability 3e-5 at most (binomial, k = 32) and larger ones less.
+search is therefore one-sided.  An item of ``n`` shingles leaks only into
+documents that hold ``need = ceil(0.8 n)`` of them, so of any
+``k = n - need + 1`` of its shingles such a document holds one at least.  An
+item's sketch is a bottom-``k`` MinHash sketch: the ``k`` shingles that come
+first by the number of items that share them and then by hash.  Items are
+partitioned by size, and the size sets ``k``.  A document that holds a shingle
+of a sketch is a candidate, so no leak is missed; shingles that most items
+share stay out of sketches as long as others are there.
 
 Candidates are then verified on the shingles themselves, as text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.shared import written
+
 SHINGLE, THRESHOLD = 5, 0.8
 _SPACE = " \t\n\x0b\x0c\r"
 #: Rows of the sketches that may be broadcast, about 24 bytes each; more are joined by a shuffle.
@@ -52,13 +55,17 @@ def shingles(w: Column) -> Column:
 
 
 def sketches(items: DataFrame) -> DataFrame:
-    """``(item, h, need)``: the sketch of each item and the hits that make a candidate."""
+    """``(item, h)``: the sketch of each item of ``items(item, text)``.
+
+    Items of fewer than five words, null and empty ones too, have none; of
+    rows that repeat an item all shingles count; an empty table has none.
+    """
     distinct = _shingle_hashes(items, ["item"], "leak").distinct()
-    held = distinct.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit("rank"), "h").alias("rank"), "h"))).alias("s"))
-    n = F.size("s")
-    k = F.when(n <= 16, n).when(n <= 64, F.least(n, F.lit(32))).when(n <= 1024, F.lit(48)).otherwise(F.lit(64))
-    need = F.when(n <= 16, F.ceil(n * THRESHOLD - 1e-9)).otherwise(F.floor(k / 2)).cast("int")
-    return held.select("item", need.alias("need"), F.explode(F.slice("s", 1, k)).alias("x")).select("item", "need", "x.h")
+    common = distinct.groupBy("h").agg(F.count("*").alias("n_items"))
+    sizes = distinct.groupBy("item").agg(F.count("*").alias("n"))
+    ranked = distinct.join(common, "h").withColumn("turn", F.row_number().over(Window.partitionBy("item").orderBy("n_items", F.xxhash64(F.lit("rank"), "h"), "h")))
+    k = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1
+    return ranked.join(sizes, "item").filter(F.col("turn") <= k).select("item", "h")
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -66,23 +73,26 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     Texts and items of fewer than five words (null and empty ones too) have
     no shingle and no leak; rows with a null id are not searched.  Rows that
-    repeat an id are judged by the one that holds most of the item.
+    repeat a document's id are judged by the one that holds most of the item,
+    rows that repeat an item's by the longest text.  Other columns are not
+    read, and empty tables have no leak.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null and text is not null")
     items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).filter("item is not null and text is not null")
+    items = items.groupBy("item").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
     sketch = sketches(items)
-    # items may share a shingle: a document's occurrence meets it once, and its items come after
-    names = sketch.groupBy("h").agg(F.collect_list(F.struct("item", "need")).alias("of"))
     if sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        names = F.broadcast(names)
-    hits = _shingle_hashes(docs, ["doc"], "leak").join(names, "h").groupBy("doc", "h").agg(F.first("of").alias("of"))
-    each = hits.select("doc", F.explode("of").alias("x")).groupBy("doc", F.col("x.item").alias("item")).agg(F.count("*").alias("n"), F.max("x.need").alias("need"))
-    candidates = each.filter("n >= need").select("doc", "item")
-    whole = items.groupBy("item").agg(words(F.max_by("text", F.length("text"))).alias("w")).select("item", shingles(F.col("w")).alias("item_shingles"))
-    by_doc = candidates.join(whole, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "item_shingles")).alias("asked"))
-    held = docs.join(by_doc, "doc").select("doc", "asked", words(F.col("text")).alias("w")).select("doc", "asked", shingles(F.col("w")).alias("s"))
-    pair = held.select("doc", F.explode("asked").alias("q"), "s").select("doc", F.col("q.item").alias("item"), F.size("q.item_shingles").alias("n_shingles"), F.size(F.array_intersect("q.item_shingles", "s")).alias("n_shared"))
-    found = pair.groupBy("doc", "item").agg(F.max("n_shingles").cast("long").alias("n_shingles"), F.max("n_shared").cast("long").alias("n_shared"))
+        sketch = F.broadcast(sketch)
+    candidates = written(_shingle_hashes(docs, ["doc"], "leak").join(sketch, "h").select("doc", "item").distinct(), "candidates")
+    asked = candidates.select("doc").distinct()
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
+    # rows that repeat an id are told apart by their text
+    held = docs.join(asked, "doc", "left_semi").select("doc", F.xxhash64("text").alias("copy"), words(F.col("text")).alias("w")).select("doc", "copy", F.explode(shingles(F.col("w"))).alias("s"))
+    whole = items.select("item", words(F.col("text")).alias("w")).select("item", shingles(F.col("w")).alias("s")).withColumn("n_shingles", F.size("s").cast("long"))
+    each = candidates.join(whole, "item").select("doc", "item", "n_shingles", F.explode("s").alias("s"))
+    shared = held.join(each, ["doc", "s"]).groupBy("doc", "copy", "item", "n_shingles").agg(F.count("*").alias("n_shared"))
+    found = shared.groupBy("doc", "item", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
     return found.filter(F.col("n_shared") >= F.col("n_shingles") * THRESHOLD - 1e-9).select(
         F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_shingles", "n_shared", F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment")
     )

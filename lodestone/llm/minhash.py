@@ -17,16 +17,17 @@ named by its least document id.
    their pairs: in each leader round every bucket elects leaders, those that
    share most buckets with others, and its members meet these alone.  A
    member is compared with the leader of each foreign component that is
-   nearest by two bits of each register, and only if the sizes and these bits
-   allow a similarity of 0.8 (they lose a pair of 0.8 with probability 1e-6).
-   Members of one component need no further comparison.
-4. What then stays apart inside a bucket is compared, so that no link between
-   candidates is lost: a bucket is cut into blocks of about ``BLOCK`` texts,
-   pairs of blocks are dealt over the tasks, and a task looks at the pairs of
-   different components whose first common bucket this is.  Only links leave
-   the task.  Blocks of the component that holds most of a bucket never meet
-   each other.
-5. Comparison is exact, on the bags themselves.
+   nearest by two bits of each register, if the sizes allow a similarity of
+   0.8 and these bits make it likely.  Members of one component need no
+   further comparison.
+4. What then stays apart inside a bucket is compared, whatever the bits say,
+   so that no link between candidates is lost: a bucket is cut into blocks of
+   about ``BLOCK`` texts, pairs of blocks are dealt over the tasks, and a task
+   looks at the pairs of different components whose first common bucket this
+   is.  Only links leave the task.  Blocks of the component that holds most of
+   a bucket never meet each other.
+5. Comparison counts common (shingle, occurrence) names of 64 bits; exact
+   copies go by 128-bit names of whole word sequences.
 
 At similarity 0.8 a pair misses all 25 bands of 5 with probability 5e-5.
 """
@@ -40,13 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from lodestone.shared import written
 from .words import GOLD, Words, chunks, grams, mix, run_hash, whole_hash, words_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 #: Leaders of a bucket in each leader round.
 LEADERS = 1, 8
-#: Registers whose low two bits may differ; 18.75 differ on average at similarity 0.8, with deviation 4.
+#: Registers whose low two bits differ in pairs that leader rounds leave to the last comparison; 18.75 differ on average at similarity 0.8, with deviation 4.
 APART = 40
 #: Texts of a block in the last comparison.
 BLOCK = 256
@@ -158,14 +159,14 @@ def components(links: DataFrame) -> DataFrame:
     label, both written out; the number of rounds follows the logarithm of the
     longest path.
     """
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("label", F.coalesce("near", "label")).alias("new"), F.col("label").alias("old"))
         jump = step.select(F.col("id").alias("to"), F.col("new").alias("far"))
         step = step.join(jump, F.col("new") == F.col("to"), "left").select("id", F.least("new", F.coalesce("far", "new")).alias("label"), "old")
-        step = materialise(step, "labels")
+        step = written(step, "labels")
         if not step.filter("label <> old").limit(1).count():
             return step.select("id", "label")
         labels = step.select("id", "label")
@@ -182,21 +183,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty result; other columns are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    sketch = materialise(texts.mapInArrow(_sketches, "id long, n_words long, h1 long, h2 long, bands array<long>, bit0 long, bit1 long, bit2 long, bit3 long"), "sketch")
+    sketch = written(texts.mapInArrow(_sketches, "id long, n_words long, h1 long, h2 long, bands array<long>, bit0 long, bit1 long, bit2 long, bit3 long"), "sketch")
     copies = sketch.filter("n_words > 0").groupBy("h1", "h2").agg(F.min("id").alias("copy_of"))
     of = sketch.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h"), F.max("n_words").alias("n_words")).select("id", "h.h1", "h.h2", "n_words")
-    named = materialise(of.join(copies, ["h1", "h2"], "left").select("id", F.when(F.col("n_words") > 0, F.col("copy_of")).otherwise(F.col("id")).alias("copy_of")), "copies")
+    named = written(of.join(copies, ["h1", "h2"], "left").select("id", F.when(F.col("n_words") > 0, F.col("copy_of")).otherwise(F.col("id")).alias("copy_of")), "copies")
 
     single = copies.select(F.col("copy_of").alias("id"), "h1", "h2")
     alone = sketch.filter("n_words > 0").join(single, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"])
-    entries = materialise(alone.select("id", F.explode("bands").alias("key")).distinct(), "entries")
+    entries = written(alone.select("id", F.explode("bands").alias("key")).distinct(), "entries")
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    live = materialise(entries.join(shared, "key"), "live")
-    degree = materialise(live.groupBy("id").agg(F.sum("n").alias("degree")), "degree")
+    live = written(entries.join(shared, "key"), "live")
+    degree = written(live.groupBy("id").agg(F.sum("n").alias("degree")), "degree")
     traits = sketch.join(degree, "id").dropDuplicates(["id"]).select("id", "degree", F.greatest(F.lit(1), F.col("n_words") - SHINGLE + 1).alias("size"), *BITS)
-    bands = materialise(alone.join(degree.select("id"), "id", "left_semi").select("id", "bands"), "bands")
-    live = materialise(live.select("key", "id").join(traits, "id"), "live")
-    bags = materialise(texts.join(degree.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_bags, "id long, bag binary"), "bags")
+    bands = written(alone.join(degree.select("id"), "id", "left_semi").select("id", "bands"), "bands")
+    live = written(live.select("key", "id").join(traits, "id"), "live")
+    bags = written(texts.join(degree.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_bags, "id long, bag binary"), "bags")
     label = _linked(live, bands, bags)
     out = named.join(label.select(F.col("id").alias("copy_of"), "label"), "copy_of", "left")
     return out.select("id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
@@ -279,7 +280,6 @@ def _run_links(rows: pa.Table) -> list[tuple[int, int]]:
         at = np.flatnonzero(ok) + i + 1
         diff = x[at] ^ x[i]
         apart = np.bitwise_count((diff | (diff >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
-        at, apart = at[apart <= APART], apart[apart <= APART]
         common = bands[at] == bands[i]
         here = bands[i][common.argmax(axis=1)] == key
         todo += zip(apart[here].tolist(), [i] * int(here.sum()), at[here].tolist())
@@ -310,31 +310,31 @@ def _linked(live: DataFrame, bands: DataFrame, bags: DataFrame) -> DataFrame:
         """Entries of the buckets that hold more than one component."""
         named = live.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
         split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        return materialise(named.join(split, "key", "left_semi"), "state")
+        return written(named.join(split, "key", "left_semi"), "state")
 
     def compare(pairs: DataFrame) -> None:
         nonlocal seen
-        pairs = materialise(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             return
-        seen = materialise(seen.union(pairs), "seen")
+        seen = written(seen.union(pairs), "seen")
         found = _verified(pairs, bags)
         join(found.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
 
     def join(found: DataFrame) -> None:
         """Merge components along links between their labels."""
         nonlocal label
-        merged = components(materialise(found.filter("a <> b").distinct(), "links"))
+        merged = components(written(found.filter("a <> b").distinct(), "links"))
         old = label.join(merged.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
         label = old.union(merged.join(label.select("id"), "id", "left_anti"))
-        label = materialise(label.groupBy("id").agg(F.min("label").alias("label")), "label")
+        label = written(label.groupBy("id").agg(F.min("label").alias("label")), "label")
 
     for n in LEADERS:
         now = live.withColumn("label", F.col("id")) if n == 1 else state()
         turn = F.pmod(F.xxhash64("id"), F.lit(n))
         lead = now.groupBy("key", turn.alias("turn")).agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "label", "size", *BITS)).alias("x"))
         lead = lead.select("key", (-F.col("x.minus")).alias("id"), "x.label", "x.size", *(f"x.{c}" for c in BITS))
-        compare(_nearest(_met(now, materialise(lead, "lead"))))
+        compare(_nearest(_met(now, written(lead, "lead"))))
     join(_apart(state(), bands, bags))
     return label
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from .stats import COUNTS, text_stats
-from .store import materialise
+from lodestone.shared import written
 from .words import chunks
 
 FEATURES = ["length", "word_length", "symbols", "repeats", "dup_lines", "line_length", "upper", "digits", "exclaims", "stops", "commas", "distinct", "top_word", "marked"]
@@ -153,11 +153,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null and empty texts are scored as texts of no words.  Without any label
     that may be learned from every score is 0.5; an empty table gives an
-    empty result.  Rows that repeat an id are scored one by one.
+    empty result.  Rows that repeat an id are scored one by one; one of them at
+    most is learned from, that of least counts.  Rows with a null id have no
+    label; labels other than 0 and 1, null ones too, are no labels.
     """
-    counts = materialise(counted(docs, id_col, text_col), "counts")
-    chosen = materialise(labelled.sample(labels, label), "sample")  # bounded: SAMPLE rows
-    rows = counts.join(F.broadcast(chosen), "doc_id").limit(2 * labelled.SAMPLE).toPandas()
+    counts = written(counted(docs, id_col, text_col), "counts")
+    chosen = written(labelled.sample(labels, label), "sample")  # bounded: SAMPLE rows
+    known = counts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*COUNTS)).alias("r"))
+    rows = known.select("r.*", "y").toPandas()  # bounded: one row for each id of the sample
     model = fit(features(rows[COUNTS].to_numpy()), rows["y"].to_numpy(float)) if len(rows) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

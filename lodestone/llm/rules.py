@@ -4,34 +4,45 @@ Every document has a vector of transformed statistics.  For each language
 and source a minimum-covariance-determinant estimate describes the bulk of
 its documents; a document far from it in Mahalanobis distance is rejected.
 
-The estimates come from concentration steps over all documents: from each of
-three starts around the medians, keep in each group the share ``CORE`` of
-least distance, take their mean and covariance, and repeat until the
-determinant stops falling; the least determinant of all starts is taken.
-The core is half, so that less than half of a group, however far and however
-close together, does not enter it.  Documents with the same statistics, such
-as copies, count once in the estimates.  Steps are grouped sums and
-approximate percentiles, combined before they are shuffled, so a group may
-hold any share of the rows.  Groups of fewer than ``LEAST`` different usable
-documents use their language, and languages of fewer all documents;
-documents without language or source form groups of their own.
+The estimates are those of the fast algorithm (Rousseeuw and Van Driessen,
+1999) with deterministic starts.  A concentration step keeps in each group
+the half of least distance and takes its mean and covariance, which never
+raises the determinant.  Two steps are run from each of three starts around
+the medians; the start of least determinant goes on until the determinant
+stops falling.  Distances are then scaled so that their median is that of the
+chi-squared distribution, the consistency factor of that paper, and cut at
+the share 0.99999 of it.  The core is half, so that less than half of a group,
+however far and however close together, does not enter it.  Documents with
+the same statistics, such as copies, count once in the estimates.
+
+All documents enter the estimates.  A step is one pass of sums for each group
+and narrow bin of distance, combined before they are shuffled, so a group may
+hold any share of the rows; the bin where the half ends enters by the part of
+it that is needed.  Variances below a floor are raised to it, so that constant
+columns do not make a covariance singular.  Groups of fewer than ``LEAST``
+different usable documents are too small for an estimate of their own and use
+their language, and languages of fewer all documents; documents without
+language or source form groups of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import COUNTS, text_stats
-from .store import materialise
+from lodestone.shared import written
 from .words import chunks
 
 CORE, LEAST = 0.5, 200
+#: Bins of distance in a doubling of it, and steps that every start gets.
+BINS, FIRST_STEPS = 32, 2
+#: Shapes that are broadcast at most, about 200 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
 #: Concentration goes on while the logarithm of the determinant falls by more than this.
 FALL = 0.01
 #: Chi-squared values of five degrees of freedom: the median and the share 0.99999.
@@ -76,7 +87,7 @@ def _shape(sums: DataFrame) -> DataFrame:
             x = {k: np.asarray(batch.column(k).to_numpy(zero_copy_only=False), float) for k in batch.schema.names if k not in ("group", "start")}
             out = {k: [] for k in ["logdet", *SHAPE]}
             for r in range(batch.num_rows):
-                n = max(x["n"][r], 1.0)
+                n = max(x["n"][r], 1e-9)
                 mean = np.array([x[f"s{i}"][r] for i in range(d)]) / n
                 cov = np.zeros((d, d))
                 for i in range(d):
@@ -101,13 +112,36 @@ def _distance() -> Column:
     return sum((F.col(f"v{i}{j}") * diff[i] * diff[j] for i in range(d) for j in range(i, d)), F.lit(0.0))
 
 
-def _sums(df: DataFrame) -> DataFrame:
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of a few rows a group, broadcast if it is counted to be small."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def _moments() -> list[Column]:
     d = len(AXES)
-    return df.groupBy("group", "start").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(d)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(d) for j in range(i, d)))
+    return [F.count("*").cast("double").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(d)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(d) for j in range(i, d))]
+
+
+_SUMS = ["n", *(f"s{i}" for i in range(5)), *(f"p{i}{j}" for i in range(5) for j in range(i, 5))]
+
 
+def _halves(binned: DataFrame) -> DataFrame:
+    """Sums of the share ``CORE`` of least distance of each group and start, from sums of each bin."""
+    own = Window.partitionBy("group", "start")
+    upto = own.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = binned.withColumns({"need": CORE * F.sum("n").over(own), "cum": F.sum("n").over(upto)})
+    share = F.least(F.greatest((F.col("need") - (F.col("cum") - F.col("n"))) / F.col("n"), F.lit(0.0)), F.lit(1.0))
+    return part.withColumn("share", share).groupBy("group", "start").agg(*(F.sum(F.col(c) * F.col("share")).alias(c) for c in _SUMS))
 
-def _within(rows: DataFrame, share: float, name: str, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.percentile_approx("distance", share, 1000).alias(name))
+
+def _bin(distance: Column) -> Column:
+    return F.floor(F.log2(F.greatest(distance, F.lit(1e-6))) * BINS).cast("int")
+
+
+def _step(rows: DataFrame, shape: DataFrame) -> DataFrame:
+    """One concentration step of every group and start of ``shape``."""
+    measured = rows.join(_small(shape), "group").withColumn("bin", _bin(_distance()))
+    return written(_shape(_halves(measured.groupBy("group", "start", "bin").agg(*_moments()))), "shape")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -116,18 +150,24 @@ def _starts(rows: DataFrame) -> DataFrame:
     Start 0 bends each axis by its hyperbolic tangent, start 1 puts every row
     at one distance, and start 2 takes the half of least distance as it is.
     """
-    centre = rows.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"c{i}") for i, x in enumerate(AXES)))
-    centred = rows.join(centre, "group")
-    spread = centred.groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"c{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(AXES)))
+    centre = written(rows.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"c{i}") for i, x in enumerate(AXES))), "centre")
+    centred = rows.join(_small(centre), "group")
+    spread = written(centred.groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"c{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(AXES))), "spread")
     unit = [F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOOR[i])) for i in range(len(AXES))]
     z = [(F.col(x) - F.col(f"c{i}")) / unit[i] for i, x in enumerate(AXES)]
-    scaled = materialise(centred.join(spread, "group").withColumn("distance", sum((F.pow(c, 2) for c in z), F.lit(0.0))), "scaled")
+    scaled = centred.join(_small(spread), "group").withColumn("distance", sum((F.pow(c, 2) for c in z), F.lit(0.0)))
     length = F.greatest(F.sqrt("distance"), F.lit(1e-9)) / len(AXES) ** 0.5
     drawn = [[F.tanh(c) for c in z], [c / length for c in z]]
-    parts = [scaled.select("group", F.lit(k).alias("start"), *((F.col(f"c{i}") + unit[i] * c).alias(x) for i, (x, c) in enumerate(zip(AXES, cs)))) for k, cs in enumerate(drawn)]
-    near = scaled.join(_within(scaled, CORE, "limit", "group"), "group").filter("distance <= limit")
-    parts.append(near.select("group", F.lit(len(drawn)).alias("start"), *AXES))
-    return _shape(_sums(parts[0].union(parts[1]).union(parts[2])))
+    parts = [F.struct(F.lit(k).alias("start"), F.lit(0).alias("bin"), *((F.col(f"c{i}") + unit[i] * c).alias(x) for i, (x, c) in enumerate(zip(AXES, cs)))) for k, cs in enumerate(drawn)]
+    parts.append(F.struct(F.lit(len(drawn)).alias("start"), _bin(F.col("distance")).alias("bin"), *(F.col(x) for x in AXES)))
+    binned = scaled.select("group", F.inline(F.array(*parts))).groupBy("group", "start", "bin").agg(*_moments())
+    # drawn rows are one bin and all of them count
+    whole = binned.filter("bin = 0 and start < 2").select("group", "start", *_SUMS)
+    return written(_shape(whole.union(_halves(binned.filter("start = 2")).select("group", "start", *_SUMS))), "start")
+
+
+def _least(shapes: DataFrame) -> DataFrame:
+    return shapes.groupBy("group").agg(F.min_by(F.struct(*shapes.columns[1:]), F.struct("logdet", "start")).alias("s")).select("group", "s.*")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -135,21 +175,17 @@ def estimates(rows: DataFrame) -> DataFrame:
 
     The number of steps is bounded only by the determinant, which has a least value.
     """
-    shape = materialise(_starts(rows), "start")
-    steps, last = [], shape.select("group", "start", F.lit(float("inf")).alias("before"))
+    shape = _starts(rows)
+    for _ in range(FIRST_STEPS):
+        shape = _step(rows, shape)
+    best = shape = written(_least(shape), "shape")
     while shape.limit(1).count():
-        measured = rows.join(shape, "group").select("group", "start", *AXES, _distance().alias("distance"))
-        core = measured.join(_within(measured, CORE, "limit", "group", "start"), ["group", "start"]).filter("distance <= limit")
-        new = materialise(_shape(_sums(core)), "shape")
-        steps.append(new)
-        shape = new.join(last, ["group", "start"]).filter(F.col("logdet") < F.col("before") - FALL).select(*new.columns)
-        last = new.select("group", "start", F.col("logdet").alias("before"))
-    if not steps:
-        return shape.drop("start", "logdet").withColumns({"middle": F.lit(0.0), "scale": F.lit(1.0)})
-    least = reduce(DataFrame.union, steps).groupBy("group").agg(F.min_by(F.struct(*SHAPE), F.struct("logdet", "start")).alias("s"))
-    best = materialise(least.select("group", "s.*"), "best")
-    middle = _within(rows.join(best, "group").select("group", _distance().alias("distance")), 0.5, "middle", "group")
-    return best.join(middle, "group").withColumn("scale", F.greatest(F.col("middle") / MIDDLE, F.lit(0.05)))
+        new = _step(rows, shape)
+        last = shape.select("group", F.col("logdet").alias("before"))
+        shape = written(new.join(last, "group").filter(F.col("logdet") < F.col("before") - FALL).select(*new.columns), "shape")
+        best = written(_least(best.union(shape)), "best")
+    middle = rows.join(_small(best), "group").select("group", _distance().alias("distance")).groupBy("group").agg(F.percentile_approx("distance", 0.5, 1000).alias("middle"))
+    return written(best.join(middle, "group").withColumn("scale", F.greatest(F.col("middle") / MIDDLE, F.lit(0.05))).drop("start", "logdet"), "estimates")
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -160,23 +196,22 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     judged like others.  Where no document passes the base rules nothing is
     kept; an empty table gives an empty result.
     """
-    all_rows = materialise(statistics(docs, id_col, text_col, keys), "statistics")
+    all_rows = written(statistics(docs, id_col, text_col, keys), "statistics")
     all_rows = all_rows.withColumn("base_failed", _failed()).withColumns(dict(zip(AXES, axes())))
     lang = F.concat(F.lit("1:"), F.coalesce(F.to_json(F.struct("g0")), F.lit("")))
     pair = F.concat(F.lit("2:"), F.coalesce(F.to_json(F.struct("g0", "g1")), F.lit("")))
     named = all_rows.withColumns({"lang_group": lang, "pair_group": pair})
     usable = named.filter(~F.col("base_failed")).select("pair_group", "lang_group", *AXES).distinct()
-    large_pairs = usable.groupBy("pair_group").count().filter(F.col("count") >= LEAST).select("pair_group", F.lit(True).alias("by_pair"))
+    large_pairs = written(usable.groupBy("pair_group").count().filter(F.col("count") >= LEAST).select("pair_group", F.lit(True).alias("by_pair")), "pairs")
     by_language = usable.select("lang_group", *AXES).distinct()
-    large_langs = by_language.groupBy("lang_group").count().filter(F.col("count") >= LEAST).select("lang_group", F.lit(True).alias("by_lang"))
-    grouped = named.join(large_pairs, "pair_group", "left").join(large_langs, "lang_group", "left")
+    large_langs = written(by_language.groupBy("lang_group").count().filter(F.col("count") >= LEAST).select("lang_group", F.lit(True).alias("by_lang")), "languages")
+    grouped = named.join(_small(large_pairs), "pair_group", "left").join(_small(large_langs), "lang_group", "left")
     grouped = grouped.withColumn("group", F.when(F.col("by_pair"), F.col("pair_group")).when(F.col("by_lang"), F.col("lang_group")).otherwise(F.lit("0:")))
-    grouped = materialise(grouped.select("doc_id", "group", "base_failed", *COUNTS, *AXES), "grouped")
     # a language's estimate is over all its documents, also those of large sources
     levels = [usable.select(F.col("pair_group").alias("group"), *AXES), by_language.select(F.col("lang_group").alias("group"), *AXES), usable.select(F.lit("0:").alias("group"), *AXES).distinct()]
-    needed = grouped.select("group").distinct()
-    rows = levels[0].union(levels[1]).union(levels[2]).join(needed, "group", "left_semi")
-    shape = estimates(materialise(rows, "rows"))
-    judged = grouped.join(shape, "group", "left").withColumn("distance", _distance() / F.col("scale"))
+    needed = written(grouped.select("group").distinct(), "needed")
+    rows = levels[0].union(levels[1]).union(levels[2]).join(_small(needed), "group", "left_semi")
+    shape = estimates(written(rows, "rows"))
+    judged = grouped.join(_small(shape), "group", "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance", 4).alias("distance"))

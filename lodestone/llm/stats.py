@@ -1,11 +1,14 @@
-"""Counts about whole texts, for the quality operators; one vectorised pass over a chunk."""
+"""Counts about whole texts, for the quality operators; one vectorised pass over a chunk.
+
+Words, lines and word runs are compared as they are, not by hashes.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 
-from .words import Words, grams, span_hash, words_of
+from .words import Words, exact_grams, numbered, words_of
 
 #: Counts of ``text_stats``, in order.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_exclaim", "n_stops", "n_commas", "n_distinct", "n_top_word", "n_marked"]
@@ -53,7 +56,7 @@ def text_stats(column: pa.Array) -> np.ndarray:
     ends_odd = _SYMBOL[data[words.end - 1]] | (data[words.end - 1] == 33)
     put("n_marked", np.bincount(text[ends_odd], minlength=n))
 
-    order, at, size = _groups(text, words.hash)
+    order, at, size = _groups(text, words.index)
     owner = text[order[at]]
     put("n_distinct", np.bincount(owner, minlength=n))
     top = np.zeros(n, np.int64)
@@ -68,11 +71,15 @@ def text_stats(column: pa.Array) -> np.ndarray:
     begin, end = begin[worded], end[worded]
     line_text = np.searchsorted(words.offsets, begin, side="right") - 1
     lines = np.bincount(line_text, minlength=n)
-    order, at, _ = _groups(line_text, span_hash(words, begin, end))
+    kept = np.zeros(len(data) + 1, np.int64)
+    np.add.at(kept, begin, 1)
+    np.add.at(kept, end, -1)
+    number = np.asarray(numbered(data, np.cumsum(kept)[:-1] > 0, end - begin).indices)
+    order, at, _ = _groups(line_text, number)
     put("n_lines", lines)
     put("n_dup_lines", lines - np.bincount(line_text[order[at]], minlength=n))
 
-    gram_text, gram_at, h = grams(words, REPEAT)
+    gram_text, gram_at, h = exact_grams(words, REPEAT)
     if len(h):
         order, at, size = _groups(gram_text, h)
         twice = np.repeat(size > 1, size)

@@ -12,7 +12,7 @@ A run of one word never pairs (equal symbols are in one half) and so passes
 as single symbols; naming whole runs would make the names inside a window
 depend on words outside it.
 
-1. Exact copies (by 128-bit names of their word sequences) of a smaller
+1. Exact copies (by 128-bit BLAKE2b names of their word sequences) of a smaller
    document of 13 words or more lose all words, and add nothing to the search.
 2. Anchors: of the second-round symbols that a window determines, the one of
    least hash, leftmost on ties, anchors the window.  An anchor's key is the
@@ -20,8 +20,9 @@ depend on words outside it.
    words have equal keys at equal places.
 3. Keys are counted over all word sequences; a key of one of them reveals
    nothing and leaves with all its windows.
-4. Windows on shared keys are verified on 96-bit names of their 13 words:
-   the least document id of each name, joined back.
+4. Windows on shared keys are verified on 128-bit names of their 13 words,
+   two independent halves made from the two halves of the words' BLAKE2b
+   names: the least document id of each name, joined back.
 
 A window with a smaller document id elsewhere loses its words.  Keys that a
 large part of all rows share are summed before they are shuffled, and the
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from lodestone.shared import written
 from .words import GOLD, chunks, mix, whole_hash, words_of
 
 WINDOW = 13
@@ -76,26 +77,16 @@ def anchors(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     text = np.searchsorted(first, end1[s], side="right") - 1
     fits = (begin >= first[text]) & (end <= first[text + 1])
     begin, end, text, s = begin[fits], end[fits], text[fits], s[fits]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _POWER(n))])
-    key = mix((total[end] - total[begin]) * _DOWN(begin) + (end - begin).astype(np.uint64))
+    # the symbol with its neighbours and the words that settle where these end
+    key = np.zeros(len(s), np.uint64)
+    for part in (h[begin], one[s - 1], two[inside][fits], one[e[fits]], h[end - 1]):
+        key = mix((key + GOLD) ^ part)
     low = np.maximum(end - WINDOW, first[text])
     high = np.minimum(begin, first[text + 1] - WINDOW)
     ok = high >= low
     return key[ok], low[ok], high[ok]
 
 
-def _POWER(n: int) -> np.ndarray:
-    from .words import _power_tables
-
-    return _power_tables(n + 1)[0][:n]
-
-
-def _DOWN(at: np.ndarray) -> np.ndarray:
-    from .words import _power_tables
-
-    return _power_tables(int(at.max(initial=0)) + 1)[1][at]
-
-
 def chosen(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(window start, key)`` of every window of the chunk, and ``(text of window, start in text)``."""
     size = np.maximum(np.diff(first) - WINDOW + 1, 0)
@@ -149,15 +140,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = np.flatnonzero((at < len(mixed)) & (mixed[np.minimum(at, len(mixed) - 1)] == mine)) if len(mixed) else np.empty(0, np.int64)
             if not len(hit):
                 continue
-            # rare keys: hash only where needed
             name = np.zeros(len(hit), np.uint64)
-            tag = np.ones(len(hit), np.uint64)
+            tag = np.zeros(len(hit), np.uint64)
             for k in range(WINDOW):
-                w = words.hash[start[hit] + k]
-                name = mix((name + GOLD) ^ w)
-                tag = mix((tag ^ w) * GOLD + np.uint64(k))
+                name = mix((name + GOLD) ^ words.hash[start[hit] + k])
+                tag = mix((tag + GOLD) ^ words.more[start[hit] + k])
             yield pa.RecordBatch.from_arrays(
-                [part.column("id").take(pa.array(text[hit])), pa.array(place[hit].astype(np.int32)), pa.array(name.view(np.int64)), pa.array((tag >> np.uint64(32)).astype(np.uint32).view(np.int32))],
+                [part.column("id").take(pa.array(text[hit])), pa.array(place[hit].astype(np.int32)), pa.array(name.view(np.int64)), pa.array(tag.view(np.int64))],
                 names=["id", "place", "name", "tag"],
             )
 
@@ -182,7 +171,7 @@ def split_words(text: str | None) -> list[str]:
 
 def exact_copies(texts: DataFrame) -> DataFrame:
     """Ids of ``texts(id, text)`` whose words are those of a smaller id, from 13 words on."""
-    whole = materialise(texts.mapInArrow(_wholes, "id long, n long, h1 long, h2 long").filter(F.col("n") >= WINDOW), "wholes")
+    whole = written(texts.mapInArrow(_wholes, "id long, n long, h1 long, h2 long").filter(F.col("n") >= WINDOW), "wholes")
     least = whole.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
     return whole.join(least, ["h1", "h2"]).filter("id > low").select("id").distinct()
 
@@ -196,13 +185,13 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     never count against that id.  An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    copies = materialise(exact_copies(texts), "copies")
+    copies = written(exact_copies(texts), "copies")
     keys = texts.mapInArrow(_anchor_keys, "id long, key long, whole long")
     shared = keys.groupBy("key").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low <> high").select("key")
-    shared = materialise(shared, "shared")
+    shared = written(shared, "shared")
     mine = keys.select("id", "key").join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    mine = materialise(mine.join(copies, "id", "left_anti"), "keys")
-    windows = materialise(texts.join(mine, "id").mapInArrow(_windows, "id long, place int, name long, tag int"), "windows")
+    mine = written(mine.join(copies, "id", "left_anti"), "keys")
+    windows = written(texts.join(mine, "id").mapInArrow(_windows, "id long, place int, name long, tag long"), "windows")
     least = windows.groupBy("name", "tag").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
     late = windows.join(least, ["name", "tag"]).filter("id > low")
     places = late.groupBy("id").agg(F.collect_set("place").alias("places"))
@@ -224,7 +213,7 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _applied(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFrame:
-    places = materialise(repeated_windows(docs, id_col, text_col), "places").withColumn("any", F.lit(True))
+    places = written(repeated_windows(docs, id_col, text_col), "places").withColumn("any", F.lit(True))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

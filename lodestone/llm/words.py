@@ -1,12 +1,18 @@
-"""Words and word hashes of many texts at once, straight from Arrow buffers.
+"""Words and their names, for many texts at once, straight from Arrow buffers.
 
 A word is a maximal run of ``[^\\x20\\x09-\\x0D]``, unchanged.  All functions
 work on one bounded chunk of an Arrow batch, so memory follows the chunk and
 not the partition.
+
+A word's name is 128 bits of BLAKE2b, in two 64-bit halves.  Names of longer
+things (shingles, windows, whole texts) are made from these halves; each says
+how many bits it has.  ``index`` is no hash: equal words of a chunk have equal
+numbers and different words different ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +21,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -32,21 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1024)
-        up = np.full(size, _P, np.uint64)
-        down = np.full(size, _P_INV, np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers
-
-
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with at most ``limit`` bytes of text, one row at least."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64)
@@ -59,15 +48,18 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 
 @dataclass
 class Words:
-    """Words of a chunk: byte spans, 64-bit hashes, and ``first[d]:first[d+1]`` per text."""
+    """Words of a chunk: byte spans, exact numbers, names, and ``first[d]:first[d+1]`` per text."""
 
     data: np.ndarray
     begin: np.ndarray
     end: np.ndarray
+    #: Equal for equal words of this chunk, and only for them.
+    index: np.ndarray
+    #: The two halves of the 128-bit name.
     hash: np.ndarray
+    more: np.ndarray
     first: np.ndarray
-    #: Sums of hashed bytes before each byte, and where each text's bytes begin.
-    total: np.ndarray
+    #: Where each text's bytes begin.
     offsets: np.ndarray
 
     @property
@@ -75,8 +67,15 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words_of(column: pa.Array, seed: int = 0) -> Words:
-    """Split and hash; a null text has no words."""
+def numbered(data: np.ndarray, keep: np.ndarray, size: np.ndarray) -> pa.DictionaryArray:
+    """Dictionary of byte strings: the bytes of ``data`` under ``keep``, cut into pieces of ``size``."""
+    cut = np.concatenate([np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)])
+    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(cut), pa.py_buffer(data[keep])])
+    return strings.dictionary_encode()
+
+
+def words_of(column: pa.Array) -> Words:
+    """Split and name; a null text has no words."""
     column = column.cast(pa.large_string()).fill_null("")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -85,9 +84,9 @@ def words_of(column: pa.Array, seed: int = 0) -> Words:
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
     n = len(data)
+    none = np.empty(0, np.int64)
     if n == 0:
-        none = np.empty(0, np.int64)
-        return Words(data, none, none, np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64), np.zeros(1, np.uint64), offsets)
+        return Words(data, none, none, none, np.empty(0, np.uint64), np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64), offsets)
     inside = ~_SPACE[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -96,32 +95,23 @@ def words_of(column: pa.Array, seed: int = 0) -> Words:
     last = inside.copy()
     last[:-1] &= ~inside[1:] | cut[1:-1]
     begin, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    h = (total[end] - total[begin]) * down[begin]
-    h = mix(h + (end - begin).astype(np.uint64) * GOLD + np.uint64(seed))
-    return Words(data, begin, end, h, np.searchsorted(begin, offsets), total, offsets)
+    coded = numbered(data, inside, end - begin)
+    index = np.asarray(coded.indices).astype(np.int64)
+    digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist()])
+    names = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return Words(data, begin, end, index, names[index, 0], names[index, 1], np.searchsorted(begin, offsets), offsets)
 
 
 def whole_hash(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each text's word sequence, as two signed columns."""
-    place = (np.arange(len(words.hash)) - words.first[words.text_of]).astype(np.uint64)
-    out = []
-    for x in (mix(words.hash + place * GOLD), mix((words.hash ^ GOLD) * (np.uint64(2) * place + np.uint64(1)))):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
-        out.append(mix(total[words.first[1:]] - total[words.first[:-1]]).view(np.int64))
-    return out[0], out[1]
-
-
-def span_hash(words: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of byte spans, equal for equal bytes."""
-    down = _power_tables(len(words.data) + 1)[1]
-    return mix((words.total[end] - words.total[begin]) * down[begin] + (end - begin).astype(np.uint64) * GOLD)
+    """128 bits of each text's word sequence: BLAKE2b over its words' names, as two signed columns."""
+    names = np.column_stack([words.hash, words.more])
+    digests = b"".join([hashlib.blake2b(names[a:b].tobytes(), digest_size=16).digest() for a, b in zip(words.first, words.first[1:])])
+    both = np.frombuffer(digests, "<i8").reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def run_hash(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """Hash of each ``width`` consecutive entries; ``len(h) - width + 1`` values."""
+    """64-bit name of each ``width`` consecutive entries; ``len(h) - width + 1`` values."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -131,13 +121,24 @@ def run_hash(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return out
 
 
-def grams(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, start word, hash)`` of each run of ``width`` words inside one text."""
-    h = run_hash(words.hash, width)
+def inner_runs(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, start word)`` of each run of ``width`` words inside one text."""
     text = words.text_of
-    if not len(h):
-        none = np.empty(0, np.int64)
-        return none, none, h
-    ok = text[: len(h)] == text[width - 1 :]
-    at = np.flatnonzero(ok)
-    return text[at], at, h[at]
+    n = max(len(text) - width + 1, 0)
+    at = np.flatnonzero(text[:n] == text[width - 1 :][:n])
+    return text[at], at
+
+
+def grams(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, start word, 64-bit name)`` of each run of ``width`` words inside one text."""
+    text, at = inner_runs(words, width)
+    return text, at, run_hash(words.hash, width)[at] if len(at) else np.empty(0, np.uint64)
+
+
+def exact_grams(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``grams`` with exact numbers in place of names: equal runs, and only these, have equal numbers."""
+    text, at = inner_runs(words, width)
+    number = words.index[at]
+    for k in range(1, width):
+        number = np.unique(number * (len(words.index) + 1) + words.index[at + k], return_inverse=True)[1]
+    return text, at, number
