@@ -14,7 +14,12 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: What counts as missing in each sense.
 MISSING = {"trimmed": ["NA", "N/A", "<缺失>"], "exact": ["NA", "N/A", "<缺失>"], "blank": [], "cleaning": ["NA", "N/A", "NULL", "UNKNOWN", "[NOT AVAILABLE]", "NOT AVAILABLE"], "scan": ["na", "n/a", "null", ".", "na."]}
 #: Words that turn a query's meaning.
-NEGATIONS = ["not", "no", "without", "except", "excluding"]
+NEGATIONS = ["not", "no", "without", "否", "不", "无", "未"]
+#: Chinese terms and the words that they are searched by.
+BILINGUAL = {
+    "乳腺癌": ["breast", "cancer"], "新辅助": ["neoadjuvant"], "病理完全缓解": ["pathological", "complete", "response", "pcr"], "主要结局": ["primary", "outcome", "endpoint"], "结局": ["outcome", "endpoint"],
+    "受体亚型": ["receptor", "subtype"], "基因表达": ["gene", "expression", "transcriptomic"], "数据可用性": ["data", "availability"], "方法": ["method", "methods"], "统计": ["statistical", "statistics"],
+}
 
 
 def col(c: Column | str) -> Column:
@@ -36,10 +41,24 @@ def tokens(c: Column | str) -> Column:
 
 
 def cjk_bigrams(c: Column | str) -> Column:
-    """Overlapping pairs of characters of each run of Chinese characters; a run of one is itself."""
-    runs = F.regexp_extract_all(text(c), F.lit("([一-鿿]+)"), F.lit(1))
-    pairs = F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2)))))
-    return F.flatten(pairs)
+    """Overlapping pairs of the Chinese characters of a text, all of them put together; fewer than two make none."""
+    joined = F.array_join(F.regexp_extract_all(text(c), F.lit("([一-鿿]+)"), F.lit(1)), "")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - 1, F.lit(1))), lambda i: F.substr(joined, i, F.lit(2)))
+    return F.when(F.length(joined) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def retrieval_tokens(c: Column | str) -> Column:
+    """Words, pairs of Chinese characters, and the English words of Chinese terms that occur."""
+    folded = fold(c)
+    none = F.array().cast("array<string>")
+    meant = [F.when(F.contains(folded, F.lit(p)), F.array(*map(F.lit, ws))).otherwise(none) for p, ws in BILINGUAL.items()]
+    more = F.when(folded.rlike("[一-鿿]"), F.concat(cjk_bigrams(folded), *meant)).otherwise(none)
+    return F.concat(tokens(c), more)
+
+
+def service_tokens(c: Column | str) -> Column:
+    """Runs of letters, digits and ``_+-``, and single Chinese characters."""
+    return F.regexp_extract_all(fold(c), F.lit("([a-z0-9_+-]+|[一-鿿])"), F.lit(1))
 
 
 def word_set(c: Column | str) -> Column:
@@ -121,13 +140,53 @@ def accessions(c: Column | str, kind: str = "GSE") -> Column:
     return F.array_distinct(F.regexp_extract_all(F.upper(text(c)), F.lit(form), F.lit(1)))
 
 
-def protected_terms(c: Column | str, limit: int = 32) -> Column:
-    """Quoted phrases, then tokens shaped like identifiers, then negations, distinct."""
-    quoted = F.filter(F.transform(F.regexp_extract_all(text(c), F.lit('"([^"]+)"'), F.lit(1)), F.trim), lambda x: x != "")
-    words = F.transform(F.regexp_extract_all(text(c), F.lit("([A-Za-z0-9][A-Za-z0-9_+./-]*)"), F.lit(1)), lambda x: F.regexp_replace(x, r"[.,;:]+$", ""))
-    shaped = F.filter(words, lambda x: x.rlike("[0-9_+./-]") | ((F.length(x) > 1) & x.rlike("[A-Z]") & (x == F.upper(x))))
-    said = F.filter(F.array(*map(F.lit, NEGATIONS)), lambda n: F.array_contains(F.regexp_extract_all(F.lower(text(c)), F.lit("([a-z0-9_]+)"), F.lit(1)), n))
-    return F.slice(F.array_distinct(F.concat(quoted, shaped, said)), 1, limit)
+def protected_terms(c: Column | str, limit: int | None = 32) -> Column:
+    """Quoted phrases, then tokens shaped like identifiers, then negations, distinct; ``limit`` is for queries, None for whole documents."""
+    quoted = F.filter(F.transform(F.regexp_extract_all(text(c), F.lit("[\"']([^\"']{2,80})[\"']"), F.lit(1)), F.trim), lambda x: x != "")
+    words = F.transform(F.regexp_extract_all(text(c), F.lit(r"([A-Z]{2,}[A-Z0-9_+./-]*|[0-9]+(?:\.[0-9]+)?|[A-Za-z][A-Za-z0-9_+./-]+)"), F.lit(1)), lambda x: F.regexp_replace(x, r"[.,;:]+$", ""))
+    shaped = F.filter(words, lambda x: x.rlike("[0-9_+./-]") | ((F.length(x) > 1) & x.rlike("[A-Za-z]") & (x == F.upper(x))))
+    folded = fold(c)
+    said = F.array_compact(F.array(*(F.when(folded.rlike(rf"\b{n}\b") if n.isascii() else F.contains(folded, F.lit(n)), n) for n in NEGATIONS)))
+    found = F.array_distinct(F.concat(quoted, shaped, said))
+    return found if limit is None else F.slice(found, 1, limit)
+
+
+def single_spaced(c: Column | str) -> Column:
+    return F.trim(F.regexp_replace(text(c), r"\s+", " "))
+
+
+def query_plan(c: Column | str, aliases: dict[str, str], longest: int = 4000) -> Column:
+    """Three variants of a query and what they must keep: ``(concepts, entities, constraints, must_keep, keyword, paraphrase, evidence)``."""
+    raw = single_spaced(c)
+    wide = single_spaced(expand_query(raw, aliases))
+    cut = lambda x: F.rtrim(F.substring(x, 1, longest))
+    concepts = F.slice(F.array_distinct(F.regexp_extract_all(raw, F.lit("([A-Za-z][A-Za-z0-9_+./-]+|[一-鿿]{2,})"), F.lit(1))), 1, 8)
+    kept = protected_terms(raw)
+    against = F.slice(F.array_compact(F.array(*(F.when(F.contains(fold(raw), F.lit(n)), n) for n in NEGATIONS))), 1, 8)
+    return F.struct(concepts.alias("concepts"), F.slice(kept, 1, 8).alias("entities"), against.alias("constraints"), kept.alias("must_keep"), cut(wide).alias("keyword"), cut(raw).alias("paraphrase"), cut(F.concat(wide, F.lit(" evidence"))).alias("evidence"))
+
+
+def valid_variants(plan: Column, c: Column | str, longest: int = 4000) -> Column:
+    """``(valid, accepted, rejected, protected)``: variants that keep every protected term; the query itself where none does."""
+    raw = single_spaced(c)
+    declared = F.filter(F.transform(plan["must_keep"], single_spaced), lambda t: (t != "") & F.contains(fold(raw), fold(t)))
+    protected = F.array_distinct(F.concat(protected_terms(raw), declared))
+    variants = F.filter(F.transform(F.array(plan["keyword"], plan["paraphrase"], plan["evidence"]), single_spaced), lambda v: (v != "") & (F.length(v) <= longest))
+    keeps = lambda v: F.forall(protected, lambda t: F.contains(fold(v), fold(t)))
+    good, bad = F.array_distinct(F.filter(variants, keeps)), F.filter(variants, lambda v: ~keeps(v))
+    return F.struct((F.size(good) > 0).alias("valid"), F.when(F.size(good) > 0, good).otherwise(F.array(raw)).alias("accepted"), bad.alias("rejected"), protected.alias("protected"))
+
+
+def contract_queries(disease: Column, subtype: Column, exposure: Column, outcome: Column, treatment: Column) -> Column:
+    """Five query texts of a research contract, as ``[(kind, text)]``; null parts are left out."""
+    end = F.coalesce(F.when(text(outcome) != "", outcome), F.lit("response"))
+    filled_ = lambda x: F.when(text(x) != "", x)
+    join = lambda *parts: F.concat_ws(" ", *(filled_(p) for p in parts))
+    texts = {
+        "exact": join(disease, subtype, exposure, end), "synonym": join(F.when(F.contains(text(subtype), F.lit("HER2")), F.lit("ERBB2")).otherwise(exposure), end, F.lit("pathological complete response")),
+        "clinical": join(disease, F.coalesce(filled_(treatment), F.lit("treatment")), end), "dataset": join(disease, exposure, F.lit("GEO GSE cohort"), end), "outcome": join(end, F.lit("pCR ORR survival"), disease),
+    }
+    return F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), F.trim(v).alias("text")) for k, v in texts.items())), lambda q: q["text"] != "")
 
 
 def expand_query(c: Column | str, aliases: dict[str, str]) -> Column:

@@ -7,6 +7,7 @@ depend on the order of summation; ties go to the smaller id.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import written
 
 DIGITS = 6
 #: Rows of a query block and of a block of vectors that meet in one matrix product.
@@ -28,34 +30,90 @@ def ranked(scores: DataFrame, k: int | None) -> DataFrame:
     return out.filter(F.col("rank") <= k) if k else out
 
 
-def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, term, tf, length)`` of the terms that occur in ``terms(term)``.
+#: Terms of a stated query set that are held by every task at most; beyond it, a query set must be asked in parts.
+MOST_TERMS = 1 << 20
+_LENGTH = "\x00"
 
-    Documents are dealt by id once; counts and scores of a document then stay
-    where it is.  Documents that share no term leave here.
+
+def _hits(docs: DataFrame, terms: DataFrame, tokens, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, length, terms array<int>)`` of every document: the numbers of its words that are asked for.
+
+    Texts are tokenised once; words that no query has leave before the
+    shuffle, which deals what is left by document.
     """
-    words = docs.select(F.col(id_col).alias("doc_id"), T.tokens(text_col).alias("words")).select("doc_id", F.size("words").cast("double").alias("length"), F.explode("words").alias("term"))
-    return words.join(terms, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("tf"), F.first("length").alias("length"))
+    words = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("w"))
+    each = words.select("doc_id", F.size("w").alias("length"), F.explode(F.concat("w", F.array(F.lit(_LENGTH)))).alias("term"))
+    met = each.join(F.broadcast(terms), "term")
+    return written(met.groupBy("doc_id").agg(F.first("length").alias("length"), F.collect_list(F.when(F.col("term_no") >= 0, F.col("term_no"))).alias("terms")), "hits")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = 1.5, b: float = 0.75, distinct: bool = True) -> DataFrame:
-    """Best documents ``(doc_id, text)`` of each query ``(query_id, text)``.
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, distinct: bool = True, tokens=T.retrieval_tokens, zeros: bool = False, only: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Best ``k`` documents ``(doc_id, text)`` of each query ``(query_id, text)`` of a stated set.
 
     ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``.  With ``distinct`` a term
     of a query counts once, otherwise as often as it stands there.  Documents
-    without a common term are not ranked.  Empty texts count for N and the
-    average length.
+    without a common term are ranked only with ``zeros``, by id behind the
+    others.  Empty texts count for N and the average length.  With
+    ``only(doc_id)`` no other document is ranked, but all count.
+
+    A task scores its documents against all queries, a batch at a time, and
+    sends on ``k`` rows for each query and batch.  Ids are integers.
     """
-    words = T.word_set("text") if distinct else T.tokens("text")
-    asked = queries.select("query_id", F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("double").alias("qf"))
-    total = docs.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(T.tokens("text"))).alias("average"))
-    found = postings(docs, asked.select("term").distinct())
-    df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    terms = asked.join(df, "term").crossJoin(total)  # total is one row
-    terms = terms.select("query_id", "term", (F.col("qf") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"), "average")
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    scores = found.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
-    return ranked(scores.filter("score > 0"), k)
+    spark = docs.sparkSession
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text")) if distinct else tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    rows = asked.orderBy("term", "query_id").limit(MOST_TERMS + 1).collect()  # the stated query set
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a query set may have {MOST_TERMS} terms; ask it in parts")
+    number = {t: n for n, t in enumerate(dict.fromkeys(r["term"] for r in rows))}
+    query_ids = sorted({r["query_id"] for r in rows})
+    place = {q: n for n, q in enumerate(query_ids)}
+    terms = spark.createDataFrame([*number.items(), (_LENGTH, -1)], "term string, term_no int")
+    found = _hits(docs, terms, tokens, id_col, text_col)
+    total = found.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
+    df = np.zeros(len(number))
+    for r in found.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # one row for each asked term
+        df[r["t"]] = r["df"]
+    idf = np.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
+    t_of, q_of = np.array([number[r["term"]] for r in rows], np.int64), np.array([place[r["query_id"]] for r in rows], np.int64)
+    weight = np.array([r["qf"] for r in rows], float) * idf[t_of] if rows else np.empty(0)
+    cut = np.searchsorted(t_of, np.arange(len(number) + 1))
+    average, names = max(total["average"] or 0.0, 1e-12), np.array(query_ids, np.int64)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                ids, length = part.column("doc_id").to_numpy().astype(np.int64), part.column("length").to_numpy().astype(float)
+                owner = np.repeat(np.arange(part.num_rows), np.asarray(part.column("terms").value_lengths()))
+                pair, tf = np.unique(owner * max(len(number), 1) + np.asarray(part.column("terms").flatten(), np.int64), return_counts=True)
+                owner, term = pair // max(len(number), 1), pair % max(len(number), 1)
+                gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[owner] / average))
+                each = cut[term + 1] - cut[term]
+                at = np.repeat(cut[term] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+                scores = np.bincount(np.repeat(owner, each) * len(names) + q_of[at], np.repeat(gain, each) * weight[at], part.num_rows * len(names)).reshape(part.num_rows, len(names))
+                yield from _head(names, ids, np.round(scores.T, DIGITS), k, scores.T > 0)
+
+    if only is not None:
+        found = found.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+    top = ranked(found.mapInArrow(best, "query_id long, doc_id long, score double").filter("score > 0"), k)
+    return _with_zeros(top, docs, queries, k, id_col) if zeros else top
+
+
+def _head(query_ids: np.ndarray, doc_ids: np.ndarray, scores: np.ndarray, k: int, usable: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` usable documents of each query of a block, by score and then id."""
+    scores = np.where(usable, scores, -np.inf)
+    order = np.lexsort((np.broadcast_to(doc_ids, scores.shape), -scores), axis=1)[:, :k]
+    q = np.repeat(np.arange(len(query_ids)), order.shape[1])
+    d = order.reshape(-1)
+    ok = np.isfinite(scores[q, d])
+    yield pa.RecordBatch.from_arrays([pa.array(query_ids[q[ok]]), pa.array(doc_ids[d[ok]]), pa.array(scores[q[ok], d[ok]])], names=["query_id", "doc_id", "score"])
+
+
+def _with_zeros(top: DataFrame, docs: DataFrame, queries: DataFrame, k: int, id_col: str) -> DataFrame:
+    """Rankings filled up to ``k`` with the documents of least id, at score 0."""
+    first = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct().orderBy("doc_id").limit(2 * k)
+    rest = queries.select(F.col("query_id").cast("long").alias("query_id")).crossJoin(F.broadcast(first)).join(top, ["query_id", "doc_id"], "left_anti")
+    return ranked(top.select("query_id", "doc_id", "score").union(rest.select("query_id", "doc_id", F.lit(0.0))), k)
 
 
 def rrf(rankings: list[tuple[DataFrame, float]], k: int | None = 10, constant: int = 60) -> DataFrame:
@@ -90,26 +148,39 @@ def rerank(ranking: DataFrame, scores: DataFrame, head: int) -> DataFrame:
     return joined.select("query_id", "doc_id", "score", F.row_number().over(order).cast("long").alias("rank"))
 
 
-def hashed_vectors(docs: DataFrame, dims: int = 384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, dim, weight)``: signed feature hashing of words, of length 1; sparse, and made without Python.
+def hashed_embeddings(docs: DataFrame, dims: int = 384, method: str = "blake2b", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, embedding)``: signed feature hashing of words, of length 1; a text without words is all zeros.
 
-    The first 31 bits of a word's MD5 give its dimension and the next digit
-    its sign.
+    ``blake2b``: the first four bytes of an 8-byte digest give the dimension
+    and the parity of the next byte the sign.  ``md5``: seven hexadecimal
+    digits and the next one, which SQL can do too.
     """
-    h = F.md5(F.col("word").cast("binary"))
-    dim = F.pmod(F.conv(F.substring(h, 1, 7), 16, 10).cast("long"), F.lit(dims))
-    sign = F.when(F.conv(F.substring(h, 8, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
-    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(T.tokens(text_col)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").cast("double").alias("n"))
-    cells = words.select("doc_id", dim.alias("dim"), (sign * F.col("n")).alias("v")).groupBy("doc_id", "dim").agg(F.sum("v").alias("v")).filter("v <> 0")
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc_id")))
-    return cells.select("doc_id", "dim", (F.col("v") / norm).alias("weight"))
 
+    def cell(word: str) -> tuple[int, float]:
+        if method == "md5":
+            h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+            return int(h[:7], 16) % dims, 1.0 if int(h[7], 16) < 8 else -1.0
+        h = hashlib.blake2b(word.encode(), digest_size=8).digest()
+        return int.from_bytes(h[:4], "big") % dims, 1.0 if h[4] % 2 == 0 else -1.0
 
-def sparse_cosine(docs: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
-    """Best documents by the product of sparse vectors of length 1, as ``(cos + 1) / 2``."""
-    q = queries.select(F.col("doc_id").alias("query_id"), "dim", F.col("weight").alias("w"))
-    dots = docs.join(q, "dim").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("w")).alias("dot"))
-    return ranked(dots.select("query_id", "doc_id", F.round((F.col("dot") + 1) / 2, DIGITS).alias("score")), k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                lists = part.column("w")
+                coded = lists.flatten().dictionary_encode()
+                cells = [cell(w) for w in coded.dictionary.to_pylist()]
+                dim, sign = np.array([d for d, _ in cells], np.int64), np.array([s for _, s in cells])
+                owner, word = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths())), np.asarray(coded.indices, np.int64)
+                out = np.zeros((part.num_rows, dims))
+                if len(word):
+                    out = np.bincount(owner * dims + dim[word], sign[word], part.num_rows * dims).reshape(part.num_rows, dims)
+                norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                flat = (out / np.where(norm > 0, norm, 1)).reshape(-1)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dims, dtype=np.int32)), pa.array(flat))], names=["doc_id", "embedding"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), T.retrieval_tokens(text_col).alias("w"))
+    return texts.mapInArrow(run, "doc_id long, embedding array<double>")
 
 
 def _packed(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
@@ -122,13 +193,13 @@ def _packed(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([(flat / np.where(norm > 0, norm, 1)).tobytes()])], names=["ids", "vectors"])
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Exact best ``k`` vectors by cosine for each row of ``queries``, itself left out.
+def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", itself: bool = False, half: bool = False) -> DataFrame:
+    """Exact best ``k`` vectors by cosine for each row of ``queries``, a row of the same id left out unless ``itself``.
 
     Both sides are packed into blocks of ``BLOCK`` rows; each block of the
     stated queries meets each block of vectors once, as one matrix product
     whose best ``k`` rows go on.  Null vectors and vectors of another length
-    are left out.
+    are left out; zero vectors have cosine 0.  ``half`` gives ``(cos + 1) / 2``.
     """
 
     def packed(df: DataFrame) -> DataFrame:
@@ -139,20 +210,129 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64,
         for batch in batches:
             for row in batch.to_pylist():
                 q, d = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                x = np.round(np.frombuffer(row["q_vectors"], "<f8").reshape(-1, dims) @ np.frombuffer(row["vectors"], "<f8").reshape(-1, dims).T, DIGITS)
-                x[q[:, None] == d[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(d, x.shape), -x), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(q)), order.shape[1])
-                at = order.reshape(-1)
-                s = x[rows, at]
-                ok = np.isfinite(s)
-                yield pa.RecordBatch.from_arrays([pa.array(q[rows][ok]), pa.array(d[at][ok]), pa.array(s[ok])], names=["query_id", "doc_id", "score"])
+                x = np.frombuffer(row["q_vectors"], "<f8").reshape(-1, dims) @ np.frombuffer(row["vectors"], "<f8").reshape(-1, dims).T
+                usable = np.ones(x.shape, bool) if itself else q[:, None] != d[None, :]
+                yield from _head(q, d, np.round((x + 1) / 2 if half else x, DIGITS), k, usable)
 
     blocks = packed(queries).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     pairs = packed(vectors).crossJoin(blocks)  # of blocks, for a stated query set
     return ranked(pairs.mapInArrow(best, "query_id long, doc_id long, score double"), k)
 
 
+def hashing_search(docs: DataFrame, queries: DataFrame, k: int = 10, dims: int = 384, method: str = "blake2b") -> DataFrame:
+    """Best documents by hashed vectors, as ``(cos + 1) / 2``."""
+    asked = hashed_embeddings(queries.select(F.col("query_id").alias("doc_id"), "text"), dims, method)
+    return cosine(hashed_embeddings(docs, dims, method), asked, k, dims, "doc_id", itself=True, half=True)
+
+
+def coverage_search(docs: DataFrame, queries: DataFrame, k: int = 10, dims: int = 384, method: str = "blake2b", pool: int = 1000) -> DataFrame:
+    """``.55`` of the cosine of hashed vectors, at least 0, and ``.30`` of the share of a query's words that a document has.
+
+    Each side gives its best ``pool`` documents of a query, at least ``k``;
+    sides of a document outside a pool count 0.
+    """
+    near = cosine(hashed_embeddings(docs, dims, method), hashed_embeddings(queries.select(F.col("query_id").alias("doc_id"), "text"), dims, method), max(pool, k), dims, "doc_id", itself=True)
+    shared = word_coverage(docs, queries, max(pool, k))
+    both = near.select("query_id", "doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("x")).join(shared.select("query_id", "doc_id", F.col("score").alias("y")), ["query_id", "doc_id"], "full_outer")
+    return ranked(both.select("query_id", "doc_id", F.round(0.55 * F.coalesce("x", F.lit(0.0)) + 0.30 * F.coalesce("y", F.lit(0.0)), DIGITS).alias("score")), k)
+
+
+def word_coverage(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """Share of each query's distinct words that a document has, from one word on."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(T.retrieval_tokens("text"))).alias("term"))
+    size = asked.groupBy("query_id").agg(F.count("*").alias("size"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(T.retrieval_tokens("text"))).alias("term"))
+    both = words.join(F.broadcast(asked), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("both")).join(F.broadcast(size), "query_id")
+    return ranked(both.select("query_id", "doc_id", F.round(F.col("both") / F.col("size"), DIGITS).alias("score")), k)
+
+
+def lexical_rerank(ranking: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The candidates of ``ranking`` by BM25 with the statistics of all documents; candidates without a common term have 0."""
+    wanted = ranking.select("query_id", "doc_id").distinct()
+    several = wanted.select("doc_id").distinct()
+    scored = bm25(docs, queries, several.count(), 1.2, 0.75, distinct=False, tokens=T.service_tokens, only=several)
+    joined = wanted.join(scored.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left")
+    return ranked(joined.select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score")), k)
+
+
+def pool_size(k: int, n: int, times: int = 5) -> int:
+    return min(n, max(k * times, 20))
+
+
+def search(docs: DataFrame, queries: DataFrame, method: str = "hybrid", k: int = 10, mode: str = "raw", aliases: dict[str, str] | None = None, dense=None, reranker=None, weights: tuple[float, float] = (0.55, 0.45)) -> DataFrame:
+    """The retrieval service: ``bm25``, ``hashing``, ``semantic``, ``hybrid`` or ``hybrid_rerank``.
+
+    ``mode``: ``raw`` asks the query as it is, ``compat`` with its aliases,
+    ``rules`` asks every valid variant and fuses their BM25 ranks, whatever
+    the method.  ``dense`` is a function ``(docs, queries, k)`` to a ranking
+    with scores in 0 to 1; without it feature hashing stands in, which is no
+    semantic model.  ``reranker`` is a function ``(ranking, docs, queries,
+    k)``; without it BM25 reranks.
+    """
+    aliases = aliases or {}
+    pool = pool_size(k, docs.count())
+    service = lambda q, n: bm25(docs, q, n, 1.2, 0.75, distinct=False, tokens=T.service_tokens, zeros=True)
+    if mode == "rules":
+        plan = queries.select("query_id", T.valid_variants(T.query_plan("text", aliases), "text")["accepted"].alias("v"))
+        several = plan.filter(F.size("v") > 1)
+        if several.limit(1).count():
+            parts = [(service(plan.filter(F.size("v") > n).select("query_id", F.get("v", F.lit(n)).alias("text")), pool), 1.0) for n in range(3)]
+            return rrf(parts, k)
+    elif mode == "compat":
+        queries = queries.select("query_id", T.expand_query("text", aliases).alias("text"))
+    if method == "bm25":
+        return ranked(normalised(service(queries, pool)), k)
+    near = (dense or hashing_search)(docs, queries, pool)
+    if method in ("hashing", "semantic"):
+        return ranked(near, k)
+    fused = score_fusion(service(queries, pool), near, pool if method == "hybrid_rerank" else k, weights)
+    return fused if method == "hybrid" else ranked(normalised((reranker or lexical_rerank)(fused, docs, queries, pool)), k)
+
+
+def multi_query(docs: DataFrame, queries: DataFrame, aliases: dict[str, str], k: int = 10, depth: int = 100) -> DataFrame:
+    """BM25 of every valid variant of a query, fused by rank."""
+    plan = queries.select("query_id", T.valid_variants(T.query_plan("text", aliases), "text")["accepted"].alias("v"))
+    return rrf([(bm25(docs, plan.filter(F.size("v") > n).select("query_id", F.get("v", F.lit(n)).alias("text")), depth), 1.0) for n in range(3)], k)
+
+
+#: How much a section of a paper says about methods and data.
+SECTION_SCORES = {"methods": 1.0, "data_availability": 0.95, "supplementary": 0.9, "table": 0.88, "cohort": 0.84, "population": 0.82, "variables": 0.82, "outcome_definition": 0.9, "statistical_analysis": 0.86, "results": 0.68, "abstract": 0.56, "title": 0.42}
+
+
+def evidence(chunks: DataFrame, queries: DataFrame, related: DataFrame | None = None, k: int = 10, dense=None) -> DataFrame:
+    """Best chunks for ``queries(query_id, text)``: ``.55`` semantic, ``.30`` lexical, ``.10`` section, ``.05`` graph.
+
+    ``chunks(doc_id, text, section, section_priority, paper_id)``.  The
+    lexical side is BM25 over its maximum, or the share of the query's words
+    where BM25 is 0 throughout or the query is mostly not ASCII.
+    ``related(query_id, paper_id)`` are papers tied to the query's field.
+    Each side gives its best ``max(4 k, 20)`` chunks; a chunk outside all of
+    them could only win by its section.
+    """
+    pool = max(4 * k, 20)
+    near = (dense or hashing_search)(chunks, queries, pool).select("query_id", "doc_id", F.col("score").alias("semantic"))
+    lexical = normalised(bm25(chunks, queries, pool, 1.2, 0.75, distinct=False, tokens=T.service_tokens)).select("query_id", "doc_id", F.col("score").alias("bm"))
+    overlap = word_coverage(chunks, queries, pool).select("query_id", "doc_id", F.col("score").alias("overlap"))
+    raw = F.col("text")
+    other = F.length(F.regexp_replace(raw, "[\\x00-\\x7F]", "")) / F.greatest(F.lit(1), F.length(raw))
+    asked = queries.select("query_id", (~raw.rlike("[A-Za-z]") | (other > 0.35)).alias("by_overlap")).join(lexical.select("query_id").distinct().withColumn("has", F.lit(True)), "query_id", "left")
+    met = near.join(lexical, ["query_id", "doc_id"], "full_outer").join(overlap, ["query_id", "doc_id"], "full_outer").join(asked, "query_id")
+    table = F.create_map(*(F.lit(x) for kv in SECTION_SCORES.items() for x in kv))
+    met = met.join(chunks.select("doc_id", "section", "section_priority", "paper_id"), "doc_id")
+    if related is not None:
+        met = met.join(related.select("query_id", "paper_id").distinct().withColumn("graph", F.lit(1.0)), ["query_id", "paper_id"], "left")
+    else:
+        met = met.withColumn("graph", F.lit(0.0))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    words = F.when(F.col("by_overlap") | F.col("has").isNull(), zero("overlap")).otherwise(zero("bm"))
+    met = met.withColumns({"lexical": words, "section_score": F.coalesce(F.try_element_at(table, F.col("section")), F.lit(0.35))})
+    score = F.round(0.55 * zero("semantic") + 0.30 * F.col("lexical") + 0.10 * F.col("section_score") + 0.05 * zero("graph"), DIGITS)
+    scored = met.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "section_priority", "doc_id")
+    out = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
+    return out.select("query_id", "doc_id", "score", "rank", F.round(zero("semantic"), DIGITS).alias("semantic_score"), F.round("lexical", DIGITS).alias("lexical_score"), "section_score", zero("graph").alias("graph_score"))
+
+
 def evaluate(ranking: DataFrame, judged: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10), depth: int = 100) -> DataFrame:
     """Measures of each query that has a judged document ``(query_id, doc_id, gain)``.
 
@@ -178,10 +358,75 @@ def evaluate(ranking: DataFrame, judged: DataFrame, cutoffs: tuple[int, ...] = (
     )
 
 
-def tuned(docs: DataFrame, queries: DataFrame, judged: DataFrame, grid: tuple[tuple[float, float], ...] = ((1.2, 0.75), (1.5, 0.75), (1.8, 0.25))) -> DataFrame:
-    """Mean nDCG at 10 of each ``(k1, b)``; the first row is the best, smaller values on ties."""
+def _mean_ndcg(ranking: DataFrame, judged: DataFrame) -> Column | DataFrame:
+    return evaluate(ranking, judged).agg(F.round(F.avg("ndcg_10"), DIGITS).alias("ndcg_10"))
+
+
+def _rated(parts: list[tuple[dict[str, Column], DataFrame]], judged: DataFrame) -> DataFrame:
     out = None
-    for k1, b in grid:
-        row = evaluate(bm25(docs, queries, 100, k1, b), judged).agg(F.round(F.avg("ndcg_10"), DIGITS).alias("ndcg_10")).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), "ndcg_10")
+    for names, ranking in parts:
+        row = _mean_ndcg(ranking, judged).select(*(v.alias(k) for k, v in names.items()), "ndcg_10")
         out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.desc("ndcg_10"), "k1", "b")
+    return out
+
+
+def tuned(docs: DataFrame, queries: DataFrame, judged: DataFrame, grid: tuple[tuple[float, float], ...] = ((1.2, 0.75), (1.5, 0.75), (1.8, 0.25))) -> DataFrame:
+    """Mean nDCG at 10 of each ``(k1, b)``; the first row is the best, larger values on ties."""
+    return _rated([({"k1": F.lit(k1), "b": F.lit(b)}, bm25(docs, queries, 100, k1, b)) for k1, b in grid], judged).orderBy(F.desc("ndcg_10"), F.desc("k1"), F.desc("b"))
+
+
+def tuned_fusion(lexical: DataFrame, dense: DataFrame, judged: DataFrame, steps: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """Mean nDCG at 10 of each lexical weight; the first row is the best, the larger weight on ties."""
+    lexical, dense = written(lexical, "lexical"), written(dense, "dense")
+    return _rated([({"lexical": F.lit(w), "dense": F.lit(1 - w)}, score_fusion(lexical, dense, 100, (w, 1 - w))) for w in steps], judged).orderBy(F.desc("ndcg_10"), F.desc("lexical"))
+
+
+def tuned_rrf(lexical: DataFrame, dense: DataFrame, judged: DataFrame, steps: tuple[float, ...] = (0.25, 0.5, 0.75), constants: tuple[int, ...] = (10, 30, 60, 100)) -> DataFrame:
+    """Mean nDCG at 10 of each weight and constant; the first row is the best, larger weights and smaller constants on ties."""
+    lexical, dense = written(lexical, "lexical"), written(dense, "dense")
+    parts = [({"lexical": F.lit(w), "dense": F.lit(1 - w), "constant": F.lit(c)}, rrf([(lexical, w), (dense, 1 - w)], 100, c)) for w in steps for c in constants]
+    return _rated(parts, judged).orderBy(F.desc("ndcg_10"), F.desc("lexical"), "constant")
+
+
+def selected(rankings: dict[str, DataFrame], judged: DataFrame, preferred: str = "semantic") -> DataFrame:
+    """Mean nDCG at 10 of each named ranking on development judgements; the first row is chosen, ``preferred`` on ties."""
+    return _rated([({"name": F.lit(n)}, r) for n, r in rankings.items()], judged).orderBy(F.desc("ndcg_10"), F.desc(F.col("name") == preferred), "name")
+
+
+def case_metrics(ranks: DataFrame) -> DataFrame:
+    """One row of means over ``ranks(case_id, rank, difficulty)``: recall at 1, 3, 5, MRR and nDCG at 3; a null rank is a miss."""
+    hit = lambda k: F.coalesce(F.col("rank") <= k, F.lit(False))
+    near = F.when(hit(3), 1 / F.col("rank")).otherwise(0.0)
+    gain = F.when(hit(3), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
+    mean = lambda c, name: F.round(F.coalesce(F.avg(c), F.lit(0.0)), DIGITS).alias(name)
+    return ranks.agg(F.count("*").alias("n_cases"), *(mean(hit(k).cast("double"), f"recall_{k}") for k in (1, 3, 5)), mean(near, "mrr_3"), mean(gain, "ndcg_3"))
+
+
+def difficulty_recall(ranks: DataFrame, k: int = 3) -> DataFrame:
+    """``(difficulty, n_cases, recall)``."""
+    return ranks.groupBy("difficulty").agg(F.count("*").alias("n_cases"), F.round(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double")), DIGITS).alias("recall"))
+
+
+def source_metrics(ranking: DataFrame, hits: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
+    """One row of means over the queries of ``expected(query_id, source, section)``: recall, MRR, nDCG by distinct source, and evidence hits.
+
+    ``hits(doc_id, source, section)`` says where a ranked chunk comes from; a
+    null expected section takes any.  Names are compared without case.
+    """
+    low = lambda c: F.lower(c)
+    want = expected.select("query_id", low("source").alias("source"), low("section").alias("asked"))
+    met = ranking.filter(F.col("rank") <= k).join(hits.select("doc_id", low("source").alias("source"), low("section").alias("section")), "doc_id").join(want, ["query_id", "source"])
+    first = met.groupBy("query_id", "source").agg(F.min("rank").alias("rank"), F.max((F.col("asked").isNull() | (F.col("asked") == F.col("section"))).cast("int")).alias("strict"))
+    per = first.groupBy("query_id").agg(F.min("rank").alias("best"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"), F.max("strict").alias("strict"))
+    sizes = want.groupBy("query_id").agg(F.least(F.count_distinct("source"), F.lit(k)).alias("n"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    out = sizes.withColumn("ideal", ideal).join(per, "query_id", "left")
+    mean = lambda c, name: F.round(F.avg(F.coalesce(c.cast("double"), F.lit(0.0))), DIGITS).alias(name)
+    return out.agg(F.count("*").alias("n_cases"), mean(F.col("best").isNotNull(), "recall"), mean(1 / F.col("best"), "mrr"), mean(F.col("dcg") / F.col("ideal"), "ndcg"), mean(F.col("strict"), "evidence_hit_rate"))
+
+
+def final_ids(calls: DataFrame, datasets: DataFrame) -> DataFrame:
+    """``(doc_id, ord)``: ids of succeeded calls ``(ord, status, ids)`` and then of ``datasets(ord, id)``, each at its first place."""
+    a = calls.filter("status = 'succeeded'").select(F.lit(0).alias("g"), "ord", F.posexplode("ids").alias("n", "doc_id"))
+    b = datasets.select(F.lit(1).alias("g"), "ord", F.lit(0).alias("n"), F.col("id").alias("doc_id"))
+    return a.union(b).filter("doc_id is not null and doc_id <> ''").groupBy("doc_id").agg(F.min(F.struct("g", "ord", "n")).alias("ord"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,23 +12,30 @@ from .tables import Suite, read
 suite = Suite()
 QUERIES, ORACLE_SQL = suite.queries, suite.sql
 
-_TOKENS = "regexp_extract_all(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[a-z0-9][a-z0-9_+.-]*')"
+_FOLD = "replace(lower(coalesce(text, '')), 'ß', 'ss')"
+_WORDS = f"regexp_extract_all({_FOLD}, '[a-z0-9][a-z0-9_+.-]*')"
+_HAN = f"array_to_string(regexp_extract_all({_FOLD}, '[一-鿿]'), '')"
+_MEANT = ", ".join(f"CASE WHEN contains({_FOLD}, '{p}') THEN [{', '.join(repr(w) for w in ws)}] ELSE [] END" for p, ws in T.BILINGUAL.items())
+_TOKENS = f"list_concat({_WORDS}, [substr({_HAN}, i, 2) FOR i IN range(1, length({_HAN}))], flatten([{_MEANT}]))"
+_SERVICE = f"regexp_extract_all({_FOLD}, '[a-z0-9_+-]+|[一-鿿]')"
 
 
-def _bm25_sql(k1: float, b: float, distinct: bool, k: int) -> str:
+def _bm25_sql(k1: float, b: float, distinct: bool, k: int, tokens: str = _TOKENS, zeros: bool = False) -> str:
     d = "DISTINCT" if distinct else ""
+    rest = f" UNION ALL SELECT query_id, doc_id, 0.0 FROM (SELECT DISTINCT item_id AS query_id FROM benchmark), (SELECT doc_id FROM documents ORDER BY doc_id LIMIT {2 * k}) WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM p)" if zeros else ""
     return f"""
 bm AS (
- WITH w AS (SELECT doc_id, {_TOKENS} AS ws FROM documents),
+ WITH w AS (SELECT doc_id, {tokens} AS ws FROM documents),
  st AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)) AS av FROM w),
- qt AS (SELECT query_id, term, count(*)::DOUBLE AS qf FROM (SELECT {d} item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+ qt AS (SELECT query_id, term, count(*)::DOUBLE AS qf FROM (SELECT {d} item_id AS query_id, unnest({tokens}) AS term FROM benchmark) GROUP BY ALL),
  tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf, any_value(ln)::DOUBLE AS ln FROM (SELECT doc_id, len(ws) AS ln, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
  df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
  s AS (SELECT query_id, doc_id, round(sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * ln / av))), 6) AS score
-   FROM tf JOIN qt USING (term) JOIN df USING (term), st GROUP BY ALL)
- SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+   FROM tf JOIN qt USING (term) JOIN df USING (term), st GROUP BY ALL),
+ p AS (SELECT * FROM s WHERE score > 0)
+ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM p{rest})
  QUALIFY rank <= {k}
-)""".replace("ln(1 +", "ln(1 +")
+)"""
 
 
 _HASH = """
@@ -57,9 +65,23 @@ def bm25_topk(spark, sf):
     return R.bm25(_docs(spark, sf), _asked(spark, sf))
 
 
-@suite.add(f"WITH {_bm25_sql(1.2, 0.75, False, 10)} SELECT query_id, doc_id, score, rank FROM bm")
+@suite.add(f"WITH {_bm25_sql(1.2, 0.75, False, 10, _SERVICE, True)} SELECT query_id, doc_id, score, rank FROM bm")
 def bm25_service_topk(spark, sf):
-    return R.bm25(_docs(spark, sf), _asked(spark, sf), k1=1.2, distinct=False)
+    return R.bm25(_docs(spark, sf), _asked(spark, sf), k1=1.2, distinct=False, tokens=T.service_tokens, zeros=True)
+
+
+@suite.add(f"SELECT doc_id, {_TOKENS} AS tokens, {_SERVICE} AS service FROM documents")
+def retrieval_tokens(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.retrieval_tokens("text").alias("tokens"), T.service_tokens("text").alias("service"))
+
+
+_COVERED = f"""cv AS (SELECT query_id, doc_id, round(count(*)::DOUBLE / any_value(size), 6) AS score FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) d
+ JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS size FROM (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM benchmark)) q USING (term) GROUP BY ALL)"""
+
+
+@suite.add(f"WITH {_COVERED} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cv QUALIFY rank <= 10")
+def word_coverage_topk(spark, sf):
+    return R.word_coverage(_docs(spark, sf), _asked(spark, sf), 10)
 
 
 def _short(spark, sf):
@@ -83,26 +105,41 @@ def max_normalised(spark, sf):
     return R.normalised(bm25_topk(spark, sf)).withColumn("score", F.round("score", 6))
 
 
-@suite.add(f"""WITH {_HASH.format(tokens=_TOKENS, table='(SELECT doc_id, text FROM documents)')}, q AS (SELECT * FROM hv WHERE doc_id % 50 = 0),
-s AS (SELECT q.doc_id AS query_id, h.doc_id, round((sum(h.weight * q.weight) + 1) / 2, 6) AS score FROM hv h JOIN q USING (dim) GROUP BY ALL)
+@suite.add(f"""WITH {_HASH.format(tokens=_TOKENS, table='(SELECT doc_id, text FROM documents)')}, q AS (SELECT * FROM hv WHERE doc_id % 50 = 0), z AS (SELECT doc_id AS query_id FROM documents WHERE doc_id % 50 = 0),
+s AS (SELECT query_id, doc_id, round((coalesce(sum(p), 0) + 1) / 2, 6) AS score FROM (SELECT q.doc_id AS query_id, h.doc_id, h.weight * q.weight AS p FROM hv h JOIN q USING (dim) UNION ALL SELECT query_id, doc_id, 0.0 FROM z, documents) GROUP BY ALL)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def hashed_embedding_topk(spark, sf):
-    v = R.hashed_vectors(_docs(spark, sf))
-    return R.sparse_cosine(v, v.filter("doc_id % 50 = 0"))
+    v = R.hashed_embeddings(_docs(spark, sf), method="md5")
+    return R.cosine(v, v.filter("doc_id % 50 = 0"), dims=384, id_col="doc_id", itself=True, half=True)
+
+
+@suite.add()
+def hashing_search(spark, sf):
+    """By the first bytes of BLAKE2b, which SQL has not; the tests hold it against plain Python."""
+    return R.hashing_search(_docs(spark, sf), _asked(spark, sf))
+
+
+@suite.add(f"""WITH {_HASH.format(tokens=_TOKENS, table='(SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)')}, {_COVERED},
+q AS (SELECT -1 - doc_id AS query_id, dim, weight AS w FROM hv WHERE doc_id < 0),
+dn AS (SELECT query_id, doc_id, greatest(0, least(1, round(coalesce(sum(p), 0), 6))) AS x FROM (SELECT query_id, doc_id, weight * w AS p FROM hv JOIN q USING (dim) WHERE doc_id >= 0 UNION ALL SELECT item_id, doc_id, 0.0 FROM benchmark, documents) GROUP BY ALL),
+dk AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x DESC, doc_id) <= 100000), ck AS (SELECT * FROM cv),
+s AS (SELECT query_id, doc_id, round(0.55::DOUBLE * coalesce(x, 0) + 0.30::DOUBLE * coalesce(score, 0), 6) AS score FROM dk FULL JOIN ck USING (query_id, doc_id))
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
+def coverage_search(spark, sf):
+    return R.coverage_search(_docs(spark, sf), _asked(spark, sf), method="md5", pool=100000)
 
 
 @suite.add(f"""WITH {_bm25_sql(1.5, 0.75, True, 50)},
 {_HASH.format(tokens=_TOKENS, table='(SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)')},
 q AS (SELECT -1 - doc_id AS query_id, dim, weight AS w FROM hv WHERE doc_id < 0),
-dn AS (SELECT query_id, doc_id, round((sum(weight * w) + 1) / 2, 6) AS y FROM hv JOIN q USING (dim) WHERE doc_id >= 0 GROUP BY ALL),
+dn AS (SELECT query_id, doc_id, round((coalesce(sum(p), 0) + 1) / 2, 6) AS y FROM (SELECT query_id, doc_id, weight * w AS p FROM hv JOIN q USING (dim) WHERE doc_id >= 0 UNION ALL SELECT item_id, doc_id, 0.0 FROM benchmark, documents) GROUP BY ALL),
 dk AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY y DESC, doc_id) <= 50),
 nb AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS x FROM bm),
 s AS (SELECT query_id, doc_id, round(0.55::DOUBLE * coalesce(x, 0) + 0.45::DOUBLE * coalesce(y, 0), 6) AS score FROM nb FULL JOIN dk USING (query_id, doc_id))
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def hybrid_fusion(spark, sf):
     lexical = R.bm25(_docs(spark, sf), _asked(spark, sf), 50)
-    queries = R.hashed_vectors(_asked(spark, sf), id_col="query_id")
-    return R.score_fusion(lexical, R.sparse_cosine(R.hashed_vectors(_docs(spark, sf)), queries, 50))
+    return R.score_fusion(lexical, R.hashing_search(_docs(spark, sf), _asked(spark, sf), 50, method="md5"))
 
 
 @suite.add("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -114,12 +151,20 @@ def cosine_topk(spark, sf):
 
 
 def _judged(spark, sf):
-    """Documents that hold at least 60 % of a benchmark text's words; 90 % count double."""
-    words = lambda df, i, name: df.select(F.col(i).alias(name), F.explode(T.word_set("text")).alias("term"))
-    asked = words(_asked(spark, sf), "query_id", "query_id")
-    size = asked.groupBy("query_id").agg(F.count("*").alias("size"))
-    both = words(_docs(spark, sf), "doc_id", "doc_id").join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("both")).join(size, "query_id")
-    return both.filter(F.col("both") >= 0.6 * F.col("size")).select("query_id", "doc_id", F.when(F.col("both") >= 0.9 * F.col("size"), 2).otherwise(1).alias("gain"))
+    """Documents that hold at least 60 % of a benchmark text's words; 90 % count double.
+
+    They meet on the rarest ``n - ceil(0.6 n) + 1`` words of a text, one of which such a document has.
+    """
+    items = _asked(spark, sf).select("query_id", F.array_distinct(T.retrieval_tokens("text")).alias("bw")).filter(F.size("bw") > 0)
+    docs = _docs(spark, sf).select("doc_id", F.array_distinct(T.retrieval_tokens("text")).alias("dw"))
+    each = items.select("query_id", F.size("bw").alias("n"), F.explode("bw").alias("term"))
+    words = docs.select("doc_id", F.explode("dw").alias("term")).join(F.broadcast(each.select("term").distinct()), "term", "left_semi")
+    common = words.groupBy("term").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term"))
+    prefix = each.join(common, "term", "left").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(0.6 * F.col("n") - 1e-9) + 1).select("query_id", "term")
+    met = words.join(F.broadcast(prefix), "term").select("query_id", "doc_id").distinct().join(F.broadcast(items), "query_id").join(docs, "doc_id")
+    both = F.size(F.array_intersect("bw", "dw"))
+    return met.filter(both >= 0.6 * F.size("bw")).select("query_id", "doc_id", F.when(both >= 0.9 * F.size("bw"), 2).otherwise(1).alias("gain"))
 
 
 _MEASURES = ", ".join([*(f"round(sum(CASE WHEN rank <= {k} THEN hit ELSE 0 END)::DOUBLE / {k}, 6) AS p{k}, (sum(CASE WHEN rank <= {k} THEN hit ELSE 0 END) > 0)::INT AS h{k}" for k in (1, 3, 5, 10))])
@@ -133,3 +178,81 @@ SELECT query_id, round(coalesce(dcg, 0) / ideal, 6) AS ndcg_10, round(coalesce(1
  round(coalesce(h100, 0)::DOUBLE / relevant, 6) AS recall_100 FROM i LEFT JOIN p USING (query_id)""")
 def retrieval_eval(spark, sf):
     return R.evaluate(R.bm25(_docs(spark, sf), _asked(spark, sf), 100), _judged(spark, sf))
+
+
+#: Aliases of the query variants below.
+_ALIASES = {"the": "of", "and": "with", "der": "die"}
+
+
+@suite.add()
+def query_plans(spark, sf):
+    """Variants of every benchmark text, and those that keep its protected terms."""
+    plan = _asked(spark, sf).select("query_id", T.query_plan("text", _ALIASES).alias("p"), "text")
+    return plan.select("query_id", F.col("p.keyword").alias("keyword"), F.size("p.must_keep").cast("long").alias("n_kept"), F.size(T.valid_variants(F.col("p"), F.col("text"))["accepted"]).cast("long").alias("n_accepted"))
+
+
+@suite.add()
+def multi_query_topk(spark, sf):
+    return R.multi_query(_docs(spark, sf), _asked(spark, sf), _ALIASES)
+
+
+def _lexical_and_dense(spark, sf):
+    return R.bm25(_docs(spark, sf), _asked(spark, sf), 100), R.hashing_search(_docs(spark, sf), _asked(spark, sf), 100, method="md5")
+
+
+@suite.add()
+def tuned_bm25(spark, sf):
+    return R.tuned(_docs(spark, sf), _asked(spark, sf), _judged(spark, sf))
+
+
+@suite.add()
+def tuned_fusion(spark, sf):
+    return R.tuned_fusion(*_lexical_and_dense(spark, sf), _judged(spark, sf))
+
+
+@suite.add()
+def tuned_rrf(spark, sf):
+    return R.tuned_rrf(*_lexical_and_dense(spark, sf), _judged(spark, sf))
+
+
+@suite.add()
+def selected_retriever(spark, sf):
+    lexical, dense = _lexical_and_dense(spark, sf)
+    return R.selected({"lexical": lexical, "hashing": dense}, _judged(spark, sf))
+
+
+@suite.add(f"""WITH {_bm25_sql(1.5, 0.75, True, 10)},
+r AS (SELECT item_id AS case_id, min(rank) AS rank, CASE WHEN item_id % 3 = 0 THEN 'hard' ELSE 'easy' END AS difficulty FROM benchmark LEFT JOIN bm ON item_id = query_id AND score > 60 GROUP BY item_id)
+SELECT difficulty, count(*) AS n_cases, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM r GROUP BY difficulty""")
+def difficulty_recall(spark, sf):
+    return R.difficulty_recall(_ranks(spark, sf))
+
+
+def _ranks(spark, sf):
+    best = R.bm25(_docs(spark, sf), _asked(spark, sf)).filter("score > 60").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    cases = read(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 3 == 0, "hard").otherwise("easy").alias("difficulty"))
+    return cases.join(best, F.col("case_id") == F.col("query_id"), "left").select("case_id", "rank", "difficulty")
+
+
+@suite.add(f"""WITH {_bm25_sql(1.5, 0.75, True, 10)},
+r AS (SELECT item_id, min(rank) AS rank FROM benchmark LEFT JOIN bm ON item_id = query_id AND score > 60 GROUP BY item_id)
+SELECT count(*) AS n_cases, {", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_{k}" for k in (1, 3, 5))}, round(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr_3, round(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END), 6) AS ndcg_3 FROM r""")
+def case_metrics(spark, sf):
+    return R.case_metrics(_ranks(spark, sf))
+
+
+def _chunks(spark, sf):
+    """Documents as chunks: their source stands for the paper, their language for the section."""
+    section = F.when(F.col("lang") == "en", "methods").when(F.col("lang") == "de", "results").otherwise("body")
+    return read(spark, sf, "documents").select("doc_id", "text", section.alias("section"), F.length("lang").alias("section_priority"), F.col("source").alias("paper_id"))
+
+
+@suite.add()
+def evidence_topk(spark, sf):
+    related = _asked(spark, sf).select("query_id", F.lit("web").alias("paper_id"))
+    return R.evidence(_chunks(spark, sf), _asked(spark, sf), related)
+
+
+@suite.add()
+def service_hybrid_rerank(spark, sf):
+    return R.search(_docs(spark, sf), _asked(spark, sf), "hybrid_rerank")
