@@ -141,7 +141,7 @@ def document_components(spark, sf):
 
 @suite.add()
 def document_entity_keys(spark, sf):
-    return L.entity_keys(L.components(_prefix_links(spark, sf)))
+    return L.summed_keys(L.components(_prefix_links(spark, sf)))
 
 
 @suite.add("""WITH o AS (SELECT o_custkey AS entity, 'status' AS field, o_orderstatus AS value, o_orderkey AS ord, CASE WHEN o_totalprice > 300000 THEN 'review' ELSE 'resolved' END AS status FROM orders UNION ALL SELECT o_custkey, 'segment', c_mktsegment, o_orderkey, 'resolved' FROM orders JOIN customer ON o_custkey = c_custkey),

@@ -66,7 +66,7 @@ def parsed_cells(spark, sf):
 
 @suite.add()
 def protected_terms(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", T.protected_terms("text").alias("terms"))
+    return read(spark, sf, "documents").select("doc_id", T.protected_terms("text", None).alias("terms"))
 
 
 def _faulty(spark, sf):
