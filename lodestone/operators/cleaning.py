@@ -84,6 +84,96 @@ def missing_markers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.lower(F.trim(T.text(c))).isin("n/a", "na", "null", "none", "?"), "").otherwise(F.col(c)) for c in columns})
 
 
+def formatted_number(value: Column, column: str) -> Column:
+    """A number in its plain spelling: percent signs stay but for alcohol columns, zip codes and whole numbers as integers, others with 12 digits."""
+    shown, n = F.trim(T.text(value)), numeric_candidate(value)
+    low = column.lower()
+    whole = n.cast("decimal(38,0)").cast("string")
+    digits = F.regexp_replace(F.regexp_replace(F.round(n, 12).cast("decimal(38,12)").cast("string"), "0+$", ""), "[.]$", "")
+    percent = F.contains(T.text(value), F.lit("%")) if low not in ("abv", "alcohol_by_volume") else F.lit(False)
+    integer = F.lit(low == "zip" or low.endswith("_zip")) | (n == F.floor(n))
+    return F.when(n.isNull() | percent, shown).when(integer, whole).otherwise(digits)
+
+
+def numeric_candidate(value: Column | str) -> Column:
+    """The number of a value without commas, white space, and a percent sign or ounces behind it; null for none."""
+    x = F.regexp_replace(F.lower(F.trim(T.text(value))), r"[,\s]+", "")
+    return T.number(F.regexp_replace(x, r"(%|oz\.?|ounces?)$", ""))
+
+
+def formatted_time(value: Column) -> Column:
+    """The first clock time with ``a.m.`` or ``p.m.``, in lower case; other values trimmed."""
+    found = F.regexp_extract(T.text(value), r"(?i)([0-9]{1,2}:[0-9]{2}\s*[ap]\.m\.)", 1)
+    return F.when(found != "", F.lower(found)).otherwise(F.trim(T.text(value)))
+
+
+def format_profile(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """Representations repaired from the table's own profile.
+
+    Missing markers become empty; columns of which four fifths are numbers
+    get plain numbers (a padded zip code that repeats often stays), columns
+    named after time get plain times, and a blank state takes the two letters
+    at the end of its city.
+    """
+    blank = lambda c: F.trim(T.text(c)) == ""
+    profile = df.agg(F.count("*").alias("n"), *(x for k, c in enumerate(columns) for x in (F.count_if(~blank(c)).alias(f"f{k}"), F.count_if(numeric_candidate(c).isNotNull()).alias(f"m{k}")))).first()
+    numeric = {c for k, c in enumerate(columns) if profile[f"f{k}"] and profile[f"m{k}"] >= 0.8 * profile[f"f{k}"]}
+    out, padded = df, []
+    for c in [c for c in columns if c.lower() == "zip" and c in numeric]:
+        often = df.groupBy(F.col(c)).agg(F.count("*").alias("_often")).filter(F.col("_often") >= max(10, profile["n"] // 100)).filter(F.trim(T.text(c)).startswith("0")).select(c, F.lit(True).alias(f"_kept_{c}"))
+        out = out.join(often, c, "left")
+        padded.append(c)
+    done = {}
+    for c in columns:
+        marker = F.lower(F.trim(T.text(c))).isin("n/a", "na", "null", "none", "?")
+        if c in numeric:
+            value = formatted_number(F.col(c), c)
+            value = F.when(F.coalesce(F.col(f"_kept_{c}"), F.lit(False)), F.col(c)).otherwise(value) if c in padded else value
+        elif "time" in c.lower():
+            value = F.when(T.text(c).rlike("[0-9]{1,2}:[0-9]{2}"), formatted_time(F.col(c))).otherwise(F.col(c))
+        else:
+            value = F.col(c)
+        done[c] = F.when(marker, "").otherwise(value)
+    out = out.withColumns(done)
+    if {"city", "state"} <= set(columns):
+        tail = F.regexp_extract(T.text("city"), r"\s+([A-Za-z]{2})$", 1)
+        on = (T.text("state") == "") & (tail != "")
+        out = out.withColumns({"_state": F.when(on, F.upper(tail)).otherwise(F.col("state")), "_city": F.when(on, F.regexp_replace(T.text("city"), r"\s+[A-Za-z]{2}$", "")).otherwise(F.col("city"))})
+        out = out.withColumns({"state": F.col("_state"), "city": F.col("_city")})
+    return out.select(*df.columns)
+
+
+def fused(df: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """``format_profile`` where it changes a cell, else ``placeholders``; both profile the dirty table."""
+    masked = df.select(order, *columns)
+    for c in columns:
+        masked = placeholders(masked, c)
+    formatted = format_profile(df, columns, order)
+    side = lambda x, s: x.select(order, *(F.col(c).alias(f"{s}_{c}") for c in columns))
+    met = df.join(side(formatted, "f"), order).join(side(masked, "m"), order)
+    pick = lambda c: F.when(F.col(f"f_{c}").eqNullSafe(F.col(c)), F.col(f"m_{c}")).otherwise(F.col(f"f_{c}"))
+    return met.withColumns({c: pick(c) for c in columns}).select(*df.columns)
+
+
+def context_consensus(df: DataFrame, columns: list[str], key: str, order: str) -> DataFrame:
+    """``fused``, then cells that were blank take the only value of their key in the dirty table."""
+    filled = df
+    for c in [c for c in columns if c != key]:
+        filled = context_fill(filled, c, key)
+    side = lambda x, s: x.select(order, *(F.col(c).alias(f"{s}_{c}") for c in columns))
+    met = fused(df, columns, order).join(side(df, "d"), order).join(side(filled, "c"), order)
+    pick = lambda c: F.when((T.text(f"d_{c}") == "") & (T.text(f"c_{c}") != ""), F.col(f"c_{c}")).otherwise(F.col(c))
+    return met.withColumns({c: pick(c) for c in columns if c != key}).select(*df.columns)
+
+
+def residual_score(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row ``(n_filled, n_dirty, score)``: one less the share of filled cells that still are missing markers or unknown."""
+    blank = lambda c: F.trim(T.text(c)) == ""
+    dirty = lambda c: F.lower(F.trim(T.text(c))).isin("n/a", "na", "null", "none", "?", "unknown", "nan", "-")
+    n = df.agg(F.coalesce(F.sum(sum(((~blank(c)).cast("int") for c in columns), F.lit(0))), F.lit(0)).alias("n_filled"), F.coalesce(F.sum(sum((dirty(c).cast("int") for c in columns), F.lit(0))), F.lit(0)).alias("n_dirty"))
+    return n.withColumn("score", F.round(1 - F.try_divide(F.col("n_dirty"), F.col("n_filled")), 6))
+
+
 def integers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Commas, spaces, percent signs and ounces leave whole numbers, and so do decimals of zero."""
     plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(T.text(c)), "[,% ]|oz\\.?", ""), r"\.0+$", "")

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
+
 def _doc():
     return Window.partitionBy("doc").orderBy("pos")
 
@@ -59,3 +62,63 @@ def evaluate(predicted: DataFrame, column: str = "predicted") -> DataFrame:
     """Counts of true and false positives and of misses over all tokens."""
     p, y = F.col(column) == 1, F.col("label") == 1
     return predicted.agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"))
+
+
+#: Weights of the six context features of a token.
+WEIGHTS = [1.0, 0.65, 0.65, 1.0, 0.8, 0.8]
+
+
+def context_features(examples: DataFrame) -> DataFrame:
+    """Examples with ``features``: the token alone, with one or two neighbours to either side, and between both."""
+    at = lambda k, edge: F.coalesce((F.lag("token", -k) if k < 0 else F.lead("token", k)).over(_doc()), F.lit(edge))
+    x = examples.withColumns({"_l": at(-1, "<B>"), "_l2": at(-2, "<B2>"), "_r": at(1, "<E>"), "_r2": at(2, "<E2>")})
+    t = F.col("token")
+    named = lambda name, *parts: F.concat(F.lit(name + "="), F.concat_ws("|", *parts))
+    keys = [named("token", t), named("left", F.col("_l"), t), named("right", t, F.col("_r")), named("window", F.col("_l"), t, F.col("_r")), named("left2", F.col("_l2"), F.col("_l"), t), named("right2", t, F.col("_r"), F.col("_r2"))]
+    return x.withColumn("features", F.array(*keys)).drop("_l", "_l2", "_r", "_r2")
+
+
+def feature_lexicon(featured: DataFrame, least: int = 2) -> DataFrame:
+    """``(feature, p, n)``: share of positive labels of features seen ``least`` times."""
+    each = featured.select("label", F.explode("features").alias("feature"))
+    return each.groupBy("feature").agg(F.avg(F.col("label").cast("double")).alias("p"), F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def predict_features(featured: DataFrame, lexicon: DataFrame, threshold: float = 0.5, gap: int = 0) -> DataFrame:
+    """``(doc, pos, label, p, predicted)``: weighted mean of the shares of known features; gaps are filled behind it."""
+    p = feature_scores(featured, lexicon)
+    out = p.withColumn("predicted", (F.col("p") >= threshold).cast("int"))
+    return fill_gaps(out, gap).drop("predicted").withColumnRenamed("filled", "predicted") if gap else out
+
+
+def feature_scores(featured: DataFrame, lexicon: DataFrame) -> DataFrame:
+    each = featured.select("doc", "pos", "label", F.posexplode("features").alias("k", "feature")).join(lexicon.select("feature", F.col("p").alias("q")), "feature", "left")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("k") + 1)
+    known = F.when(F.col("q").isNotNull(), weight)
+    return each.groupBy("doc", "pos", "label").agg(F.coalesce(F.try_divide(F.sum(known * F.col("q")), F.sum(known)), F.lit(0.0)).alias("p"))
+
+
+def held_in(doc: str = "doc") -> object:
+    """Whether a document is of the development fold: the last byte of its SHA-256, by five."""
+    return F.conv(F.right(F.sha2(F.col(doc).cast("string"), 256), F.lit(2)), 16, 10).cast("int") % 5 == 0
+
+
+def select_config(examples: DataFrame, counts: tuple[int, ...] = (1, 2, 3, 5), thresholds: tuple[float, ...] = (0.3, 0.4, 0.5, 0.6, 0.7), gaps: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """F1 of every ``(least, threshold, gap)`` on the development fold, fitted on the rest; the first row is the best.
+
+    Ties go to the larger threshold, count and gap.  Each count is scored
+    once; thresholds and gaps are tried on the written scores together.
+    """
+    featured = written(context_features(examples), "features")
+    dev, rest = featured.filter(held_in()), featured.filter(~held_in())
+    lexicon = written(feature_lexicon(rest, 1), "lexicon")
+    out = None
+    for least in counts:
+        p = written(feature_scores(dev, lexicon.filter(F.col("n") >= least)), "scores")
+        for t in thresholds:
+            marked = p.withColumn("predicted", (F.col("p") >= t).cast("int"))
+            for gap in gaps:
+                x = fill_gaps(marked, gap).withColumn("y", F.col("filled")) if gap else marked.withColumn("y", F.col("predicted"))
+                n = evaluate(x, "y").select(F.lit(least).alias("least"), F.lit(t).alias("threshold"), F.lit(gap).alias("gap"), F.round(F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0), 9).alias("f1"))
+                out = n if out is None else out.union(n)
+    return out.orderBy(F.desc("f1"), F.desc("threshold"), F.desc("least"), F.desc("gap"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, integration, matching, profiling, ranking, records
+from . import cleaning, governing, integration, matching, profiling, ranking, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (ranking, profiling, matching, integration, cleaning, records):
+for module in (ranking, profiling, matching, integration, cleaning, records, governing):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

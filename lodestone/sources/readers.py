@@ -6,8 +6,13 @@ it stands; missing values are null and have low confidence.
 
 from __future__ import annotations
 
+import hashlib
+import io
+import re
+import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,18 +25,119 @@ CELL = "table_no int, row_no int, field string, value string"
 SECTIONS = ["abstract", "introduction", "background", "methods", "results", "discussion", "conclusion", "references"]
 
 
-def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """A reader by suffix: csv, tsv, txt, json, jsonl, parquet, orc, xml; all columns of text files are strings."""
+def read_any(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = False) -> DataFrame:
+    """A reader by suffix: csv, tsv, txt, json, jsonl, parquet, orc, xml, html, xlsx; all columns of text files are strings.
+
+    A ``txt`` file, or one without a known suffix, is looked into: tables and
+    articles are markup, else tabs or commas part it, whichever are more in
+    its first 4,096 characters.  ``multi_line`` allows line breaks inside
+    quoted cells and makes each file one task.
+    """
     kind = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if kind in ("csv", "tsv", "txt"):
-        return spark.read.csv(path, header=True, sep="\t" if kind == "tsv" else ",", multiLine=True, escape='"')
+    sep = "\t" if kind == "tsv" else ","
+    if kind not in ("csv", "tsv", "json", "jsonl", "html", "htm", "xml", "parquet", "pq", "orc", "xlsx", "xlsm"):
+        kind, sep = sniffed(spark, path)
+    if kind in ("csv", "tsv"):
+        if kind == "csv" and fmt is None:
+            sep = sniffed(spark, path)[1]
+        return spark.read.csv(path, header=True, sep=sep, multiLine=multi_line, escape='"')
     if kind in ("json", "jsonl"):
         return spark.read.json(path)
     if kind in ("html", "htm"):
         return spark.read.text(path, wholetext=True).withColumnRenamed("value", "html")
+    if kind == "xml":
+        return spark.read.text(path, wholetext=True).withColumnRenamed("value", "xml")
+    if kind in ("xlsx", "xlsm"):
+        return workbook_cells(spark.read.format("binaryFile").load(path))
     return spark.read.format({"pq": "parquet"}.get(kind, kind)).load(path)
 
 
+def sniffed(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Kind and separator of a text file by its first lines."""
+    head = "\n".join(r["value"] for r in spark.read.text(path).limit(200).collect())[:4096]
+    low = head.lower()
+    if "<article" in low:
+        return "xml", ","
+    if "<table" in low or "<html" in low:
+        return "html", ","
+    return "csv", "\t" if head.count("\t") > head.count(",") else ","
+
+
+def _sheets(content: bytes) -> list[tuple[str, int, int, str, bool]]:
+    """Cells ``(sheet, row, column, value, merged)`` of a workbook; text of formulas is their stored value."""
+    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in si.iterfind(".//m:t", ns)) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", ns)]
+        targets = {r.get("Id"): r.get("Target", "").lstrip("/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", ns):
+            target = targets.get(sheet.get(rel), "")
+            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
+            merged = root.find("m:mergeCells", ns) is not None
+            for n, row in enumerate(root.iterfind("m:sheetData/m:row", ns), 1):
+                for k, cell in enumerate(row.iterfind("m:c", ns), 1):
+                    letters = re.match("[A-Z]+", cell.get("r") or "")
+                    column = sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(letters[0]))) if letters else k
+                    value = cell.findtext("m:v", "", ns)
+                    if cell.get("t") == "s":
+                        value = shared[int(value)] if value else ""
+                    elif cell.get("t") == "inlineStr":
+                        value = "".join(t.text or "" for t in cell.iterfind(".//m:t", ns))
+                    elif cell.get("t") == "b":
+                        value = "TRUE" if value == "1" else "FALSE"
+                    out.append((sheet.get("name"), int(row.get("r") or n), column, value, merged))
+    return out
+
+
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """``(path, location, field, value, confidence, kind, status)`` of the cells of workbooks ``(path, content)``.
+
+    The first row of a sheet names its fields; ``location`` is
+    ``sheet:row:column``.  Sheets with merged cells go to review, and so does
+    a workbook that cannot be read, as one row without value.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"]):
+                try:
+                    found = _sheets(bytes(content))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError):
+                    rows.append((path, "", "", None, True))
+                    continue
+                first = {}
+                for sheet, row, column, value, merged in found:
+                    if sheet not in first or row == first[sheet][0]:
+                        first.setdefault(sheet, (row, {}))[1][column] = value
+                    else:
+                        rows.append((path, f"{sheet}:{row}:{column}", first[sheet][1].get(column) or f"column_{column}", value, merged))
+            yield pd.DataFrame(rows, columns=["path", "location", "field", "value", "merged"])
+
+    x = files.select("path", "content").mapInPandas(run, "path string, location string, field string, value string, merged boolean")
+    known = T.is_filled("value", "scan")
+    return x.select("path", "location", "field", F.when(known, F.col("value")).alias("value"), F.when(known, 0.9).otherwise(0.4).alias("confidence"), T.value_type("value").alias("kind"), F.when(F.col("merged"), "REVIEW").otherwise("OK").alias("status"))
+
+
+def parsed(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """Cells of a file of any kind that ``read_any`` knows; a file without a cell is one ``REJECTED`` row."""
+    df = read_any(spark, path, fmt)
+    if df.columns == ["html"]:
+        x = html_cells(df.withColumn("page_id", F.monotonically_increasing_id())).select(F.concat_ws(":", F.lit("table"), "table_no", "row_no").alias("location"), "field", "value")
+    elif df.columns == ["xml"]:
+        x = jats_cells(df.select(F.lit(1).alias("id"), "xml")).select("location", "field", "value")
+    elif {"location", "field", "value"} <= set(df.columns):
+        x = df.select("location", "field", "value")
+    else:
+        x = cells(df.withColumn("_row", F.monotonically_increasing_id()), "_row").select("location", "field", "value")
+    x = x.withColumn("status", F.lit("OK"))
+    return x if x.limit(1).count() else spark.range(1).select(F.lit("").alias("location"), F.lit("").alias("field"), F.lit(None).cast("string").alias("value"), F.lit("REJECTED").alias("status"))
+
+
 def cells(df: DataFrame, id_col: str, columns: list[str] | None = None) -> DataFrame:
     """One cell record for each cell, with its type; ``location`` is ``row:<id>``."""
     columns = columns or [c for c in df.columns if c != id_col]
@@ -139,6 +245,135 @@ def jats_captions(xml: Column | str) -> Column:
     return F.transform(found, lambda c: F.substring(F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " ")), 1, 800))
 
 
+def jats_cells(articles: DataFrame) -> DataFrame:
+    """``(id, location, field, value, status)`` of articles ``(id, xml)``: table cells, figure captions, and the text's digest.
+
+    Captions have up to 800 characters and go to review; broken XML has the
+    digest alone.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for i, xml in zip(f["id"], f["xml"]):
+                text = xml or ""
+                wraps = re.findall(r"(?s)<table-wrap[ >].*?</table-wrap>", text)
+                for w, wrap in enumerate(wraps):
+                    rows += [(i, f"table-wrap:{w}:{t}:{r}", name, value, "OK") for t, r, name, value in table_cells(wrap)]
+                for k, caption in enumerate(re.findall(r"(?s)<fig[ >].*?<caption>(.*?)</caption>", text)):
+                    rows.append((i, f"fig:{k}", "caption", " ".join(re.sub("<[^>]*>", " ", caption).split())[:800], "REVIEW"))
+                rows.append((i, "document", "content_hash", hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:16], "OK"))
+            yield pd.DataFrame(rows, columns=["id", "location", "field", "value", "status"])
+
+    return articles.select(F.col("id").cast("string").alias("id"), "xml").mapInPandas(run, "id string, location string, field string, value string, status string")
+
+
+def section_excerpts(texts: DataFrame, id_col: str = "id", text_col: str = "text", longest: int = 800) -> DataFrame:
+    """``(id, section, excerpt, content_hash)`` of each section of extracted texts."""
+    each = texts.select(F.col(id_col).alias("id"), F.substring(F.sha2(T.text(text_col), 256), 1, 16).alias("content_hash"), F.explode(paper_sections(text_col)).alias("s"))
+    return each.select("id", "s.section", F.substring("s.body", 1, longest).alias("excerpt"), "content_hash")
+
+
+def votable(files: DataFrame, table: str) -> DataFrame:
+    """``(path, source_row, row map)`` of a named table of VOTable files ``(path, content)``.
+
+    A row with another number of cells than fields, a missing table and a
+    status of error or overflow are errors when they are read.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        local = lambda e: e.tag.rsplit("}", 1)[-1]
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"]):
+                root = ElementTree.fromstring(bytes(content))
+                for e in root.iter():
+                    if local(e) == "INFO" and e.get("name", "").upper() == "QUERY_STATUS" and e.get("value", "").upper() in ("ERROR", "OVERFLOW"):
+                        raise ValueError(f"{path}: query status {e.get('value')}")
+                found = next((e for e in root.iter() if local(e) == "TABLE" and e.get("name") == table), None)
+                if found is None:
+                    raise ValueError(f"{path}: no table {table}")
+                names = [e.get("name") for e in found if local(e) == "FIELD"]
+                lines = [e for e in found.iter() if local(e) == "TR"]
+                for n, line in enumerate(lines, 1):
+                    values = [e.text or "" for e in line if local(e) == "TD"]
+                    if len(values) != len(names):
+                        raise ValueError(f"{path}: row {n} has {len(values)} cells for {len(names)} fields")
+                    rows.append((path, n, dict(zip(names, values))))
+            yield pd.DataFrame(rows, columns=["path", "source_row", "row"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, source_row int, row map<string,string>")
+
+
+def votable_fields(files: DataFrame, table: str) -> DataFrame:
+    """``(path, field, unit, datatype)`` of a named table."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        local = lambda e: e.tag.rsplit("}", 1)[-1]
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"]):
+                for t in ElementTree.fromstring(bytes(content)).iter():
+                    if local(t) == "TABLE" and t.get("name") == table:
+                        rows += [(path, e.get("name"), e.get("unit"), e.get("datatype")) for e in t if local(e) == "FIELD"]
+            yield pd.DataFrame(rows, columns=["path", "field", "unit", "datatype"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, field string, unit string, datatype string")
+
+
+def cleaning_pair(dirty: DataFrame, clean: DataFrame, key: str = "tid") -> tuple[DataFrame, DataFrame]:
+    """A dirty table and its clean one with the same columns.
+
+    ``clean`` is either whole, with columns that may be spelt otherwise (case,
+    underlines, a ``full``, ``raw`` or ``original`` before), or the corrected
+    cells ``(tid, attribute, correct_val)`` alone.  Different numbers of rows
+    are an error.
+    """
+    if {"attribute", "correct_val"} <= set(clean.columns):
+        names = [c for c in dirty.columns if c != key]
+        wide = clean.groupBy(F.col(clean.columns[0]).alias(key)).pivot("attribute", names).agg(F.first("correct_val"))
+        met = dirty.join(wide.select(key, *(F.col(f"`{c}`").alias(f"_{c}") for c in names)), key, "left")
+        return dirty, met.select(key, *(F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in names)).select(*dirty.columns)
+    bare = lambda c: re.sub("^(full|raw|original)_?", "", re.sub("[^a-z0-9]+", "_", c.lower()).strip("_")).replace("_", "")
+    by_name = {bare(c): c for c in clean.columns}
+    absent = [c for c in dirty.columns if bare(c) not in by_name]
+    if absent:
+        raise ValueError(f"the clean table lacks {absent}")
+    if dirty.count() != clean.count():
+        raise ValueError("the dirty and the clean table have different numbers of rows")
+    return dirty, clean.select(*(F.col(f"`{by_name[bare(c)]}`").alias(c) for c in dirty.columns))
+
+
+def gold_set(spark: SparkSession, folder: str, name: str, columns: dict[str, str]) -> DataFrame:
+    """A gold table of a folder: exactly these columns, booleans as TRUE or FALSE, names in lower case.
+
+    ``columns`` gives the kind of each: ``string``, ``boolean``, ``enum``.
+    """
+    df = spark.read.csv(f"{folder}/{name}.csv", header=True, escape='"')
+    if df.columns != list(columns):
+        raise ValueError(f"{name} has columns {df.columns}, expected {list(columns)}")
+    flag = lambda c: F.when(F.upper(F.trim(c)) == "TRUE", True).when(F.upper(F.trim(c)) == "FALSE", False).otherwise(F.raise_error(F.lit(f"{name}: neither TRUE nor FALSE")).cast("boolean"))
+    kinds = {"string": lambda c: F.trim(c), "boolean": flag, "enum": lambda c: F.lower(F.trim(c))}
+    return df.select(*(kinds[k](F.col(c)).alias(c) for c, k in columns.items()))
+
+
+def table_digest(df: DataFrame) -> DataFrame:
+    """One row ``digest``: the same for the same rows in any order."""
+    row = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+    one = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.coalesce(F.sum(one).cast("string"), F.lit("0"))), 256).alias("digest"))
+
+
+def schema_task(spark: SparkSession, folder: str, order: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Source table, target table and gold pairs ``(source, target)`` of a schema-matching folder; a gold pair of an absent column is an error."""
+    a, b = (spark.read.csv(f"{folder}/{n}_table.csv", header=True, escape='"') for n in ("source", "target"))
+    gold = spark.read.json(f"{folder}/ground_truth.json", multiLine=True).select(F.explode("matches").alias("m")).select(F.col("m.source_column").alias("source"), F.col("m.target_column").alias("target"))
+    bad = gold.filter(~F.col("source").isin(*a.columns) | ~F.col("target").isin(*b.columns))
+    if bad.limit(1).count():
+        raise ValueError("a gold pair names a column that is not there")
+    return a, b, gold.distinct()
+
+
 def series_matrix(lines: DataFrame) -> DataFrame:
     """``(sample, key, value)`` from ``lines(value)`` of a series matrix: header lines turned into rows of samples."""
     head = lines.filter(F.col("value").startswith("!Sample_")).select(F.split("value", "\t").alias("p"))
