@@ -159,3 +159,19 @@ def clean_observations(df: DataFrame, group: list[str], value: str, order: str)
     joined = rows.join(k, reduce(lambda x, y: x & y, (F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in [*group, value]))).join(s, reduce(lambda x, y: x & y, (F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group)))
     status = F.when(F.col(f"r.{order}") != F.col("k.first"), "duplicate").when((F.col("s.n_values") > 1) | F.col(f"r.{value}").isNull() | (F.col(f"r.{value}") == 0), "review").otherwise("accepted")
     return joined.select("r.*", status.alias("status"))
+
+
+def coalesced_dedup(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row by ``order`` of each key, the first filled of ``keys`` folded; rows without any stay."""
+    name = lambda c: F.when(F.trim(T.text(c)) != "", F.concat(F.lit(f"{c}:"), F.trim(T.fold(c))))
+    keyed = df.withColumn("_key", F.coalesce(*(name(c) for c in keys)))
+    first = keyed.filter("_key is not null").groupBy("_key").agg(F.min(order).alias(order))
+    kept = keyed.join(first, ["_key", order], "left_semi")
+    return kept.unionByName(keyed.filter("_key is null")).select(*df.columns)
+
+
+def distinct_rows(df: DataFrame, identity: list[str], order: str) -> DataFrame:
+    """The first row by ``order`` of each folded identity, its columns put together by ``|``."""
+    key = F.concat_ws("|", *(T.fold(c) for c in identity))
+    first = df.groupBy(key.alias("_key")).agg(F.min(order).alias("_first"))
+    return df.join(first, (key == F.col("_key")) & (F.col(order) == F.col("_first"))).select(*df.columns)

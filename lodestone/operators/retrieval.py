@@ -430,3 +430,21 @@ def final_ids(calls: DataFrame, datasets: DataFrame) -> DataFrame:
     a = calls.filter("status = 'succeeded'").select(F.lit(0).alias("g"), "ord", F.posexplode("ids").alias("n", "doc_id"))
     b = datasets.select(F.lit(1).alias("g"), "ord", F.lit(0).alias("n"), F.col("id").alias("doc_id"))
     return a.union(b).filter("doc_id is not null and doc_id <> ''").groupBy("doc_id").agg(F.min(F.struct("g", "ord", "n")).alias("ord"))
+
+
+def cross_encoder(logits) -> object:
+    """A reranker for ``search`` from a function ``pairs -> logit column`` over ``(query_id, doc_id, query, text)``; scores are its sigmoid."""
+
+    def rerank_by(ranking: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        pairs = ranking.select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+        scored = pairs.withColumn("score", F.round(1 / (1 + F.exp(-logits(F.col("query"), F.col("text")))), DIGITS))
+        return ranked(scored, k)
+
+    return rerank_by
+
+
+def backend(wanted: str, available: dict[str, object], fallback: str = "hashing") -> tuple[object, list[str]]:
+    """The named dense search and no warning, or the fallback and why."""
+    if wanted in available:
+        return available[wanted], []
+    return available.get(fallback, hashing_search), [f"{wanted} is not available; {fallback} stands in and is no semantic model"]

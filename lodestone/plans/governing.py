@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import intent as I
@@ -10,7 +11,8 @@ from ..operators import cleaning as C
 from ..operators import coverage as V
 from ..operators import governance as G
 from ..operators import graph as H
-from ..operators import quality as Q
+from ..operators import profile as D
+from ..operators import retrieval as R
 from ..operators import sequence as S
 from ..sources import payloads as P
 from ..sources import readers
@@ -506,3 +508,68 @@ def article_cells(spark, sf):
 def section_excerpts(spark, sf):
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("Abstract\nshort\n2 Methods:\ndone so").alias("text"))
     return readers.section_excerpts(d).drop("content_hash")
+
+
+@suite.add("""WITH d AS (SELECT event_id AS ord, CASE WHEN event_id % 3 = 0 THEN 'D' || (event_id % 50) ELSE '' END AS doi, CASE WHEN event_id % 5 = 0 THEN 'P' || (event_id % 40) END AS pmid, CASE WHEN event_id % 7 <> 0 THEN event_type END AS title FROM events),
+k AS (SELECT *, coalesce(CASE WHEN doi <> '' THEN 'doi:' || lower(doi) END, CASE WHEN pmid IS NOT NULL THEN 'pmid:' || lower(pmid) END, CASE WHEN title IS NOT NULL THEN 'title:' || lower(title) END) AS k FROM d)
+SELECT ord, doi, pmid, title FROM k WHERE k IS NULL OR ord = (SELECT min(ord) FROM k j WHERE j.k = k.k)""")
+def coalesced_papers(spark, sf):
+    e = F.col("event_id")
+    d = read(spark, sf, "events").select(e.alias("ord"), F.when(e % 3 == 0, F.concat(F.lit("D"), (e % 50).cast("string"))).otherwise("").alias("doi"), F.when(e % 5 == 0, F.concat(F.lit("P"), (e % 40).cast("string"))).alias("pmid"), F.when(e % 7 != 0, F.col("event_type")).alias("title"))
+    return D.coalesced_dedup(d, ["doi", "pmid", "title"], "ord")
+
+
+@suite.add("SELECT min(event_id) AS event_id FROM events GROUP BY lower(event_type), user_id")
+def distinct_sources(spark, sf):
+    e = read(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")).alias("kind"), F.col("user_id").cast("string").alias("user"))
+    return D.distinct_rows(e, ["kind", "user"], "event_id").select("event_id")
+
+
+@suite.add("""WITH b AS (SELECT 0 AS g, n_nationkey AS o, 'f' || (n_nationkey % 6) AS name, 'a' AS arguments FROM nation UNION ALL SELECT 1, n_nationkey, 'f' || (n_nationkey % 9), 'a' FROM nation) SELECT name, arguments FROM (SELECT name, arguments, min((g, o)) AS first FROM b GROUP BY ALL) ORDER BY first LIMIT 8""")
+def merged_calls(spark, sf):
+    n = read(spark, sf, "nation")
+    calls = lambda m: n.select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("f"), (F.col("n_nationkey") % m).cast("string")).alias("name"), F.lit("a").alias("arguments"))
+    return P.merged_calls(calls(6), calls(9), 8)
+
+
+@suite.add("""WITH c AS (SELECT 0 AS g, n_nationkey AS o, unnest(range(2)) AS n, unnest(['d' || (n_nationkey % 4), 'e' || n_nationkey]) AS id FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 1, r_regionkey, 0, 'd' || r_regionkey FROM region) SELECT id AS doc_id, row_number() OVER (ORDER BY min((g, o, n))) AS place FROM c GROUP BY id""")
+def final_ids(spark, sf):
+    n = F.col("n_nationkey")
+    calls = read(spark, sf, "nation").select(n.alias("ord"), F.when(n % 2 == 0, "succeeded").otherwise("failed").alias("status"), F.array(F.concat(F.lit("d"), (n % 4).cast("string")), F.concat(F.lit("e"), n.cast("string"))).alias("ids"))
+    sets = read(spark, sf, "region").select(F.col("r_regionkey").alias("ord"), F.concat(F.lit("d"), F.col("r_regionkey").cast("string")).alias("id"))
+    return R.final_ids(calls, sets).select("doc_id", F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"))
+
+
+@suite.add("""WITH r AS (SELECT event_id % 40 AS q, event_id AS doc, row_number() OVER (PARTITION BY event_id % 40 ORDER BY event_id) AS rank FROM events), e AS (SELECT DISTINCT event_id % 40 AS q, 's' || (event_id % 40 % 7) AS s FROM events UNION SELECT DISTINCT event_id % 40, 's8' FROM events),
+m AS (SELECT q, s, min(rank) AS rank, max((doc % 3 = 0)::INT) AS strict FROM r JOIN e USING (q) WHERE rank <= 10 AND s = 's' || (doc % 9) GROUP BY q, s), p AS (SELECT q, min(rank) AS best, sum(1.0::DOUBLE / log2(rank + 1)) AS dcg, max(strict) AS strict FROM m GROUP BY q), n AS (SELECT DISTINCT q FROM e)
+SELECT count(*) AS n_cases, round(avg(CASE WHEN best IS NULL THEN 0.0 ELSE 1 END), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr, round(avg(coalesce(dcg, 0) / (1 + 1.0::DOUBLE / log2(3))), 6) AS ndcg, round(avg(coalesce(strict, 0)), 6) AS evidence_hit_rate FROM n LEFT JOIN p USING (q)""")
+def source_metrics(spark, sf):
+    e = F.col("event_id")
+    ev = read(spark, sf, "events")
+    ranking = R.ranked(ev.select((e % 40).alias("query_id"), e.alias("doc_id"), (-e).alias("score")), None)
+    hits = ev.select(e.alias("doc_id"), F.concat(F.lit("S"), (e % 9).cast("string")).alias("source"), F.when(e % 3 == 0, "Methods").otherwise("Results").alias("section"))
+    want = ev.select((e % 40).alias("query_id"), F.concat(F.lit("s"), (e % 40 % 7).cast("string")).alias("source"), F.lit("methods").alias("section")).union(ev.select((e % 40).alias("query_id"), F.lit("s8"), F.lit("methods"))).distinct()
+    return R.source_metrics(ranking, hits, want)
+
+
+@suite.add("SELECT page_id AS record_id, 't' AS title, ['csv', 'gz'] AS formats FROM pages")
+def dataset_formats(spark, sf):
+    return P.dataset_formats(read(spark, sf, "pages").select(F.col("page_id").alias("record_id"), F.lit("t").alias("title"), F.array(F.lit("b.CSV"), F.lit("a.tar.gz"), F.lit("none"), F.lit("c.csv")).alias("files")))
+
+
+@suite.add("SELECT doc_id AS paper_id, ['GSE' || (1000 + doc_id % 7), 'GSE500'] AS accessions FROM documents")
+def paper_accessions(spark, sf):
+    d = read(spark, sf, "documents")
+    first = F.concat(F.lit("see gse"), (F.col("doc_id") % 7 + 1000).cast("string"), F.lit(" and GSE500"))
+    return P.paper_accessions(d.select(F.col("doc_id").alias("paper_id"), F.lit(1).alias("ord"), first.alias("text")).union(d.select("doc_id", F.lit(2), F.lit("GSE500 again"))))
+
+
+@suite.add("SELECT ['a', 'b', 'c'] AS fields")
+def payload_fields(spark, sf):
+    p = read(spark, sf, "pages").select(F.when(F.col("page_id") % 2 == 0, '{"a": 1, "b": null}').otherwise('{"c": {"d": 2}, "a": 0}').alias("payload"))
+    return P.raw_fields(p)
+
+
+@suite.add("SELECT least(count(*), 10) AS row_count, count(*) AS upstream_row_count, count(*) > 10 AS truncated FROM pages")
+def capped_table(spark, sf):
+    return P.capped(read(spark, sf, "pages"), 10, ["page_id"])[1]
