@@ -243,6 +243,8 @@ def derived(df: DataFrame, genes: list[str] | None = None) -> DataFrame:
 
 def filled_columns(df: DataFrame) -> list[str]:
     """Columns with a filled value, in one pass."""
+    if not df.columns:
+        return []
     row = df.agg(*(F.max(T.is_filled(F.col(f"`{c}`"))).alias(f"c{k}") for k, c in enumerate(df.columns))).first()
     return [c for k, c in enumerate(df.columns) if row[k]]
 

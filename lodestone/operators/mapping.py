@@ -151,4 +151,4 @@ def evidence(records: DataFrame) -> DataFrame:
 def valid_rule(rule: Rule) -> bool:
     """Whether the normaliser fits the canonical field."""
     fits = {"gene": ("gene",), "drug": ("drug", "treatment"), "mutation_status": ("mutation_status",), "response_domain": ("response_domain",), "biomarker": ("her2_status", "er_status", "pr_status", "her2_raw_value", "her2_assay")}
-    return bool(re.fullmatch(r"[^.\s][^\s]*", rule.raw_field)) and rule.canonical_field in fits.get(rule.normaliser, (rule.canonical_field,))
+    return bool(re.fullmatch(r"[^.]+(\.[^.]+)*", rule.raw_field)) and rule.canonical_field in fits.get(rule.normaliser, (rule.canonical_field,))
