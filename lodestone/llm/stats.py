@@ -44,7 +44,7 @@ def text_stats(column: pa.Array) -> np.ndarray:
     words = words_of(column)
     n, data, text = len(column), words.data, words.text_of
     out = np.zeros((n, len(COUNTS)), np.int64)
-    if not len(words.hash):
+    if not len(words.index):
         return out
     put = lambda name, x: out.__setitem__((slice(None), COUNTS.index(name)), x)
     put("n_words", np.diff(words.first))
@@ -83,7 +83,7 @@ def text_stats(column: pa.Array) -> np.ndarray:
     if len(h):
         order, at, size = _groups(gram_text, h)
         twice = np.repeat(size > 1, size)
-        cover = np.zeros(len(words.hash) + REPEAT + 1, np.int64)
+        cover = np.zeros(len(words.index) + REPEAT + 1, np.int64)
         where = gram_at[order[twice]]
         np.add.at(cover, where, 1)
         np.add.at(cover, where + REPEAT, -1)

@@ -47,11 +47,15 @@ PATTERNS = {
     "threat": r"\b(?:kill|hurt|beat|destroy)\s+(?:you|them|him|her)\b|\bgo\s+die\b",
     "masked": r"\b(?:[a-z]+[*@#$!]{1,3}[a-z]+|[a-z]*[i1!]d[i1!][o0]t[a-z]*|m[o0]r[o0]n[a-z]*|l[o0]ser[a-z]*|sh[i1!*]t[a-z]*|f[u*]ck[a-z]*)\b",
 }
+#: Words of which a match of a pattern holds one at least; a text without them is not searched.
+NEEDS = {"address": ["idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting"], "threat": ["kill", "hurt", "beat", "destroy", "die"]}
 VOTERS = [*LEXICONS, "learned", "stems", *PATTERNS, "breadth"]
 #: Toxic training rows that an induced word or stem stands in at least, and its least odds against clean rows.
 LEARNED_ROWS, LEARNED_ODDS = 8, 6.0
 STEM = 5
 THRESHOLD = 0.7
+#: Least correlation, given the label, of voters that the label model may link.
+CORRELATED = 0.15
 _TOKEN = re.compile(r"\w+")
 
 
@@ -95,7 +99,7 @@ def hits(docs: DataFrame, lexicon: list[str], stems: list[str], id_col: str = "d
                         out[k].append(sum(w in s for w in found))
                     out["stems"].append(sum(w[:STEM] in starts for w in words if len(w) > STEM) if starts else 0)
                     for k, p in patterns.items():
-                        out[k].append(sum(1 for _ in p.finditer(low)))
+                        out[k].append(sum(1 for _ in p.finditer(low)) if k not in NEEDS or any(w in low for w in NEEDS[k]) else 0)
                     out["breadth"].append(len(set(found)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, pa.int64()) for v in out.values())], names=["doc_id", *out])
 
@@ -125,31 +129,41 @@ class LabelModel:
     ``table[j][y, v_parent, v]``: chances of a vote.
     """
 
-    def __init__(self, votes: np.ndarray, count: np.ndarray, rounds: int = 200, least_change: float = 1e-6):
-        """``votes``: patterns x voters, in 0, 1, 2; ``count``: documents of each pattern."""
-        k = votes.shape[1]
+    def __init__(self, votes: np.ndarray, count: np.ndarray, rounds: int = 1000, least_change: float = 1e-7):
+        """``votes``: patterns x voters, in 0, 1, 2; ``count``: documents of each pattern.
+
+        At first voters are linked that are nearly copies; every fiftieth round
+        the tree is chosen anew among voters that are correlated given the label.
+        """
         self.n = max(count.sum(), 1.0)
-        self.one = np.eye(3)[votes].reshape(len(votes), 3 * k)
-        start = 2.0 * (votes == 2).sum(axis=1) - (votes == 0).sum(axis=1) - 1.0
+        self.one = np.eye(3)[votes].reshape(len(votes), 3 * votes.shape[1])
+        # voters that move together share one say at the start
+        x = votes - 1.0 - (count @ (votes - 1.0)) / self.n
+        total = (x * count[:, None]).T @ x
+        scale = np.sqrt(np.maximum(np.diag(total), 1e-9))
+        say = 1 / np.maximum(np.abs(total / np.outer(scale, scale)).sum(axis=1), 1.0)
+        start = 3.0 * (votes == 2) @ say - 1.5 * (votes == 0) @ say - 1.0
         q = 1 / (1 + np.exp(-start))
-        for _ in range(rounds):
-            self._tables(votes, np.stack([count * (1 - q), count * q]))
+        for k in range(rounds):
+            self._tables(votes, np.stack([count * (1 - q), count * q]), k % 50 == 0, CORRELATED if k else 0.5)
             new = self.posterior(votes)
             change, q = np.abs(new - q) @ count / self.n, new
-            if change < least_change:
+            if change < least_change and k >= 50:
                 break
         self._describe(votes, np.stack([count * (1 - q), count * q]))
         if not self.toxic_side():
             self.prior, self.table = self.prior[::-1], [t[::-1] for t in self.table]
             self._describe(votes, np.stack([count * q, count * (1 - q)]))
 
-    def _tables(self, votes: np.ndarray, mass: np.ndarray) -> None:
+    def _tables(self, votes: np.ndarray, mass: np.ndarray, choose: bool, least: float) -> None:
         k = votes.shape[1]
         self.prior = (mass.sum(axis=1) + 1) / (mass.sum() + 2)
         joint = np.stack([(self.one * m[:, None]).T @ self.one for m in mass]).reshape(2, k, 3, k, 3)
         alone = np.stack([joint[:, j, :, j, :].diagonal(axis1=1, axis2=2) for j in range(k)], axis=1)
         self.alone = (alone + 1) / (alone + 1).sum(axis=2, keepdims=True)
-        self.parent = self._tree(joint, alone)
+        if choose:
+            self._describe(votes, mass)
+            self.parent = self._tree(joint, alone, least)
         self.table = []
         for j, p in enumerate(self.parent):
             if p < 0:
@@ -159,7 +173,7 @@ class LabelModel:
                 t = joint[:, p, :, j, :] + 2 * self.alone[:, j][:, None]
                 self.table.append(t / t.sum(axis=2, keepdims=True))
 
-    def _tree(self, joint: np.ndarray, alone: np.ndarray) -> list[int]:
+    def _tree(self, joint: np.ndarray, alone: np.ndarray, least: float) -> list[int]:
         """Parents in the tree of greatest mutual information given the label; links worth less than they cost are left out."""
         k = alone.shape[1]
         total = alone.sum(axis=2)
@@ -168,7 +182,8 @@ class LabelModel:
             for j in range(i):
                 x = joint[:, i, :, j, :] + 0.5
                 expected = (x.sum(axis=2)[:, :, None] * x.sum(axis=1)[:, None, :]) / x.sum(axis=(1, 2))[:, None, None]
-                gain[i, j] = gain[j, i] = (x * np.log(x / expected)).sum()
+                if abs(self.correlation[i, j]) >= least:
+                    gain[i, j] = gain[j, i] = (x * np.log(x / expected)).sum()
         cost = 4 * np.log(self.n + 1)  # eight numbers, as the Bayesian information criterion counts them
         parent, inside = [-1] * k, {0} if total.size else set()
         while len(inside) < k:

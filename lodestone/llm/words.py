@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +56,26 @@ class Words:
     end: np.ndarray
     #: Equal for equal words of this chunk, and only for them.
     index: np.ndarray
-    #: The two halves of the 128-bit name.
-    hash: np.ndarray
-    more: np.ndarray
+    #: The different words, by number.
+    distinct: list[bytes]
     first: np.ndarray
     #: Where each text's bytes begin.
     offsets: np.ndarray
 
+    @cached_property
+    def names(self) -> np.ndarray:
+        """The two halves of each word's 128-bit name, made when they are first asked for."""
+        digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in self.distinct])
+        return np.frombuffer(digests, "<u8").reshape(-1, 2)[self.index]
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return np.ascontiguousarray(self.names[:, 0])
+
+    @cached_property
+    def more(self) -> np.ndarray:
+        return np.ascontiguousarray(self.names[:, 1])
+
     @property
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -86,7 +100,7 @@ def words_of(column: pa.Array) -> Words:
     n = len(data)
     none = np.empty(0, np.int64)
     if n == 0:
-        return Words(data, none, none, none, np.empty(0, np.uint64), np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64), offsets)
+        return Words(data, none, none, none, [], np.zeros(len(column) + 1, np.int64), offsets)
     inside = ~_SPACE[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
@@ -97,14 +111,12 @@ def words_of(column: pa.Array) -> Words:
     begin, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
     coded = numbered(data, inside, end - begin)
     index = np.asarray(coded.indices).astype(np.int64)
-    digests = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist()])
-    names = np.frombuffer(digests, "<u8").reshape(-1, 2)
-    return Words(data, begin, end, index, names[index, 0], names[index, 1], np.searchsorted(begin, offsets), offsets)
+    return Words(data, begin, end, index, coded.dictionary.to_pylist(), np.searchsorted(begin, offsets), offsets)
 
 
 def whole_hash(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each text's word sequence: BLAKE2b over its words' names, as two signed columns."""
-    names = np.column_stack([words.hash, words.more])
+    names = words.names
     digests = b"".join([hashlib.blake2b(names[a:b].tobytes(), digest_size=16).digest() for a, b in zip(words.first, words.first[1:])])
     both = np.frombuffer(digests, "<i8").reshape(-1, 2)
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
@@ -138,7 +150,11 @@ def grams(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def exact_grams(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Like ``grams`` with exact numbers in place of names: equal runs, and only these, have equal numbers."""
     text, at = inner_runs(words, width)
+    bits = max(len(words.distinct) - 1, 1).bit_length()
     number = words.index[at]
     for k in range(1, width):
-        number = np.unique(number * (len(words.index) + 1) + words.index[at + k], return_inverse=True)[1]
+        if bits * (k + 1) < 63:
+            number = number << bits | words.index[at + k]
+        else:
+            number = np.unique(number, return_inverse=True)[1] * (len(words.distinct) + 1) + words.index[at + k]
     return text, at, number

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, counts, dac, decontaminate, minhash, pii, quality, registry, rules, substring, toxicity
+from lodestone.llm import bpe, counts, dac, decontaminate, labelled, minhash, pii, quality, registry, rules, stats, substring, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -173,11 +173,240 @@ def test_held_out_accuracy(spark, operator, label):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
-@pytest.mark.parametrize("name", ["near", "pii", "bpe"])
-def test_empty_table(docs, name):
-    none = docs.limit(0)
-    out = {"near": lambda: minhash.near_classes(none), "pii": lambda: pii.detect(none), "bpe": lambda: bpe.encode_digests(none, registry.vocabulary())}[name]()
-    assert out.count() == 0
+LABELS = "doc_id long, quality int, toxic int"
+ALL = {
+    "op1": lambda d, l, b: toxicity.score(d, l), "op2": lambda d, l, b: minhash.near_classes(d), "op3": lambda d, l, b: quality.score(d, l), "op4": lambda d, l, b: substring.dedup_digests(d), "op5": lambda d, l, b: pii.detect(d), "op6": lambda d, l, b: dac.read_digests(dac.write_files(d, registry.vocabulary())),
+    "op7": lambda d, l, b: decontaminate.leaks(d, b), "op8": lambda d, l, b: bpe.encode_digests(d, registry.vocabulary()), "op9": lambda d, l, b: counts.token_counts(d, registry.vocabulary()), "op10": lambda d, l, b: rules.verdicts(d),
+}
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_empty_tables(spark, docs, name):
+    none = spark.createDataFrame([], LABELS)
+    assert ALL[name](docs.limit(0), none, registry.table(spark, SF, "benchmark").limit(0)).count() == 0
+
+
+#: Repeated ids, null ids, null language and source, and columns that the operators use inside.
+HARD = [(1, "the same words stand here twice and once more for good measure you idiot", None, None), (1, "other words under the same id with mail a@b.cc", "en", "x"), (None, "no id at all but words enough", "en", None), (2, None, None, "x"), (2, "", "en", "x"), (3, "w " * 60, "en", "x"), (4, "w " * 60, "en", "x")]
+CLASH = ["id", "label", "key", "words", "group", "start", "place", "score", "bag", "held", "x", "n"]
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_hard_rows(spark, name):
+    d = spark.createDataFrame(HARD, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("clash") for c in CLASH})
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (None, 1, 1), (3, None, None), (4, 7, 0)], LABELS).withColumn("y", F.lit("clash"))
+    items = spark.createDataFrame([(1, "words enough to be an item of the test", "c"), (None, "x y z u v w", "c"), (2, None, "c"), (3, "w " * 60, "c")], "item_id long, text string, doc string")
+    out = ALL[name](d, labels, items).collect()
+    ids = sorted((r[0] for r in out), key=str)
+    if name == "op2":
+        assert {r["id"]: r["class_id"] for r in out} == {1: 1, 2: 2, 3: 3, 4: 3}
+    elif name == "op7":
+        assert {(r["doc_id"], r["item_id"]) for r in out} == {(3, 3), (4, 3)}
+    else:
+        assert ids == sorted((h[0] for h in HARD), key=str)
+
+
+def thue_morse(n):
+    w = [0]
+    while len(w) < n:
+        w += [1 - x for x in w]
+    return "".join("ab"[x] for x in w[:n])
+
+
+def test_words_that_hash_alike_in_a_ring_stay_apart(spark):
+    """Two words of 1,024 letters whose polynomial hashes modulo 2**64 are equal for every odd base."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{k}" for k in range(12))
+    d = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {other}")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("x")})
+    assert {r["doc_id"]: r["n_removed"] for r in substring.dedup_digests(d).collect()} == {1: 0, 2: 0}
+    assert {r["id"]: r["copy_of"] for r in minhash.near_classes(d).collect()} == {1: 1, 2: 2}
+    lines = spark.createDataFrame([(1, f"{one}\n{other}\n{one} {one} {one} x {other} {other} {other}")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("x")})
+    r = rules.verdicts(lines).first()
+    assert (r["n_dup_lines"], r["n_repeat_words"]) == (0, 0)
+
+
+def test_one_passage_in_half_of_the_documents(spark):
+    rng = np.random.default_rng(3)
+    passage = [f"p{k}" for k in range(20)]
+    rows = []
+    for d in range(80):
+        own = [f"d{d}x{k}" for k in range(int(rng.integers(5, 30)))]
+        at = int(rng.integers(0, len(own)))
+        rows.append((d, " ".join(own[:at] + passage + own[at:] if d % 2 else own + ["run"] * (10 + d % 8))))
+    got = {r["doc_id"]: r["n_removed"] for r in substring.dedup_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words = {d: t.split() for d, t in rows}
+    first = {}
+    for d, w in words.items():
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), d)
+    for d, w in words.items():
+        assert got[d] == len({j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}), d
+
+
+def test_label_model_recovers_known_tables():
+    """Votes drawn from known tables, one voter a copy of another: accuracies, the link and the posterior are found."""
+    rng = np.random.default_rng(11)
+    n, right = 60000, [0.9, 0.8, 0.85, 0.75]
+    y = (rng.random(n) < 0.3).astype(int)
+    votes = np.ones((n, 5), int)
+    for j, p in enumerate(right):
+        said = np.where(rng.random(n) < p, y, 1 - y)
+        votes[:, j] = np.where(rng.random(n) < 0.7, 2 * said, 1)
+    votes[:, 4] = np.where(rng.random(n) < 0.95, votes[:, 3], 1)
+    patterns, at, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    model = toxicity.LabelModel(patterns, count.astype(float))
+    assert model.accuracy[:4] == pytest.approx(right, abs=0.03)
+    assert model.prior[1] == pytest.approx(0.3, abs=0.03)
+    assert model.parent[4] == 3 or model.parent[3] == 4
+    assert model.correlation[3, 4] > 0.8 > 0.1 > abs(model.correlation[0, 1])
+    q = model.posterior(patterns)[at.reshape(-1)]
+    for low in (0.0, 0.2, 0.4, 0.6, 0.8):
+        part = (q >= low) & (q < low + 0.2)
+        if part.sum() > 500:
+            assert y[part].mean() == pytest.approx(q[part].mean(), abs=0.05)
+
+
+def test_linear_fit_and_calibration():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 2))
+    p = 1 / (1 + np.exp(-(x @ [2.0, -1.0] + 0.5)))
+    w, bias = toxicity.fit_linear(x, p, ridge=1e-3)
+    assert [*w, bias] == pytest.approx([2.0, -1.0, 0.5], abs=0.02)
+    slope, shift = toxicity.calibration(x @ [1.0, -0.5], (rng.random(4000) < p).astype(int))
+    assert (slope, shift) == pytest.approx((2.0, 0.5), abs=0.15)
+    assert toxicity.calibration(np.array([1.0]), np.array([1])) == (1.0, 0.0)
+
+
+def test_additive_scores_are_sums_of_looked_up_values():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 4))
+    x[:, 3] = 1.0
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    model = quality.fit(x, y)
+    for row, got in zip(x[:50], model.score(x[:50])):
+        total = model.base + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(row, model.edges, model.tables))
+        for (a, b), grid in zip(model.pairs, model.grids):
+            total += grid[sum(row[a] >= e for e in model.coarse[a]), sum(row[b] >= e for e in model.coarse[b])]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+    assert (0, 1) in model.pairs and ((model.score(x) > 0.5) == y).mean() > 0.9
+    tree = quality._tree(np.array([1.0, 1.0, -5.0, -5.0]), np.full(4, 10.0), np.full(4, 20.0))
+    assert len(set(tree)) <= 4 and tree[0] < 0 < tree[3]
+
+
+def fast_mcd(x, h, rng):
+    """Least determinant of concentrated random starts, by plain numpy."""
+    best = None
+    for _ in range(200):
+        at = rng.choice(len(x), 7, replace=False)
+        for _ in range(60):
+            m, c = x[at].mean(axis=0), np.cov(x[at].T, bias=True) + 1e-9 * np.eye(5)
+            new = np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m), kind="stable")[:h]
+            if set(new) == set(at):
+                break
+            at = new
+        det = np.linalg.slogdet(np.cov(x[at].T, bias=True))[1]
+        if best is None or det < best[0]:
+            best = det, x[at].mean(axis=0), np.cov(x[at].T, bias=True)
+    return best
+
+
+@pytest.mark.parametrize("far", [0, 60, 120])
+def test_rules_as_plain_fast_mcd(spark, far):
+    rng = np.random.default_rng(far)
+    unit = np.array([1.0, 0.9, 0.8, 2.0, 1.2])
+    x = rng.normal(size=(300, 5)) @ np.linalg.cholesky(0.5 * np.eye(5) + 0.5).T * unit + 5
+    x[:far] += np.array([12.0, -9, 10, 0, 8])
+    _, mean, cov = fast_mcd(x, 150, rng)
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "group string, " + ", ".join(f"{c} double" for c in rules.AXES))
+    s = rules.estimates(rows).first()
+    diff = x - np.array([s[f"m{i}"] for i in range(5)])
+    mine = sum(s[f"v{i}{j}"] * diff[:, i] * diff[:, j] for i in range(5) for j in range(i, 5)) / s["scale"]
+    plain = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    plain *= rules.MIDDLE / np.median(plain)
+    assert ((mine > rules.CUT) == (plain > rules.CUT)).mean() > 0.99
+    assert (mine[:far] > rules.CUT).all() and (mine[far:] > rules.CUT).mean() < 0.01
+    assert np.corrcoef(np.sqrt(mine[far:]), np.sqrt(plain[far:]))[0, 1] > 0.95
+
+
+def test_rules_constant_columns_tiny_and_nameless_groups(spark):
+    words = [" ".join(f"a{d}b{k}" for k in range(60 + d % 5)) for d in range(260)]
+    rows = [(d, t, None if d % 2 else "en", "x") for d, t in enumerate(words)] + [(900, words[0], "xx", "tiny"), (901, "# " * 40 + words[1], "xx", None)]
+    out = {r["doc_id"]: r for r in rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[d]["kept"] for d in range(260)) and out[900]["kept"] and not out[901]["kept"]
+
+
+def test_tokens_at_random_places():
+    ids = np.array([0, 1, 255, 256, 49407, 65535, 65536, 70000, 3, 2**24 + 5] * 120, np.uint32)
+    offsets = np.array([0, 7, 7, 600, len(ids)])
+    f = dac.DacFile(dac.pack(ids, np.array([1, 2, 3, 4], np.int64), offsets))
+    assert len(f.levels) == 4 and f.all().tolist() == ids.tolist()
+    assert [f.token(i) for i in range(len(ids))] == ids.tolist()
+    with pytest.raises(IndexError):
+        f.token(len(ids))
+
+
+def test_tokens_by_ranges_of_the_file(spark, docs, library, texts):
+    files = dac.write_files(docs, registry.vocabulary()).cache()
+    ids = [i for d in sorted(texts) for i in [*library.encode(texts[d], add_special_tokens=False).ids, 1]]
+    for at in range(0, len(ids), max(len(ids) // 40, 1)):
+        assert dac.read_token(files, at) == ids[at]
+
+
+def test_sentencepiece_counts(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(1, "plain words"), (2, None), (3, "Grüße 你好 " * 200), (4, "<s> special </s>")]
+    for r in counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path).collect():
+        assert r["n_tokens"] == len(model.encode(dict(rows)[r["doc_id"]] or ""))
+
+
+@pytest.mark.parametrize("short", [4, 64])
+def test_bpe_on_both_sides_of_the_word_size(library, monkeypatch, short):
+    monkeypatch.setattr(bpe, "SHORT", short)
+    monkeypatch.setattr(bpe, "SEGMENT", 50)
+    own = bpe.Encoder(registry.vocabulary())
+    texts = ["hello internationalisation of everything " * 20, "a" * 300, "don't stop, it's 12:30!"]
+    assert [x.tolist() for x in own.batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_texts_longer_than_a_chunk(spark, library):
+    long = ("Wörter und mehr words, again and again. " * 16000)[:600000]
+    d = spark.createDataFrame([(1, long), (2, "short"), (3, long)], "doc_id long, text string")
+    n = len(library.encode(long, add_special_tokens=False).ids)
+    assert {r["doc_id"]: r["n_tokens"] for r in counts.token_counts(d, registry.vocabulary()).collect()} == {1: n, 2: 1, 3: n}
+    assert {r["id"]: r["class_id"] for r in minhash.near_classes(d).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r["doc_id"]: r["n_removed"] for r in substring.dedup_digests(d).collect()}[3] == len(long.split())
+
+
+def test_private_spans_and_masks():
+    t = "IBAN DE89370400440532013000, account no. 12345678; token = abcdefghij0123456789 and https://me:pw@host.org/x, mail a@b.cd"
+    found = pii.find(t)
+    assert [t[a:b] for a, b in found["account"]] == ["DE89370400440532013000", "12345678"]
+    assert [t[a:b] for a, b in found["secret"]] == ["abcdefghij0123456789"] and [t[a:b] for a, b in found["url"]] == ["https://me:pw@host.org"]
+    hidden = pii.mask(t)
+    assert not any(x in hidden for x in ("DE89", "12345678", "abcdefghij", "me:pw", "a@b.cd")) and "<EMAIL>" in hidden
+    assert pii.mask(None) is None and pii.mask("clean") == "clean"
+
+
+@pytest.mark.parametrize("rows", [0, 1 << 20])
+def test_containment_with_and_without_broadcast(spark, docs, texts, rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    items = registry.table(spark, SF, "benchmark")
+    common = spark.createDataFrame([(10**6 + k, "a line that all of these items share in full " + " ".join(f"i{k}w{j}" for j in range(k % 9))) for k in range(40)], "item_id long, text string")
+    planted = spark.createDataFrame([(10**6, "before a line that all of these items share in full after it")], "doc_id long, text string")
+    d = docs.select("doc_id", "text").union(planted)
+    known = {**texts, 10**6: planted.first()["text"]}
+    want = set()
+    for it in [*items.select("item_id", "text").collect(), *common.collect()]:
+        w = WORD.findall(it["text"])
+        q = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        want |= {(i, it["item_id"]) for i, t in known.items() if q and len(q & set(bag(t))) >= 0.8 * len(q) - 1e-9}
+    got = decontaminate.leaks(d, items.select("item_id", "text").union(common))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and any(d == 10**6 for d, _ in want)
 
 
 def test_rules_far_cluster(spark):
