@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalise as N
 from ..functions import text as T
+from ..shared import written
 from .linking import evidence_id
 
 #: Fields that all observations of a record share, and measures that belong to cell lines only.
@@ -42,8 +43,8 @@ def _path(raw_field: str) -> str:
 
 
 def extracted(fields: Column, raw_field: str) -> tuple[Column, Column]:
-    """Whether a dotted path is there (a JSON null is), and its value: text as it is, else canonical JSON."""
-    found = F.try_variant_get(F.try_parse_json(fields), _path(raw_field), "variant")
+    """Whether a dotted path of a variant is there (a JSON null is), and its value: text as it is, else canonical JSON."""
+    found = F.try_variant_get(fields, _path(raw_field), "variant")
     kind = F.schema_of_variant(found)
     shown = F.when(kind == "STRING", F.try_variant_get(found, "$", "string")).when(kind != "VOID", F.to_json(found))
     return found.isNotNull(), shown
@@ -71,15 +72,19 @@ def normalised(rule: Rule, value: Column) -> Column:
 
 
 def attempts(records: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row for each record and rule that applies to its source: ``found, raw_value, values, method, confidence, status``."""
+    """One row for each record and rule that applies to its source: ``found, raw_value, values, method, confidence, status``.
+
+    Written to the shared folder, as contexts, records and issues all read it.
+    """
     rows = []
     for r in rules:
-        found, value = extracted(F.col("fields"), r.raw_field)
+        found, value = extracted(F.col("_v"), r.raw_field)
         lit = lambda x: F.lit(x).cast("string")
         row = F.struct(lit(r.mapping_id).alias("mapping_id"), lit(r.raw_field).alias("raw_field"), lit(r.response_domain).alias("rule_domain"), lit(r.response_type).alias("rule_type"), F.lit(float(r.confidence)).alias("rule_confidence"), found.alias("found"), value.alias("raw_value"), normalised(r, value).alias("n"))
         rows.append(F.when(F.lit(r.source_id is None) | (F.col("source_id") == F.lit(r.source_id)), row))
-    each = records.withColumn("a", F.explode(F.array_compact(F.array(*rows))))
-    return each.select("record_id", "source_id", "authority", "default_confidence", "a.mapping_id", "a.raw_field", "a.rule_domain", "a.rule_type", "a.rule_confidence", "a.found", "a.raw_value", "a.n.values", "a.n.method", F.col("a.n.confidence").alias("confidence"), F.col("a.n.status").alias("status"))
+    each = records.withColumn("_v", F.try_parse_json("fields")).withColumn("a", F.explode(F.array_compact(F.array(*rows))))
+    out = each.select("record_id", "source_id", "authority", "default_confidence", "a.mapping_id", "a.raw_field", "a.rule_domain", "a.rule_type", "a.rule_confidence", "a.found", "a.raw_value", "a.n.values", "a.n.method", F.col("a.n.confidence").alias("confidence"), F.col("a.n.status").alias("status"))
+    return written(out, "attempts")
 
 
 def contexts(tried: DataFrame) -> DataFrame:
