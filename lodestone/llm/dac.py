@@ -185,9 +185,38 @@ def read_digests(files: DataFrame) -> DataFrame:
     return files.select("path", "start").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def token_at(read_at, i: int) -> int:
+    """Token ``i`` of a file by ranges of it: ``read_at(count, offset)`` gives bytes.
+
+    The head, and for each level of the token its length, one chunk, one word
+    of the rank directory and at most one block of the bitmap are read.
+    """
+    word = lambda offset: int.from_bytes(read_at(8, offset), "little")
+    if read_at(8, 0) != MAGIC:
+        raise ValueError("not a directly addressable code file")
+    n, tokens, levels = word(8), word(16), word(24)
+    if not 0 <= i < tokens:
+        raise IndexError(i)
+    at, out = 32 + 8 * n + 8 * (n + 1), 0
+    for k in range(levels):
+        size = word(at)
+        chunk, bits, rank = at + 8, at + 8 + size, at + 8 + size + -(-size // 8)
+        out |= read_at(1, chunk + i)[0] << (WIDTH * k)
+        first = i // BLOCK * BLOCK // 8
+        block = read_at((i >> 3) - first + 1, bits + first)
+        if not block[-1] >> (i & 7) & 1:
+            return out
+        before = int.from_bytes(block, "little") & ((1 << (i - first * 8)) - 1)
+        i = word(rank + 8 * (i // BLOCK)) + before.bit_count()
+        at = rank + 8 * (-(-size // BLOCK) + 1)
+    raise ValueError("a token goes on beyond the last level")
+
+
 def read_token(files: DataFrame, position: int) -> int:
-    """The token at a place of the whole sequence, read from one file without decoding it."""
+    """The token at a place of the whole sequence, from a few short ranges of one file; a place outside is an ``IndexError``."""
     row = files.filter((F.col("start") <= position) & (F.col("start") + F.col("tokens") > position)).select("path", "start").first()
     if row is None:
         raise IndexError(position)
-    return DacFile(_content(row["path"])).token(position - row["start"])
+    fs, name = pafs.FileSystem.from_uri(row["path"])
+    with fs.open_input_file(name) as f:
+        return token_at(f.read_at, position - row["start"])

@@ -342,6 +342,13 @@ def test_tokens_at_random_places():
     f = dac.DacFile(dac.pack(ids, np.array([1, 2, 3, 4], np.int64), offsets))
     assert len(f.levels) == 4 and f.all().tolist() == ids.tolist()
     assert [f.token(i) for i in range(len(ids))] == ids.tolist()
+    content, most = dac.pack(ids, np.array([1, 2, 3, 4], np.int64), offsets), []
+
+    def read_at(count, offset):
+        most.append(count)
+        return content[offset : offset + count]
+
+    assert [dac.token_at(read_at, i) for i in range(len(ids))] == ids.tolist() and max(most) <= dac.BLOCK // 8
     with pytest.raises(IndexError):
         f.token(len(ids))
 
