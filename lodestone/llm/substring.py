@@ -103,24 +103,17 @@ def chosen(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, best, text, place
 
 
-def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words, name of the word sequence and keys of the windows of each text, in one pass."""
     for batch in batches:
         for part in chunks(batch, "text"):
             words = words_of(part.column("text"))
             _, key, text, _ = chosen(words.hash, words.first)
-            if not len(key):
-                continue
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            whole = whole_hash(words)[0][text[new]]
-            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text[new])), pa.array(key[new].view(np.int64)), pa.array(whole)], names=["id", "key", "whole"])
-
-
-def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            words = words_of(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(words.first)), *map(pa.array, whole_hash(words))], names=["id", "n", "h1", "h2"])
+            cut = np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=part.num_rows))]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(cut), pa.array(key[new].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(words.first)), *map(pa.array, whole_hash(words)), keys], names=["id", "n", "h1", "h2", "keys"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +162,9 @@ def split_words(text: str | None) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()]
 
 
-def exact_copies(texts: DataFrame) -> DataFrame:
-    """Ids of ``texts(id, text)`` whose words are those of a smaller id, from 13 words on."""
-    whole = written(texts.mapInArrow(_wholes, "id long, n long, h1 long, h2 long").filter(F.col("n") >= WINDOW), "wholes")
+def exact_copies(symbols: DataFrame) -> DataFrame:
+    """Ids of ``symbols(id, n, h1, h2)`` whose words are those of a smaller id, from 13 words on."""
+    whole = symbols.select("id", "n", "h1", "h2").filter(F.col("n") >= WINDOW)
     least = whole.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
     return whole.join(least, ["h1", "h2"]).filter("id > low").select("id").distinct()
 
@@ -185,8 +178,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     never count against that id.  An empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    copies = written(exact_copies(texts), "copies")
-    keys = texts.mapInArrow(_anchor_keys, "id long, key long, whole long")
+    symbols = written(texts.mapInArrow(_symbols, "id long, n long, h1 long, h2 long, keys array<long>"), "symbols")
+    copies = written(exact_copies(symbols), "copies")
+    keys = symbols.select("id", F.col("h1").alias("whole"), F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).filter("low <> high").select("key")
     shared = written(shared, "shared")
     mine = keys.select("id", "key").join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
