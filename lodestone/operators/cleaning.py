@@ -51,7 +51,12 @@ def placeholders(df: DataFrame, column: str, frequent: int = 10, dominance: int
     masked = counts.filter(F.col("n") < frequent).filter(F.contains(F.lower("v"), F.lit("x"))).select(F.col("v").alias("bad"))
     good = counts.filter(F.col("n") >= frequent).select(F.col("v").alias("good"), F.col("n").alias("good_n"))
     fits = F.regexp_like(F.lower("good"), F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.lower("bad"), r"([^a-z0-9 ])", r"\\$1"), "x", "."), F.lit("$")))
-    found = masked.join(good, F.length("bad") == F.length("good")).filter(fits & (F.col("bad") != F.col("good")))
+    edge = lambda c, k: F.lower(F.substring(c, k, 1))
+    shown = lambda e: F.when(e == "x", "*").otherwise(e)
+    masked = masked.select("bad", F.length("bad").alias("size"), shown(edge("bad", 1)).alias("first"), shown(edge("bad", -1)).alias("last"))
+    ways = F.explode(F.array_distinct(F.array(*(F.struct(f.alias("first"), e.alias("last")) for f in (edge("good", 1), F.lit("*")) for e in (edge("good", -1), F.lit("*"))))))
+    good = good.select("good", "good_n", F.length("good").alias("size"), ways.alias("w")).select("good", "good_n", "size", "w.*")
+    found = masked.join(good, ["size", "first", "last"]).filter(fits & (F.col("bad") != F.col("good")))
     place = Window.partitionBy("bad").orderBy(F.desc("good_n"), F.desc("good"))
     top = found.withColumns({"r": F.row_number().over(place), "next": F.lead("good_n").over(place)}).filter("r = 1").filter(F.col("next").isNull() | (F.col("good_n") >= dominance * F.col("next")))
     joined = df.join(top.select(F.col("bad").alias(column), F.col("good").alias("_good")), column, "left")
