@@ -39,10 +39,10 @@ from .whiten import usable
 from .words import GOLD, mix
 
 THRESHOLD, WIDTH, MISS = 0.93, 2.0, 1e-4
+#: Vectors of a block, and of a run that is taken together with others of its size.
+BLOCK, SMALL = 512, 64
 #: Unlike vectors that share a bucket on average, and projections of a table at least.
-CROWD, FEWEST = 32, 8
-#: Vectors of a block.
-BLOCK = 512
+CROWD, FEWEST = BLOCK, 8
 #: Integer units of a vector entry and of a projection entry.
 UNIT, STEP = 1 << 14, 1 << 10
 SEED = 12
@@ -116,38 +116,70 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _run_links(rows: pa.Table, projections: int, tables: int) -> pa.RecordBatch:
-    """Counts and forest links of one pair of blocks of a bucket."""
-    rows = rows.combine_chunks()
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    length = lambda v: np.sqrt((v * v).sum(axis=-1))
+    return (x @ np.swapaxes(y, -1, -2)) / (length(x)[..., :, None] * length(y)[..., None, :])
+
+
+def _near(rows: pa.Table, cuts: list[int], vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the linked pairs inside each run; small runs of a size and width go through one product."""
+    get = lambda c: rows[c].to_numpy()
+    start, size = np.array(cuts[:-1]), np.diff(cuts)
+    block, p, q, dims = get("block"), get("p")[start], get("q")[start], get("dims")[start]
+    found = []
+    small = (p == q) & (size <= SMALL)
+    for d, n in sorted(set(zip(dims[small].tolist(), size[small].tolist()))):
+        at = start[small & (dims == d) & (size == n)]
+        for part in np.array_split(at, -(-len(at) * n * (n + d) // (1 << 20)) or 1):
+            index = part[:, None] + np.arange(n)
+            x = np.stack([vectors[k] for k in index.reshape(-1)]).reshape(len(part), n, d)
+            run, i, j = np.nonzero(np.triu(_cosines(x, x) >= THRESHOLD, 1))
+            found.append((index[run, i], index[run, j]))
+    for k in np.flatnonzero(~small):
+        own = np.arange(start[k], start[k] + size[k])
+        left, right = (own, own) if p[k] == q[k] else (own[block[own] == p[k]], own[block[own] == q[k]])
+        if len(left) and len(right):
+            near = _cosines(np.stack([vectors[r] for r in left]), np.stack([vectors[r] for r in right])) >= THRESHOLD
+            i, j = np.nonzero(np.triu(near, 1) if p[k] == q[k] else near)
+            found.append((left[i], right[j]))
+    return tuple(np.concatenate([f[side] for f in found]) if found else np.empty(0, np.int64) for side in (0, 1))
+
+
+def _links_of(rows: pa.Table, cuts: list[int], projections: int, tables: int) -> pa.RecordBatch:
+    """Counts and forest links of whole runs."""
     get = lambda c: rows[c].to_numpy()
-    rep, copies, block, turn = get("rep"), get("copies"), get("block"), int(get("turn")[0])
-    raw = _matrix(rows["vector"].combine_chunks(), int(get("dims")[0]))
-    raw = raw / np.abs(raw).max(axis=1, keepdims=True)
-    length = np.sqrt((raw * raw).sum(axis=1))
-    if get("p")[0] == get("q")[0]:
-        left = right = np.arange(len(rep))
-    else:
-        left, right = np.flatnonzero(block == get("p")[0]), np.flatnonzero(block == get("q")[0])
-    linked = (raw[left] @ raw[right].T) / np.outer(length[left], length[right]) >= THRESHOLD
-    if left is right:
-        linked = np.triu(linked, 1)
-    i, j = np.nonzero(linked)
-    i, j = left[i], right[j]
-    if turn and len(i):
-        keys = buckets(unit(raw), projections, tables)[:, :turn]
-        new = np.concatenate([~(keys[i[a : a + 65536]] == keys[j[a : a + 65536]]).any(axis=1) for a in range(0, len(i), 65536)])
-        i, j = i[new], j[new]
+    rep, copies, turn, dims = get("rep"), get("copies"), get("turn"), get("dims")
+    flat = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    ends = np.cumsum(dims)
+    vectors = [flat[e - d : e] for e, d in zip(ends.tolist(), dims.tolist())]
+    vectors = [v / np.abs(v).max() for v in vectors]
+    i, j = _near(rows, cuts, vectors)
+    new = turn[i] == 0
+    for d in np.unique(dims[i]):
+        # the pair counts in the first table that it shares
+        of = np.flatnonzero((dims[i] == d) & ~new)
+        if len(of):
+            some, place = np.unique(np.concatenate([i[of], j[of]]), return_inverse=True)
+            keys = buckets(unit(np.stack([vectors[k] for k in some])), projections, tables)
+            x, y = place[: len(of)], place[len(of) :]
+            for a in range(0, len(of), 65536):
+                met = keys[x[a : a + 65536]] == keys[y[a : a + 65536]]
+                new[of[a : a + 65536]] = met.argmax(axis=1) == turn[i[of[a : a + 65536]]]
+    i, j = i[new], j[new]
     n = np.zeros(len(rep), np.int64)
     np.add.at(n, i, copies[j])
     np.add.at(n, j, copies[i])
     root = forest(len(rep), i, j)
-    some, child = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(rep)))
+    who, place = np.unique(rep[n > 0], return_inverse=True)
+    total = np.zeros(len(who), np.int64)
+    np.add.at(total, place, n[n > 0])
+    child = np.flatnonzero(root != np.arange(len(rep)))
     none = lambda k: pa.nulls(k, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[some], rep[root[child]]])), pa.concat_arrays([none(len(some)), pa.array(rep[child])]), pa.concat_arrays([pa.array(n[some]), none(len(child))])], names=["a", "b", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([who, rep[root[child]]])), pa.concat_arrays([none(len(who)), pa.array(rep[child])]), pa.concat_arrays([pa.array(total), none(len(child))])], names=["a", "b", "n"])
 
 
 def _block_links(projections: int, tables: int):
-    """Each run of rows of equal ``label, dims, key, p, q``; the last run of a batch waits for the next."""
+    """Whole runs of rows of equal ``label, dims, key, p, q``; the last run of a batch waits for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -155,11 +187,11 @@ def _block_links(projections: int, tables: int):
             table = pa.Table.from_batches([batch])
             table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
             cuts = _cuts(table)
-            for a, b in zip(cuts[:-1], cuts[1:-1]):
-                yield _run_links(table.slice(a, b - a), projections, tables)
+            if cuts[-2]:
+                yield _links_of(table.slice(0, cuts[-2]), cuts[:-1], projections, tables)
             held = table.slice(cuts[-2])
         if held is not None and held.num_rows:
-            yield _run_links(held, projections, tables)
+            yield _links_of(held, [0, held.num_rows], projections, tables)
 
     return run
 
