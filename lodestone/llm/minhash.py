@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.shared import written
 from .words import GOLD, Words, chunks, grams, mix, run_hash, whole_hash, words_of
@@ -135,6 +136,18 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(bags, pa.binary())], names=["id", "bag"])
 
 
+def _hashed(text_col: str, names: tuple[str, str]):
+    """Rows as they are, with the two halves of their text's whole hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text_col):
+                h1, h2 = whole_hash(words_of(part.column(text_col)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(h1), pa.array(h2)], names=[*part.schema.names, *names])
+
+    return run
+
+
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)):
         return False
@@ -178,26 +191,32 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``class_id`` is the least id of the class, ``copy_of`` the least id with
     the same words.  Texts without words (null, empty, white space) are
     never linked and name themselves.  Rows with a null id have no result.
-    Rows that repeat an id are taken together; if their texts differ, the id
-    belongs to the class of its least content hash.  An empty table gives an
+    Of rows that repeat an id, the one of the least content hash (of its words)
+    stands for it.  An empty table gives an
     empty result; other columns are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     sketch = written(texts.mapInArrow(_sketches, "id long, n_words long, h1 long, h2 long, bands array<long>, bit0 long, bit1 long, bit2 long, bit3 long"), "sketch")
+    several = sketch.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2")).alias("h")).filter("n > 1")
+    several = written(several.select("id", F.col("h.h1").alias("k1"), F.col("h.h2").alias("k2")), "several")
+    if several.limit(1).count():
+        least = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
+        sketch = written(sketch.join(several, "id", "left").filter(F.col("k1").isNull() | least).drop("k1", "k2").dropDuplicates(["id"]), "sketch")
+        odd = texts.join(several.select("id"), "id", "left_semi").mapInArrow(_hashed("text", ("h1", "h2")), "id long, text string, h1 long, h2 long")
+        texts = texts.join(several, "id", "left_anti").union(odd.join(several, "id").filter(least).select("id", "text").dropDuplicates(["id"]))
     copies = sketch.filter("n_words > 0").groupBy("h1", "h2").agg(F.min("id").alias("copy_of"))
-    of = sketch.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h"), F.max("n_words").alias("n_words")).select("id", "h.h1", "h.h2", "n_words")
-    named = written(of.join(copies, ["h1", "h2"], "left").select("id", F.when(F.col("n_words") > 0, F.col("copy_of")).otherwise(F.col("id")).alias("copy_of")), "copies")
+    named = written(sketch.select("id", "h1", "h2", "n_words").join(copies, ["h1", "h2"], "left").select("id", F.when(F.col("n_words") > 0, F.col("copy_of")).otherwise(F.col("id")).alias("copy_of")), "copies")
 
-    single = copies.select(F.col("copy_of").alias("id"), "h1", "h2")
-    alone = sketch.filter("n_words > 0").join(single, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"])
+    single = copies.select(F.col("copy_of").alias("id"))
+    alone = sketch.filter("n_words > 0").join(single, "id", "left_semi")
     entries = written(alone.select("id", F.explode("bands").alias("key")).distinct(), "entries")
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     live = written(entries.join(shared, "key"), "live")
     degree = written(live.groupBy("id").agg(F.sum("n").alias("degree")), "degree")
-    traits = sketch.join(degree, "id").dropDuplicates(["id"]).select("id", "degree", F.greatest(F.lit(1), F.col("n_words") - SHINGLE + 1).alias("size"), *BITS)
+    traits = sketch.join(degree, "id").select("id", "degree", F.greatest(F.lit(1), F.col("n_words") - SHINGLE + 1).alias("size"), *BITS)
     bands = written(alone.join(degree.select("id"), "id", "left_semi").select("id", "bands"), "bands")
     live = written(live.select("key", "id").join(traits, "id"), "live")
-    bags = written(texts.join(degree.select("id"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_bags, "id long, bag binary"), "bags")
+    bags = written(texts.join(degree.select("id"), "id", "left_semi").mapInArrow(_bags, "id long, bag binary"), "bags")
     label = _linked(live, bands, bags)
     out = named.join(label.select(F.col("id").alias("copy_of"), "label"), "copy_of", "left")
     return out.select("id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
@@ -342,11 +361,15 @@ def _linked(live: DataFrame, bands: DataFrame, bags: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate class, the least id; columns unchanged.
 
-    Rows with a null id stay.  Of rows that repeat a kept id, one stays.
+    Rows with a null id stay.  Of rows that repeat a kept id, that of the least
+    content hash stays, the one that ``near_classes`` has judged.
     """
     keep = near_classes(docs, id_col, text_col).filter("id = class_id").select(F.col("id").alias(id_col))
     with_id = docs.filter(F.col(id_col).isNotNull())
     repeated = with_id.groupBy(id_col).count().filter("count > 1").select(id_col)
     if repeated.limit(1).count():
-        with_id = with_id.dropDuplicates([id_col])
-    return with_id.join(keep, id_col, "left_semi").union(docs.filter(F.col(id_col).isNull()))
+        names = [f"{c}{'_' * max(map(len, docs.columns))}" for c in ("h1", "h2")]
+        hashed = with_id.join(repeated, id_col, "left_semi").mapInArrow(_hashed(text_col, (names[0], names[1])), StructType([*with_id.schema.fields, *(StructField(c, LongType()) for c in names)]))
+        one = hashed.groupBy(F.col(id_col).alias("key")).agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.struct(*names)).alias("row")).select("row.*")
+        with_id = with_id.join(repeated, id_col, "left_anti").select(docs.columns).union(one)
+    return with_id.join(keep, id_col, "left_semi").select(docs.columns).union(docs.filter(F.col(id_col).isNull()))

@@ -90,7 +90,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 continue
             if begin >= ip_end and (m := _IP.match(text, begin)):
                 ip_end = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
                     spans["ip"].append(m.span())
             if begin >= card_end and (m := _CARD.match(text, begin)):
                 card_end = m.end()

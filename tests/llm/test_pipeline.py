@@ -77,6 +77,23 @@ def test_personal_data_is_masked_and_no_document_goes(stages):
     assert not any("@" in t and pii.find(t)["email"] for t in texts(stages[4]).values() if t)
 
 
+def test_base_kinds_are_masked_as_by_plain_patterns():
+    """Texts whose spans do not overlap, so that the order of kinds does not matter."""
+    digits = lambda s: [int(c) for c in s if c.isdigit()]
+    luhn = lambda n: sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(n))) % 10 == 0
+    tests = [
+        ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("IP", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("CARD", r"[0-9]([ -]?[0-9])+", lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("PHONE", r"\+[0-9][ ().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15),
+    ]
+    for t in ["write a.b@c-d.org or x@y", "at 10.0.0.1, not 10.0.0.256 nor 1.2.3", "pay 4111 1111 1111 1111, not 4111 1111 1111 1112", "call +49 (30) 123-4567 or +1 2", "Ünï a@b.cd 你好 +4930123456 end", "none here"]:
+        plain = t
+        for kind, pattern, ok in tests:
+            plain = re.sub(pattern, lambda m, k=kind, f=ok: f"<{k}>" if f(m[0]) else m[0], plain)
+        assert pii.mask(t) == plain
+
+
 def test_ids_and_decoded_texts_are_those_of_the_library(spark, stages):
     from tokenizers import Tokenizer
 
