@@ -3,7 +3,8 @@
 Operators of several rounds cut their lineage by writing Parquet under
 ``spark.checkpoint.dir``: a lost executor then costs one task, not the
 rounds before.  The files stay until the folder is cleared, because lazily
-evaluated results may still read them.
+evaluated results may still read them, unless an operator discards a table
+that only its own written tables have read.
 """
 
 from __future__ import annotations
@@ -56,3 +57,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     with bounded_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` whose every reader has been written out itself."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/lodestone/" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
