@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.shared import written
+from lodestone.shared import discard, written
 from .words import GOLD, chunks, mix, whole_hash, words_of
 
 WINDOW = 13
@@ -170,7 +170,7 @@ def exact_copies(symbols: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, places)``: starts, in words, of the windows that also start in a document of smaller id.
+    """``(id, places)``, as a written table: starts, in words, of the windows that also start in a document of smaller id.
 
     ``places`` is null for an exact copy, all of whose words go.  Documents
     without such a window, null or short texts, and rows with a null id have
@@ -185,11 +185,15 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = written(shared, "shared")
     mine = keys.select("id", "key").join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys"))
     mine = written(mine.join(copies, "id", "left_anti"), "keys")
+    discard(symbols, shared)
     windows = written(texts.join(mine, "id").mapInArrow(_windows, "id long, place int, name long, tag long"), "windows")
+    discard(mine)
     least = windows.groupBy("name", "tag").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
     late = windows.join(least, ["name", "tag"]).filter("id > low")
     places = late.groupBy("id").agg(F.collect_set("place").alias("places"))
-    return places.union(copies.select("id", F.lit(None).cast("array<int>")))
+    out = written(places.union(copies.select("id", F.lit(None).cast("array<int>"))), "places")
+    discard(windows, copies)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,7 +211,7 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _applied(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFrame:
-    places = written(repeated_windows(docs, id_col, text_col), "places").withColumn("any", F.lit(True))
+    places = repeated_windows(docs, id_col, text_col).withColumn("any", F.lit(True))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
