@@ -12,14 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..shared import written
+from .lexical import DIGITS, Lexical, head, numbers, rounded
 
-DIGITS = 6
-#: Rows of a query block and of a block of vectors that meet in one matrix product.
+#: Rows of a block of vectors.
 BLOCK = 1024
 
 
@@ -30,85 +30,16 @@ def ranked(scores: DataFrame, k: int | None) -> DataFrame:
     return out.filter(F.col("rank") <= k) if k else out
 
 
-#: Terms of a stated query set that are held by every task at most; beyond it, a query set must be asked in parts.
-MOST_TERMS = 1 << 20
-_LENGTH = "\x00"
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, distinct: bool = True, tokens=T.retrieval_tokens, zeros: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Best ``k`` documents ``(doc_id, text)`` of each query ``(query_id, text)`` of a stated set; see ``Lexical``.
 
-
-def _hits(docs: DataFrame, terms: DataFrame, tokens, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, length, terms array<int>)`` of every document: the numbers of its words that are asked for.
-
-    Texts are tokenised once; words that no query has leave before the
-    shuffle, which deals what is left by document.
-    """
-    words = docs.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("w"))
-    each = words.select("doc_id", F.size("w").alias("length"), F.explode(F.concat("w", F.array(F.lit(_LENGTH)))).alias("term"))
-    met = each.join(F.broadcast(terms), "term")
-    return written(met.groupBy("doc_id").agg(F.first("length").alias("length"), F.collect_list(F.when(F.col("term_no") >= 0, F.col("term_no"))).alias("terms")), "hits")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, distinct: bool = True, tokens=T.retrieval_tokens, zeros: bool = False, only: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Best ``k`` documents ``(doc_id, text)`` of each query ``(query_id, text)`` of a stated set.
-
-    ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``.  With ``distinct`` a term
-    of a query counts once, otherwise as often as it stands there.  Documents
-    without a common term are ranked only with ``zeros``, by id behind the
-    others.  Empty texts count for N and the average length.  With
-    ``only(doc_id)`` no other document is ranked, but all count.
-
-    A task scores its documents against all queries, a batch at a time, and
-    sends on ``k`` rows for each query and batch.  Ids are integers.
+    Documents without a common term are ranked only with ``zeros``, by id
+    behind the others.  Empty texts count for N and the average length.
     """
-    spark = docs.sparkSession
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text")) if distinct else tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    rows = asked.orderBy("term", "query_id").limit(MOST_TERMS + 1).collect()  # the stated query set
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"a query set may have {MOST_TERMS} terms; ask it in parts")
-    number = {t: n for n, t in enumerate(dict.fromkeys(r["term"] for r in rows))}
-    query_ids = sorted({r["query_id"] for r in rows})
-    place = {q: n for n, q in enumerate(query_ids)}
-    terms = spark.createDataFrame([*number.items(), (_LENGTH, -1)], "term string, term_no int")
-    found = _hits(docs, terms, tokens, id_col, text_col)
-    total = found.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
-    df = np.zeros(len(number))
-    for r in found.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # one row for each asked term
-        df[r["t"]] = r["df"]
-    idf = np.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
-    t_of, q_of = np.array([number[r["term"]] for r in rows], np.int64), np.array([place[r["query_id"]] for r in rows], np.int64)
-    weight = np.array([r["qf"] for r in rows], float) * idf[t_of] if rows else np.empty(0)
-    cut = np.searchsorted(t_of, np.arange(len(number) + 1))
-    average, names = max(total["average"] or 0.0, 1e-12), np.array(query_ids, np.int64)
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(a, BLOCK)
-                ids, length = part.column("doc_id").to_numpy().astype(np.int64), part.column("length").to_numpy().astype(float)
-                owner = np.repeat(np.arange(part.num_rows), np.asarray(part.column("terms").value_lengths()))
-                pair, tf = np.unique(owner * max(len(number), 1) + np.asarray(part.column("terms").flatten(), np.int64), return_counts=True)
-                owner, term = pair // max(len(number), 1), pair % max(len(number), 1)
-                gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[owner] / average))
-                each = cut[term + 1] - cut[term]
-                at = np.repeat(cut[term] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
-                scores = np.bincount(np.repeat(owner, each) * len(names) + q_of[at], np.repeat(gain, each) * weight[at], part.num_rows * len(names)).reshape(part.num_rows, len(names))
-                yield from _head(names, ids, np.round(scores.T, DIGITS), k, scores.T > 0)
-
-    if only is not None:
-        found = found.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
-    top = ranked(found.mapInArrow(best, "query_id long, doc_id long, score double").filter("score > 0"), k)
+    top = Lexical(docs, queries, tokens, distinct, id_col, text_col).best(k, k1, b)
     return _with_zeros(top, docs, queries, k, id_col) if zeros else top
 
 
-def _head(query_ids: np.ndarray, doc_ids: np.ndarray, scores: np.ndarray, k: int, usable: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The best ``k`` usable documents of each query of a block, by score and then id."""
-    scores = np.where(usable, scores, -np.inf)
-    order = np.lexsort((np.broadcast_to(doc_ids, scores.shape), -scores), axis=1)[:, :k]
-    q = np.repeat(np.arange(len(query_ids)), order.shape[1])
-    d = order.reshape(-1)
-    ok = np.isfinite(scores[q, d])
-    yield pa.RecordBatch.from_arrays([pa.array(query_ids[q[ok]]), pa.array(doc_ids[d[ok]]), pa.array(scores[q[ok], d[ok]])], names=["query_id", "doc_id", "score"])
-
-
 def _with_zeros(top: DataFrame, docs: DataFrame, queries: DataFrame, k: int, id_col: str) -> DataFrame:
     """Rankings filled up to ``k`` with the documents of least id, at score 0."""
     first = docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct().orderBy("doc_id").limit(2 * k)
@@ -148,13 +79,8 @@ def rerank(ranking: DataFrame, scores: DataFrame, head: int) -> DataFrame:
     return joined.select("query_id", "doc_id", "score", F.row_number().over(order).cast("long").alias("rank"))
 
 
-def hashed_embeddings(docs: DataFrame, dims: int = 384, method: str = "blake2b", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, embedding)``: signed feature hashing of words, of length 1; a text without words is all zeros.
-
-    ``blake2b``: the first four bytes of an 8-byte digest give the dimension
-    and the parity of the next byte the sign.  ``md5``: seven hexadecimal
-    digits and the next one, which SQL can do too.
-    """
+def hashed_block(lists: pa.Array, dims: int, method: str) -> np.ndarray:
+    """Unit vectors of lists of words, one row each; see ``hashed_embeddings``."""
 
     def cell(word: str) -> tuple[int, float]:
         if method == "md5":
@@ -163,20 +89,28 @@ def hashed_embeddings(docs: DataFrame, dims: int = 384, method: str = "blake2b",
         h = hashlib.blake2b(word.encode(), digest_size=8).digest()
         return int.from_bytes(h[:4], "big") % dims, 1.0 if h[4] % 2 == 0 else -1.0
 
+    coded = lists.flatten().dictionary_encode()
+    cells = [cell(w) for w in coded.dictionary.to_pylist()]
+    dim, sign = np.array([d for d, _ in cells], np.int64), np.array([s for _, s in cells])
+    owner, word = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0))), np.asarray(coded.indices, np.int64)
+    out = np.bincount(owner * dims + dim[word], sign[word], len(lists) * dims).reshape(-1, dims) if len(word) else np.zeros((len(lists), dims))
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1)
+
+
+def hashed_embeddings(docs: DataFrame, dims: int = 384, method: str = "blake2b", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, embedding)``: signed feature hashing of words, of length 1; a text without words is all zeros.
+
+    ``blake2b``: the first four bytes of an 8-byte digest give the dimension
+    and the parity of the next byte the sign.  ``md5``: seven hexadecimal
+    digits and the next one, which SQL can do too.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(a, BLOCK)
-                lists = part.column("w")
-                coded = lists.flatten().dictionary_encode()
-                cells = [cell(w) for w in coded.dictionary.to_pylist()]
-                dim, sign = np.array([d for d, _ in cells], np.int64), np.array([s for _, s in cells])
-                owner, word = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths())), np.asarray(coded.indices, np.int64)
-                out = np.zeros((part.num_rows, dims))
-                if len(word):
-                    out = np.bincount(owner * dims + dim[word], sign[word], part.num_rows * dims).reshape(part.num_rows, dims)
-                norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-                flat = (out / np.where(norm > 0, norm, 1)).reshape(-1)
+                flat = hashed_block(part.column("w"), dims, method).reshape(-1)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dims, dtype=np.int32)), pa.array(flat))], names=["doc_id", "embedding"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), T.retrieval_tokens(text_col).alias("w"))
@@ -212,7 +146,7 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int = 64,
                 q, d = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
                 x = np.frombuffer(row["q_vectors"], "<f8").reshape(-1, dims) @ np.frombuffer(row["vectors"], "<f8").reshape(-1, dims).T
                 usable = np.ones(x.shape, bool) if itself else q[:, None] != d[None, :]
-                yield from _head(q, d, np.round((x + 1) / 2 if half else x, DIGITS), k, usable)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in head(q, d, np.round((x + 1) / 2 if half else x, DIGITS), k, usable)], names=["query_id", "doc_id", "score"])
 
     blocks = packed(queries).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     pairs = packed(vectors).crossJoin(blocks)  # of blocks, for a stated query set
@@ -225,34 +159,59 @@ def hashing_search(docs: DataFrame, queries: DataFrame, k: int = 10, dims: int =
     return cosine(hashed_embeddings(docs, dims, method), asked, k, dims, "doc_id", itself=True, half=True)
 
 
-def coverage_search(docs: DataFrame, queries: DataFrame, k: int = 10, dims: int = 384, method: str = "blake2b", pool: int = 1000) -> DataFrame:
+#: Queries that are held as vectors by every task at most.
+MOST_QUERIES = 1 << 16
+
+
+def coverage_search(docs: DataFrame, queries: DataFrame, k: int = 10, dims: int = 384, method: str = "blake2b") -> DataFrame:
     """``.55`` of the cosine of hashed vectors, at least 0, and ``.30`` of the share of a query's words that a document has.
 
-    Each side gives its best ``pool`` documents of a query, at least ``k``;
-    sides of a document outside a pool count 0.
+    Every document that shares a word or a dimension with a query is scored,
+    for every query of the stated set: a task hashes a block of documents and
+    looks its words up, adds both matrices, and sends on the best ``k`` of
+    each query.
     """
-    near = cosine(hashed_embeddings(docs, dims, method), hashed_embeddings(queries.select(F.col("query_id").alias("doc_id"), "text"), dims, method), max(pool, k), dims, "doc_id", itself=True)
-    shared = word_coverage(docs, queries, max(pool, k))
-    both = near.select("query_id", "doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("x")).join(shared.select("query_id", "doc_id", F.col("score").alias("y")), ["query_id", "doc_id"], "full_outer")
-    return ranked(both.select("query_id", "doc_id", F.round(0.55 * F.coalesce("x", F.lit(0.0)) + 0.30 * F.coalesce("y", F.lit(0.0)), DIGITS).alias("score")), k)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), T.retrieval_tokens("text").alias("w")).orderBy("query_id").limit(MOST_QUERIES + 1).collect()  # the stated query set
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"a query set may have {MOST_QUERIES} queries; ask it in parts")
+    names = np.array([r["query_id"] for r in asked], np.int64)
+    towards = hashed_block(pa.array([r["w"] for r in asked], pa.list_(pa.string())), dims, method)
+    terms = sorted({t for r in asked for t in r["w"]})
+    number = {t: n for n, t in enumerate(terms)}
+    of = [np.array(sorted({number[t] for t in r["w"]}), np.int64) for r in asked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                lists, ids = part.column("w"), part.column("doc_id").to_numpy().astype(np.int64)
+                vectors = hashed_block(lists, dims, method)
+                near = np.clip(np.round(towards @ vectors.T, DIGITS), 0.0, 1.0)
+                met = numbers(lists, known)
+                has = np.zeros((len(terms), part.num_rows), bool)
+                has[np.asarray(met.flatten(), np.int64), np.repeat(np.arange(part.num_rows), np.asarray(met.value_lengths()))] = True
+                share = np.stack([np.round(has[x].sum(axis=0) / max(len(x), 1), DIGITS) for x in of]) if of else np.zeros((0, part.num_rows))
+                score = rounded(0.55 * near + 0.30 * share)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in head(names, ids, score, k, (share > 0) | ((towards != 0).astype(np.float32) @ (vectors != 0).astype(np.float32).T > 0))], names=["query_id", "doc_id", "score"])
+
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), T.retrieval_tokens("text").alias("w"))
+    return ranked(words.mapInArrow(run, "query_id long, doc_id long, score double"), k)
+
 
+def word_coverage(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The best ``k`` documents by the share of each query's distinct words that they have, from one word on."""
+    return Lexical(docs, queries).coverage(k)
 
-def word_coverage(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    """Share of each query's distinct words that a document has, from one word on."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.retrieval_tokens("text"))).alias("term"))
-    size = asked.groupBy("query_id").agg(F.count("*").alias("size"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(T.retrieval_tokens("text"))).alias("term"))
-    both = words.join(F.broadcast(asked), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("both")).join(F.broadcast(size), "query_id")
-    return ranked(both.select("query_id", "doc_id", F.round(F.col("both") / F.col("size"), DIGITS).alias("score")), k)
 
+def lexical_rerank(ranking: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, lexical: Lexical | None = None) -> DataFrame:
+    """The candidates of ``ranking`` by BM25 with the statistics of all documents; candidates without a common term have 0.
 
-def lexical_rerank(ranking: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The candidates of ``ranking`` by BM25 with the statistics of all documents; candidates without a common term have 0."""
-    wanted = ranking.select("query_id", "doc_id").distinct()
-    several = wanted.select("doc_id").distinct()
-    scored = bm25(docs, queries, several.count(), 1.2, 0.75, distinct=False, tokens=T.service_tokens, only=several)
-    joined = wanted.join(scored.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left")
-    return ranked(joined.select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score")), k)
+    Only the stated pairs are scored.  ``lexical`` may be handed on from an
+    earlier search of the same documents and queries.
+    """
+    lexical = lexical or Lexical(docs, queries, T.service_tokens, distinct=False)
+    return ranked(lexical.of_pairs(ranking), k)
 
 
 def pool_size(k: int, n: int, times: int = 5) -> int:
@@ -271,7 +230,7 @@ def search(docs: DataFrame, queries: DataFrame, method: str = "hybrid", k: int =
     """
     aliases = aliases or {}
     pool = pool_size(k, docs.count())
-    service = lambda q, n: bm25(docs, q, n, 1.2, 0.75, distinct=False, tokens=T.service_tokens, zeros=True)
+    service = lambda q, n, x=None: _with_zeros((x or Lexical(docs, q, T.service_tokens, False)).best(n, 1.2, 0.75), docs, q, n, "doc_id")
     if mode == "rules":
         plan = queries.select("query_id", T.valid_variants(T.query_plan("text", aliases), "text")["accepted"].alias("v"))
         several = plan.filter(F.size("v") > 1)
@@ -285,8 +244,12 @@ def search(docs: DataFrame, queries: DataFrame, method: str = "hybrid", k: int =
     near = (dense or hashing_search)(docs, queries, pool)
     if method in ("hashing", "semantic"):
         return ranked(near, k)
-    fused = score_fusion(service(queries, pool), near, pool if method == "hybrid_rerank" else k, weights)
-    return fused if method == "hybrid" else ranked(normalised((reranker or lexical_rerank)(fused, docs, queries, pool)), k)
+    words = Lexical(docs, queries, T.service_tokens, False)
+    fused = score_fusion(service(queries, pool, words), near, pool if method == "hybrid_rerank" else k, weights)
+    if method == "hybrid":
+        return fused
+    fused = written(fused, "fused")
+    return ranked(normalised(reranker(fused, docs, queries, pool) if reranker else lexical_rerank(fused, docs, queries, pool, words)), k)
 
 
 def multi_query(docs: DataFrame, queries: DataFrame, aliases: dict[str, str], k: int = 10, depth: int = 100) -> DataFrame:
@@ -306,31 +269,81 @@ def evidence(chunks: DataFrame, queries: DataFrame, related: DataFrame | None =
     lexical side is BM25 over its maximum, or the share of the query's words
     where BM25 is 0 throughout or the query is mostly not ASCII.
     ``related(query_id, paper_id)`` are papers tied to the query's field.
-    Each side gives its best ``max(4 k, 20)`` chunks; a chunk outside all of
-    them could only win by its section.
+    The semantic side is that of the best ``max(4 k, 20)`` chunks of a query
+    and 0 for others; every chunk has its other parts.  A task scores a block
+    of chunks for all queries of the stated set and sends on ``k`` of each.
     """
-    pool = max(4 * k, 20)
-    near = (dense or hashing_search)(chunks, queries, pool).select("query_id", "doc_id", F.col("score").alias("semantic"))
-    lexical = normalised(bm25(chunks, queries, pool, 1.2, 0.75, distinct=False, tokens=T.service_tokens)).select("query_id", "doc_id", F.col("score").alias("bm"))
-    overlap = word_coverage(chunks, queries, pool).select("query_id", "doc_id", F.col("score").alias("overlap"))
-    raw = F.col("text")
-    other = F.length(F.regexp_replace(raw, "[\\x00-\\x7F]", "")) / F.greatest(F.lit(1), F.length(raw))
-    asked = queries.select("query_id", (~raw.rlike("[A-Za-z]") | (other > 0.35)).alias("by_overlap")).join(lexical.select("query_id").distinct().withColumn("has", F.lit(True)), "query_id", "left")
-    met = near.join(lexical, ["query_id", "doc_id"], "full_outer").join(overlap, ["query_id", "doc_id"], "full_outer").join(asked, "query_id")
-    table = F.create_map(*(F.lit(x) for kv in SECTION_SCORES.items() for x in kv))
-    met = met.join(chunks.select("doc_id", "section", "section_priority", "paper_id"), "doc_id")
+    keep = ("section", "section_priority", "paper_id", "overlap_words")
+    lexical = Lexical(chunks.withColumn("overlap_words", T.retrieval_tokens("text")), queries, T.service_tokens, False, keep=keep)
+    shared = Lexical(chunks.limit(0), queries)  # the queries' words as the overlap has them
+    asked = {r["query_id"]: r["by_overlap"] for r in queries.select(F.col("query_id").cast("long").alias("query_id"), _not_latin(F.col("text")).alias("by_overlap")).limit(MOST_QUERIES + 1).collect()}  # the stated query set
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"a query set may have {MOST_QUERIES} queries; ask it in parts")
+    every = np.array(sorted(asked), np.int64)
+    top = {r["query_id"]: r["score"] for r in lexical.best(1, 1.2, 0.75).collect()}  # one row for each query
+    most = np.array([top.get(q, 0.0) for q in every.tolist()])
+    by_overlap = np.array([bool(asked[q]) for q in every.tolist()], bool) | (most <= 0)
+    near = (dense or hashing_search)(chunks, queries, max(4 * k, 20)).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("query_id").cast("long").alias("q"), F.col("score").alias("s"))).alias("near"))
+    rows = lexical.hits.join(near, "doc_id", "left")
     if related is not None:
-        met = met.join(related.select("query_id", "paper_id").distinct().withColumn("graph", F.lit(1.0)), ["query_id", "paper_id"], "left")
+        rows = rows.join(related.groupBy("paper_id").agg(F.collect_set(F.col("query_id").cast("long")).alias("tied")), "paper_id", "left")
     else:
-        met = met.withColumn("graph", F.lit(0.0))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    words = F.when(F.col("by_overlap") | F.col("has").isNull(), zero("overlap")).otherwise(zero("bm"))
-    met = met.withColumns({"lexical": words, "section_score": F.coalesce(F.try_element_at(table, F.col("section")), F.lit(0.35))})
-    score = F.round(0.55 * zero("semantic") + 0.30 * F.col("lexical") + 0.10 * F.col("section_score") + 0.05 * zero("graph"), DIGITS)
-    scored = met.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+        rows = rows.withColumn("tied", F.lit(None).cast("array<long>"))
+    rows = rows.select("doc_id", "length", "terms", "section", F.col("section_priority").cast("long").alias("section_priority"), "overlap_words", F.col("near.q").alias("near_q"), F.col("near.s").alias("near_s"), "tied")
+
+    def spread(lists: pa.Array, values: pa.Array | None, n: int) -> np.ndarray:
+        """``queries x chunks`` from each chunk's list of queries."""
+        out = np.zeros((len(every), n))
+        owner = np.repeat(np.arange(n), np.asarray(lists.value_lengths().fill_null(0), np.int64))
+        q = np.asarray(lists.flatten(), np.int64)
+        at = np.minimum(np.searchsorted(every, q), len(every) - 1)
+        ok = every[at] == q
+        out[at[ok], owner[ok]] = np.asarray(values.flatten(), float)[ok] if values is not None else 1.0
+        return out
+
+    def placed(side: Lexical, blocks: Iterator[tuple[slice, list[np.ndarray]]], n: int) -> np.ndarray:
+        out = np.zeros((len(every), n))
+        for at, (x,) in blocks:
+            out[np.searchsorted(every, side.names[at])] = x
+        return out
+
+    lexical.statistics()
+    weight, one = lexical.weights(), np.ones(len(shared.term_of))
+    sizes = dict(zip(shared.names.tolist(), shared.size.tolist()))
+    size = np.array([sizes.get(q, 1) for q in every.tolist()], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.terms, pa.string())
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK if len(every) else batch.num_rows):
+                part = batch.slice(a, BLOCK)
+                n = part.num_rows
+                bm = placed(lexical, lexical.blocks(part, [lexical.gain(part.column("length").to_numpy().astype(float), 1.2, 0.75)], [weight]), n)
+                words = pa.RecordBatch.from_arrays([numbers(part.column("overlap_words"), known)], names=["terms"])
+                overlap = np.round(placed(shared, shared.blocks(words, [lambda owner, term, tf: np.ones(len(tf))], [one]), n) / size[:, None], DIGITS)
+                bm = np.clip(np.round(bm, DIGITS) / np.where(most > 0, most, 1)[:, None], 0.0, 1.0)
+                lex = np.where(by_overlap[:, None], overlap, bm)
+                section = np.array([SECTION_SCORES.get(x, 0.35) for x in part.column("section").to_pylist()])
+                semantic, graph = spread(part.column("near_q"), part.column("near_s"), n), spread(part.column("tied"), None, n)
+                score = np.clip(rounded(0.55 * semantic + 0.30 * lex + 0.10 * section[None, :] + 0.05 * graph), 0.0, 1.0)
+                ids = part.column("doc_id").to_numpy().astype(np.int64)
+                # the order of score, priority and id as one number for each chunk
+                place = np.empty(n, np.int64)
+                place[np.lexsort((ids, part.column("section_priority").to_numpy()))] = np.arange(n)
+                q, d, s = head(np.arange(len(every)), place, score, k, np.ones(score.shape, bool))
+                d = np.argsort(place)[d]
+                yield pa.RecordBatch.from_arrays([pa.array(every[q]), pa.array(ids[d]), pa.array(s), part.column("section_priority").take(pa.array(d)), *(pa.array(x) for x in (np.round(semantic[q, d], DIGITS), np.round(lex[q, d], DIGITS), section[d], graph[q, d]))], names=["query_id", "doc_id", "score", "section_priority", "semantic_score", "lexical_score", "section_score", "graph_score"])
+
+    scored = rows.mapInArrow(run, "query_id long, doc_id long, score double, section_priority long, semantic_score double, lexical_score double, section_score double, graph_score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "section_priority", "doc_id")
     out = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
-    return out.select("query_id", "doc_id", "score", "rank", F.round(zero("semantic"), DIGITS).alias("semantic_score"), F.round("lexical", DIGITS).alias("lexical_score"), "section_score", zero("graph").alias("graph_score"))
+    return out.select("query_id", "doc_id", "score", "rank", "semantic_score", "lexical_score", "section_score", "graph_score")
+
+
+def _not_latin(text: Column) -> Column:
+    """Whether a query has no ASCII letter, or more than 35 % other characters."""
+    other = F.length(F.regexp_replace(text, "[\\x00-\\x7F]", "")) / F.greatest(F.lit(1), F.length(text))
+    return ~text.rlike("[A-Za-z]") | (other > 0.35)
 
 
 def evaluate(ranking: DataFrame, judged: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10), depth: int = 100) -> DataFrame:
@@ -358,39 +371,60 @@ def evaluate(ranking: DataFrame, judged: DataFrame, cutoffs: tuple[int, ...] = (
     )
 
 
-def _mean_ndcg(ranking: DataFrame, judged: DataFrame) -> Column | DataFrame:
-    return evaluate(ranking, judged).agg(F.round(F.avg("ndcg_10"), DIGITS).alias("ndcg_10"))
+def mean_ndcg(rankings: DataFrame, judged: DataFrame, settings: DataFrame) -> DataFrame:
+    """``settings`` with the mean ``ndcg_10`` of each one's ranking, from ``rankings(setting, query_id, doc_id, rank)``.
 
+    Every setting is judged on every query with a judgement; the judgements
+    meet the settings once, and no plan is built for each of them.
+    """
+    key = F.struct("setting", "query_id").alias("query_id")
+    asked = judged.crossJoin(F.broadcast(settings.select("setting"))).select(key, "doc_id", "gain")  # a handful of settings
+    rated = evaluate(rankings.select(key, "doc_id", "rank"), asked).groupBy(F.col("query_id.setting").alias("setting")).agg(F.round(F.avg("ndcg_10"), DIGITS).alias("ndcg_10"))
+    return settings.join(F.broadcast(rated), "setting").drop("setting")
+
+
+def _settings(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "setting int, " + names)
 
-def _rated(parts: list[tuple[dict[str, Column], DataFrame]], judged: DataFrame) -> DataFrame:
-    out = None
-    for names, ranking in parts:
-        row = _mean_ndcg(ranking, judged).select(*(v.alias(k) for k, v in names.items()), "ndcg_10")
-        out = row if out is None else out.unionByName(row)
-    return out
 
+def _ranked_settings(scores: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("setting", "query_id").orderBy(F.desc("score"), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
-def tuned(docs: DataFrame, queries: DataFrame, judged: DataFrame, grid: tuple[tuple[float, float], ...] = ((1.2, 0.75), (1.5, 0.75), (1.8, 0.25))) -> DataFrame:
-    """Mean nDCG at 10 of each ``(k1, b)``; the first row is the best, larger values on ties."""
-    return _rated([({"k1": F.lit(k1), "b": F.lit(b)}, bm25(docs, queries, 100, k1, b)) for k1, b in grid], judged).orderBy(F.desc("ndcg_10"), F.desc("k1"), F.desc("b"))
+
+def tuned(lexical: Lexical, judged: DataFrame, grid: tuple[tuple[float, float], ...] = ((1.2, 0.75), (1.5, 0.75), (1.8, 0.25))) -> DataFrame:
+    """Mean nDCG at 10 of each ``(k1, b)``, scored together; the first row is the best, larger values on ties."""
+    settings = _settings(judged.sparkSession, list(grid), "k1 double, b double")
+    return mean_ndcg(lexical.grid(100, list(grid)), judged, settings).orderBy(F.desc("ndcg_10"), F.desc("k1"), F.desc("b"))
 
 
 def tuned_fusion(lexical: DataFrame, dense: DataFrame, judged: DataFrame, steps: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Mean nDCG at 10 of each lexical weight; the first row is the best, the larger weight on ties."""
-    lexical, dense = written(lexical, "lexical"), written(dense, "dense")
-    return _rated([({"lexical": F.lit(w), "dense": F.lit(1 - w)}, score_fusion(lexical, dense, 100, (w, 1 - w))) for w in steps], judged).orderBy(F.desc("ndcg_10"), F.desc("lexical"))
+    settings = _settings(judged.sparkSession, [(w, 1 - w) for w in steps], "lexical double, dense double")
+    a = normalised(lexical).select("query_id", "doc_id", F.col("score").alias("x"))
+    both = a.join(dense.select("query_id", "doc_id", F.col("score").alias("y")), ["query_id", "doc_id"], "full_outer")
+    total = F.col("lexical") * F.coalesce("x", F.lit(0.0)) + F.col("dense") * F.coalesce("y", F.lit(0.0))
+    scores = both.crossJoin(F.broadcast(settings)).select("setting", "query_id", "doc_id", F.round(total, DIGITS).alias("score"))
+    return mean_ndcg(_ranked_settings(scores, 100), judged, settings).orderBy(F.desc("ndcg_10"), F.desc("lexical"))
 
 
 def tuned_rrf(lexical: DataFrame, dense: DataFrame, judged: DataFrame, steps: tuple[float, ...] = (0.25, 0.5, 0.75), constants: tuple[int, ...] = (10, 30, 60, 100)) -> DataFrame:
     """Mean nDCG at 10 of each weight and constant; the first row is the best, larger weights and smaller constants on ties."""
-    lexical, dense = written(lexical, "lexical"), written(dense, "dense")
-    parts = [({"lexical": F.lit(w), "dense": F.lit(1 - w), "constant": F.lit(c)}, rrf([(lexical, w), (dense, 1 - w)], 100, c)) for w in steps for c in constants]
-    return _rated(parts, judged).orderBy(F.desc("ndcg_10"), F.desc("lexical"), "constant")
+    settings = _settings(judged.sparkSession, [(w, 1 - w, c) for w in steps for c in constants], "lexical double, dense double, constant int")
+    both = lexical.select("query_id", "doc_id", F.col("rank").alias("x")).join(dense.select("query_id", "doc_id", F.col("rank").alias("y")), ["query_id", "doc_id"], "full_outer")
+    part = lambda w, r: F.coalesce(F.col(w) / (F.col("constant") + F.col(r)), F.lit(0.0))
+    scores = both.crossJoin(F.broadcast(settings)).select("setting", "query_id", "doc_id", F.round(part("lexical", "x") + part("dense", "y"), DIGITS + 3).alias("score"))
+    return mean_ndcg(_ranked_settings(scores, 100), judged, settings).orderBy(F.desc("ndcg_10"), F.desc("lexical"), "constant")
 
 
 def selected(rankings: dict[str, DataFrame], judged: DataFrame, preferred: str = "semantic") -> DataFrame:
     """Mean nDCG at 10 of each named ranking on development judgements; the first row is chosen, ``preferred`` on ties."""
-    return _rated([({"name": F.lit(n)}, r) for n, r in rankings.items()], judged).orderBy(F.desc("ndcg_10"), F.desc(F.col("name") == preferred), "name")
+    settings = _settings(judged.sparkSession, [(n,) for n in rankings], "name string")
+    parts = [r.select(F.lit(n).alias("setting"), "query_id", "doc_id", "rank") for n, r in enumerate(rankings.values())]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return mean_ndcg(every, judged, settings).orderBy(F.desc("ndcg_10"), F.desc(F.col("name") == preferred), "name")
 
 
 def case_metrics(ranks: DataFrame) -> DataFrame:

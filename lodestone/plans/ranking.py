@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..shared import written
 from .tables import Suite, read
 
 suite = Suite()
@@ -20,11 +20,11 @@ _TOKENS = f"list_concat({_WORDS}, [substr({_HAN}, i, 2) FOR i IN range(1, length
 _SERVICE = f"regexp_extract_all({_FOLD}, '[a-z0-9_+-]+|[一-鿿]')"
 
 
-def _bm25_sql(k1: float, b: float, distinct: bool, k: int, tokens: str = _TOKENS, zeros: bool = False) -> str:
+def _bm25_sql(k1: float, b: float, distinct: bool, k: int, tokens: str = _TOKENS, zeros: bool = False, name: str = "bm") -> str:
     d = "DISTINCT" if distinct else ""
     rest = f" UNION ALL SELECT query_id, doc_id, 0.0 FROM (SELECT DISTINCT item_id AS query_id FROM benchmark), (SELECT doc_id FROM documents ORDER BY doc_id LIMIT {2 * k}) WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM p)" if zeros else ""
     return f"""
-bm AS (
+{name} AS (
  WITH w AS (SELECT doc_id, {tokens} AS ws FROM documents),
  st AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)) AS av FROM w),
  qt AS (SELECT query_id, term, count(*)::DOUBLE AS qf FROM (SELECT {d} item_id AS query_id, unnest({tokens}) AS term FROM benchmark) GROUP BY ALL),
@@ -109,8 +109,8 @@ def max_normalised(spark, sf):
 s AS (SELECT query_id, doc_id, round((coalesce(sum(p), 0) + 1) / 2, 6) AS score FROM (SELECT q.doc_id AS query_id, h.doc_id, h.weight * q.weight AS p FROM hv h JOIN q USING (dim) UNION ALL SELECT query_id, doc_id, 0.0 FROM z, documents) GROUP BY ALL)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def hashed_embedding_topk(spark, sf):
-    v = R.hashed_embeddings(_docs(spark, sf), method="md5")
-    return R.cosine(v, v.filter("doc_id % 50 = 0"), dims=384, id_col="doc_id", itself=True, half=True)
+    docs = _docs(spark, sf)
+    return R.cosine(R.hashed_embeddings(docs, method="md5"), R.hashed_embeddings(docs.filter("doc_id % 50 = 0"), method="md5"), dims=384, id_col="doc_id", itself=True, half=True)
 
 
 @suite.add()
@@ -121,12 +121,12 @@ def hashing_search(spark, sf):
 
 @suite.add(f"""WITH {_HASH.format(tokens=_TOKENS, table='(SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)')}, {_COVERED},
 q AS (SELECT -1 - doc_id AS query_id, dim, weight AS w FROM hv WHERE doc_id < 0),
-dn AS (SELECT query_id, doc_id, greatest(0, least(1, round(coalesce(sum(p), 0), 6))) AS x FROM (SELECT query_id, doc_id, weight * w AS p FROM hv JOIN q USING (dim) WHERE doc_id >= 0 UNION ALL SELECT item_id, doc_id, 0.0 FROM benchmark, documents) GROUP BY ALL),
-dk AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x DESC, doc_id) <= 100000), ck AS (SELECT * FROM cv),
+dn AS (SELECT query_id, doc_id, greatest(0, least(1, round(coalesce(sum(p), 0), 6))) AS x FROM (SELECT query_id, doc_id, weight * w AS p FROM hv JOIN q USING (dim) WHERE doc_id >= 0) GROUP BY ALL),
+dk AS (SELECT * FROM dn), ck AS (SELECT * FROM cv),
 s AS (SELECT query_id, doc_id, round(0.55::DOUBLE * coalesce(x, 0) + 0.30::DOUBLE * coalesce(score, 0), 6) AS score FROM dk FULL JOIN ck USING (query_id, doc_id))
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def coverage_search(spark, sf):
-    return R.coverage_search(_docs(spark, sf), _asked(spark, sf), method="md5", pool=100000)
+    return R.coverage_search(_docs(spark, sf), _asked(spark, sf), method="md5")
 
 
 @suite.add(f"""WITH {_bm25_sql(1.5, 0.75, True, 50)},
@@ -150,23 +150,6 @@ def cosine_topk(spark, sf):
     return R.cosine(v, v.filter("vec_id % 50 = 0"))
 
 
-def _judged(spark, sf):
-    """Documents that hold at least 60 % of a benchmark text's words; 90 % count double.
-
-    They meet on the rarest ``n - ceil(0.6 n) + 1`` words of a text, one of which such a document has.
-    """
-    items = _asked(spark, sf).select("query_id", F.array_distinct(T.retrieval_tokens("text")).alias("bw")).filter(F.size("bw") > 0)
-    docs = _docs(spark, sf).select("doc_id", F.array_distinct(T.retrieval_tokens("text")).alias("dw"))
-    each = items.select("query_id", F.size("bw").alias("n"), F.explode("bw").alias("term"))
-    words = docs.select("doc_id", F.explode("dw").alias("term")).join(F.broadcast(each.select("term").distinct()), "term", "left_semi")
-    common = words.groupBy("term").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term"))
-    prefix = each.join(common, "term", "left").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(0.6 * F.col("n") - 1e-9) + 1).select("query_id", "term")
-    met = words.join(F.broadcast(prefix), "term").select("query_id", "doc_id").distinct().join(F.broadcast(items), "query_id").join(docs, "doc_id")
-    both = F.size(F.array_intersect("bw", "dw"))
-    return met.filter(both >= 0.6 * F.size("bw")).select("query_id", "doc_id", F.when(both >= 0.9 * F.size("bw"), 2).otherwise(1).alias("gain"))
-
-
 _MEASURES = ", ".join([*(f"round(sum(CASE WHEN rank <= {k} THEN hit ELSE 0 END)::DOUBLE / {k}, 6) AS p{k}, (sum(CASE WHEN rank <= {k} THEN hit ELSE 0 END) > 0)::INT AS h{k}" for k in (1, 3, 5, 10))])
 
 
@@ -177,7 +160,9 @@ i AS (SELECT query_id, sum(CASE WHEN place <= 10 THEN (2.0 ** gain - 1)::DOUBLE
 SELECT query_id, round(coalesce(dcg, 0) / ideal, 6) AS ndcg_10, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr_10, {", ".join(f"coalesce(p{k}, 0) AS precision_{k}, coalesce(h{k}, 0) AS hit_{k}" for k in (1, 3, 5, 10))},
  round(coalesce(h100, 0)::DOUBLE / relevant, 6) AS recall_100 FROM i LEFT JOIN p USING (query_id)""")
 def retrieval_eval(spark, sf):
-    return R.evaluate(R.bm25(_docs(spark, sf), _asked(spark, sf), 100), _judged(spark, sf))
+    """Judged are documents that hold at least 60 % of a benchmark text's words; 90 % count double."""
+    words = R.Lexical(_docs(spark, sf), _asked(spark, sf))
+    return R.evaluate(words.best(100), words.judged(0.6, 0.9))
 
 
 #: Aliases of the query variants below.
@@ -196,29 +181,67 @@ def multi_query_topk(spark, sf):
     return R.multi_query(_docs(spark, sf), _asked(spark, sf), _ALIASES)
 
 
-def _lexical_and_dense(spark, sf):
-    return R.bm25(_docs(spark, sf), _asked(spark, sf), 100), R.hashing_search(_docs(spark, sf), _asked(spark, sf), 100, method="md5")
+def _dense_sql(k: int, name: str = "dk") -> str:
+    """The best ``k`` by hashed vectors, as ``(cos + 1) / 2``; needs ``hv`` over documents and, below 0, benchmark texts."""
+    return f"""{name}q AS (SELECT -1 - doc_id AS query_id, dim, weight AS w FROM hv WHERE doc_id < 0),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round((coalesce(sum(p), 0) + 1) / 2, 6) AS score
+ FROM (SELECT query_id, doc_id, weight * w AS p FROM hv JOIN {name}q USING (dim) WHERE doc_id >= 0 UNION ALL SELECT item_id, doc_id, 0.0 FROM benchmark, documents) GROUP BY ALL) QUALIFY rank <= {k})"""
 
 
-@suite.add()
+_BOTH_HASHED = _HASH.format(tokens=_TOKENS, table="(SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)")
+
+
+def _rated_sql(keys: str) -> str:
+    """Mean nDCG at 10 of each setting of ``rk(<keys>, query_id, doc_id, rank)`` over all judged queries."""
+    return f"""ideal AS (SELECT query_id, sum(CASE WHEN place <= 10 THEN (2.0 ** gain - 1)::DOUBLE / log2(place + 1) ELSE 0 END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS place FROM judged) GROUP BY query_id),
+dcg AS (SELECT {keys}, query_id, sum(CASE WHEN rank <= 10 THEN (2.0 ** gain - 1)::DOUBLE / log2(rank + 1) ELSE 0 END) AS dcg FROM rk JOIN judged USING (query_id, doc_id) GROUP BY ALL)
+SELECT {keys}, round(avg(round(coalesce(dcg, 0) / ideal, 6)), 6) AS ndcg_10 FROM (SELECT * FROM (SELECT DISTINCT {keys} FROM rk), ideal) LEFT JOIN dcg USING ({keys}, query_id) GROUP BY ALL"""
+
+
+_SETTINGS = ((1.2, 0.75), (1.5, 0.75), (1.8, 0.25))
+
+
+@suite.add(f"""WITH {", ".join(_bm25_sql(k1, b, True, 100, name=f"g{n}") for n, (k1, b) in enumerate(_SETTINGS))}, {_JUDGED},
+rk AS ({" UNION ALL ".join(f"SELECT {k1}::DOUBLE AS k1, {b}::DOUBLE AS b, query_id, doc_id, rank FROM g{n}" for n, (k1, b) in enumerate(_SETTINGS))}),
+{_rated_sql("k1, b")}""")
 def tuned_bm25(spark, sf):
-    return R.tuned(_docs(spark, sf), _asked(spark, sf), _judged(spark, sf))
+    words = R.Lexical(_docs(spark, sf), _asked(spark, sf))
+    return R.tuned(words, words.judged(0.6, 0.9), _SETTINGS)
 
 
-@suite.add()
+def _two_sides(spark, sf):
+    """Lexical and dense rankings, and judgements."""
+    words = R.Lexical(_docs(spark, sf), _asked(spark, sf))
+    return written(words.best(100), "lexical"), written(R.hashing_search(_docs(spark, sf), _asked(spark, sf), 100, method="md5"), "dense"), words.judged(0.6, 0.9)
+
+
+_SIDES = f"{_bm25_sql(1.5, 0.75, True, 100)}, {_BOTH_HASHED}, {_dense_sql(100)}, {_JUDGED}"
+
+
+@suite.add(f"""WITH {_SIDES},
+nb AS (SELECT query_id, doc_id, score / max(score) OVER (PARTITION BY query_id) AS x FROM bm), st AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS lexical),
+sc AS (SELECT lexical, 1 - lexical AS dense, query_id, doc_id, round(lexical * coalesce(x, 0) + (1 - lexical) * coalesce(score, 0), 6) AS score FROM nb FULL JOIN dk USING (query_id, doc_id), st),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lexical, query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 100),
+{_rated_sql("lexical, dense")}""")
 def tuned_fusion(spark, sf):
-    return R.tuned_fusion(*_lexical_and_dense(spark, sf), _judged(spark, sf))
+    return R.tuned_fusion(*_two_sides(spark, sf))
 
 
-@suite.add()
+@suite.add(f"""WITH {_SIDES},
+st AS (SELECT * FROM (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS lexical), (SELECT unnest([10, 30, 60, 100]) AS constant)),
+sc AS (SELECT lexical, 1 - lexical AS dense, constant, query_id, doc_id, round(coalesce(lexical / (constant + bm.rank), 0) + coalesce((1 - lexical) / (constant + dk.rank), 0), 9) AS score FROM bm FULL JOIN dk USING (query_id, doc_id), st),
+rk AS (SELECT *, row_number() OVER (PARTITION BY lexical, constant, query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 100),
+{_rated_sql("lexical, dense, constant")}""")
 def tuned_rrf(spark, sf):
-    return R.tuned_rrf(*_lexical_and_dense(spark, sf), _judged(spark, sf))
+    return R.tuned_rrf(*_two_sides(spark, sf))
 
 
-@suite.add()
+@suite.add(f"""WITH {_SIDES},
+rk AS (SELECT 'lexical' AS name, query_id, doc_id, rank FROM bm UNION ALL SELECT 'hashing', query_id, doc_id, rank FROM dk),
+{_rated_sql("name")}""")
 def selected_retriever(spark, sf):
-    lexical, dense = _lexical_and_dense(spark, sf)
-    return R.selected({"lexical": lexical, "hashing": dense}, _judged(spark, sf))
+    lexical, dense, judged = _two_sides(spark, sf)
+    return R.selected({"lexical": lexical, "hashing": dense}, judged)
 
 
 @suite.add(f"""WITH {_bm25_sql(1.5, 0.75, True, 10)},
@@ -247,12 +270,32 @@ def _chunks(spark, sf):
     return read(spark, sf, "documents").select("doc_id", "text", section.alias("section"), F.length("lang").alias("section_priority"), F.col("source").alias("paper_id"))
 
 
-@suite.add()
+_SECTIONS = "CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.68 ELSE 0.35 END"
+
+
+@suite.add(f"""WITH {_bm25_sql(1.2, 0.75, False, 1 << 40, _SERVICE)}, {_BOTH_HASHED}, {_dense_sql(40)}, {_COVERED},
+b AS (SELECT item_id AS query_id, NOT regexp_matches(text, '[A-Za-z]') OR length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) / greatest(1, length(text)) > 0.35 AS other FROM benchmark), top AS (SELECT query_id, max(score) AS most FROM bm GROUP BY query_id),
+j AS (SELECT b.query_id, d.doc_id, length(lang) AS section_priority, {_SECTIONS}::DOUBLE AS section_score, (source = 'web')::INT::DOUBLE AS graph_score, coalesce(dk.score, 0) AS semantic_score,
+  CASE WHEN other OR most IS NULL THEN coalesce(cv.score, 0) ELSE coalesce(bm.score, 0) / most END AS lexical_score
+ FROM b CROSS JOIN documents d LEFT JOIN dk ON dk.query_id = b.query_id AND dk.doc_id = d.doc_id LEFT JOIN bm ON bm.query_id = b.query_id AND bm.doc_id = d.doc_id LEFT JOIN cv ON cv.query_id = b.query_id AND cv.doc_id = d.doc_id LEFT JOIN top ON top.query_id = b.query_id),
+s AS (SELECT *, greatest(0, least(1, round(0.55::DOUBLE * semantic_score + 0.30::DOUBLE * lexical_score + 0.10::DOUBLE * section_score + 0.05::DOUBLE * graph_score, 6))) AS score FROM j)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_priority, doc_id) AS rank, semantic_score, round(lexical_score, 6) AS lexical_score, section_score, graph_score FROM s QUALIFY rank <= 10""")
 def evidence_topk(spark, sf):
     related = _asked(spark, sf).select("query_id", F.lit("web").alias("paper_id"))
-    return R.evidence(_chunks(spark, sf), _asked(spark, sf), related)
+    return R.evidence(_chunks(spark, sf), _asked(spark, sf), related, dense=_by_md5)
 
 
-@suite.add()
+def _by_md5(docs, queries, k):
+    """Feature hashing that SQL can do too."""
+    return R.hashing_search(docs, queries, k, method="md5")
+
+
+@suite.add(f"""WITH {_bm25_sql(1.2, 0.75, False, 50, _SERVICE, True)}, {_bm25_sql(1.2, 0.75, False, 1 << 40, _SERVICE, name="every")}, {_BOTH_HASHED}, {_dense_sql(50)},
+nb AS (SELECT query_id, doc_id, coalesce(score / nullif(max(score) OVER (PARTITION BY query_id), 0), 0) AS x FROM bm),
+f AS (SELECT query_id, doc_id, round(0.55::DOUBLE * coalesce(x, 0) + 0.45::DOUBLE * coalesce(score, 0), 6) AS fused FROM nb FULL JOIN dk USING (query_id, doc_id)),
+p AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) <= 50),
+r AS (SELECT query_id, doc_id, coalesce(score, 0) AS score FROM p LEFT JOIN every USING (query_id, doc_id)),
+n AS (SELECT query_id, doc_id, coalesce(score / nullif(max(score) OVER (PARTITION BY query_id), 0), 0) AS score FROM r)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM n QUALIFY rank <= 10""")
 def service_hybrid_rerank(spark, sf):
-    return R.search(_docs(spark, sf), _asked(spark, sf), "hybrid_rerank")
+    return R.search(_docs(spark, sf), _asked(spark, sf), "hybrid_rerank", dense=_by_md5)
