@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import written
 from .matching import AUTO, REVIEW, all_matches, sequence_ratio
+from .nearest import nearest
 
 #: Columns that name an entity, in order, and columns that block.
 NAMES = ["name", "title", "full_name", "subject_name", "product_name", "beer_name", "restaurant_name", "company_name"]
@@ -45,13 +47,18 @@ def _either(columns: list[str], names: list[str], side: str) -> Column:
     return F.coalesce(*parts, F.lit(""))
 
 
-def candidates(left: DataFrame, right: DataFrame, fallback: int = 0) -> DataFrame:
+#: Nearest rows by name of a row without a partner; fixed value.
+NEAREST = 100
+
+
+def candidates(left: DataFrame, right: DataFrame, fallback: int = NEAREST) -> DataFrame:
     """``(left_id, right_id)`` of rows that share a blocking value inside a study.
 
     A left row whose study has no right row, or that has none, looks in all
-    studies.  Rows without a partner have no candidate, unless ``fallback``
-    says how many rows of the study they get, nearest by name first: that
-    compares them with the whole study, so it is off by default.
+    studies.  A row without a partner gets the ``fallback`` rows of its study
+    (or of all) whose names are nearest, ties by id: see ``nearest``.  Rows
+    whose name is like no other, and rows without any blocking value, are
+    filled up with the least ids.
     """
     keys = lambda df: F.array(*(F.struct(F.lit(c).alias("field"), value(c).alias("value")) for c in BLOCKS if c in df.columns))
     study = lambda df: value("study_id") if "study_id" in df.columns else F.lit("")
@@ -63,11 +70,26 @@ def candidates(left: DataFrame, right: DataFrame, fallback: int = 0) -> DataFram
     hit = entries(a).join(entries(b), ["field", "value"]).filter("anywhere or ls = rs").select("left_id", "right_id").distinct()
     if not fallback:
         return hit
-    rest = a.join(hit.select("left_id").distinct(), "left_id", "left_anti").join(_side(left, "l"), F.col("left_id") == F.col("l_id"))
-    pool = rest.join(b.select("right_id", "rs").join(_side(right, "r"), F.col("right_id") == F.col("r_id")), F.col("anywhere") | (F.col("ls") == F.col("rs")))
-    near = pool.withColumn("s", sequence_ratio(_either(left.columns, NAMES, "l"), _either(right.columns, NAMES, "r")))
-    place = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("s"), "right_id"))
-    return hit.unionByName(near.withColumn("place", place).filter(F.col("place") <= fallback).select("left_id", "right_id"))
+    hit = written(hit, "hit")
+    named = lambda df: F.coalesce(*(F.when(value(n) != "", value(n)) for n in NAMES if n in df.columns), F.lit(""))
+    pool = F.when(F.col("anywhere"), F.lit("")).otherwise(F.concat(F.lit("="), F.col("ls")))
+    lone = a.join(hit.select("left_id").distinct(), "left_id", "left_anti").join(left.select(F.col("id").alias("left_id"), named(left).alias("name")), "left_id")
+    blank = F.forall("k", lambda x: x["value"] == "")
+    lone = written(lone.select("left_id", pool.alias("pool"), F.when(blank, "").otherwise(F.col("name")).alias("name")), "lone")
+    if not lone.limit(1).count():
+        return hit
+    asked = F.broadcast(lone.select("pool").distinct())
+    rows = right.select(study(right).alias("rs"), named(right).alias("name"), F.col("id"))
+    pools = rows.withColumn("pool", F.explode(F.array(F.lit(""), F.concat(F.lit("="), F.col("rs"))))).filter("pool <> '='").join(asked, "pool", "left_semi").select("pool", "name", "id")
+    near = nearest(lone, pools, fallback).select("pool", "name", F.col("id").alias("right_id"), "ratio")
+    likest = lone.join(near, ["pool", "name"]).select("left_id", "right_id", "ratio")
+    # the least ids of a pool; fewer than ``fallback`` rows of a name can be among them
+    first = pools.withColumn("place", F.row_number().over(Window.partitionBy("pool").orderBy("id"))).filter(F.col("place") <= 2 * fallback)
+    filled = lone.join(first.select("pool", F.col("id").alias("right_id")), "pool").select("left_id", "right_id", F.lit(0.0).alias("ratio"))
+    short = likest.groupBy("left_id").count().filter(F.col("count") >= fallback).select("left_id")
+    filled = filled.join(short, "left_id", "left_anti").join(likest, ["left_id", "right_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("ratio"), "right_id"))
+    return hit.unionByName(likest.unionByName(filled).withColumn("place", place).filter(F.col("place") <= fallback).select("left_id", "right_id"))
 
 
 def features(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -115,7 +137,7 @@ def _gate(columns: list[str], score: Column, linker: bool, review: float, auto:
     return decision, hits
 
 
-def match_v3(left: DataFrame, right: DataFrame, linker: bool = True, fallback: int = 0, review: float = REVIEW, auto: float = AUTO, learned=None) -> DataFrame:
+def match_v3(left: DataFrame, right: DataFrame, linker: bool = True, fallback: int = NEAREST, review: float = REVIEW, auto: float = AUTO, learned=None) -> DataFrame:
     """``(left_id, right_id, features.., score, decision, hits)`` of every candidate pair.
 
     ``learned`` may be a function from the features' columns to a score

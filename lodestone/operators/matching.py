@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import written
 
 AUTO, REVIEW, DIGITS = 0.90, 0.65, 6
 
@@ -134,16 +135,63 @@ def representatives(df: DataFrame, id_col: str = "id", text_col: str = "text") -
 
 
 def sequence_ratio(left: Column, right: Column) -> Column:
-    """Ratio of matching blocks of two strings, as Python's ``difflib`` has it, in Arrow batches."""
+    """Ratio of matching blocks of two strings, as Python's ``difflib`` has it, in Arrow batches; a batch takes each pair once."""
 
     @F.pandas_udf("double")
     def ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in parts:
-            yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
+            known: dict[tuple[str, str], float] = {}
+            matcher = SequenceMatcher(None)
+            # the matcher prepares its second string, so pairs of one go together
+            for x, y in sorted({(x or "", y or "") for x, y in zip(a, b)}, key=lambda p: p[1]):
+                if matcher.b != y:
+                    matcher.set_seq2(y)
+                matcher.set_seq1(x)
+                known[x, y] = 1.0 if x == y else matcher.ratio()
+            yield pd.Series([known[x or "", y or ""] for x, y in zip(a, b)], dtype="float64")
 
     return ratio(left, right)
 
 
+def characters(c: Column) -> Column:
+    """Each character with the number of its occurrence, so that common ones of two texts are an intersection of sets."""
+    every = F.filter(F.split(T.text(c), ""), lambda x: x != "")
+    count = lambda x: F.size(F.filter(every, lambda y: y == x))
+    return F.flatten(F.transform(F.array_distinct(every), lambda x: F.transform(F.sequence(F.lit(1), count(x)), lambda n: F.concat(x, n.cast("string")))))
+
+
+def ratio_pairs(left: DataFrame, right: DataFrame, threshold: float, block: str = "block", id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``(left_id, right_id, ratio)`` of all pairs of a block whose ratio of matching blocks is ``threshold`` or more.
+
+    Texts are taken once for each block.  Common characters bound the ratio:
+    a pair at the threshold shares one of its ``n - ceil(t / (2 - t) n) + 1``
+    rarest characters, counted with repeats, so pairs meet by an equi-join on
+    (block, character), are then held against the whole bound in the JVM, and
+    only what is left goes to Python.
+    """
+
+    def entries(df: DataFrame, side: str) -> DataFrame:
+        return df.select(F.col(block).cast("string").alias("block"), T.text(text_col).alias(f"{side}_text")).filter(f"{side}_text <> ''").distinct().withColumn(f"{side}_set", characters(F.col(f"{side}_text")))
+
+    a, b = entries(left, "l"), entries(right, "r")
+    both = a.select("block", F.explode("l_set").alias("c")).union(b.select("block", F.explode("r_set")))
+    common = both.groupBy("block", "c").agg(F.count("*").alias("n"))
+
+    def rare(df: DataFrame, side: str) -> DataFrame:
+        listed = df.select("block", f"{side}_text", F.size(f"{side}_set").alias(f"{side}_n"), F.explode(f"{side}_set").alias("c")).join(common, ["block", "c"])
+        listed = listed.groupBy("block", f"{side}_text", f"{side}_n").agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("x"))
+        keep = F.col(f"{side}_n") - F.ceil(threshold / (2 - threshold) * F.col(f"{side}_n") - 1e-9).cast("int") + 1
+        return listed.select("block", f"{side}_text", f"{side}_n", F.explode(F.slice("x", F.lit(1), keep)).alias("k")).select("block", f"{side}_text", f"{side}_n", F.col("k.c").alias("c"))
+
+    met = rare(a, "l").join(rare(b, "r"), ["block", "c"]).filter(2 * F.least("l_n", "r_n") >= threshold * (F.col("l_n") + F.col("r_n")) - 1e-9).select("block", "l_text", "r_text").distinct()
+    met = met.join(a, ["block", "l_text"]).join(b, ["block", "r_text"])
+    bound = 2 * F.size(F.array_intersect("l_set", "r_set")) / (F.size("l_set") + F.size("r_set"))
+    some = written(met.filter(bound >= threshold - 1e-9).select("block", "l_text", "r_text"), "bounded")
+    near = some.withColumn("ratio", sequence_ratio(F.col("l_text"), F.col("r_text"))).filter(F.col("ratio") >= threshold)
+    side = lambda df, s, name: df.select(F.col(block).cast("string").alias("block"), T.text(text_col).alias(f"{s}_text"), F.col(id_col).alias(name))
+    return near.join(side(left, "l", "left_id"), ["block", "l_text"]).join(side(right, "r", "right_id"), ["block", "r_text"]).select("left_id", "right_id", F.round("ratio", DIGITS).alias("ratio"))
+
+
 def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
     """``(table, column, kind)`` of the columns of some tables, from their schemas."""
     spark = next(iter(tables.values())).sparkSession

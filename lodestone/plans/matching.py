@@ -51,8 +51,8 @@ def entity_rule_features(spark, sf):
 
 def _matched(spark, sf):
     digit = lambda c: F.floor(c).cast("long") % 10
-    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("study"), F.col("c_name").alias("name"), digit(F.col("c_acctbal")).alias("digit"))
-    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("study"), F.col("s_name").alias("name"), digit(F.col("s_acctbal")).alias("digit"))
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("study"), F.col("c_name").alias("name"), digit(F.col("c_acctbal")).alias("digit"), F.substring("c_name", -1, 1).alias("patient"))
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("study"), F.col("s_name").alias("name"), digit(F.col("s_acctbal")).alias("digit"), F.substring("s_name", -1, 1).alias("patient"))
     return c, s
 
 
@@ -63,12 +63,19 @@ def entity_match_v2(spark, sf):
     return X.best_match(*_matched(spark, sf), "study", ["name", "digit"])
 
 
-@suite.add("""WITH c AS (SELECT c_custkey, c_nationkey, regexp_replace(lower(c_name), '[^a-z0-9_]+', '', 'g') AS a, floor(c_acctbal)::BIGINT % 10 AS x FROM customer), s AS (SELECT s_suppkey, s_nationkey, regexp_replace(lower(s_name), '[^a-z0-9_]+', '', 'g') AS b, floor(s_acctbal)::BIGINT % 10 AS y FROM supplier),
-j AS (SELECT c_custkey, s_suppkey, (CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.5 ELSE 0 END + CASE WHEN s_suppkey IS NULL THEN NULL WHEN regexp_replace(x::VARCHAR, '-', '') = regexp_replace(y::VARCHAR, '-', '') THEN 1.0 WHEN contains(regexp_replace(x::VARCHAR, '-', ''), regexp_replace(y::VARCHAR, '-', '')) THEN 0.5 ELSE 0 END) / 2 AS score FROM c LEFT JOIN s ON c_nationkey = s_nationkey)
-SELECT c_custkey AS left_id, s_suppkey AS right_id, round(coalesce(score, 0)::DOUBLE, 6) AS score, CASE WHEN score >= 0.9 THEN 'AUTO' WHEN score >= 0.65 THEN 'REVIEW' ELSE 'REJECT' END AS verdict FROM j QUALIFY coalesce(score, 0) >= 0.65 OR row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(score, 0) DESC, s_suppkey) = 1""")
+@suite.add("""WITH c AS (SELECT c_custkey, c_nationkey, regexp_replace(lower(c_name), '[^a-z0-9_]+', '', 'g') AS a, floor(c_acctbal)::BIGINT % 10 AS x, right(c_name, 1) AS pa FROM customer), s AS (SELECT s_suppkey, s_nationkey, regexp_replace(lower(s_name), '[^a-z0-9_]+', '', 'g') AS b, floor(s_acctbal)::BIGINT % 10 AS y, right(s_name, 1) AS pb FROM supplier),
+j AS (SELECT c_custkey, s_suppkey, coalesce(pa <> pb, false) AS against, (CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.5 ELSE 0 END + CASE WHEN s_suppkey IS NULL THEN NULL WHEN regexp_replace(x::VARCHAR, '-', '') = regexp_replace(y::VARCHAR, '-', '') THEN 1.0 WHEN contains(regexp_replace(x::VARCHAR, '-', ''), regexp_replace(y::VARCHAR, '-', '')) THEN 0.5 ELSE 0 END) / 2 AS score FROM c LEFT JOIN s ON c_nationkey = s_nationkey)
+SELECT c_custkey AS left_id, s_suppkey AS right_id, round(coalesce(score, 0)::DOUBLE, 6) AS score, CASE WHEN against THEN 'REJECT' WHEN score >= 0.9 THEN 'AUTO' WHEN score >= 0.65 THEN 'REVIEW' ELSE 'REJECT' END AS verdict FROM j QUALIFY coalesce(score, 0) >= 0.65 OR row_number() OVER (PARTITION BY c_custkey ORDER BY coalesce(score, 0) DESC, s_suppkey) = 1""")
 def entity_match_v2_pairs(spark, sf):
-    """Every pair from the review threshold on, not the best of each customer alone."""
-    return X.all_matches(*_matched(spark, sf), "study", ["name", "digit"])
+    """Every pair from the review threshold on; the last digit of a name stands for the patient, and differing ones reject."""
+    return X.all_matches(*_matched(spark, sf), "study", ["name", "digit"], guard="patient")
+
+
+@suite.add()
+def similar_names(spark, sf):
+    """Names of parts whose ratio of matching blocks is .9 or more, inside a brand; the tests hold the operator against brute force."""
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("block"), F.col("p_name").alias("text"))
+    return X.ratio_pairs(p, p, 0.9).filter("left_id < right_id")
 
 
 @suite.add()
@@ -105,17 +112,17 @@ def exact_link_pairs(spark, sf):
 
 
 def _links(spark, sf):
-    """Documents that follow one another in groups of seven, and every fourteenth with the one 140 on."""
-    d = read(spark, sf, "documents").select("doc_id")
-    near = d.filter("doc_id % 7 <> 6").select(F.col("doc_id").alias("left"), (F.col("doc_id") + 1).alias("right"))
-    far = d.filter("doc_id % 14 = 0").select(F.col("doc_id").alias("left"), (F.col("doc_id") + 140).alias("right"))
-    return near.union(far)
+    """Stars of documents whose texts begin, or end, with the same 40 letters and digits."""
+    key = X.compact("text")
+    parts = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array(F.struct(F.lit("begin").alias("study"), F.substring(key, 1, 40).alias("sample")), F.struct(F.lit("end").alias("study"), F.substring(key, -40, 40).alias("sample")))).alias("k"))
+    return L.star_links(parts.select("id", "k.study", "k.sample"), "sample")
 
 
-_LINKS = "l AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id % 7 <> 6 UNION ALL SELECT doc_id, doc_id + 140 FROM documents WHERE doc_id % 14 = 0)"
-# the groups of seven are joined every 20 groups where they are even, so a closed form names the roots
-_ROOTS = f"""n AS (SELECT a AS id FROM l UNION SELECT b FROM l), c AS (SELECT id, id // 7 AS g FROM n),
-r AS (SELECT id, CASE WHEN g % 2 = 0 THEN g % 20 ELSE g END AS k FROM c), roots AS (SELECT id, min(id) OVER (PARTITION BY k) AS root FROM r)"""
+_KEY = r"regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^\p{L}\p{N}_]+', '', 'g')"
+_LINKS = f"""RECURSIVE k AS (SELECT doc_id, 'begin' AS side, left({_KEY}, 40) AS key FROM documents UNION ALL SELECT doc_id, 'end', right({_KEY}, 40) FROM documents),
+l AS (SELECT min(doc_id) OVER (PARTITION BY side, key) AS a, doc_id AS b FROM k WHERE key <> '' QUALIFY a <> b)"""
+_ROOTS = """e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), n AS (SELECT DISTINCT a AS id FROM e),
+r AS (SELECT id, id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b), roots AS (SELECT id, min(root) AS root FROM r GROUP BY id)"""
 
 
 @suite.add(f"WITH {_LINKS}, {_ROOTS} SELECT id, root FROM roots")
@@ -134,7 +141,7 @@ def _prefix_links(spark, sf):
     return L.star_links(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("documents").alias("study"), begin.alias("sample")), "sample")
 
 
-@suite.add()
+@suite.add(f"SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY left({_KEY}, 40)) AS root FROM documents WHERE {_KEY} <> '' QUALIFY count(*) OVER (PARTITION BY left({_KEY}, 40)) > 1")
 def document_components(spark, sf):
     return L.components(_prefix_links(spark, sf))
 

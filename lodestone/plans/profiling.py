@@ -77,15 +77,15 @@ def blank_key_dedup(spark, sf):
     return P.keep_first(d, F.col("k"), "doc_id")
 
 
-@suite.add("SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_values, min(l_suppkey) AS least, max(l_suppkey) AS greatest FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) > 1")
+@suite.add("SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_values, min(l_suppkey) AS least, max(l_suppkey) AS greatest FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) > 1")
 def identity_conflicts(spark, sf):
-    return P.key_conflicts(read(spark, sf, "lineitem").filter("l_linenumber <= 3"), ["l_orderkey"], "l_suppkey")
+    return P.key_conflicts(read(spark, sf, "lineitem"), ["l_orderkey"], "l_suppkey")
 
 
-@suite.add("SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_values, min(l_suppkey) AS least, max(l_suppkey) AS greatest FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) > 1")
-def identity_conflicts_whole(spark, sf):
-    """``identity_conflicts`` over every line of an order."""
-    return P.key_conflicts(read(spark, sf, "lineitem"), ["l_orderkey"], "l_suppkey")
+@suite.add("SELECT l_orderkey, l_suppkey, count(DISTINCT l_partkey) AS n_values, min(l_partkey) AS least, max(l_partkey) AS greatest FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) > 1")
+def identity_conflicts_by_pair(spark, sf):
+    """Orders and suppliers together as the identity, with differing parts."""
+    return P.key_conflicts(read(spark, sf, "lineitem"), ["l_orderkey", "l_suppkey"], "l_partkey")
 
 
 @suite.add("SELECT user_id, count(DISTINCT value) AS n_values, count(DISTINCT event_type) AS n_sources FROM events WHERE value IS NOT NULL GROUP BY user_id HAVING count(DISTINCT value) > 1 AND count(DISTINCT event_type) > 1")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
-from ..shared import written
+from ..operators.vectors import VectorStore
+from ..shared import new_path, written
 from .tables import Suite, read
 
 suite = Suite()
@@ -150,6 +151,24 @@ def cosine_topk(spark, sf):
     return R.cosine(v, v.filter("vec_id % 50 = 0"))
 
 
+def _stored(spark, sf):
+    """All vectors in a new store, in two upserts, the second of which repeats every third vector of the first with its true value."""
+    v = read(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    store = VectorStore(spark, new_path(spark, "store"), 64, id_col="vec_id", vector_col="embedding")
+    turned = F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda c: -c)).otherwise(F.col("embedding"))
+    store.upsert(v.filter("vec_id % 2 = 0 or vec_id % 3 = 0").withColumn("embedding", turned))
+    store.upsert(v.filter("vec_id % 2 = 1 or vec_id % 3 = 0"))
+    return VectorStore(spark, store.path, 64, id_col="vec_id", vector_col="embedding")
+
+
+@suite.add("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.e, d.e), 6) AS score FROM v q, v d WHERE q.vec_id % 50 = 0)
+SELECT query_id, doc_id, greatest(0, score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
+def vector_store_topk(spark, sf):
+    """Every fiftieth vector against a store that was filled, changed and opened again."""
+    return _stored(spark, sf).search(read(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))[0]
+
+
 _MEASURES = ", ".join([*(f"round(sum(CASE WHEN rank <= {k} THEN hit ELSE 0 END)::DOUBLE / {k}, 6) AS p{k}, (sum(CASE WHEN rank <= {k} THEN hit ELSE 0 END) > 0)::INT AS h{k}" for k in (1, 3, 5, 10))])
 
 

@@ -90,12 +90,12 @@ ENTITY = "id long, study_id string, patient_id string, name string, city string"
 def test_entity_v3_as_plain_python(spark):
     out = {(r["left_id"], r["right_id"]): r for r in entities.match_v3(spark.createDataFrame(LEFT, ENTITY), spark.createDataFrame(RIGHT, ENTITY)).collect()}
     v = lambda x: " ".join((x or "").lower().split())
-    assert set(out) == {(1, 1), (2, 4), (3, 3)}
+    assert set(out) == {(1, 1), (2, 4), (3, 3), (4, 1), (4, 2), (4, 4)}  # a row without values gets its study's rows
     for (a, b), r in out.items():
         x, y = LEFT[a - 1], RIGHT[b - 1]
         n, m = v(x[3]), v(y[3])
         ratio = round(SequenceMatcher(None, n, m).ratio(), 4) if n and m else 0.0
-        inside = round(len(set(n.split()) & set(m.split())) / min(len(set(n.split())), len(set(m.split()))), 4)
+        inside = round(len(set(n.split()) & set(m.split())) / max(1, min(len(set(n.split())), len(set(m.split())))), 4)
         agree = float(v(x[4]) == v(y[4])) if v(x[4]) and v(y[4]) else 0.0
         same = float(v(x[2]) == v(y[2])) if v(x[2]) and v(y[2]) else 0.0
         score = round(0.40 * ratio + 0.25 * inside + 0.25 * agree + 0.10 * same, 4)
@@ -107,7 +107,7 @@ def test_entity_v3_as_plain_python(spark):
 
 def test_entity_fallback_is_by_name(spark):
     a, b = spark.createDataFrame([(1, "s", None, "Bob Stoned", "y")], ENTITY), spark.createDataFrame(RIGHT, ENTITY)
-    assert entities.candidates(a, b).count() == 0
+    assert entities.candidates(a, b, 0).count() == 0 and entities.candidates(a, b).count() == 3
     assert rows(entities.candidates(a, b, 1), "left_id", "right_id") == [(1, 4)]
 
 
