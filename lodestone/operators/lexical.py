@@ -140,7 +140,7 @@ class Lexical:
             b = min(a + QUERIES, len(self.names))
             mine = (query >= a) & (query < b) if len(self.names) > QUERIES else slice(None)
             cell = (query[mine] - a) * part.num_rows + doc[mine]
-            yield slice(a, b), [np.bincount(cell, v[mine], (b - a) * part.num_rows).reshape(b - a, part.num_rows) for v in values]
+            yield slice(a, b), [np.bincount(cell, v[mine], (b - a) * part.num_rows).astype(float).reshape(b - a, part.num_rows) for v in values]
 
     def gain(self, length: np.ndarray, k1: float, b: float) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
         average = self.statistics()[0]
@@ -227,7 +227,7 @@ class Lexical:
                 ok = there[owner] & (key[at] == wanted) if len(key) else np.zeros(len(owner), bool)
                 owner, tf, at = owner[ok], tf[ok], at[ok]
                 gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[owner] / average))
-                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("doc_id"), pa.array(np.round(np.bincount(owner, gain * weight[at], part.num_rows), DIGITS))], names=["query_id", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("doc_id"), pa.array(np.round(np.bincount(owner, gain * weight[at], part.num_rows).astype(float), DIGITS))], names=["query_id", "doc_id", "score"])
 
         met = pairs.select("query_id", "doc_id").distinct().join(self.hits.select("doc_id", "length", "terms"), "doc_id")
         return met.select("query_id", "doc_id", "length", "terms").mapInArrow(run, "query_id long, doc_id long, score double")
