@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import written
 
 
 def matrix(fields: DataFrame, sources: DataFrame) -> DataFrame:
@@ -61,47 +62,49 @@ def join_allowed(left: Column, right: Column) -> Column:
     return ~(F.array_contains(left, "patient") & F.array_contains(right, "patient"))
 
 
-def _walk(ranked: list, cells: dict[tuple[str, str], float], required: list[str], most: int, guarded: bool) -> list[tuple[int, str, float]]:
-    """Sources in order that still gain coverage; the catalogue is a handful of rows."""
-    best, out, last = {f: 0.0 for f in required}, [], None
-    for r in ranked:
-        if len(out) >= most or (out and all(v >= 1.0 for v in best.values())):
-            break
-        if guarded and last is not None and "patient" in last and "patient" in r["granularity"]:
-            continue
-        gain = sum(max(0.0, cells.get((r["dataset_id"], f), 0.0) - best[f]) for f in required)
-        if not out or gain > 0:
-            out.append((len(out) + 1, r["dataset_id"], float(gain)))
-            last = r["granularity"]
-            best = {f: max(v, cells.get((r["dataset_id"], f), 0.0)) for f, v in best.items()}
-    return out
+#: Steps of a cover between two written states.
+STEPS = 8
 
 
-#: Sources and fields of a catalogue at most; more is an error, not a cut.
-CATALOGUE = 100_000
+def _walk(cells: DataFrame, ranked: DataFrame, most: int, guarded: bool) -> DataFrame:
+    """``(step, dataset_id, gain)``: down ``ranked(dataset_id, granularity, place)``, the sources that still gain required coverage.
 
-
-def _collected(df: DataFrame) -> list:
-    rows = df.limit(CATALOGUE + 1).collect()
-    if len(rows) > CATALOGUE:
-        raise ValueError(f"a catalogue has at most {CATALOGUE} rows")
-    return rows
+    The first source is always taken.  A step is one aggregate over the
+    sources against a state of one row: what each field has so far, and the
+    place and level of the last source taken.  Where ``guarded``, a
+    patient-level source does not follow another one directly.
+    """
+    kind = "map<string,double>"
+    own = cells.filter("priority = 'required'").groupBy("dataset_id", "field_id").agg(F.max("coverage").alias("c"))
+    own = own.groupBy("dataset_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_id", "c")))).alias("own"))  # the fields of one source
+    rows = written(ranked.join(own, "dataset_id", "left").select("dataset_id", "place", F.coalesce(F.array_contains("granularity", "patient"), F.lit(False)).alias("patient"), F.coalesce("own", F.create_map().cast(kind)).alias("own")), "cover")
+    place = dict(rows.dtypes)["place"]
+    state = cells.sparkSession.range(1).select(F.create_map().cast(kind).alias("best"), F.lit(None).cast(place).alias("last"), F.lit(False).alias("last_patient"), F.array().cast("array<struct<step:bigint,dataset_id:string,gain:double>>").alias("chosen"))
+    gain = F.aggregate(F.map_entries("own"), F.lit(0.0), lambda s, e: s + F.greatest(F.lit(0.0), e["value"] - F.coalesce(F.try_element_at("best", e["key"]), F.lit(0.0))))
+    for step in range(1, most + 1):
+        fits = (F.size("chosen") == 0) | ((F.col("place") > F.col("last")) & (F.col("gain") > 0) & (~(F.col("last_patient") & F.col("patient")) if guarded else F.lit(True)))
+        x = rows.crossJoin(F.broadcast(state)).withColumn("gain", gain)  # a state is one row
+        x = x.agg(*(F.any_value(c).alias(c) for c in state.columns), F.min_by(F.struct("dataset_id", "gain", "own", "place", "patient"), F.when(fits, F.col("place"))).alias("p"))
+        took = F.col("p").isNotNull()
+        grown = F.map_zip_with("best", F.coalesce("p.own", F.create_map().cast(kind)), lambda k, a, b: F.greatest(F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0))))
+        state = x.select(
+            grown.alias("best"), F.coalesce("p.place", "last").alias("last"), F.coalesce("p.patient", "last_patient").alias("last_patient"),
+            F.when(took, F.concat("chosen", F.array(F.struct((F.size("chosen") + 1).cast("long").alias("step"), F.col("p.dataset_id").alias("dataset_id"), F.col("p.gain").alias("gain"))))).otherwise(F.col("chosen")).alias("chosen"),
+        )
+        state = written(state, "cover") if step % STEPS == 0 else state
+    return state.select(F.explode("chosen").alias("x")).select("x.*")
 
 
 def selected(cells: DataFrame, sources: DataFrame, most: int = 3, preferred: list[str] | None = None) -> DataFrame:
-    """``(step, dataset_id, gain)``: sources by score that add coverage of required fields, the first always."""
-    ranked = _collected(scores(cells, sources, preferred).join(sources.select("dataset_id", "granularity"), "dataset_id").orderBy(F.desc("score"), "dataset_id"))
-    need = _collected(cells.filter("priority = 'required'").select("dataset_id", "field_id", "coverage"))
-    rows = _walk(ranked, {(r["dataset_id"], r["field_id"]): r["coverage"] for r in need}, sorted({r["field_id"] for r in need}), most, False)
-    return cells.sparkSession.createDataFrame(rows, "step long, dataset_id string, gain double")
+    """``(step, dataset_id, gain)``: sources by score that add coverage of required fields, the first always; ties by name."""
+    x = scores(cells, sources, preferred).join(sources.select("dataset_id", "granularity"), "dataset_id")
+    return _walk(cells, x.select("dataset_id", "granularity", F.struct((-F.col("score")).alias("s"), "dataset_id").alias("place")), most, False)
 
 
 def covered(cells: DataFrame, sources: DataFrame, most: int = 3, risk: float = 0.35, latency: float = 0.15) -> DataFrame:
     """Like ``selected`` by least cost; a patient-level source never follows another one."""
-    ranked = _collected(costs(cells, sources, risk, latency).join(sources.select("dataset_id", "granularity", "ord"), "dataset_id").orderBy("cost", "ord"))
-    need = _collected(cells.filter("priority = 'required'").select("dataset_id", "field_id", "coverage"))
-    rows = _walk(ranked, {(r["dataset_id"], r["field_id"]): r["coverage"] for r in need}, sorted({r["field_id"] for r in need}), most, True)
-    return cells.sparkSession.createDataFrame(rows, "step long, dataset_id string, gain double")
+    x = costs(cells, sources, risk, latency).join(sources.select("dataset_id", "granularity", "ord"), "dataset_id")
+    return _walk(cells, x.select("dataset_id", "granularity", F.struct("cost", "ord").alias("place")), most, True)
 
 
 def join_policies(chosen: DataFrame, sources: DataFrame) -> DataFrame:

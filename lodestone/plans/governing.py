@@ -201,19 +201,36 @@ def dataset_costs(spark, sf):
     return V.costs(V.matrix(fields, sources), sources)
 
 
-@suite.add()
+def _cover_sql(order: str, guarded: bool, steps: int = 3) -> str:
+    """The walk down the ranked sources, a step a table; a step without a source leaves the later ones empty."""
+    need = "m AS (SELECT dataset_id, n, max(coverage) FILTER (field_id = 'pik3ca_mutation')::DOUBLE AS a, max(coverage) FILTER (field_id = 'os_months')::DOUBLE AS b, max(coverage) FILTER (field_id = 'pcr')::DOUBLE AS c FROM c GROUP BY ALL)"
+    parts = [need, f"k AS (SELECT *, n % 4 = 0 AS pt, row_number() OVER (ORDER BY {order}) AS rn FROM m JOIN v USING (dataset_id))", "t1 AS (SELECT *, a + b + c AS gain, a AS ba, b AS bb, c AS bc FROM k WHERE rn = 1)"]
+    for i in range(2, steps + 1):
+        guard = "AND NOT (t.pt AND k.pt)" if guarded else ""
+        parts.append(f"t{i} AS (SELECT * FROM (SELECT k.*, greatest(0, k.a - ba) + greatest(0, k.b - bb) + greatest(0, k.c - bc) AS gain, greatest(k.a, ba) AS ba, greatest(k.b, bb) AS bb, greatest(k.c, bc) AS bc FROM k JOIN t{i - 1} t ON k.rn > t.rn {guard}) WHERE gain > 0 ORDER BY rn LIMIT 1)")
+    return ", ".join(parts)
+
+
+_SCORE = "v AS (SELECT dataset_id, greatest(0, least(1, round(0.52 * rq + 0.1 * rc + 0.1 * (n % 10 / 10.0) + 0.08 * 0.5 + 0.07 * CASE WHEN n % 4 = 0 THEN 1 ELSE 0.4 END + 0.05 * (n % 6 / 10.0) + 0.05 * CASE WHEN n % 2 = 0 THEN 1 ELSE 0.5 END - 0.03 * (n % 9 / 10.0), 6)))::DOUBLE AS score FROM w)"
+_COST = "v AS (SELECT dataset_id, round(1 - raw + n % 9 / 10.0 + 0.35 * (1 - n % 10 / 10.0) + 0.15 * (1 - n % 6 / 10.0), 9)::DOUBLE AS cost FROM w)"
+_CHOSEN = " UNION ALL ".join(f"SELECT {i}::BIGINT AS step, dataset_id, gain FROM t{i}" for i in (1, 2, 3))
+_BY_SCORE = f"{_MATRIX}, {_SCORE}, {_cover_sql('score DESC, dataset_id', False)}"
+
+
+@suite.add(f"WITH {_BY_SCORE} {_CHOSEN}")
 def selected_sources(spark, sf):
     fields, sources = _catalogue(spark, sf)
     return V.selected(V.matrix(fields, sources), sources)
 
 
-@suite.add()
+@suite.add(f"WITH {_MATRIX}, {_COST}, {_cover_sql('cost, n', True)} {_CHOSEN}")
 def weighted_cover(spark, sf):
     fields, sources = _catalogue(spark, sf)
     return V.covered(V.matrix(fields, sources), sources)
 
 
-@suite.add()
+@suite.add(f"""WITH {_BY_SCORE}, x AS (SELECT (ba + bb + bc) / 3 AS share, (ba <= 0)::INT + (bb <= 0)::INT + (bc <= 0)::INT AS none, 1 AS i FROM t1 UNION ALL SELECT (ba + bb + bc) / 3, (ba <= 0)::INT + (bb <= 0)::INT + (bc <= 0)::INT, 2 FROM t2 UNION ALL SELECT (ba + bb + bc) / 3, (ba <= 0)::INT + (bb <= 0)::INT + (bc <= 0)::INT, 3 FROM t3)
+SELECT round(min_by(share, i), 6)::DOUBLE AS primary_coverage, round(max_by(share, i), 6)::DOUBLE AS portfolio_coverage, max_by(none, i)::BIGINT AS n_uncovered, CASE WHEN min_by(share, i) < 1 THEN 'PARTIAL' ELSE 'READY' END AS status FROM x""")
 def source_plan(spark, sf):
     fields, sources = _catalogue(spark, sf)
     cells = V.matrix(fields, sources)

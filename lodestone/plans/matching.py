@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import canonical as J
 from ..functions import text as T
 from ..operators import graph as G
 from ..operators import linking as L
@@ -203,11 +204,30 @@ def rarity_score(spark, sf):
     return G.rarity_score(*_offers(spark, sf))
 
 
-@suite.add()
+_GAIN = "SELECT source, count(*) AS gain FROM o SEMI JOIN f USING (field) {left} GROUP BY source ORDER BY gain DESC, source LIMIT 1"
+_TAKEN = "WHERE field NOT IN (SELECT field FROM o WHERE source IN ({sources}))"
+_GREEDY = [_GAIN.format(left=""), _GAIN.format(left=_TAKEN.format(sources="SELECT source FROM g1")), _GAIN.format(left=_TAKEN.format(sources="SELECT source FROM g1 UNION ALL SELECT source FROM g2"))]
+
+
+@suite.add(f"WITH {_OFFERS}, " + ", ".join(f"g{i} AS ({q})" for i, q in enumerate(_GREEDY, 1)) + " " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS step, source, gain FROM g{i}" for i in (1, 2, 3)))
 def greedy_cover(spark, sf):
     return G.greedy_cover(*_offers(spark, sf))
 
 
+@suite.add("""SELECT c_custkey, sha256('{"balance":' || CASE WHEN c_acctbal = 0 THEN '0.0' ELSE c_acctbal::DOUBLE::VARCHAR END || ',"ids":[' || c_custkey || ',' || c_nationkey || '],"labels":{"Name":"' || c_name || '","segment":' || CASE WHEN c_mktsegment = 'BUILDING' THEN 'null' ELSE '"' || c_mktsegment || '"' END || '},"large":' || (c_nationkey = 3)::VARCHAR || '}') AS digest FROM customer""")
+def record_digests(spark, sf):
+    c = read(spark, sf, "customer")
+    labels = F.create_map(F.lit("segment"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")), F.lit("Name"), F.col("c_name"))
+    x = c.select("c_custkey", labels.alias("labels"), (F.col("c_nationkey") == 3).alias("large"), F.array(F.col("c_custkey").cast("long"), F.col("c_nationkey").cast("long")).alias("ids"), F.col("c_acctbal").cast("double").alias("balance"))
+    return J.canonical_hash(x, "labels", "large", "ids", "balance").select("c_custkey", "digest")
+
+
+@suite.add("""SELECT doc_id, sha256('{"model_id":"","prompt_version":"1","query":"' || replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '","query_id":"' || doc_id || '","schema_version":"1"}') AS key FROM documents""")
+def query_plan_keys(spark, sf):
+    d = read(spark, sf, "documents")
+    return d.select("doc_id", J.query_plan_key(F.col("doc_id"), F.col("text"), F.lit(None), F.lit("1"), F.lit("1")).alias("key"))
+
+
 @suite.add("SELECT o_orderkey, 'order:' || substr(sha256(o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority), 1, 24) AS order_id FROM orders")
 def canonical_hash_ids(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", T.short_id("order", F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("order_id"))
