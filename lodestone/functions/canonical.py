@@ -34,7 +34,7 @@ def _double(c: Column) -> Column:
     # below Java 19 a text may have a digit too many: one less that reads back as the same number is taken
     n = F.length(F.regexp_replace(F.replace(F.split_part(s, F.lit("E"), F.lit(1)), F.lit("."), F.lit("")), "^0+|0+$", ""))
     less = F.upper(F.call_function("format_string", F.concat(F.lit("%."), F.greatest(F.lit(0), n - 2).cast("string"), F.lit("e")), F.abs(c)))
-    s = F.when((n > 1) & (less.try_cast("double") == F.abs(c)), less).otherwise(s)
+    s = F.when((F.abs(c) < float("inf")) & (n > 1) & (less.try_cast("double") == F.abs(c)), less).otherwise(s)
     mantissa, power = F.split_part(s, F.lit("E"), F.lit(1)), F.coalesce(F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
     whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
     digits = F.regexp_replace(F.concat(whole, part), "^0+", "")
@@ -75,7 +75,7 @@ def canonical_json(c: Column, kind: Y.DataType) -> Column:
         fields = [F.concat(quoted(F.lit(f.name)), F.lit(":"), canonical_json(c.getField(f.name), f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
         if len({f.name for f in kind.fields}) < len(kind.fields):
             raise TypeError("a record has one name twice")
-        out = _joined(F.array(*fields), "{", "}") if fields else F.lit("{}")
+        out = F.when(c.isNotNull(), _joined(F.array(*fields), "{", "}") if fields else F.lit("{}"))
     elif isinstance(kind, Y.ArrayType):
         out = _joined(F.transform(c, lambda x: canonical_json(x, kind.elementType)), "[", "]")
     elif isinstance(kind, Y.MapType):

@@ -14,8 +14,11 @@ from ..operators import graph as H
 from ..operators import profile as D
 from ..operators import retrieval as R
 from ..operators import sequence as S
+from ..shared import new_path
+from ..sources import exports as E
 from ..sources import payloads as P
 from ..sources import readers
+from ..streaming import loops as Z
 from .records import _tagged, _TAGGED
 from .tables import Suite, read
 
@@ -590,3 +593,33 @@ def payload_fields(spark, sf):
 @suite.add("SELECT least(count(*), 10) AS row_count, count(*) AS upstream_row_count, count(*) > 10 AS truncated FROM pages")
 def capped_table(spark, sf):
     return P.capped(read(spark, sf, "pages"), 10, ["page_id"])[1]
+
+
+def _loop_events(spark, sf):
+    e = read(spark, sf, "events")
+    return e.select(F.col("user_id").cast("string").alias("loop_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("signup", "purchase"), "loop").otherwise("memory").alias("kind"), F.lit(None).cast("long").alias("iteration"), F.concat_ws(":", "event_type", "props").alias("payload"))
+
+
+_LOOPS = "e AS (SELECT user_id::VARCHAR AS loop_id, event_id AS seq, event_type IN ('signup', 'purchase') AS lp, concat_ws(':', event_type, props) AS payload FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND event_type IS NOT NULL)"
+
+
+@suite.add(f"""WITH {_LOOPS}, l AS (SELECT loop_id, max(seq) AS last_seq, max_by(payload, seq) AS payload FROM e WHERE lp GROUP BY loop_id),
+m AS (SELECT loop_id, string_agg(seq || '=' || payload, ',' ORDER BY seq DESC) AS memories FROM (SELECT *, row_number() OVER (PARTITION BY loop_id ORDER BY seq DESC) AS r FROM e WHERE NOT lp) WHERE r <= 5 GROUP BY loop_id) SELECT loop_id, last_seq, payload, coalesce(memories, '') AS memories FROM l FULL JOIN m USING (loop_id)""")
+def loop_states(spark, sf):
+    told = F.array_join(F.transform("memories", lambda m: F.concat(m["seq"].cast("string"), F.lit("="), m["payload"])), ",")
+    return Z.loop_states(_loop_events(spark, sf), 5).withColumn("memories", told)
+
+
+@suite.add(f"WITH {_LOOPS} SELECT loop_id, seq, payload FROM e WHERE NOT lp ORDER BY seq DESC, loop_id LIMIT 20")
+def recalled_memories(spark, sf):
+    return Z.recall(_loop_events(spark, sf)).select("loop_id", "seq", "payload")
+
+
+@suite.add("SELECT count(*) AS n_rows, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total, count(DISTINCT o_orderkey) AS n_orders FROM orders")
+def exported_orders(spark, sf):
+    """Orders written as archives by the tasks, and their lines of JSON read back."""
+    folder = new_path(spark, "archives")
+    files = E.write_archives(read(spark, sf, "orders"), folder, rows=50_000)
+    back = E.archive_rows(files, folder)
+    n = F.get_json_object("row", "$.o_orderkey").cast("long")
+    return back.agg(F.count("*").alias("n_rows"), F.round(F.sum(F.get_json_object("row", "$.o_totalprice").cast("decimal(18,2)")), 2).cast("double").alias("total"), F.count_distinct(n).alias("n_orders"))

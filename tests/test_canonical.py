@@ -56,7 +56,7 @@ def test_many_numbers_and_texts(spark):
     @settings(max_examples=300, deadline=None, database=None)
     @given(st.decimals(min_value=-(10**20), max_value=10**20, places=6, allow_nan=False), st.integers(-30, 30), st.text(st.characters(exclude_categories=["Cs"]), max_size=12))
     def draw(x, e, s):
-        found.append((float(f"{float(x):.12g}") * 1.0, float(f"{float(x) % 1:.6g}e{e}"), s))
+        found.append((float(f"{float(x):.12g}") * 1.0, float(f"{float(x) % 1:.6g}") * 10.0**e, s))
 
     draw()
     df = spark.createDataFrame(found, "f double, g double, s string")
