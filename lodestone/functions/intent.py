@@ -76,30 +76,44 @@ def same_source(gold: Column | str, system: Column | str) -> Column:
     return (g == s) | ends | other
 
 
-def series_score(c: Column | str, disease: list[str], genes: list[str] = (), drugs: list[str] = (), extra: list[str] = (), outcome: str | None = None, n_samples: Column | None = None, clinical: bool = False, subtype: str = "") -> Column:
-    """Whole-number score of a series' title and summary for a question: disease, outcome, genes, drugs, subtype, terms, cohort and size."""
-    x = fold(c)
-    has = lambda t: F.contains(x, F.lit(t.lower()))
-    each = lambda terms, n: sum((F.when(has(t), n).otherwise(0) for t in terms), F.lit(0))
-    about = F.lit(False)
-    for t in disease:
-        about = about | (has(t.strip()) if len(t.strip()) >= 4 else F.lit(False))
-    total = F.when(about, 8).otherwise(-12)
-    if outcome in ("pcr", "response"):
-        total = total + each(["pcr", "pathological complete response", "treatment response", "neoadjuvant", "response"], 4)
-    elif outcome == "survival":
-        total = total + each(["overall survival", "relapse-free", "disease-free", "intclust", "integrative cluster"], 4)
-    total = total + each(genes, 3) + each(drugs, 2)
-    if re.search("triple|tnbc|三阴性", subtype.lower()):
-        total = total + F.when(x.rlike("tnbc|triple-negative|triple negative|basal-like|basal like"), 5).otherwise(0)
-    if re.search("her2-positive|her2\\+|her2 阳性", subtype.lower()):
-        total = total + F.when(x.rlike("her2|erbb2|trastuzumab"), 3).otherwise(0)
-    total = total + each([t.strip() for t in extra if len(t.strip()) > 1], 2) + each(["her2", "erbb2", "trastuzumab", "pik3ca", "brca1", "brca2"], 1) + F.when(has("breast"), 1).otherwise(0)
+#: Fixed values of ``series_score``: what a question must ask for, the words looked for, their points, and whether each word counts or any one.
+SERIES_RULES = [
+    ("outcome", ["pcr", "response"], ["pcr", "pathological complete response", "treatment response", "neoadjuvant", "response"], 4, "each"),
+    ("outcome", ["survival"], ["overall survival", "relapse-free", "disease-free", "intclust", "integrative cluster"], 4, "each"),
+    ("group", ["triple", "tnbc", "三阴性"], ["tnbc", "triple-negative", "triple negative", "basal-like", "basal like"], 5, "any"),
+    ("group", ["her2-positive", "her2+", "her2 阳性"], ["her2", "erbb2", "trastuzumab"], 3, "any"),
+    ("always", [], ["her2", "erbb2", "trastuzumab", "pik3ca", "brca1", "brca2"], 1, "each"),
+    ("always", [], ["breast"], 1, "each"),
+]
+#: Fixed values of ``series_score``: points of the question's own terms, of the disease, of the cohort, and of the size up to so many samples.
+TERM_POINTS = {"genes": 3, "drugs": 2, "extra": 2}
+DISEASE_POINTS, COHORT_POINTS = (8, -12), {"preclinical": -24, "clinical": 7, "other": -4}
+SIZE_POINTS = [(10, -6), (30, 1), (None, 5)]
+
+
+def series_score(c: Column | str, disease: list[str], genes: list[str] = (), drugs: list[str] = (), extra: list[str] = (), outcome: str | None = None, n_samples: Column | None = None, clinical: bool = False, subtype: str = "", goal: str = "") -> Column:
+    """Whole-number score of a series' title and summary for a question.
+
+    A group of patients is asked for in ``subtype`` or in ``goal``; disease
+    terms under four characters and further terms under two do not count; an
+    unknown number of samples gives no points.
+    """
+    x, asked = fold(c), f"{subtype}\n{goal}".lower()
+    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x, w)) if words else F.lit(False)
+    applies = {"always": lambda names: True, "outcome": lambda names: outcome in names, "group": lambda names: any(n in asked for n in names)}
+    rules = [(words, points, mode) for kind, names, words, points, mode in SERIES_RULES if applies[kind](names)]
+    further = [t.strip().lower() for t in extra if len(t.strip()) > 1]
+    rules += [([t.lower() for t in terms], TERM_POINTS[k], "each") for k, terms in (("genes", genes), ("drugs", drugs), ("extra", further))]
+    parts = [F.when(any_of(group), points).otherwise(0) for words, points, mode in rules for group in ([words] if mode == "any" else [[w] for w in words])]
+    parts.append(F.when(any_of([t.strip().lower() for t in disease if len(t.strip()) >= 4]), DISEASE_POINTS[0]).otherwise(DISEASE_POINTS[1]))
     if clinical:
-        total = total + F.when(x.rlike(PRECLINICAL), -24).when(x.rlike(CLINICAL), 7).otherwise(-4)
+        parts.append(F.when(x.rlike(PRECLINICAL), COHORT_POINTS["preclinical"]).when(x.rlike(CLINICAL), COHORT_POINTS["clinical"]).otherwise(COHORT_POINTS["other"]))
     if n_samples is not None:
-        total = total + F.when(n_samples.isNull(), 0).when(n_samples < 10, -6).when(n_samples < 30, 1).otherwise(5)
-    return total.cast("int")
+        size = F.when(n_samples.isNull(), 0)
+        for below, points in SIZE_POINTS[:-1]:
+            size = size.when(n_samples < below, points)
+        parts.append(size.otherwise(SIZE_POINTS[-1][1]))
+    return sum(parts[1:], parts[0]).cast("int")
 
 
 def column_variants(c: Column | str) -> Column:

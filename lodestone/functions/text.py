@@ -196,6 +196,14 @@ def expand_query(c: Column | str, aliases: dict[str, str]) -> Column:
     return F.array_join(F.array_distinct(F.concat(F.array(F.trim(text(c))), found)), " ")
 
 
+def contains(c: Column | str, *words: str) -> Column:
+    """Whether a filled value holds one of the words, case aside; never null."""
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(F.lower(text(c)), F.lit(w.lower()))
+    return is_filled(c) & found
+
+
 def csv_safe(c: Column | str) -> Column:
     """A quote before values that a spreadsheet would take for a formula."""
     return F.regexp_replace(text(c), r"^([=+\-@\t\r])", "'$1")

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import intent as I
+from ..functions import series as B
 from ..functions import text as T
 from ..operators import cleaning as C
 from ..operators import coverage as V
+from ..operators import evaluation as Q
 from ..operators import governance as G
 from ..operators import graph as H
 from ..operators import profile as D
@@ -445,11 +447,13 @@ def catalogue_hits(spark, sf):
     return P.catalogue_hits(r).select("accession", "title", "n_samples")
 
 
-@suite.add("""SELECT doc_id AS paper_id, CASE WHEN doc_id % 3 = 0 THEN 'methods' WHEN doc_id % 3 = 1 THEN 'results' ELSE 'statistical_analysis' END AS category, count(*) AS n FROM documents GROUP BY ALL""")
+@suite.add("""SELECT doc_id AS paper_id, CASE WHEN doc_id % 3 = 0 THEN 'methods' WHEN doc_id % 3 = 1 THEN 'results' ELSE 'statistical_analysis' END AS category, sha256(coalesce(text, '') || ' ' || lang) AS digest FROM documents""")
 def paper_categories(spark, sf):
     d = read(spark, sf, "documents")
     title = F.when(F.col("doc_id") % 3 == 0, "Materials and Methods").when(F.col("doc_id") % 3 == 1, "3. Results").otherwise("Statistical methods")
-    return P.paper_categories(d.select(F.col("doc_id").alias("paper_id"), F.lit(1).alias("ord"), title.alias("title"), "text").union(d.select("doc_id", F.lit(2), F.lit("Acknowledgements"), "text"))).groupBy("paper_id", "category").agg(F.count("*").alias("n"))
+    part = lambda n, t, text: d.select(F.col("doc_id").alias("paper_id"), F.lit(n).alias("ord"), t.alias("title"), text.alias("text"))
+    sections = part(3, title, F.col("lang")).union(part(1, title, T.text("text"))).union(part(2, F.lit("Acknowledgements"), F.col("source")))
+    return P.paper_categories(sections).select("paper_id", "category", F.sha2("text", 256).alias("digest"))
 
 
 @suite.add("""SELECT 'cat:' || event_id AS observation_id, 'cat:' || user_id AS object_id, CASE WHEN event_id % 8 = 0 OR event_id % 11 = 0 THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN user_id % 2 = 0 THEN 'catalog_exact' ELSE 'unresolved' END AS metadata_match FROM events""")
@@ -492,16 +496,23 @@ def source_id_matches(spark, sf):
     return read(spark, sf, "events").select("event_id", I.same_source(_pick("event_id", "GSE1", "gse1", "aact", "x"), _pick("event_id", "geo:GSE1", "GSE1", "ClinicalTrials.gov", "y")).alias("same"))
 
 
-@suite.add("""WITH v AS (SELECT event_id, event_id % 3 AS a, event_id % 40 AS n FROM events) SELECT event_id, (CASE a WHEN 0 THEN 8 + 4 + 3 + 1 + 1 + 7 WHEN 1 THEN -12 - 24 ELSE -12 - 4 END + CASE WHEN n < 10 THEN -6 WHEN n < 30 THEN 1 ELSE 5 END)::INT AS score FROM v""")
+_SAID = ["Breast cancer patients PIK3CA neoadjuvant", "mouse xenograft", "nothing", "HER2 and basal-like tumours, alpelisib"]
+
+
+@suite.add(f"""WITH v AS (SELECT doc_id, lower(coalesce(text, '') || ' ' || {_SAID!r}[doc_id % 4 + 1]) AS x, n_chars % 40 AS n FROM documents)
+SELECT doc_id, (CASE WHEN contains(x, 'breast cancer') THEN 8 ELSE -12 END + 4 * (contains(x, 'pcr')::INT + contains(x, 'pathological complete response')::INT + contains(x, 'treatment response')::INT + contains(x, 'neoadjuvant')::INT + contains(x, 'response')::INT) + 3 * contains(x, 'pik3ca')::INT + 2 * contains(x, 'alpelisib')::INT + 2 * contains(x, 'the')::INT
+ + 5 * regexp_matches(x, 'tnbc|triple-negative|triple negative|basal-like|basal like')::INT + contains(x, 'her2')::INT + contains(x, 'erbb2')::INT + contains(x, 'trastuzumab')::INT + contains(x, 'pik3ca')::INT + contains(x, 'brca1')::INT + contains(x, 'brca2')::INT + contains(x, 'breast')::INT
+ + CASE WHEN regexp_matches(x, '{I.PRECLINICAL}') THEN -24 WHEN regexp_matches(x, '{I.CLINICAL}') THEN 7 ELSE -4 END + CASE WHEN n < 10 THEN -6 WHEN n < 30 THEN 1 ELSE 5 END)::INT AS score FROM v""")
 def series_scores(spark, sf):
-    x = _pick("event_id", "Breast cancer patients PIK3CA neoadjuvant", "mouse xenograft", "nothing")
-    s = I.series_score(x, ["breast cancer"], genes=["PIK3CA"], outcome="pcr", n_samples=F.col("event_id") % 40, clinical=True)
-    return read(spark, sf, "events").select("event_id", s.alias("score"))
+    """Scores of every whole document, with a phrase behind it, for a question whose goal names the group of patients."""
+    s = I.series_score(F.concat(T.text("text"), F.lit(" "), _pick("doc_id", *_SAID)), ["breast cancer", "BC"], genes=["PIK3CA"], drugs=["Alpelisib"], extra=["The", "x"], outcome="pcr", n_samples=F.col("n_chars") % 40, clinical=True, goal="Response of TNBC")
+    return read(spark, sf, "documents").select("doc_id", s.alias("score"))
 
 
-@suite.add("SELECT n_name, ['full_age', 'fullage', 'age'] AS variants FROM nation")
+@suite.add("""WITH v AS (SELECT n_name, regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g') AS x, regexp_replace(lower(n_name), '[^a-z0-9]+', '', 'g') AS y FROM nation)
+SELECT n_name, CASE WHEN x <> y THEN ['full_' || x, 'full' || y, x, y] ELSE ['full_' || x, 'full' || y, x] END AS variants FROM v""")
 def column_variants(spark, sf):
-    return read(spark, sf, "nation").select("n_name", I.column_variants(F.lit("Full Age")).alias("variants"))
+    return read(spark, sf, "nation").select("n_name", I.column_variants(F.concat(F.lit(" Full "), "n_name")).alias("variants"))
 
 
 @suite.add("""SELECT page_id AS id, 'GSE' || page_id || ',NCT' || lpad(page_id::VARCHAR, 8, '0') AS x, ['NCT' || lpad(page_id::VARCHAR, 8, '0')] AS nct FROM pages""")
@@ -572,9 +583,10 @@ def source_metrics(spark, sf):
     return R.source_metrics(ranking, hits, want)
 
 
-@suite.add("SELECT page_id AS record_id, 't' AS title, ['csv', 'gz'] AS formats FROM pages")
+@suite.add("SELECT page_id AS record_id, url AS title, list_sort(list_distinct(['csv', lower(regexp_extract(split_part(url, '/', 3), '[.]([A-Za-z0-9]+)$', 1))])) AS formats FROM pages")
 def dataset_formats(spark, sf):
-    return P.dataset_formats(read(spark, sf, "pages").select(F.col("page_id").alias("record_id"), F.lit("t").alias("title"), F.array(F.lit("b.CSV"), F.lit("a.tar.gz"), F.lit("none"), F.lit("c.csv")).alias("files")))
+    files = F.array(F.lit("b.CSV"), F.lit("none"), F.split_part("url", F.lit("/"), F.lit(3)), F.lit("c.csv"))
+    return P.dataset_formats(read(spark, sf, "pages").select(F.col("page_id").alias("record_id"), F.col("url").alias("title"), files.alias("files")))
 
 
 @suite.add("SELECT doc_id AS paper_id, ['GSE' || (1000 + doc_id % 7), 'GSE500'] AS accessions FROM documents")
@@ -584,10 +596,11 @@ def paper_accessions(spark, sf):
     return P.paper_accessions(d.select(F.col("doc_id").alias("paper_id"), F.lit(1).alias("ord"), first.alias("text")).union(d.select("doc_id", F.lit(2), F.lit("GSE500 again"))))
 
 
-@suite.add("SELECT ['a', 'b', 'c'] AS fields")
+@suite.add("SELECT list(f ORDER BY f) AS fields FROM (SELECT role AS f FROM conversations WHERE role IS NOT NULL UNION SELECT 'turn')")
 def payload_fields(spark, sf):
-    p = read(spark, sf, "pages").select(F.when(F.col("page_id") % 2 == 0, '{"a": 1, "b": null}').otherwise('{"c": {"d": 2}, "a": 0}').alias("payload"))
-    return P.raw_fields(p)
+    """Fields of saved turns, whose texts stand under the name of their role."""
+    c = read(spark, sf, "conversations").filter("role is not null")
+    return P.raw_fields(c.select(F.to_json(F.create_map(F.lit("turn"), F.col("turn").cast("string"), F.col("role"), T.text("text"))).alias("payload")))
 
 
 @suite.add("SELECT least(count(*), 10) AS row_count, count(*) AS upstream_row_count, count(*) > 10 AS truncated FROM pages")
@@ -623,3 +636,60 @@ def exported_orders(spark, sf):
     back = E.archive_rows(files, folder)
     n = F.get_json_object("row", "$.o_orderkey").cast("long")
     return back.agg(F.count("*").alias("n_rows"), F.round(F.sum(F.get_json_object("row", "$.o_totalprice").cast("decimal(18,2)")), 2).cast("double").alias("total"), F.count_distinct(n).alias("n_orders"))
+
+
+@suite.add("""SELECT 'europepmc:' || doc_id AS paper_id, source || ' ' || lang AS title, nullif(trim(text), '') AS abstract, CASE WHEN doc_id % 3 <> 0 THEN doc_id::VARCHAR END AS pmid, 1990 + n_chars::INT % 30 AS publication_year, ['A ' || source, 'B'] AS authors, doc_id % 2 = 0 AS fulltext_available,
+ 'https://europepmc.org/article/' || CASE WHEN doc_id % 3 <> 0 THEN 'MED' ELSE upper(lang) END || '/' || doc_id AS source_url, len(list_distinct(regexp_extract_all(upper(coalesce(text, '')), '\\b(GSE[0-9]+|NCT[0-9]{8}|TCGA-[A-Z0-9-]+)\\b', 1)))::INT AS n_accessions FROM documents""")
+def literature_papers(spark, sf):
+    """Saved answers of a literature search whose abstracts are the documents."""
+    k = F.col("doc_id")
+    author = F.struct(F.struct(F.array(F.struct(F.concat(F.lit("A "), "source").alias("fullName"), F.lit(None).cast("string").alias("lastName")), F.struct(F.lit("").alias("fullName"), F.lit("B").alias("lastName")), F.struct(F.lit(" ").alias("fullName"), F.lit("C").alias("lastName"))).alias("author")).alias("authorList"))
+    record = F.struct(k.cast("string").alias("id"), F.when(k % 3 != 0, k.cast("string")).alias("pmid"), F.col("lang").alias("source"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("abstractText"), (1990 + F.col("n_chars") % 30).alias("pubYear"), F.when(k % 2 == 0, "Y").alias("isOpenAccess"), author["authorList"].alias("authorList"))
+    saved = read(spark, sf, "documents").select(k.alias("ord"), F.to_json(F.struct(F.struct(F.array(record).alias("result")).alias("resultList"))).alias("payload"))
+    return P.papers(saved).select("paper_id", "title", "abstract", "pmid", "publication_year", "authors", "fulltext_available", "source_url", F.size("dataset_accessions").alias("n_accessions"))
+
+
+@suite.add("""WITH s AS (SELECT o_custkey, max_by(o_orderpriority, o_orderkey) AS drug, max_by(o_totalprice, o_orderkey) AS auc FROM orders GROUP BY o_custkey)
+SELECT c_custkey::VARCHAR AS model_id, c_name AS cell_line_name, coalesce(drug, 'none') AS drug, auc::DOUBLE AS auc, 'depmap:' || c_custkey AS source_id FROM customer LEFT JOIN s ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'""")
+def cell_line_bundles(spark, sf):
+    """A bundle for each customer: one model, and a sensitivity row for each order in its order."""
+    o = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_totalprice").alias("t"), F.col("o_custkey").cast("string").alias("m")))), lambda x: F.struct(x["m"].alias("model_id"), x["p"].alias("Drug"), x["t"].alias("auc"))).alias("sensitivity"))
+    model = F.struct(F.col("c_custkey").cast("string").alias("ModelID"), F.col("c_name").alias("cell_line_name"), F.when(F.col("c_mktsegment") == "BUILDING", "Breast").otherwise(F.col("c_mktsegment")).alias("lineage"))
+    saved = read(spark, sf, "customer").join(o, "c_custkey", "left").select(F.col("c_custkey").alias("ord"), F.to_json(F.struct(F.array(model).alias("models"), "sensitivity")).alias("payload"))
+    return P.cell_line_bundle(saved, "none").select("model_id", "cell_line_name", "drug", "auc", "source_id")
+
+
+@suite.add("""WITH x AS (SELECT o_orderkey, ['yes', 'RD', 'unclear', 'NA', NULL][o_orderkey % 5 + 1] AS p, o_orderpriority AS r FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN r WHEN p = 'yes' THEN '病理完全缓解（pCR）' WHEN p = 'RD' THEN '未达客观缓解' WHEN p = 'unclear' THEN p END AS response, o_orderkey % 80 || '' AS age FROM x""")
+def mapped_characteristics(spark, sf):
+    k = F.col("o_orderkey")
+    parsed = F.create_map(F.lit("pcr_rd"), _pick("o_orderkey", "yes", "RD", "unclear", "NA", None), F.lit("response"), F.when(k % 4 == 0, F.col("o_orderpriority")), F.lit("age_years"), (k % 80).cast("string"))
+    x = read(spark, sf, "orders").select(k, parsed.alias("parsed"))
+    return x.select("o_orderkey", B.mapped_value("parsed", "treatment_response").alias("response"), B.mapped_value("parsed", "age").alias("age"))
+
+
+def _runs(spark, sf):
+    e = F.col("event_id")
+    score = lambda n: ((e % n) / n).cast("double")
+    judged = F.when(e % 4 != 0, F.struct(score(5).alias("overall"), F.when(e % 3 != 0, score(2)).alias("claim_support_rate"), score(7).alias("faithfulness"), score(8).alias("relevance"), F.when(e % 2 == 0, score(9)).alias("completeness"), score(10).alias("retrieval_quality")))
+    return read(spark, sf, "events").select(e.alias("case_id"), F.when(e % 6 != 0, e % 6).alias("rank"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("difficulty"), F.col("value").alias("latency_ms"), judged.alias("scores"))
+
+
+@suite.add("""WITH r AS (SELECT event_id AS e, CASE WHEN event_id % 6 <> 0 THEN event_id % 6 END AS k, CASE WHEN event_type = 'view' OR event_type IS NULL THEN 'medium' ELSE event_type END AS d, coalesce(value, 0) AS l, event_id % 4 <> 0 AS ok FROM events), v AS (
+ SELECT 'cases' AS metric, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'recall@1', avg((coalesce(k, 9) <= 1)::INT) FROM r UNION ALL SELECT 'recall@3', avg((coalesce(k, 9) <= 3)::INT) FROM r UNION ALL SELECT 'recall@5', avg((coalesce(k, 9) <= 5)::INT) FROM r
+ UNION ALL SELECT 'mrr@3', avg(CASE WHEN k <= 3 THEN 1.0 / k ELSE 0 END) FROM r UNION ALL SELECT 'ndcg@3', avg(CASE WHEN k <= 3 THEN 1 / log2(k + 1) ELSE 0 END) FROM r UNION ALL SELECT 'avg_latency_ms', avg(l) FROM r UNION ALL SELECT 'judge_valid_rate', avg(ok::INT) FROM r
+ UNION ALL SELECT 'avg_faithfulness', avg(e % 7 / 7.0) FILTER (ok) FROM r UNION ALL SELECT 'avg_relevance', avg(e % 8 / 8.0) FILTER (ok) FROM r UNION ALL SELECT 'avg_completeness', avg(e % 9 / 9.0) FILTER (ok AND e % 2 = 0) FROM r UNION ALL SELECT 'avg_retrieval_quality', avg(e % 10 / 10.0) FILTER (ok) FROM r
+ UNION ALL SELECT 'avg_overall', avg(e % 5 / 5.0) FILTER (ok) FROM r UNION ALL SELECT 'avg_claim_support_rate', avg(CASE WHEN e % 3 <> 0 THEN e % 2 / 2.0 ELSE 0 END) FILTER (ok) FROM r UNION ALL SELECT 'recall@3_' || d, avg((coalesce(k, 9) <= 3)::INT) FROM r GROUP BY d)
+SELECT metric, round(value, 6) AS value FROM v""")
+def evaluation_summary(spark, sf):
+    return Q.summary(_runs(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+@suite.add("""WITH i AS (SELECT user_id, event_id % 2 = 0 AS late, event_id, lower(event_type) || '|' || user_id AS key, lower(event_type) AS t FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL), g AS (SELECT user_id, key, t, min(late::INT * 1000000000000 + event_id) AS o FROM i GROUP BY user_id, key, t), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o) AS place FROM g)
+SELECT user_id AS task_id, min(place) FILTER (t IN ('purchase', 'error')) AS rank FROM f GROUP BY user_id""")
+def expected_source_ranks(spark, sf):
+    e = read(spark, sf, "events").filter("event_type is not null and user_id is not null")
+    none = F.lit(None).cast("string")
+    items = e.select(F.col("user_id").alias("task_id"), (F.col("event_id") % 2 != 0).alias("candidate"), F.col("event_id").alias("ord"), none.alias("dataset_id"), F.upper("event_type").alias("accession"), none.alias("source_id"), F.col("user_id").cast("string").alias("dataset_name"), F.lit("").alias("source_name"), none.alias("source_database"))
+    wanted = e.select(F.col("user_id").alias("task_id"), F.explode(F.array(F.lit("Purchase"), F.lit("ERROR"))).alias("name"))
+    return Q.source_ranks(Q.source_rows(items), wanted).select("task_id", F.col("rank").cast("long").alias("rank"))

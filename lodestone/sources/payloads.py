@@ -114,6 +114,45 @@ def cell_lines(models: DataFrame, sensitivity: DataFrame | None = None, drug: st
     return m.select("*", F.lit("preclinical_cell_line").alias("response_domain"), F.concat(F.lit("depmap:"), "model_id").alias("source_id"))
 
 
+def cell_line_bundle(payloads: DataFrame, drug: str | None = None, lineage: str = "breast|乳腺") -> DataFrame:
+    """``cell_lines`` of saved bundles ``(ord, payload)`` with the lists ``models`` and ``sensitivity``.
+
+    Fields go by either of their spellings; of equal models of one bundle each
+    stays, the last sensitivity row of a model counts.
+    """
+    either = lambda doc, a, b: F.coalesce(F.when(F.trim(at(doc, a)) != "", at(doc, a)), at(doc, b))
+    m = unnested(payloads, "payload", "models", "n", "x").select(either("x", "ModelID", "model_id").alias("ModelID"), either("x", "CellLineName", "cell_line_name").alias("CellLineName"), either("x", "OncotreeLineage", "lineage").alias("OncotreeLineage"))
+    s = unnested(payloads, "payload", "sensitivity", "n", "x").select(either("x", "ModelID", "model_id").alias("ModelID"), either("x", "Drug", "drug").alias("Drug"), either("x", "AUC", "auc").alias("AUC"), either("x", "IC50", "ic50").alias("IC50"), F.struct("ord", "n").alias("ord"))
+    return cell_lines(m, s, drug, lineage)
+
+
+#: Accession numbers that a paper may name, the addresses of its record, and where its fields stand.
+NAMED_DATA = r"\b(GSE\d+|NCT\d{8}|TCGA-[A-Z0-9-]+)\b"
+RECORD_URL = "https://europepmc.org/article/"
+
+
+def papers(payloads: DataFrame) -> DataFrame:
+    """Papers of saved answers ``(ord, payload)`` of a literature search, in their order (``ord``, ``place``).
+
+    Results without an id or a title are left out.  A full text is open where
+    ``inEPMC`` says anything but no, or access is open.  A paper has its abstract,
+    journal, year, authors, whether its full text is open, its record's
+    address, and the distinct accession numbers of title and abstract.
+    """
+    own = lambda path: F.when(F.trim(at("x", path)) != "", F.trim(at("x", path)))
+    r = unnested(payloads, "payload", "resultList.result", "place", "x")
+    record, pmid = F.coalesce(own("id"), own("pmid")), own("pmid")
+    kind = F.when(pmid.isNotNull(), "MED").otherwise(F.upper(F.coalesce(own("source"), F.lit("MED"))))
+    people = F.transform(listed("x", "authorList.author"), lambda a: F.trim(F.coalesce(F.when(at(a, "fullName") != "", at(a, "fullName")), at(a, "lastName"), F.when(~a.startswith("{"), a), F.lit(""))))
+    whole = F.concat_ws(" ", own("title"), own("abstractText"))
+    out = r.select(
+        "ord", "place", F.concat(F.lit("europepmc:"), record).alias("paper_id"), own("title").alias("title"), own("abstractText").alias("abstract"), pmid.alias("pmid"), own("doi").alias("doi"), own("journalTitle").alias("journal"),
+        own("pubYear").try_cast("int").alias("publication_year"), F.filter(people, lambda p: p != "").alias("authors"), (F.coalesce(~at("x", "inEPMC").isin("", "false", "0"), F.lit(False)) | F.coalesce(at("x", "isOpenAccess") == "Y", F.lit(False))).alias("fulltext_available"),
+        F.concat(F.lit(RECORD_URL), kind, F.lit("/"), F.call_function("url_encode", F.coalesce(pmid, record))).alias("source_url"), F.array_distinct(F.regexp_extract_all(F.upper(whole), F.lit(NAMED_DATA), F.lit(1))).alias("dataset_accessions"),
+    )
+    return out.filter("paper_id is not null and title is not null")
+
+
 def molecular_profile(profiles: DataFrame, alteration: str, datatype: str | None = None, override: str | None = None) -> DataFrame:
     """The one profile of an alteration type: the one asked for, else that of the usual suffix, else the first by name."""
     x = profiles.filter(F.col("molecularAlterationType") == alteration)
