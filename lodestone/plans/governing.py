@@ -19,7 +19,7 @@ from ..operators import sequence as S
 from ..shared import new_path
 from ..sources import exports as E
 from ..sources import payloads as P
-from ..sources import readers
+from ..sources import readers, scans
 from ..streaming import loops as Z
 from .records import _tagged, _TAGGED
 from .tables import Suite, read
@@ -693,3 +693,12 @@ def expected_source_ranks(spark, sf):
     items = e.select(F.col("user_id").alias("task_id"), (F.col("event_id") % 2 != 0).alias("candidate"), F.col("event_id").alias("ord"), none.alias("dataset_id"), F.upper("event_type").alias("accession"), none.alias("source_id"), F.col("user_id").cast("string").alias("dataset_name"), F.lit("").alias("source_name"), none.alias("source_database"))
     wanted = e.select(F.col("user_id").alias("task_id"), F.explode(F.array(F.lit("Purchase"), F.lit("ERROR"))).alias("name"))
     return Q.source_ranks(Q.source_rows(items), wanted).select("task_id", F.col("rank").cast("long").alias("rank"))
+
+
+@suite.add("SELECT conv_id, turn, coalesce(role, '') AS role, sha256(coalesce(text, '')) AS digest FROM conversations")
+def votable_turns(spark, sf):
+    """All turns written as VOTables by the tasks, and read back in splits."""
+    folder = new_path(spark, "votables")
+    scans.write_votables(read(spark, sf, "conversations"), folder, "turns")
+    row = lambda c: F.col("row")[c]
+    return scans.votable_rows(spark, folder, "turns").select(row("conv_id").cast("long").alias("conv_id"), row("turn").cast("long").alias("turn"), row("role").alias("role"), F.sha2(row("text"), 256).alias("digest"))
