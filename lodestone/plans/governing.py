@@ -142,7 +142,8 @@ def _metrics_rows(spark, sf):
     return read(spark, sf, "nation").select(n.alias("iteration"), F.least(F.lit(1.0), n / 20.0).alias("coverage"), (n % 3 / 2.0).alias("target"), F.lit(0.9).alias("traceability"), (n % 6).alias("n_gaps"), F.when(n > 20, "PASS").otherwise("REVIEW").alias("quality_gate"), n.cast("string").alias("plan_hash"))
 
 
-@suite.add()
+@suite.add("""WITH m AS (SELECT n_nationkey AS iteration, round(0.45 * least(1.0, n_nationkey / 20.0) + 0.25 * (n_nationkey % 3) / 2.0 + 0.2 * 0.9 + 0.1 * (1 - least(1.0, n_nationkey % 6 / 5.0)), 6)::DOUBLE AS progress FROM nation), b AS (SELECT *, progress - lag(progress) OVER (ORDER BY iteration) AS gain FROM m)
+SELECT iteration, progress, CASE WHEN progress >= 1 OR (iteration > 20 AND iteration % 6 = 0) THEN 'stop_done' WHEN gain < 0.01 THEN 'stop_no_gain' WHEN iteration >= 5 THEN 'stop_rounds' ELSE 'continue' END AS decision FROM b""")
 def loop_decisions(spark, sf):
     return G.decided_steps(_metrics_rows(spark, sf)).select("iteration", "progress", "decision")
 
