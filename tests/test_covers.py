@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lodestone.operators import coverage
+from lodestone.operators import coverage, graph
 
 
 def walk(ranked, cells, fields, most, guarded):
@@ -47,3 +47,19 @@ def test_empty_catalogues(spark):
     sources = spark.createDataFrame([("a", ["patient"], 0.1, 0.1, 0.1, 0.1, "x", 1)], "dataset_id string, granularity array<string>, authority double, traceability double, structuredness double, cost double, access_mode string, ord int")
     assert [tuple(r) for r in coverage.selected(cells, sources).collect()] == [(1, "a", 0.0)]
     assert coverage.covered(cells, sources.limit(0)).collect() == []
+
+
+def test_greedy_cover_against_a_plain_walk(spark):
+    rng = random.Random(7)
+    offers = [(rng.choice("abcdef"), f"f{rng.randrange(40)}") for _ in range(80)]
+    wanted = [f"f{k}" for k in range(5, 45)]
+    left, want = set(wanted), []
+    for step in range(1, 5):
+        gains = {s: len({f for t, f in offers if t == s} & left) for s in "abcdef"}
+        best = min(gains, key=lambda s: (-gains[s], s))
+        if not gains[best]:
+            break
+        want.append((step, best, gains[best]))
+        left -= {f for t, f in offers if t == best}
+    got = graph.greedy_cover(spark.createDataFrame([(f,) for f in wanted + wanted[:3]], "field string"), spark.createDataFrame(offers, "source string, field string"), 4)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 2
