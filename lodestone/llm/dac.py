@@ -44,7 +44,7 @@ def pack(ids: np.ndarray, documents: np.ndarray, offsets: np.ndarray) -> bytes:
     while True:
         more = (rest >> WIDTH) > 0
         bits = np.packbits(more, bitorder="little")
-        ones = np.add.reduceat(np.concatenate([more, np.zeros(-len(more) % BLOCK, bool)]).astype(np.uint64), np.arange(0, len(more), BLOCK)) if len(more) else np.empty(0, np.uint64)
+        ones = np.add.reduceat(more, np.arange(0, len(more), BLOCK), dtype=np.uint64) if len(more) else np.empty(0, np.uint64)
         rank = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ones, dtype=np.uint64)])
         levels.append(np.uint64(len(rest)).tobytes() + (rest & ((1 << WIDTH) - 1)).astype(np.uint8).tobytes() + bits.tobytes() + rank.astype("<u8").tobytes())
         if not more.any():
@@ -91,11 +91,13 @@ class DacFile:
         raise ValueError("a token goes on beyond the last level")
 
     def all(self) -> np.ndarray:
-        at, out = np.arange(self.tokens), np.zeros(self.tokens, np.uint32)
-        for k, (value, bits, _) in enumerate(self.levels):
-            out[at] |= value.astype(np.uint32) << np.uint32(WIDTH * k)
-            at = at[np.unpackbits(bits, count=len(value), bitorder="little").astype(bool)]
-        return out
+        higher = np.empty(0, np.uint32)
+        for value, bits, _ in reversed(self.levels):
+            out = np.zeros(len(value), np.uint32)
+            out[np.unpackbits(bits, count=len(value), bitorder="little").view(bool)] = higher << np.uint32(WIDTH)
+            out |= value
+            higher = out
+        return higher
 
 
 def _put(folder: str, name: str, content: bytes) -> None:
@@ -148,7 +150,11 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None, id_col: s
         if documents:
             yield flush()
 
-    ranged = texts.repartitionByRange(n, "id").sortWithinPartitions("id")
+    # bounds come from the ids alone; a range partitioning would read the texts once more for its sample
+    found = texts.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100 * n).alias("b")).first()["b"] if n > 1 else []
+    bounds = F.array(*(F.lit(b) for b in sorted(set(found or [])))).cast("array<long>")
+    place = F.when(F.col("id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("id"))))
+    ranged = texts.withColumn("place", place.cast("int")).repartitionById(n, F.col("place")).sortWithinPartitions("id").select("id", "text")
     files = written(ranged.mapInArrow(write, "part long, file long, path string, documents long, tokens long"), "files")
     # one sum for each partition of the write, a number set by configuration
     sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("tokens").alias("n")).collect())
