@@ -9,7 +9,7 @@ The estimates are those of the fast algorithm (Rousseeuw and Van Driessen,
 the half of least distance and takes its mean and covariance, which never
 raises the determinant.  Two steps are run from each of three starts around
 the medians; the start of least determinant goes on until the determinant
-stops falling.  Distances are then scaled so that their median is that of the
+stops falling, by the parameter ``fall``.  Distances are then scaled so that their median is that of the
 chi-squared distribution, the consistency factor of that paper, and cut at
 the share 0.99999 of it.  The core is half, so that less than half of a group,
 however far and however close together, does not enter it.  Documents with
@@ -18,16 +18,21 @@ the same statistics, such as copies, count once in the estimates.
 All documents enter the estimates.  A step is one pass of sums for each group
 and narrow bin of distance, combined before they are shuffled, so a group may
 hold any share of the rows; the bin where the half ends enters by the part of
-it that is needed.  Variances below a floor are raised to it, so that constant
-columns do not make a covariance singular.  Groups of fewer than ``LEAST``
-different usable documents are too small for an estimate of their own and use
-their language, and languages of fewer all documents; documents without
-language or source form groups of their own.
+it that is needed.  Medians are taken the same way: the least value of the
+narrow bin where half of the rows is reached, which no order of rows or tasks
+changes, and which is exact where the bin holds one value.
+
+Two parameters are part of the method.  Variances below ``floor`` (least
+standard deviations of the axes) are raised to it, so that constant columns do
+not make a covariance singular.  Groups of fewer than ``least`` different
+usable documents are too small for an estimate of their own and use that of
+their language, and languages of fewer that of all documents; documents
+without language or source form groups of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +48,10 @@ CORE, LEAST = 0.5, 200
 BINS, FIRST_STEPS = 32, 2
 #: Shapes that are broadcast at most, about 200 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
+#: Bins of a unit, or of a doubling of distance, that medians are taken in.
+FINE = 1024
 #: Concentration goes on while the logarithm of the determinant falls by more than this.
-FALL = 0.01
+FALL = 1e-6
 #: Chi-squared values of five degrees of freedom: the median and the share 0.99999.
 MIDDLE, CUT = 4.3515, 30.856
 AXES = [f"x{k}" for k in range(5)]
@@ -78,9 +85,9 @@ def _failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
-def _shape(sums: DataFrame) -> DataFrame:
+def _shape(sums: DataFrame, floor: list[float]) -> DataFrame:
     """Mean, inverse covariance and log determinant of each group and start from its sums, a few numbers a group."""
-    d = len(AXES)
+    d, units = len(AXES), np.outer(floor, floor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,9 +100,9 @@ def _shape(sums: DataFrame) -> DataFrame:
                 for i in range(d):
                     for j in range(i, d):
                         cov[i, j] = cov[j, i] = x[f"p{i}{j}"][r] / n - mean[i] * mean[j]
-                values, vectors = np.linalg.eigh(cov / np.outer(FLOOR, FLOOR))
+                values, vectors = np.linalg.eigh(cov / units)
                 values = np.maximum(values, 1.0)
-                inverse = (vectors / values) @ vectors.T / np.outer(FLOOR, FLOOR)
+                inverse = (vectors / values) @ vectors.T / units
                 out["logdet"].append(np.log(values).sum())
                 for i in range(d):
                     out[f"m{i}"].append(mean[i])
@@ -138,22 +145,40 @@ def _bin(distance: Column) -> Column:
     return F.floor(F.log2(F.greatest(distance, F.lit(1e-6))) * BINS).cast("int")
 
 
-def _step(rows: DataFrame, shape: DataFrame) -> DataFrame:
+def _medians(rows: DataFrame, values: list[Column], names: list[str], bins: Callable[[Column], Column]) -> DataFrame:
+    """The lower median of each value in each group, from counts of narrow bins."""
+    parts = [F.struct(F.lit(k).alias("k"), v.alias("value"), bins(v).alias("fine")) for k, v in enumerate(values)]
+    counted = rows.select("group", F.inline(F.array(*parts))).groupBy("group", "k", "fine").agg(F.count("*").alias("n"), F.min("value").alias("value"))
+    own = Window.partitionBy("group", "k")
+    upto = own.orderBy("fine").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = counted.withColumns({"all": F.sum("n").over(own), "cum": F.sum("n").over(upto)}).filter(2 * F.col("cum") >= F.col("all"))
+    return reached.groupBy("group").agg(*(F.min_by(F.when(F.col("k") == k, F.col("value")), F.when(F.col("k") == k, F.col("fine"))).alias(name) for k, name in enumerate(names)))
+
+
+def _even(value: Column) -> Column:
+    return F.floor(value * FINE)
+
+
+def _doubling(distance: Column) -> Column:
+    return F.floor(F.log2(F.greatest(distance, F.lit(1e-6))) * FINE)
+
+
+def _step(rows: DataFrame, shape: DataFrame, floor: list[float]) -> DataFrame:
     """One concentration step of every group and start of ``shape``."""
     measured = rows.join(_small(shape), "group").withColumn("bin", _bin(_distance()))
-    return written(_shape(_halves(measured.groupBy("group", "start", "bin").agg(*_moments()))), "shape")
+    return written(_shape(_halves(measured.groupBy("group", "start", "bin").agg(*_moments())), floor), "shape")
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, floor: list[float]) -> DataFrame:
     """First shape of each group and start: rows drawn in towards the median by their median absolute deviations.
 
     Start 0 bends each axis by its hyperbolic tangent, start 1 puts every row
     at one distance, and start 2 takes the half of least distance as it is.
     """
-    centre = written(rows.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"c{i}") for i, x in enumerate(AXES))), "centre")
+    centre = written(_medians(rows, [F.col(x) for x in AXES], [f"c{i}" for i in range(len(AXES))], _even), "centre")
     centred = rows.join(_small(centre), "group")
-    spread = written(centred.groupBy("group").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"c{i}")), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(AXES))), "spread")
-    unit = [F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOOR[i])) for i in range(len(AXES))]
+    spread = written(_medians(centred, [F.abs(F.col(x) - F.col(f"c{i}")) for i, x in enumerate(AXES)], [f"d{i}" for i in range(len(AXES))], _even), "spread")
+    unit = [F.greatest(1.4826 * F.col(f"d{i}"), F.lit(floor[i])) for i in range(len(AXES))]
     z = [(F.col(x) - F.col(f"c{i}")) / unit[i] for i, x in enumerate(AXES)]
     scaled = centred.join(_small(spread), "group").withColumn("distance", sum((F.pow(c, 2) for c in z), F.lit(0.0)))
     length = F.greatest(F.sqrt("distance"), F.lit(1e-9)) / len(AXES) ** 0.5
@@ -163,32 +188,32 @@ def _starts(rows: DataFrame) -> DataFrame:
     binned = scaled.select("group", F.inline(F.array(*parts))).groupBy("group", "start", "bin").agg(*_moments())
     # drawn rows are one bin and all of them count
     whole = binned.filter("bin = 0 and start < 2").select("group", "start", *_SUMS)
-    return written(_shape(whole.union(_halves(binned.filter("start = 2")).select("group", "start", *_SUMS))), "start")
+    return written(_shape(whole.union(_halves(binned.filter("start = 2")).select("group", "start", *_SUMS)), floor), "start")
 
 
 def _least(shapes: DataFrame) -> DataFrame:
     return shapes.groupBy("group").agg(F.min_by(F.struct(*shapes.columns[1:]), F.struct("logdet", "start")).alias("s")).select("group", "s.*")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
+def estimates(rows: DataFrame, floor: list[float] = FLOOR, fall: float = FALL) -> DataFrame:
     """Shape of each ``group`` of ``rows(group, x0..)``, and ``scale``, its median distance over the expected one.
 
     The number of steps is bounded only by the determinant, which has a least value.
     """
-    shape = _starts(rows)
+    shape = _starts(rows, floor)
     for _ in range(FIRST_STEPS):
-        shape = _step(rows, shape)
+        shape = _step(rows, shape, floor)
     best = shape = written(_least(shape), "shape")
     while shape.limit(1).count():
-        new = _step(rows, shape)
+        new = _step(rows, shape, floor)
         last = shape.select("group", F.col("logdet").alias("before"))
-        shape = written(new.join(last, "group").filter(F.col("logdet") < F.col("before") - FALL).select(*new.columns), "shape")
+        shape = written(new.join(last, "group").filter(F.col("logdet") < F.col("before") - fall).select(*new.columns), "shape")
         best = written(_least(best.union(shape)), "best")
-    middle = rows.join(_small(best), "group").select("group", _distance().alias("distance")).groupBy("group").agg(F.percentile_approx("distance", 0.5, 1000).alias("middle"))
+    middle = _medians(rows.join(_small(best), "group"), [_distance()], ["middle"], _doubling)
     return written(best.join(middle, "group").withColumn("scale", F.greatest(F.col("middle") / MIDDLE, F.lit(0.05))).drop("start", "logdet"), "estimates")
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source"), least: int = LEAST, floor: list[float] = FLOOR, fall: float = FALL) -> DataFrame:
     """Counts, ``base_failed``, ``distance`` and ``kept`` of every row.
 
     Rows that fail the base rules (null, empty and short texts among them)
@@ -202,16 +227,16 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     pair = F.concat(F.lit("2:"), F.coalesce(F.to_json(F.struct("g0", "g1")), F.lit("")))
     named = all_rows.withColumns({"lang_group": lang, "pair_group": pair})
     usable = named.filter(~F.col("base_failed")).select("pair_group", "lang_group", *AXES).distinct()
-    large_pairs = written(usable.groupBy("pair_group").count().filter(F.col("count") >= LEAST).select("pair_group", F.lit(True).alias("by_pair")), "pairs")
+    large_pairs = written(usable.groupBy("pair_group").count().filter(F.col("count") >= least).select("pair_group", F.lit(True).alias("by_pair")), "pairs")
     by_language = usable.select("lang_group", *AXES).distinct()
-    large_langs = written(by_language.groupBy("lang_group").count().filter(F.col("count") >= LEAST).select("lang_group", F.lit(True).alias("by_lang")), "languages")
+    large_langs = written(by_language.groupBy("lang_group").count().filter(F.col("count") >= least).select("lang_group", F.lit(True).alias("by_lang")), "languages")
     grouped = named.join(_small(large_pairs), "pair_group", "left").join(_small(large_langs), "lang_group", "left")
     grouped = grouped.withColumn("group", F.when(F.col("by_pair"), F.col("pair_group")).when(F.col("by_lang"), F.col("lang_group")).otherwise(F.lit("0:")))
     # a language's estimate is over all its documents, also those of large sources
     levels = [usable.select(F.col("pair_group").alias("group"), *AXES), by_language.select(F.col("lang_group").alias("group"), *AXES), usable.select(F.lit("0:").alias("group"), *AXES).distinct()]
     needed = written(grouped.select("group").distinct(), "needed")
     rows = levels[0].union(levels[1]).union(levels[2]).join(_small(needed), "group", "left_semi")
-    shape = estimates(written(rows, "rows"))
+    shape = estimates(written(rows, "rows"), floor, fall)
     judged = grouped.join(_small(shape), "group", "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("distance", 4).alias("distance"))
