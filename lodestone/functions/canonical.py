@@ -28,31 +28,52 @@ def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), c, F.lit('"'))
 
 
+def _let(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` reckoned once, however often it is named there."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+def _shortest(c: Column) -> Column:
+    """Java's text of a double that is not negative, without a digit too many."""
+
+    def less(s: Column, n: Column) -> Column:
+        # below Java 19 a text may have a digit too many: one less that reads back as the same number is taken;
+        # normal numbers of up to 15 digits have no shorter text
+        one = F.upper(F.call_function("format_string", F.concat(F.lit("%."), F.greatest(F.lit(0), n - 2).cast("string"), F.lit("e")), c))
+        return F.when((c < float("inf")) & (n > F.when(c < 2.3e-308, 1).otherwise(15)), _let(one, lambda x: F.when(x.try_cast("double") == c, x).otherwise(s))).otherwise(s)
+
+    return _let(c.cast("string"), lambda s: _let(F.length(F.regexp_replace(F.replace(F.split_part(s, F.lit("E"), F.lit(1)), F.lit("."), F.lit("")), "^0+|0+$", "")), lambda n: less(s, n)))
+
+
 def _double(c: Column) -> Column:
     """Fixed notation for exponents from -4 to 15, else one with a sign and at least two digits."""
-    s = F.abs(c).cast("string")
-    # below Java 19 a text may have a digit too many: one less that reads back as the same number is taken
-    n = F.length(F.regexp_replace(F.replace(F.split_part(s, F.lit("E"), F.lit(1)), F.lit("."), F.lit("")), "^0+|0+$", ""))
-    less = F.upper(F.call_function("format_string", F.concat(F.lit("%."), F.greatest(F.lit(0), n - 2).cast("string"), F.lit("e")), F.abs(c)))
-    s = F.when((F.abs(c) < float("inf")) & (n > 1) & (less.try_cast("double") == F.abs(c)), less).otherwise(s)
-    mantissa, power = F.split_part(s, F.lit("E"), F.lit(1)), F.coalesce(F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
-    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
-    digits = F.regexp_replace(F.concat(whole, part), "^0+", "")
-    # the point stands before the first digit times ten to ``point``
-    point = power + F.length(whole) - (F.length(F.concat(whole, part)) - F.length(digits))
-    digits = F.regexp_replace(digits, "0+$", "")
-    n, e = F.length(digits), point - 1
-    fixed = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(n <= point, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
-    )
-    tail = F.concat(F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
-    short = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), tail)
     # minus zero keeps its sign
     sign = F.when((c < 0) | (c.cast("string") == "-0.0"), "-").otherwise("")
-    number = F.concat(sign, F.when(c == 0, "0.0").when((e >= -4) & (e < 16), fixed).otherwise(short))
-    return F.when(F.isnan(c), "NaN").when(s == "Infinity", F.concat(sign, F.lit("Infinity"))).otherwise(number)
+
+    def parts(s: Column) -> Column:
+        mantissa, power = F.split_part(s, F.lit("E"), F.lit(1)), F.coalesce(F.split_part(s, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
+        return F.struct(F.split_part(mantissa, F.lit("."), F.lit(1)).alias("whole"), F.split_part(mantissa, F.lit("."), F.lit(2)).alias("part"), power.alias("power"))
+
+    def places(x: Column) -> Column:
+        every = F.concat(x["whole"], x["part"])
+        digits = F.regexp_replace(every, "^0+", "")
+        # the point stands before the first digit times ten to ``point``
+        return F.struct(F.regexp_replace(digits, "0+$", "").alias("digits"), (x["power"] + F.length(x["whole"]) - (F.length(every) - F.length(digits))).alias("point"))
+
+    def number(x: Column) -> Column:
+        digits, point = x["digits"], x["point"]
+        n, e = F.length(digits), point - 1
+        fixed = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(n <= point, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+        )
+        tail = F.concat(F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+        short = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), tail)
+        return F.concat(sign, F.when(c == 0, "0.0").when((e >= -4) & (e < 16), fixed).otherwise(short))
+
+    told = _let(_shortest(F.abs(c)), lambda s: F.when(s == "Infinity", F.concat(sign, s)).otherwise(_let(parts(s), lambda x: _let(places(x), number))))
+    return F.when(F.isnan(c), "NaN").when(c.isNotNull(), told)
 
 
 def _seconds(c: Column) -> Column:
