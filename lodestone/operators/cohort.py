@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalise as N
 from ..functions import text as T
+from ..shared import dealt, written
 
 #: Attribute names that do not become the lower-case name itself.
 ATTRIBUTES = {
@@ -56,17 +57,31 @@ def attribute(c: Column | str) -> Column:
     return F.coalesce(N.lookup(ATTRIBUTES, x), T.snake(x))
 
 
-def _wide(rows: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
-    names = sorted(r[0] for r in rows.select(name).distinct().limit(WIDEST + 1).collect())  # names of columns
-    if len(names) > WIDEST:
+def _names(names: DataFrame) -> list[str]:
+    found = sorted(r[0] for r in names.distinct().limit(WIDEST + 1).collect())  # names of columns
+    if len(found) > WIDEST:
         raise ValueError(f"more than {WIDEST} different attributes")
-    return rows.groupBy(*keys).pivot(name, names).agg(F.first(value)) if names else rows.select(*keys).distinct()
+    return found
 
 
-def _last(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Cleaned attribute rows, the last of equal attributes of a key."""
-    x = rows.withColumns({"attribute": attribute("clinicalAttributeId"), "value": N.cleaned("value")}).filter("attribute is not null")
-    return x.groupBy(*keys, "attribute").agg(F.max_by("value", "ord").alias("value"))
+def _attributes(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``rows`` with ``attribute``, the canonical name of theirs or null, reckoned once for each name; and all of these."""
+    ids = written(rows.select("clinicalAttributeId").distinct(), "attribute-ids")
+    known = written(ids.withColumn("attribute", attribute("clinicalAttributeId")).filter("attribute is not null"), "attributes")
+    return rows.join(F.broadcast(known), "clinicalAttributeId", "left"), _names(known.select("attribute"))  # names of columns
+
+
+def _wide(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """One row for each of ``keys``: the last cleaned value of each attribute behind a mark, the mark alone where it is missing.
+
+    Rows are dealt by patient before anything is sorted, and stay there.
+    """
+    last = dealt(rows.select(*keys, F.coalesce("attribute", F.lit("")).alias("attribute"), "value", "ord"), "patient").groupBy(*keys, "attribute").agg(F.max_by("value", "ord").alias("value"))
+    return last.withColumn("value", F.concat(F.lit("="), F.coalesce(N.cleaned("value"), F.lit("\0")))).groupBy(*keys).pivot("attribute", names).agg(F.first("value"))
+
+
+def _value(marked: Column) -> Column:
+    return F.when(marked != "=\0", F.substring(marked, 2, 1 << 30))
 
 
 def clinical(patients: DataFrame, samples: DataFrame, study: str, source: str) -> DataFrame:
@@ -77,21 +92,27 @@ def clinical(patients: DataFrame, samples: DataFrame, study: str, source: str) -
     patients are its rows.  A missing sample name stays missing.
     """
     name = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.trim(F.col(c).cast("string")))
-    p = _last(patients.withColumn("patient", name("patientId")).filter("patient is not null"), ["patient"])
+    p, own = _attributes(patients.withColumn("patient", name("patientId")).filter("patient is not null"))
+    p = p.filter("attribute is not null")
     s = samples.withColumns({"patient_id": name("patientId"), "sample_id": name("sampleId")}).filter("patient_id is not null or sample_id is not null")
     s = s.withColumn("patient", F.coalesce("patient_id", "sample_id"))
     if s.limit(1).count():
-        keys = ["patient", "sample_id"]
-        anchor = s.groupBy(*keys).agg(F.min("patient_id").alias("patient_id"))
-        own = _last(s, keys).select(*keys, "attribute", "value", F.lit(0).alias("rank"))
-        shared = p.join(anchor.select(*keys), "patient").select(*keys, "attribute", "value", F.lit(1).alias("rank"))
-        best = own.union(shared).groupBy(*keys, "attribute").agg(F.max_by("value", "rank").alias("value"))
-        wide = _wide(best, keys, "attribute", "value")
-        met = anchor.alias("a").join(wide.alias("w"), (F.col("a.patient") == F.col("w.patient")) & F.col("a.sample_id").eqNullSafe(F.col("w.sample_id")), "left")
-        rows = met.select("a.patient_id", "a.sample_id", *(F.col(f"w.`{c}`") for c in wide.columns if c not in (*keys, *IDS)))
+        s, names = _attributes(s)
+        more = [c for c in own if c not in names]
+        if more:  # only those of a patient of the cohort
+            more = _names(p.filter(F.col("attribute").isin(more)).join(s.select("patient").distinct(), "patient", "left_semi").select("attribute"))
+        own = [c for c in own if c in names or c in more]
+        # a sample named as its patient may or may not state one: "=" says that it does
+        stated = F.when((F.col("patient") == F.col("sample_id")) & F.col("patient_id").isNotNull(), F.array(F.col("attribute"), F.lit("="))).otherwise(F.array("attribute"))
+        wide = _wide(s.withColumn("attribute", F.explode(stated)), ["patient", "sample_id"], [*names, "="])
+        rows = wide.select("patient", "sample_id", F.when(F.coalesce(F.col("patient") != F.col("sample_id"), F.lit(True)) | F.col("`=`").isNotNull(), F.col("patient")).alias("_stated"), *(F.col(f"`{c}`").alias(f"s_{c}") for c in names))
+        if own:
+            rows = rows.join(_wide(p, ["patient"], own).select("patient", *(F.col(f"`{c}`").alias(f"p_{c}") for c in own)), "patient", "left")
+        value = lambda c: _value(F.coalesce(*(F.col(f"`{x}_{c}`") for x, some in (("p", own), ("s", names)) if c in some)))
+        rows = rows.select(F.col("_stated").alias("patient_id"), "sample_id", *(value(c).alias(c) for c in sorted({*names, *more}) if c not in ("patient", "sample_id", *IDS)))
     else:
-        wide = _wide(p, ["patient"], "attribute", "value")
-        rows = wide.select(F.col("patient").alias("patient_id"), F.lit(None).cast("string").alias("sample_id"), *(F.col(f"`{c}`") for c in wide.columns if c not in ("patient", *IDS)))
+        rows = _wide(p, ["patient"], own) if own else p.select("patient").distinct()
+        rows = rows.select(F.col("patient").alias("patient_id"), F.lit(None).cast("string").alias("sample_id"), *(_value(F.col(f"`{c}`")).alias(c) for c in own if c not in ("patient", *IDS)))
     return rows.select(F.lit(study).alias("study_id"), "patient_id", "sample_id", F.lit(source).alias("source_id"), *(F.col(f"`{c}`") for c in rows.columns if c not in IDS))
 
 
@@ -116,21 +137,24 @@ def with_molecular(rows: DataFrame, mutations: DataFrame, cna: DataFrame) -> Dat
     Variants are distinct, in the order in which they came; the last copy
     number of a row wins.  Rows never arise from molecular data.
     """
+    rows = written(rows, "cohort")
     keys = ["row_patient", "row_sample"]
-    m = located(mutations, rows).filter("gene is not null and found")
     protein = F.when(F.trim(T.text("proteinChange")) != "", F.trim("proteinChange"))
-    first = m.withColumn("v", protein).groupBy(*keys, "gene", "v").agg(F.min("ord").alias("o"))
-    listed = first.groupBy(*keys, "gene").agg(F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("o", "v")))).alias("x"))
-    parts = [("_mutation", listed.select(*keys, "gene", F.lit("1").alias("value"))), ("_variants", listed.filter(F.size("x") > 0).select(*keys, "gene", F.array_join(F.transform("x", lambda e: e["v"]), ";").alias("value")))]
-    parts.append(("_cna", located(cna, rows).filter("gene is not null and found").groupBy(*keys, "gene").agg(F.max_by(F.col("alteration").cast("string"), "ord").alias("value"))))
-    each = None
-    for suffix, df in parts:
-        named = df.select(*keys, F.concat("gene", F.lit(suffix)).alias("name"), "value")
-        each = named if each is None else each.unionByName(named)
-    wide = _wide(each, keys, "name", "value")
+    ords = {True: dict(mutations.dtypes)["ord"], False: dict(cna.dtypes)["ord"]}
+    told = lambda df, v, mutated: located(df, rows).filter("gene is not null and found").select(*keys, "gene", F.lit(mutated).alias("mutated"), v.alias("v"), *((F.col("ord") if k == mutated else F.lit(None)).cast(t).alias(f"ord{int(k)}") for k, t in ords.items()))
+    # dealt by rows once: all that follows stays there
+    x = dealt(told(mutations, protein, True).unionByName(told(cna, F.col("alteration").cast("string"), False)), *keys)
+    first = x.groupBy(*keys, "gene", "mutated", "v").agg(F.min("ord1").alias("o"), F.max("ord0").alias("c"))
+    listed = first.groupBy(*keys, "gene").agg(
+        F.max("mutated").alias("m"), F.array_sort(F.collect_list(F.when(F.col("mutated") & F.col("v").isNotNull(), F.struct("o", "v")))).alias("x"),
+        F.min("mutated").alias("no_cna"), F.max_by(F.when(~F.col("mutated"), F.col("v")), F.when(~F.col("mutated"), F.col("c"))).alias("cna"),
+    )
+    named = lambda cond, suffix, value: F.when(cond, F.struct(F.concat("gene", F.lit(suffix)).alias("name"), value.alias("value")))
+    parts = F.array_compact(F.array(named(F.col("m"), "_mutation", F.lit("1")), named(F.size("x") > 0, "_variants", F.array_join(F.transform("x", lambda e: e["v"]), ";")), named(~F.col("no_cna"), "_cna", F.col("cna"))))
+    wide = written(listed.groupBy(*keys).agg(F.map_from_entries(F.flatten(F.collect_list(parts))).alias("of")), "molecular")  # the genes of one row
+    new = _names(wide.select(F.explode(F.map_keys("of"))))
     met = rows.alias("r").join(wide.alias("w"), F.col("r.patient_id").eqNullSafe(F.col("w.row_patient")) & F.col("r.sample_id").eqNullSafe(F.col("w.row_sample")), "left")
-    new = [c for c in wide.columns if c not in keys]
-    value = lambda c: F.coalesce(F.col(f"w.`{c}`"), F.lit("0")) if c.endswith("_mutation") else F.col(f"w.`{c}`")
+    value = lambda c: F.coalesce(F.col("w.of")[c], F.lit("0")) if c.endswith("_mutation") else F.col("w.of")[c]
     return met.select(*(F.col(f"r.`{c}`") for c in rows.columns if c not in new), *(value(c).alias(c) for c in new))
 
 
