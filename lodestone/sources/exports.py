@@ -32,7 +32,7 @@ from pyspark.sql import types as Y
 
 from ..functions import text as T
 from ..functions.canonical import canonical_json
-from ..shared import written
+from ..shared import dealt, written
 
 #: Rows of a sheet and characters of a cell that a workbook may have.
 SHEET_ROWS, CELL_CHARS = 1_048_576, 32_767
@@ -277,7 +277,7 @@ def archive_rows(files: DataFrame, folder: str) -> DataFrame:
                     while block := lines.readlines(1 << 20):
                         yield pa.RecordBatch.from_pydict({"file": [name] * len(block), "row": [x.decode().rstrip("\n") for x in block]})
 
-    return files.select("file").repartition("file").mapInArrow(run, "file string, row string")
+    return dealt(files.select("file"), "file").mapInArrow(run, "file string, row string")
 
 
 def quality_report(df: DataFrame, required: list[str]) -> DataFrame:
