@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import dealt, written
 
 
 def _doc():
@@ -71,7 +71,7 @@ WEIGHTS = [1.0, 0.65, 0.65, 1.0, 0.8, 0.8]
 def context_features(examples: DataFrame) -> DataFrame:
     """Examples with ``features``: the token alone, with one or two neighbours to either side, and between both."""
     at = lambda k, edge: F.coalesce((F.lag("token", -k) if k < 0 else F.lead("token", k)).over(_doc()), F.lit(edge))
-    x = examples.withColumns({"_l": at(-1, "<B>"), "_l2": at(-2, "<B2>"), "_r": at(1, "<E>"), "_r2": at(2, "<E2>")})
+    x = dealt(examples, "doc").withColumns({"_l": at(-1, "<B>"), "_l2": at(-2, "<B2>"), "_r": at(1, "<E>"), "_r2": at(2, "<E2>")})
     t = F.col("token")
     named = lambda name, *parts: F.concat(F.lit(name + "="), F.concat_ws("|", *parts))
     keys = [named("token", t), named("left", F.col("_l"), t), named("right", t, F.col("_r")), named("window", F.col("_l"), t, F.col("_r")), named("left2", F.col("_l2"), F.col("_l"), t), named("right2", t, F.col("_r"), F.col("_r2"))]
