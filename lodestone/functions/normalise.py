@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, fold, text
+from .text import bound, col, fold, text
 
 #: Gene aliases.
 GENES = {"HER2": "ERBB2", "HER-2": "ERBB2", "ERBB-2": "ERBB2", "C-ERBB2": "ERBB2", "P53": "TP53", "PGR": "PGR"}
@@ -128,7 +128,10 @@ def biomarker(raw_field: str, c: Column | str, canonical: str = "") -> Column:
     """
     key = re.sub(r"[^A-Z0-9]+", "_", raw_field.upper()).strip("_")
     shown = text(c)
-    x = F.regexp_replace(fold(F.trim(shown)), r"[\s_-]+", "")
+    return bound(F.regexp_replace(fold(F.trim(shown)), r"[\s_-]+", ""), lambda x: _biomarker(key, shown, x, canonical))
+
+
+def _biomarker(key: str, shown: Column, x: Column, canonical: str) -> Column:
     none = fields(F.create_map().cast("map<string,string>"), "biomarker_unresolved", 0.0, "unresolved")
     known = lambda s: F.when(s == "Unknown", 0.6).otherwise(1.0)
     settled = lambda s: F.when(s == "Unknown", "review").otherwise("normalized")
@@ -139,8 +142,8 @@ def biomarker(raw_field: str, c: Column | str, canonical: str = "") -> Column:
     elif her2:
         named = next((a for a in ("IHC", "FISH", "CISH", "SISH", "ISH") if a in key), None)
         put = lambda assay, s: _values(her2_assay=F.lit(assay), her2_raw_value=shown, her2_status=s)
-        s = _state(x, {"Negative": ["0", "0+", "1", "1+"], "Equivocal": ["2", "2+"], "Positive": ["3", "3+"], "Unknown": ["her2low", "low"]})
-        ihc = F.when(s.isNull(), fields(put("IHC", F.lit("Unknown")), "her2_ihc_unresolved_v1", 0.5, "review")).otherwise(fields(put("IHC", s), "her2_ihc_rule_v1", known(s), settled(s)))
+        scored = _state(x, {"Negative": ["0", "0+", "1", "1+"], "Equivocal": ["2", "2+"], "Positive": ["3", "3+"], "Unknown": ["her2low", "low"]})
+        ihc = bound(scored, lambda s: F.when(s.isNull(), fields(put("IHC", F.lit("Unknown")), "her2_ihc_unresolved_v1", 0.5, "review")).otherwise(fields(put("IHC", s), "her2_ihc_rule_v1", known(s), settled(s))))
         if named == "IHC":
             found = ihc
         elif named:

@@ -10,12 +10,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalise as N
 from ..functions import text as T
-from ..shared import written
+from ..shared import dealt
 from .linking import evidence_id
 
 #: Fields that all observations of a record share, and measures that belong to cell lines only.
@@ -42,12 +42,10 @@ def _path(raw_field: str) -> str:
     return "$" + "".join(f'["{p}"]' for p in raw_field.split("."))
 
 
-def extracted(fields: Column, raw_field: str) -> tuple[Column, Column]:
-    """Whether a dotted path of a variant is there (a JSON null is), and its value: text as it is, else canonical JSON."""
-    found = F.try_variant_get(fields, _path(raw_field), "variant")
+def shown(found: Column) -> Column:
+    """A variant as text: text as it is, null for a JSON null, else canonical JSON."""
     kind = F.schema_of_variant(found)
-    shown = F.when(kind == "STRING", F.try_variant_get(found, "$", "string")).when(kind != "VOID", F.to_json(found))
-    return found.isNotNull(), shown
+    return F.when(kind == "STRING", F.try_variant_get(found, "$", "string")).when(kind != "VOID", F.to_json(found))
 
 
 def _from_value(field: str, x: Column) -> Column:
@@ -57,9 +55,9 @@ def _from_value(field: str, x: Column) -> Column:
 def normalised(rule: Rule, value: Column) -> Column:
     """The rule's normaliser on a value: ``(values, method, confidence, status)``."""
     if rule.normaliser == "gene":
-        return _from_value("gene", N.gene(value))
+        return T.bound(N.gene(value), lambda x: _from_value("gene", x))
     if rule.normaliser == "drug":
-        return _from_value("drug", N.drug(value))
+        return T.bound(N.drug(value), lambda x: _from_value("drug", x))
     if rule.normaliser == "biomarker":
         return N.biomarker(rule.raw_field, value, rule.canonical_field)
     if rule.normaliser == "mutation_status":
@@ -71,20 +69,53 @@ def normalised(rule: Rule, value: Column) -> Column:
     return F.when(blank, N.fields(F.create_map().cast("map<string,string>"), "schema_passthrough_v1", 0.0, "unresolved")).otherwise(same)
 
 
+def _gives(rule: Rule) -> str | None:
+    """The field of ``CONTEXT`` that a rule's value can have."""
+    if rule.normaliser in ("gene", "drug", "biomarker", "mutation_status"):
+        return None
+    field = "response_domain" if rule.normaliser == "response_domain" else rule.canonical_field
+    return field if field in CONTEXT else None
+
+
 def attempts(records: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row for each record and rule that applies to its source: ``found, raw_value, values, method, confidence, status``.
 
-    Written to the shared folder, as contexts, records and issues all read it.
+    Beside them stand what all rows of the record have in common (``context,
+    conflicts, missing, blocked``; see ``contexts``), ``lead`` at one row of
+    each record id, and ``alone`` where no other row can have the same
+    evidence.  Records are dealt by id once; every value is reckoned once for
+    each record, in steps that the optimiser keeps apart.
     """
+    lit = lambda x: F.lit(x).cast("string")
+    applies = [F.lit(True) if r.source_id is None else F.coalesce(F.col("source_id") == F.lit(r.source_id), F.lit(False)) for r in rules]
+    x = records if any(r.source_id is None for r in rules) else records.filter(F.col("source_id").isin(*(r.source_id for r in rules)))
+    x = dealt(x, "record_id").sortWithinPartitions("record_id").withColumn("_v", F.try_parse_json("fields"))
+    x = x.withColumns({f"_f{n}": F.try_variant_get("_v", _path(r.raw_field), "variant") for n, r in enumerate(rules)})
+    x = x.withColumns({f"_x{n}": shown(F.col(f"_f{n}")) for n in range(len(rules))})
+    values = {n: normalised(r, F.col(f"_x{n}")) for n, r in enumerate(rules)}
+    of = {c: [n for n, r in enumerate(rules) if _gives(r) == c] for c in CONTEXT}
+    early = {n for ns in of.values() for n in ns}
+    x = x.withColumns({f"_n{n}": values[n] for n in sorted(early)})
+    same = Window.partitionBy("record_id")
+    said = {c: F.array(*(F.when(applies[n] & F.col(f"_f{n}").isNotNull() & F.col("record_id").isNotNull(), F.try_element_at(F.col(f"_n{n}")["values"], F.lit(c))) for n in ns), lit(None)) for c, ns in of.items()}
+    x = x.withColumns({f"_{c}_{name}": within(ends(said[c])).over(same) if ns else lit(None) for c, ns in of.items() for name, within, ends in (("low", F.min, F.array_min), ("high", F.max, F.array_max))} | {"_rows": F.count("*").over(same), "_row": F.row_number().over(same.orderBy("record_id"))})
+    low, high = lambda c: F.col(f"_{c}_low"), lambda c: F.col(f"_{c}_high")
+    context = F.map_filter(F.create_map(*(e for c in CONTEXT for e in (F.lit(c), F.when(low(c) == high(c), low(c))))), lambda k, v: v.isNotNull())
+    missing = F.array_compact(F.array(*(F.when(~F.coalesce(low(c) == high(c), F.lit(False)), c) for c in ("study_id", "disease"))))
+    against = F.array_compact(F.array(*(F.when(low(c) != high(c), c) for c in CONTEXT)))
+    x = x.withColumns({"context": context, "conflicts": against, "missing": missing}).withColumn("blocked", (F.size("missing") > 0) | (F.size("conflicts") > 0))
+    x = x.withColumns({f"_n{n}": v for n, v in values.items() if n not in early})
     rows = []
-    for r in rules:
-        found, value = extracted(F.col("_v"), r.raw_field)
-        lit = lambda x: F.lit(x).cast("string")
-        row = F.struct(lit(r.mapping_id).alias("mapping_id"), lit(r.raw_field).alias("raw_field"), lit(r.response_domain).alias("rule_domain"), lit(r.response_type).alias("rule_type"), F.lit(float(r.confidence)).alias("rule_confidence"), found.alias("found"), value.alias("raw_value"), normalised(r, value).alias("n"))
-        rows.append(F.when(F.lit(r.source_id is None) | (F.col("source_id") == F.lit(r.source_id)), row))
-    each = records.withColumn("_v", F.try_parse_json("fields")).withColumn("a", F.explode(F.array_compact(F.array(*rows))))
-    out = each.select("record_id", "source_id", "authority", "default_confidence", "a.mapping_id", "a.raw_field", "a.rule_domain", "a.rule_type", "a.rule_confidence", "a.found", "a.raw_value", "a.n.values", "a.n.method", F.col("a.n.confidence").alias("confidence"), F.col("a.n.status").alias("status"))
-    return written(out, "attempts")
+    for n, r in enumerate(rules):
+        clear = "|" not in r.mapping_id + r.raw_field and sum((o.mapping_id, o.raw_field) == (r.mapping_id, r.raw_field) for o in rules) == 1
+        row = F.struct(lit(r.mapping_id).alias("mapping_id"), lit(r.raw_field).alias("raw_field"), lit(r.response_domain).alias("rule_domain"), lit(r.response_type).alias("rule_type"), F.lit(float(r.confidence)).alias("rule_confidence"), F.col(f"_f{n}").isNotNull().alias("found"), F.col(f"_x{n}").alias("raw_value"), F.col(f"_n{n}").alias("n"), F.lit(clear).alias("clear"))
+        rows.append(F.when(applies[n], row))
+    first, alone = F.col("_row") == 1, (F.col("_rows") == 1) & ~F.coalesce(F.contains(F.col("record_id").cast("string"), F.lit("|")), F.lit(True))
+    each = x.withColumns({"_first": first, "_alone": alone}).select("record_id", "source_id", "authority", "default_confidence", "context", "conflicts", "missing", "blocked", "_first", "_alone", F.posexplode_outer(F.array_compact(F.array(*rows))).alias("_p", "a")).filter("_p is not null")
+    return each.select(
+        "record_id", "source_id", "authority", "default_confidence", "a.mapping_id", "a.raw_field", "a.rule_domain", "a.rule_type", "a.rule_confidence", "a.found", "a.raw_value", "a.n.values", "a.n.method", F.col("a.n.confidence").alias("confidence"), F.col("a.n.status").alias("status"),
+        "context", "conflicts", "missing", "blocked", (F.col("_first") & (F.col("_p") == 0)).alias("lead"), (F.col("_alone") & F.col("a.clear")).alias("alone"),
+    )
 
 
 def contexts(tried: DataFrame) -> DataFrame:
@@ -93,49 +124,52 @@ def contexts(tried: DataFrame) -> DataFrame:
     A field with two different values is a conflict; a record with a conflict
     or without ``study_id`` or ``disease`` is blocked.
     """
-    each = tried.filter("found").select("record_id", F.explode("values").alias("field", "value")).filter(F.col("field").isin(*CONTEXT))
-    per = each.groupBy("record_id").pivot("field", CONTEXT).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    low, high = lambda c: F.col(f"{c}_low"), lambda c: F.col(f"{c}_high")
-    context = F.map_filter(F.create_map(*(x for c in CONTEXT for x in (F.lit(c), F.when(low(c) == high(c), low(c))))), lambda k, v: v.isNotNull())
-    against = F.array_compact(F.array(*(F.when(low(c) != high(c), c) for c in CONTEXT)))
-    x = tried.select("record_id").distinct().join(per.select("record_id", context.alias("context"), against.alias("conflicts")), "record_id", "left")
-    x = x.withColumns({"context": F.coalesce("context", F.create_map().cast("map<string,string>")), "conflicts": F.coalesce("conflicts", F.array().cast("array<string>"))})
-    missing = F.array_compact(F.array(*(F.when(~F.map_contains_key("context", F.lit(c)), c) for c in ("study_id", "disease"))))
-    return x.withColumn("missing", missing).withColumn("blocked", (F.size("missing") > 0) | (F.size("conflicts") > 0))
+    return tried.filter("lead").select("record_id", "context", "conflicts", "missing", "blocked")
+
+
+def _safe(tried: DataFrame) -> DataFrame:
+    """``tried`` with ``domain``, ``kind`` and ``unsafe`` of what a row says of a response."""
+    touches = F.col("_touches")
+    of = lambda c: F.coalesce(F.try_element_at("values", F.lit(c)), F.try_element_at("context", F.lit(c)))
+    x = tried.withColumn("_touches", F.arrays_overlap(F.map_keys("values"), F.array(*map(F.lit, RESPONSE))))
+    x = x.withColumns({"domain": F.when(touches, F.coalesce("rule_domain", of("response_domain"))), "kind": F.when(touches, F.coalesce("rule_type", of("response_type")))})
+    measure = F.lower(F.concat_ws(" ", "raw_field", "kind")).rlike("|".join(rf"\b{m}\b" for m in PRECLINICAL))
+    unsafe = F.when(touches & F.col("domain").isNull() & F.map_contains_key("values", F.lit("response")), "response_domain_missing").when(touches & measure & ~F.coalesce(F.col("domain") == "preclinical_cell_line", F.lit(False)), "cross_domain_response")
+    return x.withColumn("unsafe", unsafe)
+
+
+#: Rows of attempts that become records.
+_KEPT = "found and not blocked and size(values) > 0"
 
 
 def mapped(tried: DataFrame) -> DataFrame:
     """Atomic canonical records of records that are not blocked.
 
     ``(record_id, mapped_id, source_id, authority, raw_field, raw_value,
-    method, status, confidence, record, mapped_fields, unsafe)``; ``record``
+    method, status, confidence, record, mapped_fields, unsafe, alone)``; ``record``
     is a map of canonical fields.  ``unsafe`` names a response without domain
     or a cell-line measure outside cell lines; such rows are no records and
     are kept apart by it.  Confidence is the least of record, rule and value.
     """
-    x = tried.filter("found").join(contexts(tried).filter("not blocked").select("record_id", "context"), "record_id").filter(F.size("values") > 0)
-    touches = F.arrays_overlap(F.map_keys("values"), F.array(*map(F.lit, RESPONSE)))
-    of = lambda c: F.coalesce(F.try_element_at("values", F.lit(c)), F.try_element_at("context", F.lit(c)))
-    x = x.withColumns({"domain": F.when(touches, F.coalesce("rule_domain", of("response_domain"))), "kind": F.when(touches, F.coalesce("rule_type", of("response_type")))})
-    measure = F.lower(F.concat_ws(" ", "raw_field", "kind")).rlike("|".join(rf"\b{m}\b" for m in PRECLINICAL))
-    unsafe = F.when(touches & F.col("domain").isNull() & F.map_contains_key("values", F.lit("response")), "response_domain_missing").when(touches & measure & ~F.coalesce(F.col("domain") == "preclinical_cell_line", F.lit(False)), "cross_domain_response")
-    extra = F.map_filter(F.create_map(F.lit("response_domain"), F.col("domain"), F.lit("response_type"), F.col("kind")), lambda k, v: v.isNotNull())
-    own = F.map_concat(F.map_filter("values", lambda k, v: ~F.map_contains_key(extra, k)), extra)
-    shared = F.map_filter("context", lambda k, v: k.isin("study_id", "patient_id", "sample_id", "disease") & ~F.map_contains_key(own, k))
+    x = _safe(tried.filter(_KEPT))
+    x = x.withColumn("_extra", F.map_filter(F.create_map(F.lit("response_domain"), F.col("domain"), F.lit("response_type"), F.col("kind")), lambda k, v: v.isNotNull()))
+    x = x.withColumn("_own", F.map_concat(F.map_filter("values", lambda k, v: ~F.map_contains_key("_extra", k)), "_extra"))
+    shared = F.map_filter("context", lambda k, v: k.isin("study_id", "patient_id", "sample_id", "disease") & ~F.map_contains_key("_own", k))
     said = F.array_union(F.map_keys("values"), F.array_compact(F.array(F.when(F.col("rule_domain").isNotNull(), "response_domain"), F.when(F.col("rule_type").isNotNull(), "response_type"))))
-    x = x.withColumns({"record": F.map_concat(shared, own), "said": said, "unsafe": unsafe})
+    x = x.withColumns({"record": F.map_concat(shared, "_own"), "said": said})
     mapped_id = T.short_id("mapped", F.col("record_id"), F.col("mapping_id"), F.col("raw_field"), F.coalesce("raw_value", F.lit("null")))
-    return x.select("record_id", mapped_id.alias("mapped_id"), "source_id", "authority", "raw_field", "raw_value", "method", "status", F.least("default_confidence", "rule_confidence", "confidence").alias("confidence"), "record", F.array_sort(F.filter("said", lambda k: F.map_contains_key(F.col("record"), k))).alias("mapped_fields"), "unsafe")
+    return x.select("record_id", mapped_id.alias("mapped_id"), "source_id", "authority", "raw_field", "raw_value", "method", "status", F.least("default_confidence", "rule_confidence", "confidence").alias("confidence"), "record", F.array_sort(F.filter("said", lambda k: F.map_contains_key(F.col("record"), k))).alias("mapped_fields"), "unsafe", "alone")
 
 
 def issues(tried: DataFrame) -> DataFrame:
     """``(record_id, mapping_id, code, field)``: missing raw fields, values in review, and what blocks a record."""
-    a = tried.filter("not found").select("record_id", "mapping_id", F.lit("raw_field_missing").alias("code"), F.col("raw_field").alias("field"))
-    b = tried.filter("found").filter(F.col("status").isin("review", "unresolved")).select("record_id", "mapping_id", F.lit("normalization_review").alias("code"), F.col("raw_field").alias("field"))
-    c = contexts(tried)
-    of = lambda column, code: c.select("record_id", F.lit(None).cast("string").alias("mapping_id"), F.lit(code).alias("code"), F.explode(column).alias("field"))
-    d = mapped(tried).filter("unsafe is not null").select("record_id", F.lit(None).cast("string").alias("mapping_id"), F.lit("unsafe_response_domain").alias("code"), F.col("raw_field").alias("field"))
-    return a.unionByName(b).unionByName(of("conflicts", "context_conflict")).unionByName(of("missing", "missing_required_context")).unionByName(d)
+    one = lambda field, code, mapping: F.struct(mapping.alias("mapping_id"), F.lit(code).alias("code"), field.alias("field"))
+    mine, none = lambda code: one(F.col("raw_field"), code, F.col("mapping_id")), F.lit(None).cast("string")
+    kept = F.expr(_KEPT) & F.col("unsafe").isNotNull()
+    own = F.array_compact(F.array(F.when(~F.col("found"), mine("raw_field_missing")), F.when(F.col("found") & F.col("status").isin("review", "unresolved"), mine("normalization_review")), F.when(kept, one(F.col("raw_field"), "unsafe_response_domain", none))))
+    shared = lambda column, code: F.when(F.col("lead"), F.transform(column, lambda f: one(f, code, none))).otherwise(F.slice(F.transform(column, lambda f: one(f, code, none)), 1, 0))
+    every = F.concat(own, shared("conflicts", "context_conflict"), shared("missing", "missing_required_context"))
+    return _safe(tried).select("record_id", F.explode_outer(every).alias("i")).filter("i is not null").select("record_id", "i.mapping_id", "i.code", "i.field")
 
 
 def identities(tried: DataFrame) -> DataFrame:
@@ -146,11 +180,21 @@ def identities(tried: DataFrame) -> DataFrame:
 
 
 def evidence(records: DataFrame) -> DataFrame:
-    """One evidence cell for each mapped field of ``mapped`` records, each id once."""
-    each = records.filter("unsafe is null").withColumn("field", F.explode("mapped_fields")).withColumn("value", F.try_element_at("record", F.col("field")))
+    """One evidence cell for each mapped field of ``mapped`` records, each id once.
+
+    Only rows that are not ``alone`` can share an id, and only these are dealt by it.
+    """
+    if "alone" not in records.columns:
+        return _cells(records).dropDuplicates(["evidence_id"])
+    return _cells(records.filter("alone")).unionByName(_cells(records.filter("not alone")).dropDuplicates(["evidence_id"]))
+
+
+def _cells(records: DataFrame) -> DataFrame:
+    # a filter, and the one that a plain explode brings along, would be reckoned below all steps of `mapped` with their expressions put into each other
+    each = records.withColumn("field", F.explode_outer(F.when(F.col("unsafe").isNull(), F.col("mapped_fields")))).filter("field is not null").withColumn("value", F.try_element_at("record", F.col("field")))
     status = F.when(F.col("status").isin("normalized", "identity"), "verified").otherwise("review")
     get = lambda k: F.try_element_at("record", F.lit(k))
-    return each.select(evidence_id(F.col("mapped_id"), F.col("field"), F.col("value")).alias("evidence_id"), get("patient_id").alias("patient_id"), get("sample_id").alias("sample_id"), "field", F.col("value").alias("canonical_value"), "raw_field", "raw_value", "source_id", F.col("method").alias("normalization_method"), "confidence", status.alias("status")).dropDuplicates(["evidence_id"])
+    return each.select(evidence_id(F.col("mapped_id"), F.col("field"), F.col("value")).alias("evidence_id"), get("patient_id").alias("patient_id"), get("sample_id").alias("sample_id"), "field", F.col("value").alias("canonical_value"), "raw_field", "raw_value", "source_id", F.col("method").alias("normalization_method"), "confidence", status.alias("status"))
 
 
 def valid_rule(rule: Rule) -> bool:
