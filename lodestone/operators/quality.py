@@ -56,7 +56,8 @@ def findings(records: DataFrame, rules: list[Rule], id_col: str) -> DataFrame:
         F.when(F.coalesce(r.condition, F.lit(False)), F.struct(F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.risk).alias("risk"), F.lit(r.field).alias("field"), F.col(r.field).cast("string").alias("observed"), (r.candidate.cast("string") if r.candidate is not None else F.lit(None).cast("string")).alias("candidate")))
         for r in rules
     ]
-    return records.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(*items))).alias("f")).select("id", "f.*")
+    # a plain explode brings a filter along that would reckon every rule a second time
+    return records.select(F.col(id_col).alias("id"), F.explode_outer(F.array_compact(F.array(*items))).alias("f")).filter("f is not null").select("id", "f.*")
 
 
 def decide(found: DataFrame) -> DataFrame:
@@ -83,6 +84,11 @@ def apply(records: DataFrame, decided: DataFrame, columns: list[str], id_col: st
     auto = F.col("decision") == "AUTO"
     changes = [F.min(F.when(auto & (F.col("field") == c), F.struct("observed", "candidate"))).alias(f"_{c}") for c in columns]
     per = decided.groupBy(F.col("id").alias(id_col)).agg(F.bool_or(F.col("decision") == "BLOCK").alias("_block"), F.bool_or(F.col("decision") == "REVIEW").alias("_review"), *changes)
+    return settled(records, per, columns, id_col)
+
+
+def settled(records: DataFrame, per: DataFrame, columns: list[str], id_col: str, also: list[str] | None = None) -> DataFrame:
+    """``records`` with what ``per(id, _block, _review, _column struct<observed, candidate>...)`` decides of each id; columns ``also`` come along."""
     joined = records.join(per, id_col, "left")
     current = lambda c: F.col(c).cast("string").eqNullSafe(F.col(f"_{c}.observed")) & F.col(f"_{c}.candidate").isNotNull()
     out = {c: F.when(current(c), F.col(f"_{c}.candidate")).otherwise(F.col(c)) for c in columns}
@@ -90,7 +96,7 @@ def apply(records: DataFrame, decided: DataFrame, columns: list[str], id_col: st
     for c in columns:
         touched = touched | current(c)
     disposition = F.when(F.coalesce("_block", F.lit(False)), "blocked").when(F.coalesce("_review", F.lit(False)), "review").when(touched, "repaired").otherwise("clean")
-    return joined.withColumns(out | {"disposition": disposition}).select(*records.columns, "disposition")
+    return joined.withColumns({"disposition": disposition} | out).select(*records.columns, "disposition", *(also or []))
 
 
 def roll_back(originals: DataFrame, repaired: DataFrame, rules: list[Rule], columns: list[str], id_col: str) -> DataFrame:
