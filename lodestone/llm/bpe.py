@@ -10,6 +10,9 @@ row of the array for each word; words of more than ``SHORT`` symbols are
 merged one at a time with a heap instead, as scans would take quadratic time.
 
 Results are remembered by word in a bounded table of each Python worker.
+
+``BlockEncoder`` has the library encode instead: the words that a worker has
+not met go to it in lines of many, and ids are put together by Arrow.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,14 @@ SHORT = 64
 MEMORY = 1 << 19
 #: Characters of a text that are split into words at a time.
 SEGMENT = 1 << 19
+#: Characters that are split, looked up and put together at a time, and words of one line that the library gets.
+BLOCK, LINE = 1 << 22, 512
+#: Behind each token of a list of words; no id is as large.
+BREAK = 0xFFFFFFFF
+#: In front of a special token's id in a line; it is white space, so no token has it.
+MARK = "\xa0"
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_WORD_OR_END = re.compile(_WORD.pattern + r"|\n")
 #: Anything where Python's classes or NFC may differ from the library's goes to the library's own splitter.
 _ODD = re.compile("[^\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ‐-‧‰-⁞]")
 _GAP = re.compile(r"[ \t\n\r]")
@@ -86,15 +97,27 @@ class Splitter:
         pieces = self.library.pre_tokenizer.pre_tokenize_str(text)
         return [bytes(self._byte[c] for c in p).decode("utf-8") for p, _ in pieces]
 
+    def has_special(self, text: str) -> bool:
+        return self._special is not None and any(s in text for s in self.special)
+
     def tokens(self, text: str) -> list[str | int]:
         """Tokens in order; a special token's string in the text is its id."""
-        if self._special and any(s in text for s in self.special):
+        if self.has_special(text):
             out: list[str | int] = []
             for k, part in enumerate(self._special.split(text)):
                 out += [self.special[part]] if k % 2 else self.plain(part)
             return out
         return self.plain(text)
 
+    def line(self, text: str) -> str:
+        """``tokens`` as one text with white space between them, a special token as ``MARK`` and its id."""
+        if not self.has_special(text):
+            if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                return text.lower()
+            if not _ODD.search(text):
+                return unicodedata.normalize("NFC", text).lower().replace("\xa0", " ")
+        return " ".join(f"{MARK}{t}" if isinstance(t, int) else t for t in self.tokens(text))
+
     def pieces(self, token: str) -> list[str]:
         """The words of a token; a token with odd characters is one already, and so is one of letters."""
         if token.isascii() and token.isalpha():
@@ -215,14 +238,34 @@ class LibraryMerger:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        last = self.library.get_vocab_size(with_added_tokens=True)
+        self.closes = np.array([bool(suffix) and (self.library.id_to_token(i) or "").endswith(suffix) for i in range(last)])
 
-    def encode(self, words: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> list[list[int]]:
         many = self.library.encode_batch_fast if hasattr(self.library, "encode_batch_fast") else self.library.encode_batch
-        ids = [e.ids for e in many(words, add_special_tokens=False)]
+        return [e.ids for e in many(texts, add_special_tokens=False)]
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        ids = self.ids(words)
         blob = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
         cut = [0, *accumulate(4 * len(x) for x in ids)]
         return [blob[a:b] for a, b in pairwise(cut)]
 
+    def encode_lines(self, words: list[str]) -> list[bytes]:
+        """``encode`` of words that the splitter leaves whole, many in a line; the id with the end-of-word suffix closes each."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 64 * LINE):
+            part = words[a : a + 64 * LINE]
+            ids = np.fromiter(chain.from_iterable(self.ids([" ".join(part[b : b + LINE]) for b in range(0, len(part), LINE)])), "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                out += self.encode(part)
+                continue
+            blob = ids.tobytes()
+            out += [blob[b:c] for b, c in pairwise([0, *(4 * ends).tolist()])]
+        return out
+
 
 class Remembered:
     """Values of tokens from values of their words, each worked out once while it is remembered."""
@@ -260,14 +303,90 @@ class Remembered:
 class Encoder(Remembered):
     """Ids of whole texts, as little-endian 32-bit bytes while they are put together."""
 
-    def __init__(self, path: str, merger: type = RankMerger):
-        self.merger = merger(path)
+    def __init__(self, path: str):
+        self.merger = RankMerger(path)
         super().__init__(path, self.merger.encode, b"".join, lambda i: np.array([i], "<u4").tobytes())
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4") for x in super().batch(texts)]
 
 
+class BlockEncoder:
+    """Ids of whole texts by the library, a block of texts at once.
+
+    Arrow splits a block and numbers its different tokens.  Only these are
+    looked up in Python; Arrow puts their ids together for every occurrence.
+    Tokens and words are remembered as in ``Remembered``.
+    """
+
+    def __init__(self, path: str):
+        self.splitter, self.merger = Splitter(path), LibraryMerger(path)
+        self.words: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+
+    def learn(self, tokens: list[str]) -> None:
+        new = [t for t in tokens if t not in self.tokens]
+        if len(self.tokens) + len(new) > MEMORY:
+            self.tokens.clear()
+            new = tokens
+        text = "\n".join(new)
+        if MARK in text or _ODD.search(text):
+            # a token with odd characters is one piece of the library's already, and goes to it alone
+            odd = [t for t in new if _ODD.search(t)]
+            self.tokens.update(zip(odd, self.merger.encode(odd)))
+            self.tokens.update((t, np.array([int(t[1:])], "<u4").tobytes()) for t in new if t.startswith(MARK))
+            new = [t for t in new if t not in self.tokens]
+            text = "\n".join(new)
+        if not new:
+            return
+        words = _WORD_OR_END.findall(text + "\n")
+        different = {*words} - {"\n"}
+        ask = [w for w in different if w not in self.words]
+        if len(self.words) + len(ask) > MEMORY:
+            self.words.clear()
+            ask = list(different)
+        self.words.update(zip(ask, self.merger.encode_lines(ask)))
+        self.words["\n"] = np.array([BREAK], "<u4").tobytes()
+        blob = b"".join(map(self.words.__getitem__, words))
+        ends = (4 * np.flatnonzero(np.frombuffer(blob, "<u4") == BREAK)).tolist()
+        self.tokens.update(zip(new, (blob[a + 4 : b] for a, b in pairwise([-4, *ends]))))
+
+    def block(self, texts: list[str]) -> list[np.ndarray]:
+        # the split has an empty token where a text begins or ends with white space; it has no ids
+        split = pc.ascii_split_whitespace(pa.array([self.splitter.line(t) for t in texts], pa.large_string()))
+        coded = split.values.dictionary_encode()
+        tokens = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(tokens)
+        values = pa.array(map(self.tokens.__getitem__, tokens), pa.large_binary()).take(coded.indices)
+        ends, ids = np.frombuffer(values.buffers()[1], np.int64) // 4, np.frombuffer(values.buffers()[2] or b"", "<u4")
+        return [ids[a:b] for a, b in pairwise(ends[split.offsets.to_numpy()].tolist())]
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null is empty.  A long text is taken in segments, as many as fit into a block."""
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        rows: list[int] = []
+        held: list[str] = []
+        size = 0
+
+        def flush() -> None:
+            for k, ids in zip(rows, self.block(held)):
+                found[k].append(ids)
+            rows.clear()
+            held.clear()
+
+        for k, text in enumerate(texts):
+            for part in segments(text or ""):
+                if size + len(part) > BLOCK and held:
+                    flush()
+                    size = 0
+                rows.append(k)
+                held.append(part)
+                size += len(part)
+        if held:
+            flush()
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in found]
+
+
 class Decoder:
     """Texts of ids; the file names no decoder, so tokens are joined by one space."""
 
@@ -285,9 +404,14 @@ class Decoder:
         return " ".join(map(self.number.__getitem__, ids.tolist()))
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, merger: type = RankMerger) -> Encoder:
-    return Encoder(path, merger)
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+@lru_cache(maxsize=2)
+def block_encoder(path: str) -> BlockEncoder:
+    return BlockEncoder(path)
 
 
 @lru_cache(maxsize=2)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import LibraryMerger, encoder
+from .bpe import BLOCK as TEXT_BLOCK, block_encoder
 from lodestone.shared import new_path, written
 from .words import chunks
 
@@ -123,7 +123,7 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None, id_col: s
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, k = encoder(path, LibraryMerger), TaskContext.get().partitionId(), 0
+        own, part, k = block_encoder(path), TaskContext.get().partitionId(), 0
         documents: list[int] = []
         held: list[np.ndarray] = []
         size, end = 0, np.array([END], np.uint32)
@@ -140,7 +140,7 @@ def write_files(docs: DataFrame, path: str, folder: str | None = None, id_col: s
             return pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["part", "file", "path", "documents", "tokens"])
 
         for batch in batches:
-            for piece in chunks(batch, "text"):
+            for piece in chunks(batch, "text", TEXT_BLOCK):
                 for doc, ids in zip(piece.column("id").to_pylist(), own.batch(piece.column("text").to_pylist())):
                     documents.append(np.iinfo(np.int64).min if doc is None else doc)
                     held.append(ids)

@@ -393,6 +393,33 @@ def test_tokens_by_ranges_of_the_file(spark, docs, library, texts):
         assert dac.read_token(files, at) == ids[at]
 
 
+def test_blocks_of_texts_as_the_library(library, monkeypatch):
+    texts = [t for _, t in ODD] + ["It's X's 'sam ''s I'LL they'd_ve __a__ #'s ½² 3.14 x²y", "<|ENDOFTEXT|> a<|endoftext|>b<|startoftext|><|endoftext|>", "a\xa0b\xa049407 \xa0 É\xa0Ø ǅ", "\xa049406 你\xa049407", "</w> w</w> ÷</w>", "e\u0301 \u0301e Σας İi ß ẞ \u2028 x\u2029y \x85z \x00 \x7f\x1f", "привет мир, 你好。 😀😀 한글 \u1112\u1161", "tab\tnew\nline\rfeed\x0bv\x0cf", "_" * 300 + "é" * 3000]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    own = bpe.BlockEncoder(registry.vocabulary())
+    assert [x.tolist() for x in own.batch(texts)] == want and own.batch([]) == [] and [len(x) for x in own.batch([None, ""])] == [0, 0]
+    monkeypatch.setattr(bpe, "MEMORY", 20)
+    assert [x.tolist() for x in own.batch(texts[::-1])] == want[::-1]
+    # texts over a segment and a block, and ends of words that say nothing
+    monkeypatch.setattr(bpe, "BLOCK", 1000)
+    monkeypatch.setattr(bpe.segments, "__defaults__", (100,))
+    own.merger.closes[:] = False
+    own.words.clear()
+    assert [x.tolist() for x in own.batch(texts)] == want
+
+
+def test_blocks_of_texts_ask_the_library_in_lines(library):
+    """Calls of the library and rows of Python follow the different words, not the text."""
+    own, asked = bpe.block_encoder.__wrapped__(registry.vocabulary()), []
+    ids = own.merger.ids
+    own.merger.ids = lambda lines: asked.extend(lines) or ids(lines)
+    words = [f"{chr(97 + a)}{chr(97 + b)}q{chr(97 + c)}" for a in range(20) for b in range(20) for c in range(20)]
+    texts = [" ".join(words[k:] + words[:k]) for k in range(0, 8000, 1000)]
+    found = own.batch(texts)
+    assert [x.tolist() for x in found[:2]] == [library.encode(t, add_special_tokens=False).ids for t in texts[:2]]
+    assert len(asked) <= len(words) // bpe.LINE + 1 and sum(len(x.split()) for x in asked) == len(words)
+
+
 def test_sentencepiece_counts(spark):
     import public_tokenizers
     import sentencepiece
