@@ -103,9 +103,8 @@ f AS (SELECT c_custkey, s_suppkey, ta, tb, {_JAC.format('x', 'y')} AS tw, {_JAC.
 SELECT c_custkey, s_suppkey, ta <> '' AND ta = tb AS exact_title, tw >= 0.8 AS title_jaccard, tw >= 0.72 OR (tw >= 0.45 AND (ts + 1 + fs) / 3 >= 0.62) AS rule_v1,
  0.35::DOUBLE * tw + 0.20::DOUBLE * tc + 0.15::DOUBLE * hold + 0.20::DOUBLE + 0.10::DOUBLE * ((1 + fs) / 2) >= 0.70 AS weighted_v2 FROM f""")
 def entity_predictions(spark, sf):
-    j, title, others = _titles(spark, sf)
-    p = E.predictions_of(title, others)
-    return j.select("c_custkey", "s_suppkey", *(p[k].alias(k) for k in ("exact_title", "title_jaccard", "rule_v1", "weighted_v2")))
+    side = lambda table, p, key: read(spark, sf, table).select(key, F.col(f"{p}_nationkey").alias("nation"), E.plain(f"{p}_name").alias("title"), E.plain(F.col(f"{p}_nationkey").cast("string")).alias("of"), E.plain(F.floor(f"{p}_acctbal").cast("string")).alias("has"))
+    return E.block_predictions(side("customer", "c", "c_custkey"), side("supplier", "s", "s_suppkey"), "nation", "c_custkey", "s_suppkey", ["title", "of", "has"])
 
 
 @suite.add()
