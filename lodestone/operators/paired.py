@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.ratios import matched_each
 from ..shared import dealt
 
 #: Rows of a list, about; rows of a part of one; different elements that are multiplied at once.
@@ -185,3 +186,26 @@ def set_features(left: DataFrame, right: DataFrame, block: str, left_id: str, ri
 
     types = {**dict(left.dtypes), **dict(right.dtypes)}
     return made(left, right, block, make, f"{left_id} {types[left_id]}, {right_id} {types[right_id]}, title_word double, title_char double, title_containment double")
+
+
+def sequence_ratios(left: DataFrame, right: DataFrame, block: str, left_key: tuple[str, str], right_key: tuple[str, str], digits: int) -> DataFrame:
+    """``(right_id, left_id, ratio)`` of every pair of a block, rounded: the ratio of matching blocks as ``matching.sequence_ratio`` has it.
+
+    A key names the columns of the id and of the text; a null text is empty.
+    """
+    (left_id, left_text), (right_id, right_text) = left_key, right_key
+
+    def of(rows: Rows, text: str) -> tuple[list[str], np.ndarray]:
+        texts = [t or "" for t in rows[text].to_pylist()]
+        return texts, np.fromiter(map(len, texts), np.int32, len(texts))
+
+    def make(a: Rows, b: Rows) -> Iterator[pa.RecordBatch]:
+        others = [(r, *of(r, right_text)) for r in parts(b, right_text)]
+        for x in parts(a, left_text):
+            texts, size = of(x, left_text)
+            for y, other_texts, other_size in others:
+                ratio = each_kind(matched_each(texts, other_texts), size[:, None] + other_size[None, :], lambda m, n: rounded(2 * m, n, digits) if n else 1.0)
+                yield told({right_id: (y[right_id], 1), left_id: (x[left_id], 0)}, {"ratio": ratio})
+
+    types = {**dict(left.dtypes), **dict(right.dtypes)}
+    return made(left, right, block, make, f"{right_id} {types[right_id]}, {left_id} {types[left_id]}, ratio double")
