@@ -28,14 +28,14 @@ LISTED, PART, COLUMNS = 2048, 512, 4096
 Rows = dict[str, pa.Array]
 
 
-def listed(df: DataFrame, block: str, side: str) -> DataFrame:
-    """``(block, <side>)``: the other columns of about ``LISTED`` rows of a block as a list of rows; null blocks are left out."""
+def listed(df: DataFrame, block: str, side: str, size: int = LISTED) -> DataFrame:
+    """``(block, <side>)``: the other columns of about ``size`` rows of a block as a list of rows; null blocks are left out."""
     rows = df.select(F.col(block).alias("block"), F.struct(*(c for c in df.columns if c != block)).alias("row"), F.monotonically_increasing_id().alias("at")).filter("block is not null")
-    lists = rows.groupBy("block").agg(F.ceil(F.count("*") / LISTED).alias("lists"))
+    lists = rows.groupBy("block").agg(F.ceil(F.count("*") / size).alias("lists"))
     return rows.join(F.broadcast(lists), "block").groupBy("block", F.pmod(F.xxhash64("at"), "lists").alias(f"{side}_list")).agg(F.collect_list("row").alias(side))
 
 
-def made(left: DataFrame, right: DataFrame, block: str, make: Callable[[Rows, Rows], Iterator[pa.RecordBatch]], columns: str) -> DataFrame:
+def made(left: DataFrame, right: DataFrame, block: str, make: Callable[[Rows, Rows], Iterator[pa.RecordBatch]], columns: str, size: int = LISTED) -> DataFrame:
     """What ``make`` gives for each list of ``left`` with each of ``right`` of the same block."""
 
     def rows(batch: pa.RecordBatch, side: str, k: int) -> Rows:
@@ -47,7 +47,7 @@ def made(left: DataFrame, right: DataFrame, block: str, make: Callable[[Rows, Ro
             for k in range(batch.num_rows):
                 yield from make(rows(batch, "left", k), rows(batch, "right", k))
 
-    met = listed(left, block, "left").join(listed(right, block, "right"), "block")
+    met = listed(left, block, "left", size).join(listed(right, block, "right", size), "block")
     return dealt(met, "block", "left_list", "right_list").select("left", "right").mapInArrow(run, columns)
 
 
@@ -90,6 +90,14 @@ def word_sets(left: pa.Array, right: pa.Array) -> tuple[Sets, Sets]:
     return _sets(row[row < n], code[row < n], n), _sets(row[row >= n] - n, code[row >= n], len(right))
 
 
+def whole_sets(left: pa.Array, right: pa.Array) -> tuple[Sets, Sets]:
+    """Each text as the one element of its set, numbered alike on both sides; an empty one has none."""
+    texts = pa.concat_arrays([left, right])
+    code, row = texts.dictionary_encode().indices.to_numpy().astype(np.int64), np.flatnonzero(np.asarray(pc.binary_length(texts)) > 0)
+    a, b, n = row[row < len(left)], row[row >= len(left)], len(left)
+    return _sets(a, code[a], n), _sets(b - n, code[b], len(right))
+
+
 def gram_sets(texts: pa.Array, short: bool) -> Sets:
     """Different runs of three characters of texts of ASCII; shorter ones are a run of their own if ``short``, or have none."""
     size = np.asarray(pc.binary_length(texts), np.int64)
@@ -161,6 +169,116 @@ def rounded(over: int, under: int, digits: int) -> float:
     return float(Decimal(repr(over / under)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
+#: Share of the pairs of two lists that may be looked at one by one.
+SINGLE = 1 / 32
+
+
+def _size_classes(families: list[tuple[Sets, Sets]], side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows of the sizes of a side's sets, and the number of each row's."""
+    sizes, at = np.unique(np.stack([f[side][2] for f in families], axis=1), axis=0, return_inverse=True)
+    return sizes, at.ravel()
+
+
+def counted(families: list[tuple[Sets, Sets]], marks: tuple[np.ndarray, np.ndarray], times: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many pairs of rows have which sizes and common elements in each of some families of sets, without a look at most of them.
+
+    Elements that few pairs share are rare: ``SINGLE`` of the pairs share one
+    and are looked at one by one.  All other pairs are those of classes of
+    rows, equal in their sizes and frequent elements, and are counted as
+    products.  A row counts ``times``; marks are numbers, and below 0 if they
+    are missing.  Gives, for each kind of pair, the sizes on both sides and the
+    common elements by family, the pairs with equal marks and with different
+    ones.
+    """
+    n, m = len(marks[0]), len(marks[1])
+    sizes, size_class = zip(*(_size_classes(families, side) for side in (0, 1)))
+    family, rows, elements, number = [], ([], []), ([], []), 0
+    for f, both in enumerate(families):
+        shared = np.intersect1d(both[0][1], both[1][1])
+        for side in (0, 1) if len(shared) else ():
+            row, code, _ = both[side]
+            at = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
+            hit = shared[at] == code
+            rows[side].append(row[hit])
+            elements[side].append(at[hit] + number)
+        family.append(np.full(len(shared), f))
+        number += len(shared)
+    family = np.concatenate(family)
+    rows, elements = ([np.concatenate([np.zeros(0, np.int64), *x]) for x in part] for part in (rows, elements))
+    of = [np.bincount(e, minlength=number) for e in elements]
+    order = np.argsort(of[0] * of[1], kind="stable")
+    rare = np.zeros(number, bool)
+    rare[order[np.cumsum((of[0] * of[1])[order]) <= SINGLE * n * m]] = True
+
+    # classes of rows: sizes and frequent elements
+    frequent = np.cumsum(~rare) - 1
+    has, class_of, first = [], [], []
+    for side, count in ((0, n), (1, m)):
+        x = np.zeros((count, int((~rare).sum())), bool)
+        often = ~rare[elements[side]]
+        x[rows[side][often], frequent[elements[side][often]]] = True
+        told = np.ascontiguousarray(np.concatenate([size_class[side].astype("<i4")[:, None].view(np.uint8), np.packbits(x, axis=1)], axis=1))
+        _, at, kind = np.unique(told.view(np.dtype((np.void, told.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        has.append(x[at].astype(np.float32))
+        class_of.append(kind.ravel())
+        first.append(at)
+    many = [len(f) for f in first]
+    both = [(has[0][:, some] @ has[1][:, some].T).astype(np.int32) for some in (family[~rare] == f for f in range(len(families)))]
+    n_marks = max(int(max(x.max(initial=-1) for x in marks)) + 1, 1)
+    weight = []
+    for side in (0, 1):
+        known = marks[side] >= 0
+        weight.append(np.bincount(class_of[side][known] * n_marks + marks[side][known], weights=times[side][known], minlength=many[side] * n_marks).reshape(many[side], n_marks))
+    hits = weight[0] @ weight[1].T
+    misses = np.outer(weight[0].sum(axis=1), weight[1].sum(axis=1)) - hits
+
+    # pairs that share a rare element
+    entries = []
+    for side in (0, 1):
+        some = rare[elements[side]]
+        by = np.argsort(elements[side][some], kind="stable")
+        entries.append((rows[side][some][by], elements[side][some][by]))
+    (x, e), (y, g) = entries
+    begin, wide = np.searchsorted(g, e), of[1][e]
+    pair = np.repeat(x * m, wide) + y[np.repeat(begin - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())]
+    shares = np.repeat(family[e], wide)
+    seen = np.zeros(n * m, bool)
+    seen[pair] = True
+    single = np.flatnonzero(seen)
+    place = np.empty(n * m, np.int32)
+    place[single] = np.arange(len(single), dtype=np.int32)
+    i, j = single // m, single % m
+    a, b = class_of[0][i], class_of[1][j]
+    own = [both[f][a, b] + np.bincount(place[pair[shares == f]], minlength=len(single)).astype(np.int32) for f in range(len(families))]
+    w = np.where((marks[0][i] >= 0) & (marks[1][j] >= 0), times[0][i] * times[1][j], 0)
+    equal = marks[0][i] == marks[1][j]
+    own_hits, own_misses = w * equal, w * ~equal
+    less = lambda weights: np.bincount(a * many[1] + b, weights=weights, minlength=hits.size).reshape(hits.shape)
+    rest = np.outer(*(np.bincount(c) for c in class_of)) > less(None)
+    hits, misses = hits - less(own_hits), misses - less(own_misses)
+
+    def summed(left_size: np.ndarray, right_size: np.ndarray, both: list[np.ndarray], hits: np.ndarray, misses: np.ndarray) -> tuple[np.ndarray, ...]:
+        code, kinds = left_size * len(sizes[1]) + right_size, len(sizes[0]) * len(sizes[1])
+        for x in both:
+            wide = int(x.max(initial=0)) + 1
+            code, kinds = code * wide + x, kinds * wide
+            if kinds > KINDS:
+                known, code = np.unique(code, return_inverse=True)
+                code, kinds = code.ravel(), len(known)
+        at = np.full(kinds, -1, np.int64)
+        at[code] = np.arange(len(code))
+        some = np.flatnonzero(at >= 0)
+        add = lambda v: np.rint(np.bincount(code, weights=v, minlength=kinds)[some]).astype(np.int64)
+        at = at[some]
+        return sizes[0][left_size[at]], sizes[1][right_size[at]], np.stack([x[at] for x in both], axis=1), add(hits), add(misses)
+
+    of_class = [size_class[side][first[side]] for side in (0, 1)]
+    i_class, j_class = np.nonzero(rest)
+    every = summed(of_class[0][i_class], of_class[1][j_class], [x[rest] for x in both], hits[rest], misses[rest])
+    some = summed(size_class[0][i], size_class[1][j], own, own_hits, own_misses)
+    return tuple(np.concatenate([x, y]) for x, y in zip(every, some))
+
+
 def title_texts(c: Column | str) -> dict[str, Column]:
     """``words`` and ``letters`` of a title, for ``set_features``."""
     return {"words": F.array_join(T.tokens(c), " "), "letters": F.regexp_replace(T.fold(c), "[^a-z0-9]+", "")}

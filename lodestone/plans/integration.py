@@ -113,9 +113,9 @@ def entity_rule_fit(spark, sf):
 
     def side(table, p):
         x = read(spark, sf, table).groupBy(F.col(f"{p}_nationkey").alias("nation"), F.col(f"{p}_name").alias("name"), F.floor(f"{p}_acctbal").alias("has")).agg(F.count("*").alias("n"))
-        return x.select("nation", F.array(E.parts("name"), E.parts(F.col("nation").cast("string")), E.parts(F.col("has").cast("string"))).alias("parts"), (F.col("has") % 10).alias("mark"), "n")
+        return x.select("nation", F.array(E.plain("name"), E.plain(F.col("nation").cast("string")), E.plain(F.col("has").cast("string"))).alias("texts"), (F.col("has") % 10).alias("mark"), "n")
 
-    return E.fit_counted(E.counted_features(side("customer", "c"), side("supplier", "s"), "nation"))
+    return E.fit_counted(E.counted_kinds(side("customer", "c"), side("supplier", "s"), "nation"))
 
 
 def _people(spark, sf):
