@@ -169,8 +169,8 @@ def rounded(over: int, under: int, digits: int) -> float:
     return float(Decimal(repr(over / under)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
-#: Share of the pairs of two lists that may be looked at one by one.
-SINGLE = 1 / 32
+#: Share of the pairs of two lists that may be looked at one by one; pairs of classes that are counted at once.
+SINGLE, CLASSES = 1 / 32, 1 << 20
 
 
 def _size_classes(families: list[tuple[Sets, Sets]], side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,18 +219,15 @@ def counted(families: list[tuple[Sets, Sets]], marks: tuple[np.ndarray, np.ndarr
         x[rows[side][often], frequent[elements[side][often]]] = True
         told = np.ascontiguousarray(np.concatenate([size_class[side].astype("<i4")[:, None].view(np.uint8), np.packbits(x, axis=1)], axis=1))
         _, at, kind = np.unique(told.view(np.dtype((np.void, told.shape[1]))).ravel(), return_index=True, return_inverse=True)
-        has.append(x[at].astype(np.float32))
+        has.append(x[at])
         class_of.append(kind.ravel())
         first.append(at)
     many = [len(f) for f in first]
-    both = [(has[0][:, some] @ has[1][:, some].T).astype(np.int32) for some in (family[~rare] == f for f in range(len(families)))]
     n_marks = max(int(max(x.max(initial=-1) for x in marks)) + 1, 1)
     weight = []
     for side in (0, 1):
         known = marks[side] >= 0
         weight.append(np.bincount(class_of[side][known] * n_marks + marks[side][known], weights=times[side][known], minlength=many[side] * n_marks).reshape(many[side], n_marks))
-    hits = weight[0] @ weight[1].T
-    misses = np.outer(weight[0].sum(axis=1), weight[1].sum(axis=1)) - hits
 
     # pairs that share a rare element
     entries = []
@@ -248,14 +245,9 @@ def counted(families: list[tuple[Sets, Sets]], marks: tuple[np.ndarray, np.ndarr
     place = np.empty(n * m, np.int32)
     place[single] = np.arange(len(single), dtype=np.int32)
     i, j = single // m, single % m
-    a, b = class_of[0][i], class_of[1][j]
-    own = [both[f][a, b] + np.bincount(place[pair[shares == f]], minlength=len(single)).astype(np.int32) for f in range(len(families))]
+    alone = [np.bincount(place[pair[shares == f]], minlength=len(single)).astype(np.int32) for f in range(len(families))]
     w = np.where((marks[0][i] >= 0) & (marks[1][j] >= 0), times[0][i] * times[1][j], 0)
     equal = marks[0][i] == marks[1][j]
-    own_hits, own_misses = w * equal, w * ~equal
-    less = lambda weights: np.bincount(a * many[1] + b, weights=weights, minlength=hits.size).reshape(hits.shape)
-    rest = np.outer(*(np.bincount(c) for c in class_of)) > less(None)
-    hits, misses = hits - less(own_hits), misses - less(own_misses)
 
     def summed(left_size: np.ndarray, right_size: np.ndarray, both: list[np.ndarray], hits: np.ndarray, misses: np.ndarray) -> tuple[np.ndarray, ...]:
         code, kinds = left_size * len(sizes[1]) + right_size, len(sizes[0]) * len(sizes[1])
@@ -272,11 +264,32 @@ def counted(families: list[tuple[Sets, Sets]], marks: tuple[np.ndarray, np.ndarr
         at = at[some]
         return sizes[0][left_size[at]], sizes[1][right_size[at]], np.stack([x[at] for x in both], axis=1), add(hits), add(misses)
 
-    of_class = [size_class[side][first[side]] for side in (0, 1)]
-    i_class, j_class = np.nonzero(rest)
-    every = summed(of_class[0][i_class], of_class[1][j_class], [x[rest] for x in both], hits[rest], misses[rest])
-    some = summed(size_class[0][i], size_class[1][j], own, own_hits, own_misses)
-    return tuple(np.concatenate([x, y]) for x, y in zip(every, some))
+    def dense(f: int, part: slice) -> np.ndarray:
+        columns, out = np.flatnonzero(family[~rare] == f), np.zeros((len(has[0][part]), many[1]), np.float32)
+        for c in range(0, len(columns), COLUMNS):
+            x, y = (v[:, columns[c : c + COLUMNS]].astype(np.float32) for v in (has[0][part], has[1]))
+            out += x @ y.T
+        return out.astype(np.int32)
+
+    of_class, n_rows = [size_class[side][first[side]] for side in (0, 1)], [np.bincount(c) for c in class_of]
+    step = max(CLASSES // many[1], 1)
+    by = np.argsort(class_of[0][i], kind="stable") if many[0] > step else np.arange(len(i))
+    ends = np.searchsorted(class_of[0][i[by]], np.arange(step, many[0], step)).tolist() if many[0] > step else []
+    out = []
+    for at, one in zip(range(0, many[0], step), np.split(by, ends)):
+        part = slice(at, at + step)
+        both = [dense(f, part) for f in range(len(families))]
+        hits = weight[0][part] @ weight[1].T
+        misses = np.outer(weight[0][part].sum(axis=1), weight[1].sum(axis=1)) - hits
+        a, b = class_of[0][i[one]] - at, class_of[1][j[one]]
+        own = [x[a, b] + y[one] for x, y in zip(both, alone)]
+        own_hits, own_misses = w[one] * equal[one], w[one] * ~equal[one]
+        less = lambda weights: np.bincount(a * many[1] + b, weights=weights, minlength=hits.size).reshape(hits.shape)  # noqa: B023, E731
+        rest = np.outer(n_rows[0][part], n_rows[1]) > less(None)
+        x, y = np.nonzero(rest)
+        out.append(summed(of_class[0][at + x], of_class[1][y], [v[rest] for v in both], (hits - less(own_hits))[rest], (misses - less(own_misses))[rest]))
+        out.append(summed(size_class[0][i[one]], size_class[1][j[one]], own, own_hits, own_misses))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def title_texts(c: Column | str) -> dict[str, Column]:
